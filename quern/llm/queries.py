@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, line_runs, mixing, quality, sharding, simhash, toxicity
+from quern.llm import decontaminate, kneser_ney, line_runs, link_graph, mixing, quality, sharding, simhash, toxicity
 from quern.llm.common import table
 
 
@@ -19,6 +19,14 @@ def op2_decontaminate_qgram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.size("matches").cast("long").alias("n_items"), ids.alias("item_ids"), F.array_min(F.transform("matches", lambda m: m["edits"])).alias("least_edits"))
 
 
+#: The rules that every page is judged by.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op3_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_graph.filter_urls(table(spark, sf_dir, "pages"), [link_graph.Rule.of(*r) for r in URL_RULES])
+
+
 def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("k1", "k2")
 
@@ -38,6 +46,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op8_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
