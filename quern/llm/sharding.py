@@ -95,18 +95,28 @@ def place(keys: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, load: flo
     return on_ring.select(*names, "arc", "r").mapInArrow(chosen, f"{kind}, shard int")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, load: float = 1.0, order: str = "h") -> DataFrame:
-    """(doc_id, size, text_crc32, k1, k2, h, shard, slot and the column ``order``): every row with its shard and its gapless slot in it.
+def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, load: float = 1.0, positions: DataFrame | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, k1, k2, shard, slot): every row with its shard and its gapless slot in it.
 
     The key is doc_id with the text's hash, so that no value of doc_id (null neither) weighs on one arc. Null texts
-    have no bytes. Slots follow ``order``, a long column of docs spread over its range, or else the ring. Repeated rows take
-    one slot each. An empty table gives no rows.
+    have no bytes. Slots follow the ring or, where given, ``positions`` (doc_id, k1, k2, position): an order of the rows, 0
+    and up, of which a row without one comes last. Repeated rows take one slot each. An empty table gives no rows.
     """
     from quern.llm.common import text_key
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keys = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"),
-        *text_key(text), F.xxhash64("doc_id", text).alias("h"), *([F.col(order)] if order != "h" else []),
+        *text_key(text), F.xxhash64("doc_id", text).alias("h"),
     )
-    return ranked(place(keys, shards, vnodes, load), ["shard"], [order, "doc_id", "k1", "k2"], "slot")
+    order = ["h", "doc_id", "k1", "k2"]
+    if positions is not None:
+        p = positions.groupBy(F.col("doc_id").alias("__d"), F.col("k1").alias("__1"), F.col("k2").alias("__2")).agg(F.min("position").alias("position"))
+        last = p.agg(F.max("position")).first()[0]
+        # spread over the longs, so that ranks can be dealt out by its ranges
+        step = (2**62) // (int(last or 0) + 1)
+        on = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("k1") == F.col("__1")) & (F.col("k2") == F.col("__2"))
+        keys = keys.join(p, on, "left").drop("__d", "__1", "__2")
+        keys = keys.withColumn("at", F.coalesce((F.col("position") * F.lit(step) - F.lit(2**61)) * 2, F.lit(2**63 - 1)))
+        order = ["at", *order]
+    return ranked(place(keys, shards, vnodes, load), ["shard"], order, "slot").drop("h", "at")
