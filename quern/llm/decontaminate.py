@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Q, EDIT_RATE = 10, 0.08
+Q, EDIT_RATE = 8, 0.08
 #: Characters of the benchmark that one broadcast index holds, at most; larger benchmarks take further passes.
 BLOCK_CHARS = 8_000_000
 _B = 0x9E3779B97F4A7C15 | 1
@@ -90,29 +90,38 @@ class Index:
         return Index([i for i, _ in kept], [t for _, t in kept], budget, m + 1 - q - budget * q, keys, np.r_[first, len(flat)], item[order], pos[order], seen, [i for i, (_, t) in enumerate(kept) if len(t) < q], q)
 
 
-def align(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """(edits, start, end) of the item's best place in the text, over the diagonals low to high only."""
+def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int]:
+    """(edits, start, end) of the item's best place in the text, over the diagonals low to high only; as soon as no
+    place is within the budget, (budget + 1, 0, 0)."""
     width, m, n = high - low + 1, len(item), len(text)
     steps = np.arange(width)
     big = m + n + 1
-    at = low + steps  # text position before the first character
-    cost = np.where((at >= 0) & (at <= n), 0, big)
-    start = at.copy()
+    start = low + steps  # text position before the first character
+    cost = np.where((start >= 0) & (start <= n), 0, big)
+    # the text character that each diagonal pairs with each of the item's, -1 and -2 outside
+    reach = np.full(m + width, -1, np.int64)
+    a, b = max(0, low), min(n, low + m + width)
+    if b > a:
+        reach[a - low : b - low] = text[a:b]
+    up, up_start = np.full(width, big), np.zeros(width, np.int64)
     for i in range(m):
-        p = low + steps + i  # the text character that diagonal pairs with item[i]
-        ok = (p >= 0) & (p < n)
-        miss = np.ones(width, np.int64)
-        miss[ok] = text[p[ok]] != item[i]
-        diag = np.where(ok, cost + miss, big)
-        up = np.r_[cost[1:] + 1, big]  # item[i] is left out of the text
+        near = reach[i : i + width]
+        diag = cost + (near != item[i])
+        diag[near < 0] = big
+        up[:-1], up_start[:-1] = cost[1:] + 1, start[1:]  # item[i] is left out of the text
         take = up < diag
-        now, s = np.where(take, up, diag), np.where(take, np.r_[start[1:], 0], start)
-        run = now - steps  # characters that only the text has: a running minimum
-        low_run = np.minimum.accumulate(run)
-        src = np.maximum.accumulate(np.where(run == low_run, steps, 0))
-        end = low + steps + i + 1
-        cost = np.where((end >= 0) & (end <= n), low_run + steps, big)
-        start = s[src]
+        run = np.where(take, up, diag) - steps  # characters that only the text has: a running minimum
+        least = np.minimum.accumulate(run)
+        source = np.maximum.accumulate(np.where(run == least, steps, 0))
+        start = np.where(take, up_start, start)[source]
+        cost = least + steps
+        out = low + i + 1  # the text position after the first diagonal's character
+        if out < 0:
+            cost[:-out] = big
+        if out + width - 1 > n:
+            cost[max(0, n - out + 1) :] = big
+        if cost.min() > budget:
+            return budget + 1, 0, 0
     best = int(cost.argmin())
     return int(cost[best]), int(start[best]), low + best + m
 
@@ -157,14 +166,21 @@ def _bands(index, codes, starts, may, k, doc, a, b, out, texts) -> None:
     n = index.first[k + 1] - index.first[k]
     of = np.repeat(np.arange(len(k)), n)
     at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + index.first[k][of]
-    item, d = index.item[at], doc[of]
-    diagonal = may[of] - starts[d] - index.pos[at]
+    item, d, n_items = index.item[at], doc[of] - doc[0], len(index.ids)
+    least = np.maximum(1, index.least)
+    pair, back, total = np.unique(d * n_items + item, return_inverse=True, return_counts=True)
+    ok = (total >= least[pair % n_items])[back]  # documents that share too few with an item in all
+    of, at, item, d = of[ok], at[ok], item[ok], d[ok]
     half = index.budget[item] + 1
-    upper = diagonal // half  # the two bands that hold this diagonal begin at upper * half and (upper - 1) * half
-    rows = np.stack([np.r_[d, d], np.r_[item, item], np.r_[upper, upper - 1]], 1)
-    found, count = np.unique(rows, axis=0, return_counts=True)
-    ok = count >= np.maximum(1, index.least[found[:, 1]])
+    # the two bands that hold a diagonal begin at upper * half and (upper - 1) * half
+    upper = (may[of] - starts[d + doc[0]] - index.pos[at]) // half
+    low_band = int(upper.min(initial=0)) - 1
+    bands = int(upper.max(initial=0)) - low_band + 1
+    key = (d * n_items + item) * bands + (upper - low_band)
+    found, count = np.unique(np.r_[key, key - 1], return_counts=True)
+    ok = count >= least[found // bands % n_items]
     found, count = found[ok], count[ok]
+    found = np.stack([found // bands // n_items + doc[0], found // bands % n_items, found % bands + low_band], 1)
     best: dict[tuple, tuple] = {}
     for (dd, i, band), c in sorted(zip(found.tolist(), count.tolist()), key=lambda x: -x[1]):
         if best.get((dd, i), (1,))[0] == 0:
@@ -176,7 +192,7 @@ def _bands(index, codes, starts, may, k, doc, a, b, out, texts) -> None:
         low = band * (budget + 1) - budget
         high = (band + 2) * (budget + 1) + budget
         lo = max(0, low - 1)
-        edits, s, e = align(_codes(index.texts[i]), codes[dd][lo : high + m + budget + 1], low - lo, high - lo)
+        edits, s, e = align(_codes(index.texts[i]), codes[dd][lo : high + m + budget + 1], low - lo, high - lo, budget)
         if edits <= budget and ((dd, i) not in best or edits < best[dd, i][0]):
             best[dd, i] = (edits, s + lo, e + lo)
     for (dd, i), (edits, s, e) in sorted(best.items()):
