@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, kneser_ney, line_runs, link_graph, mixing, quality, sharding, simhash, toxicity
+from quern.llm import decontaminate, kneser_ney, line_runs, link_graph, lm_quality, mixing, quality, sharding, simhash, toxicity
 from quern.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op8_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.held_out_scores(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
