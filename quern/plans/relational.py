@@ -1 +1,457 @@
-"""Queries; see registry."""
+"""Relational core over the star schema: projections, joins, aggregates, windows, sets, each with its SQL."""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quern.operators import stats
+from quern.plans.models import sized
+from quern.plans.registry import query
+from quern.sources.readers import calendar, filtered_load, inline
+
+
+def _t(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def N():
+    return F.count(F.lit(1))
+
+
+def total(c):
+    """An integer sum, as a bigint."""
+    return F.coalesce(F.sum(c.cast("long")), F.lit(0))
+
+
+# ---- sources
+
+
+@query("io04_light_load", "SELECT l_returnflag, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_brand IN ('Brand#2', 'Brand#17')) GROUP BY 1")
+def light_load(spark, sf_dir):
+    prices = _t(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "product_id")
+    products = _t(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id").withColumnRenamed("p_brand", "vendor")
+    some, _ = filtered_load(prices, products, ["Brand#2", "Brand#17"])
+    return some.groupBy("l_returnflag").agg(N().alias("n"), F.sum("l_quantity").cast("long").alias("q"))
+
+
+@query("io16_inline_table", "SELECT r.r_name, v.label FROM region r JOIN (VALUES (0, 'zero'), (1, 'one'), (9, 'nine')) v(k, label) ON v.k = r.r_regionkey")
+def inline_table(spark, sf_dir):
+    return _t(spark, sf_dir, "region").join(inline(spark, [(0, "zero"), (1, "one"), (9, "nine")], "r_regionkey int, label string"), "r_regionkey").select("r_name", "label")
+
+
+@query("io17_array_relation", "SELECT n_nationkey, k FROM nation, unnest([1, 2, 3, 7, 14]) AS t(k) WHERE n_nationkey % k = 0")
+def array_relation(spark, sf_dir):
+    return _t(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.array(*map(F.lit, (1, 2, 3, 7, 14)))).alias("k")).where("n_nationkey % k = 0")
+
+
+@query("io18_calendar", "SELECT d, count(event_id) AS n FROM (SELECT CAST(unnest(generate_series(DATE '2023-12-28', DATE '2024-02-03', INTERVAL 1 DAY)) AS DATE) AS d) c LEFT JOIN events e ON CAST(e.ts AS DATE) = c.d GROUP BY 1")
+def calendar_days(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("d"), "event_id")
+    return calendar(spark, date(2023, 12, 28), date(2024, 2, 3)).join(e, "d", "left").groupBy("d").agg(F.count("event_id").alias("n"))
+
+
+# ---- projections and predicates
+
+
+@query("rl01_projection", "SELECT o_orderkey AS k, o_orderstatus AS s, o_orderkey + o_custkey AS both FROM orders")
+def projection(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), (F.col("o_orderkey") + F.col("o_custkey")).alias("both"))
+
+
+@query("rl02_filter_range", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-06-30' AND o_totalprice > 1000 AND o_orderstatus <> 'P'")
+def filter_range(spark, sf_dir):
+    # the bounds stand against the stored timestamp, so that they reach the scan
+    o = _t(spark, sf_dir, "orders").where("o_orderdate >= timestamp_ntz'1996-01-01' and o_orderdate < timestamp_ntz'1996-07-01' and o_totalprice > 1000 and o_orderstatus <> 'P'")
+    return o.select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+
+
+@query("rl03_in_lists", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_orderpriority NOT IN ('5-LOW', '2-HIGH') GROUP BY 1")
+def in_lists(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("O", "F") & ~F.col("o_orderpriority").isin("5-LOW", "2-HIGH")).groupBy("o_orderpriority").agg(N().alias("n"))
+
+
+@query("rl04_null_safe", "SELECT p_partkey, (nullif(p_size % 5, 0) IS NOT DISTINCT FROM nullif(p_size % 3, 0)) AS same FROM part")
+def null_safe(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", F.nullif(F.col("p_size") % 5, F.lit(0)).eqNullSafe(F.nullif(F.col("p_size") % 3, F.lit(0))).alias("same"))
+
+
+@query("rl05_like", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%ring' AND p_name NOT LIKE 'red%'")
+def like(spark, sf_dir):
+    return _t(spark, sf_dir, "part").where(F.col("p_name").like("%ring") & ~F.col("p_name").like("red%")).select("p_partkey", "p_name")
+
+
+@query("rl06_case_buckets", "SELECT CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS size, CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'LARGE' THEN 2 ELSE 3 END AS t, count(*) AS n FROM part GROUP BY 1, 2")
+def case_buckets(spark, sf_dir):
+    size = F.when(F.col("p_size") < 10, "small").when(F.col("p_size") < 30, "middle").otherwise("large")
+    return _t(spark, sf_dir, "part").groupBy(size.alias("size"), F.when(F.col("p_type") == "ECONOMY", 1).when(F.col("p_type") == "LARGE", 2).otherwise(3).alias("t")).agg(N().alias("n"))
+
+
+@query("rl07_qualify", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
+def qualify(spark, sf_dir):
+    return stats.top_k(_t(spark, sf_dir, "orders"), ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 1).select("o_custkey", "o_orderkey")
+
+
+@query("rl08_boolean_column", "SELECT l_orderkey, l_linenumber, l_quantity > 25 AND l_returnflag = 'N' AS big_open FROM lineitem")
+def boolean_column(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_quantity") > 25) & (F.col("l_returnflag") == "N")).alias("big_open"))
+
+
+@query("rl09_ctes", "WITH a AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT n, count(*) AS customers FROM a GROUP BY 1) SELECT * FROM b WHERE customers > 1")
+def ctes(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(N().alias("n")).groupBy("n").agg(N().alias("customers")).where("customers > 1")
+
+
+@query("rl10_scalar_subquery", "SELECT o_orderstatus, count(*) AS n, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM orders) AS pct FROM orders GROUP BY 1")
+def scalar_subquery(spark, sf_dir):
+    _t(spark, sf_dir, "orders").createOrReplaceTempView("quern_orders")
+    return spark.sql("SELECT o_orderstatus, count(*) AS n, 100.0D * count(*) / (SELECT count(*) FROM quern_orders) AS pct FROM quern_orders GROUP BY 1")
+
+
+# ---- joins
+
+
+@query("rl11_inner_join", "SELECT n_name, s_name, s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name = (SELECT min(r_name) FROM region)")
+def inner_join(spark, sf_dir):
+    r = _t(spark, sf_dir, "region")
+    first = r.agg(F.min("r_name").alias("r_name"))
+    n = _t(spark, sf_dir, "nation").join(r.join(first, "r_name", "left_semi"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return _t(spark, sf_dir, "supplier").join(sized(n), F.col("n_nationkey") == F.col("s_nationkey")).select("n_name", "s_name", "s_suppkey")
+
+
+@query("rl12_left_join", "SELECT c_custkey, count(o_orderkey) AS n, CAST(coalesce(sum(o_orderkey), 0) AS BIGINT) AS keys FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY 1")
+def left_join(spark, sf_dir):
+    # aggregated before it is joined: the join carries a row a customer
+    o = _t(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(N().alias("n"), F.sum("o_orderkey").alias("keys"))
+    return _t(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left").na.fill(0)
+
+
+@query("rl13_full_join", "WITH a AS (SELECT o_custkey AS k, count(*) AS na FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS nb FROM orders WHERE o_custkey % 4 <> 0 GROUP BY 1) SELECT k, na, nb FROM a FULL JOIN b USING (k)")
+def full_join(spark, sf_dir):
+    side = lambda m, n: _t(spark, sf_dir, "orders").where(F.col("o_custkey") % m != 0).groupBy(F.col("o_custkey").alias("k")).agg(N().alias(n))
+    return side(3, "na").join(side(4, "nb"), "k", "full")
+
+
+@query("rl14_anti_join", "SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
+def anti_join(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+
+
+@query("rl15_exists", "SELECT p_partkey FROM part p WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > 45) AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_returnflag = 'R')")
+def exists(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
+    return _t(spark, sf_dir, "part").join(li.where("l_quantity > 45"), "p_partkey", "left_semi").join(li.where("l_returnflag = 'R'"), "p_partkey", "left_anti").select("p_partkey")
+
+
+@query("rl16_in_subquery", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50)")
+def in_subquery(spark, sf_dir):
+    for t in ("supplier", "nation", "lineitem"):
+        _t(spark, sf_dir, t).createOrReplaceTempView(f"quern_{t}")
+    return spark.sql("SELECT s_suppkey FROM quern_supplier WHERE s_nationkey IN (SELECT n_nationkey FROM quern_nation WHERE n_regionkey = 1) AND s_suppkey NOT IN (SELECT l_suppkey FROM quern_lineitem WHERE l_quantity >= 50)")
+
+
+@query("rl17_filtered_by_subquery", "SELECT l_returnflag, count(*) FILTER (WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 40)) AS large, count(DISTINCT l_suppkey) FILTER (WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 40)) AS suppliers FROM lineitem GROUP BY 1")
+def filtered_by_subquery(spark, sf_dir):
+    large = _t(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("large"))
+    rows = _t(spark, sf_dir, "lineitem").join(sized(large), "l_partkey", "left")
+    return rows.groupBy("l_returnflag").agg(F.count("large").alias("large"), F.countDistinct(F.when(F.col("large"), F.col("l_suppkey"))).alias("suppliers"))
+
+
+@query("rl18_correlated_range", "SELECT event_id, (SELECT count(*) FROM events b WHERE b.user_id = a.user_id AND CAST(b.ts AS DATE) BETWEEN CAST(a.ts AS DATE) - 3 AND CAST(a.ts AS DATE) - 1) AS before FROM events a WHERE a.event_type = 'purchase'")
+def correlated_range(spark, sf_dir):
+    # a window over days in place of the subquery: one shuffle by user
+    e = _t(spark, sf_dir, "events").withColumn("day", F.datediff(F.col("ts").cast("date"), F.lit(date(2020, 1, 1))))
+    w = Window.partitionBy("user_id").orderBy("day").rangeBetween(-3, -1)
+    return e.withColumn("before", F.count(F.lit(1)).over(w)).where("event_type = 'purchase'").select("event_id", "before")
+
+
+@query("rl19_correlated_equi", "SELECT n_name, (SELECT count(*) FROM customer c WHERE c.c_nationkey = n.n_nationkey) AS customers FROM nation n")
+def correlated_equi(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(N().alias("customers"))
+    return _t(spark, sf_dir, "nation").join(c, "n_nationkey", "left").select("n_name", F.coalesce("customers", F.lit(0)).alias("customers"))
+
+
+@query("rl20_cross_join", "SELECT r_name, d FROM region CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-05', INTERVAL 1 DAY)) AS DATE) AS d) c")
+def cross_join(spark, sf_dir):
+    # a calendar is exploded in each row: no join at all
+    return _t(spark, sf_dir, "region").select("r_name", F.explode(F.sequence(F.lit(date(2024, 1, 1)), F.lit(date(2024, 1, 5)))).alias("d"))
+
+
+@query("rl22_window_table_join", "SELECT w.label, count(*) AS n FROM orders JOIN (VALUES ('a', DATE '1996-01-01', DATE '1996-03-31'), ('b', DATE '1996-03-01', DATE '1997-01-15')) w(label, f, t) ON CAST(o_orderdate AS DATE) BETWEEN w.f AND w.t GROUP BY 1")
+def window_table_join(spark, sf_dir):
+    windows = F.array(*[F.struct(F.lit(x).alias("label"), F.lit(a).alias("f"), F.lit(b).alias("t")) for x, a, b in (("a", date(1996, 1, 1), date(1996, 3, 31)), ("b", date(1996, 3, 1), date(1997, 1, 15)))])
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("d"), F.explode(windows).alias("w"))
+    return rows.where("d between w.f and w.t").groupBy(F.col("w.label").alias("label")).agg(N().alias("n"))
+
+
+@query("rl25_ordered_pairs", "WITH d AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS parts FROM d a JOIN d b ON a.l_partkey = b.l_partkey AND b.l_suppkey > a.l_suppkey GROUP BY 1, 2")
+def ordered_pairs(spark, sf_dir):
+    d = _t(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    return d.withColumnRenamed("l_suppkey", "a").join(d.withColumnRenamed("l_suppkey", "b"), "l_partkey").where("b > a").groupBy("a", "b").agg(N().alias("parts"))
+
+
+@query("rl27_bucket_lookup", "WITH t(k, label) AS (VALUES (1, 'one'), (3, 'few'), (7, 'week'), (14, 'more')) SELECT l_linenumber, label, count(*) AS n FROM lineitem JOIN t ON t.k = CASE WHEN l_quantity <= 1 THEN 1 WHEN l_quantity <= 3 THEN 3 WHEN l_quantity <= 7 THEN 7 ELSE 14 END GROUP BY 1, 2")
+def bucket_lookup(spark, sf_dir):
+    q = F.col("l_quantity")
+    k = F.when(q <= 1, 1).when(q <= 3, 3).when(q <= 7, 7).otherwise(14)
+    rows = _t(spark, sf_dir, "lineitem").withColumn("k", k)
+    return rows.join(inline(spark, [(1, "one"), (3, "few"), (7, "week"), (14, "more")], "k int, label string"), "k").groupBy("l_linenumber", "label").agg(N().alias("n"))
+
+
+@query("rl28_lateral_calendar", "WITH s AS (SELECT event_type, min(CAST(ts AS DATE)) AS f, max(CAST(ts AS DATE)) AS t FROM events WHERE user_id < 5 GROUP BY 1) SELECT event_type, CAST(unnest(generate_series(f, t, INTERVAL 1 DAY)) AS DATE) AS d FROM s")
+def lateral_calendar(spark, sf_dir):
+    s = _t(spark, sf_dir, "events").where("user_id < 5").groupBy("event_type").agg(F.min(F.col("ts").cast("date")).alias("f"), F.max(F.col("ts").cast("date")).alias("t"))
+    return s.select("event_type", F.explode(F.sequence("f", "t")).alias("d"))
+
+
+# ---- aggregates
+
+
+@query("rl30_group_by", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS q, round(avg(l_quantity), 8) AS mean_q, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY ALL")
+def group_by(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(N().alias("n"), F.sum("l_quantity").cast("long").alias("q"), F.round(F.avg("l_quantity"), 8).alias("mean_q"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
+
+
+@query("rl31_global", "SELECT count(*) AS n, count(DISTINCT o_custkey) AS customers, min(CAST(o_orderdate AS DATE)) AS first, max(CAST(o_orderdate AS DATE)) AS last FROM orders")
+def global_aggregate(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").agg(N().alias("n"), F.countDistinct("o_custkey").alias("customers"), F.min(F.col("o_orderdate").cast("date")).alias("first"), F.max(F.col("o_orderdate").cast("date")).alias("last"))
+
+
+@query("rl32_filter_clause", "SELECT l_returnflag, count(*) FILTER (WHERE l_quantity > 40) AS many, median(l_quantity) FILTER (WHERE l_discount > 0.05) AS mid, CAST(sum(l_quantity) FILTER (WHERE l_linenumber = 1) AS BIGINT) AS q FROM lineitem GROUP BY 1")
+def filter_clause(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.expr("count(*) filter (where l_quantity > 40)").alias("many"), F.expr("percentile(l_quantity, 0.5) filter (where l_discount > 0.05)").alias("mid"), F.expr("cast(sum(l_quantity) filter (where l_linenumber = 1) as bigint)").alias("q"))
+
+
+@query("rl33_count_distinct", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey || '/' || l_suppkey) FILTER (WHERE l_quantity > 25) AS pairs FROM lineitem GROUP BY 1")
+def count_distinct(spark, sf_dir):
+    pair = F.concat(F.col("l_partkey").cast("string"), F.lit("/"), F.col("l_suppkey").cast("string"))
+    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.countDistinct("l_suppkey").alias("suppliers"), F.countDistinct(F.when(F.col("l_quantity") > 25, pair)).alias("pairs"))
+
+
+@query("rl34_string_agg", "SELECT n_regionkey, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY 1")
+def string_agg(spark, sf_dir):
+    return _t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_set("n_name")), ",").alias("names"))
+
+
+@query("rl35_median", "SELECT o_orderpriority, median(o_totalprice) AS mid FROM orders GROUP BY 1")
+def median(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.median("o_totalprice").alias("mid"))
+
+
+@query("rl36_quantiles", "SELECT l_returnflag, round(quantile_cont(l_quantity, 0.1), 8) AS p10, round(quantile_cont(l_quantity, 0.9), 8) AS p90 FROM lineitem GROUP BY 1")
+def quantiles(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile("l_quantity", F.lit(0.1)), 8).alias("p10"), F.round(F.percentile("l_quantity", F.lit(0.9)), 8).alias("p90"))
+
+
+@query("rl37_mode_lowest", "SELECT l_suppkey, q AS mode FROM (SELECT l_suppkey, l_quantity AS q, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_quantity) AS r FROM lineitem GROUP BY 1, 2) WHERE r = 1")
+def mode_lowest(spark, sf_dir):
+    return stats.mode_lowest(_t(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity")
+
+
+@query("rl38_arg_max", "SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS top, arg_min(o_orderpriority, (o_totalprice, o_orderkey)) FILTER (WHERE o_orderstatus = 'O') AS low FROM orders GROUP BY 1")
+def arg_max(spark, sf_dir):
+    key = F.struct("o_totalprice", "o_orderkey")
+    return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", key).alias("top"), F.min_by("o_orderpriority", F.when(F.col("o_orderstatus") == "O", key)).alias("low"))
+
+
+@query("rl39_any_value", "SELECT l_partkey, any_value(p_name) AS name, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
+def any_value(spark, sf_dir):
+    n = _t(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(N().alias("n"))
+    return n.join(_t(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).select("l_partkey", F.col("p_name").alias("name"), "n")
+
+
+@query("rl40_ordered_list", "SELECT o_custkey, list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS keys FROM orders WHERE o_custkey < 300 GROUP BY 1")
+def ordered_list(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").where("o_custkey < 300")
+    return o.groupBy("o_custkey").agg(stats.ordered_list([-F.col("o_totalprice"), F.col("o_orderkey")], F.col("o_orderkey")).alias("keys"))
+
+
+@query("rl41_having", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING n > 20")
+def having(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(N().alias("n")).where("n > 20")
+
+
+@query("rl42_geometric_mean", "SELECT p_type, round(exp(avg(ln(p_retailprice))), 6) AS g FROM part GROUP BY 1")
+def geometric_mean(spark, sf_dir):
+    return _t(spark, sf_dir, "part").groupBy("p_type").agg(F.round(stats.geometric_mean(F.col("p_retailprice")), 6).alias("g"))
+
+
+_RANKED = "WITH v AS (SELECT l_suppkey, count(*) AS a, CAST(sum(l_quantity) AS BIGINT) AS b FROM lineitem GROUP BY 1), r AS (SELECT rank() OVER (ORDER BY a DESC) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY b DESC) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::DOUBLE AS rb FROM v) "
+
+
+@query("an22_rank_correlation", _RANKED + "SELECT count(*) AS n, round(corr(ra, rb), 8) AS rho, round(1.0::DOUBLE - 6.0::DOUBLE * sum((ra - rb) * (ra - rb)) / (count(*) * (count(*) * count(*) - 1)), 8) AS rho_textbook FROM r")
+def rank_correlation(spark, sf_dir):
+    v = _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(N().alias("a"), F.sum("l_quantity").cast("long").alias("b"))
+    return stats.spearman(v, "a", "b").select("n", F.round("rho", 8).alias("rho"), F.round("rho_textbook", 8).alias("rho_textbook"))
+
+
+@query("rl44_pivot", "SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'F') AS F, count(*) FILTER (WHERE l_linestatus = 'O') AS O FROM lineitem GROUP BY 1")
+def pivot(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(N()).na.fill(0)
+
+
+@query("rl46_two_levels", "SELECT d, round(avg(n), 8) AS mean_n FROM (SELECT CAST(ts AS DATE) AS d, event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
+def two_levels(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").alias("d"), "event_type").agg(F.countDistinct("user_id").alias("n"))
+    return e.groupBy("d").agg(F.round(F.avg("n"), 8).alias("mean_n"))
+
+
+@query("rl47_distinct", "SELECT DISTINCT p_brand, p_type FROM part")
+def distinct(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_brand", "p_type").distinct()
+
+
+# ---- windows
+
+_USER = "PARTITION BY user_id ORDER BY ts, event_id"
+
+
+def _events(spark, sf_dir):
+    return _t(spark, sf_dir, "events"), Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+
+@query("wn01_lag", f"SELECT event_id, lag(event_type) OVER ({_USER}) AS previous FROM events")
+def lag(spark, sf_dir):
+    e, w = _events(spark, sf_dir)
+    return e.select("event_id", F.lag("event_type").over(w).alias("previous"))
+
+
+@query("wn02_top_k", "SELECT * FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 3")
+def top_k(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy(F.col("value").desc(), "event_id")
+    return _t(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(w).alias("r")).where("r <= 3")
+
+
+@query("wn03_islands_two_ranks", f"WITH r AS (SELECT *, row_number() OVER ({_USER}) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events) SELECT user_id, event_type, count(*) AS run, min(event_id) AS first FROM r GROUP BY user_id, event_type, g")
+def islands_two_ranks(spark, sf_dir):
+    e, w = _events(spark, sf_dir)
+    g = F.row_number().over(w) - F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    return e.withColumn("g", g).groupBy("user_id", "event_type", "g").agg(N().alias("run"), F.min("event_id").alias("first")).drop("g")
+
+
+@query("wn04_running_sum", f"SELECT event_id, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER ({_USER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS bought FROM events")
+def running_sum(spark, sf_dir):
+    e, w = _events(spark, sf_dir)
+    return e.select("event_id", F.sum((F.col("event_type") == "purchase").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("bought"))
+
+
+@query("wn05_trailing_median", "WITH n AS (SELECT event_type, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, d, median(n) OVER (PARTITION BY event_type ORDER BY d ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS mid FROM n")
+def trailing_median(spark, sf_dir):
+    n = _t(spark, sf_dir, "events").groupBy("event_type", F.col("ts").cast("date").alias("d")).agg(N().alias("n"))
+    return n.select("event_type", "d", F.percentile("n", F.lit(0.5)).over(Window.partitionBy("event_type").orderBy("d").rowsBetween(-7, -1)).alias("mid"))
+
+
+@query("wn06_range_days", "WITH n AS (SELECT user_id, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, d, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY d RANGE BETWEEN INTERVAL 14 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS BIGINT) AS before FROM n")
+def range_days(spark, sf_dir):
+    n = _t(spark, sf_dir, "events").groupBy("user_id", F.col("ts").cast("date").alias("d")).agg(N().alias("n"))
+    w = Window.partitionBy("user_id").orderBy(F.datediff("d", F.lit(date(2020, 1, 1)))).rangeBetween(-14, -1)
+    return n.select("user_id", "d", F.sum("n").over(w).alias("before"))
+
+
+@query("wn07_named_window", f"SELECT event_id, row_number() OVER w AS r, lag(event_id) OVER w AS p FROM events WINDOW w AS ({_USER})")
+def named_window(spark, sf_dir):
+    _t(spark, sf_dir, "events").createOrReplaceTempView("quern_events")
+    return spark.sql(f"SELECT event_id, CAST(row_number() OVER w AS BIGINT) AS r, lag(event_id) OVER w AS p FROM quern_events WINDOW w AS ({_USER})")
+
+
+@query("wn08_share", "SELECT event_type, CAST(ts AS DATE) AS d, count(*) AS n, 100.0::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY event_type) AS share_pct FROM events GROUP BY 1, 2")
+def share(spark, sf_dir):
+    n = _t(spark, sf_dir, "events").groupBy("event_type", F.col("ts").cast("date").alias("d")).agg(N().alias("n"))
+    return n.withColumn("share_pct", stats.share_pct("n", ["event_type"]))
+
+
+@query("wn09_share_of_filtered", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, 100.0::DOUBLE * count(*) FILTER (WHERE o_orderstatus = 'F') / sum(count(*) FILTER (WHERE o_orderstatus = 'F')) OVER () AS pct FROM orders GROUP BY 1")
+def share_of_filtered(spark, sf_dir):
+    n = _t(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(total(F.col("o_orderstatus") == "F").alias("f"))
+    return n.withColumn("pct", stats.share_pct("f"))
+
+
+@query("wn10_count_over", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders")
+def count_over(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.count(F.lit(1)).over(Window.partitionBy("o_custkey")).alias("n"))
+
+
+@query("wn11_average_rank", "SELECT p_brand, rank() OVER (ORDER BY count(*) DESC) + (count(*) OVER (PARTITION BY count(*)) - 1) / 2.0::DOUBLE AS r FROM part GROUP BY 1")
+def average_rank(spark, sf_dir):
+    return stats.average_ranks(_t(spark, sf_dir, "part").groupBy("p_brand").agg(N().alias("n")), "n", "r").select("p_brand", "r")
+
+
+@query("wn12_ntile", "SELECT p_partkey, ntile(3) OVER (ORDER BY p_retailprice, p_partkey) AS tertile FROM part")
+def ntile(spark, sf_dir):
+    return stats.tertiles(_t(spark, sf_dir, "part"), ["p_retailprice", "p_partkey"]).select("p_partkey", "tertile")
+
+
+# ---- order, limits, samples, sets
+
+
+@query("rl51_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25")
+def top_rows(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc_nulls_last(), "o_orderkey").limit(25)
+
+
+@query("rl52_repeatable_sample", "SELECT c_custkey FROM customer WHERE substr(md5(CAST(c_custkey AS VARCHAR)), 1, 1) = '7'")
+def repeatable_sample(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").where(F.substring(F.md5(F.col("c_custkey").cast("string").cast("binary")), 1, 1) == "7").select("c_custkey")
+
+
+@query("rl53_union_all", "SELECT 'customer' AS what, c_acctbal AS v FROM customer UNION ALL SELECT 'supplier', s_acctbal FROM supplier")
+def union_all(spark, sf_dir):
+    side = lambda t, c: _t(spark, sf_dir, t).select(F.lit(t).alias("what"), F.col(c).alias("v"))
+    return side("customer", "c_acctbal").unionByName(side("supplier", "s_acctbal"))
+
+
+@query("rl54_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def union(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).union(_t(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
+
+
+@query("rl55_except_all", "SELECT l_quantity, l_returnflag FROM lineitem WHERE l_linenumber <= 3 EXCEPT ALL SELECT l_quantity, l_returnflag FROM lineitem WHERE l_linenumber > 3")
+def except_all(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem")
+    return li.where("l_linenumber <= 3").select("l_quantity", "l_returnflag").exceptAll(li.where("l_linenumber > 3").select("l_quantity", "l_returnflag"))
+
+
+@query("rl56_except", "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def except_set(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    return o.where("o_orderstatus = 'F'").select("o_custkey").subtract(o.where("o_orderstatus = 'P'").select("o_custkey"))
+
+
+@query("rl50_order_nulls", "SELECT p_partkey, row_number() OVER (ORDER BY nullif(p_size % 10, 0) DESC NULLS LAST, p_name, p_partkey) AS r FROM part QUALIFY r <= 100")
+def order_nulls(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").withColumn("z", F.nullif(F.col("p_size") % 10, F.lit(0)))
+    order = [F.col("z").desc_nulls_last(), F.col("p_name"), F.col("p_partkey")]
+    first = p.orderBy(*order).limit(100)  # the first hundred come from a top-k, so that the window's one task holds no more
+    return first.select("p_partkey", F.row_number().over(Window.orderBy(*order)).alias("r"))
+
+
+# ---- scalar functions
+
+
+@query("sc_dates", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS age, dayofweek(o_orderdate) AS dow, dayname(o_orderdate) AS name, CAST(year(o_orderdate) AS BIGINT) AS y, strftime(o_orderdate, '%Y%m%d') AS text, last_day(CAST(o_orderdate AS DATE)) AS last FROM orders")
+def dates(spark, sf_dir):
+    d = F.col("o_orderdate").cast("date")
+    return _t(spark, sf_dir, "orders").select(
+        "o_orderkey", F.trunc(d, "month").alias("month"), F.datediff(d, F.lit(date(1995, 1, 1))).cast("long").alias("age"), (F.dayofweek(d) - 1).cast("long").alias("dow"),
+        F.date_format(d, "EEEE").alias("name"), F.year(d).cast("long").alias("y"), F.date_format(d, "yyyyMMdd").alias("text"), F.last_day(d).alias("last"),
+    )
+
+
+@query("sc_text", "SELECT c_custkey, upper(c_name) AS u, replace(c_name, '#', '-') AS r, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS p, substr(c_name, 3, 5) AS s, length(c_name) AS n, rtrim(rtrim(CAST(c_custkey AS VARCHAR), '0'), '5') AS t, contains(c_name, '01') AS has, md5(c_name) AS h FROM customer")
+def texts(spark, sf_dir):
+    k = F.col("c_custkey").cast("string")
+    return _t(spark, sf_dir, "customer").select("c_custkey", F.upper("c_name").alias("u"), F.replace("c_name", F.lit("#"), F.lit("-")).alias("r"), F.lpad(k, 8, "0").alias("p"), F.substring("c_name", 3, 5).alias("s"), F.length("c_name").cast("long").alias("n"), F.rtrim(F.rtrim(k, F.lit("0")), F.lit("5")).alias("t"), F.contains("c_name", F.lit("01")).alias("has"), F.md5(F.col("c_name").cast("binary")).alias("h"))
+
+
+@query("sc_numbers", "SELECT p_partkey, p_size // 7 AS d, p_size % 7 AS m, abs(p_size - 25) AS a, greatest(p_size, 30) AS g, coalesce(nullif(p_size, 11), -1) AS c, round(ln(p_retailprice), 8) AS l, power(p_size, 2) AS p FROM part")
+def numbers(spark, sf_dir):
+    z = F.col("p_size")
+    return _t(spark, sf_dir, "part").select("p_partkey", F.expr("p_size div 7").alias("d"), (z % 7).alias("m"), F.abs(z - 25).alias("a"), F.greatest(z, F.lit(30)).alias("g"), F.coalesce(F.nullif(z, F.lit(11)), F.lit(-1)).alias("c"), F.round(F.ln("p_retailprice"), 8).alias("l"), F.pow(z.cast("double"), F.lit(2.0)).alias("p"))
+
+
+@query("sc_arrays", "WITH l AS (SELECT n_regionkey, list(n_name ORDER BY n_name) AS l FROM nation GROUP BY 1) SELECT n_regionkey, len(l) AS n, array_to_string(l[1:2], '+') AS two, l[1] AS first, l[len(l)] AS last FROM l")
+def arrays(spark, sf_dir):
+    a = _t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("a"))
+    return a.select("n_regionkey", F.size("a").cast("long").alias("n"), F.array_join(F.slice("a", 1, 2), "+").alias("two"), F.element_at("a", 1).alias("first"), F.element_at("a", -1).alias("last"))
