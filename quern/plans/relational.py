@@ -200,9 +200,9 @@ def bucket_lookup(spark, sf_dir):
     return rows.join(inline(spark, [(1, "one"), (3, "few"), (7, "week"), (14, "more")], "k int, label string"), "k").groupBy("l_linenumber", "label").agg(N().alias("n"))
 
 
-@query("rl28_lateral_calendar", "WITH s AS (SELECT event_type, min(CAST(ts AS DATE)) AS f, max(CAST(ts AS DATE)) AS t FROM events WHERE user_id < 5 GROUP BY 1) SELECT event_type, CAST(unnest(generate_series(f, t, INTERVAL 1 DAY)) AS DATE) AS d FROM s")
+@query("rl28_lateral_calendar", "WITH s AS (SELECT event_type, min(CAST(ts AS DATE)) AS f, max(CAST(ts AS DATE)) AS t FROM events GROUP BY 1) SELECT event_type, CAST(unnest(generate_series(f, t, INTERVAL 1 DAY)) AS DATE) AS d FROM s")
 def lateral_calendar(spark, sf_dir):
-    s = _t(spark, sf_dir, "events").where("user_id < 5").groupBy("event_type").agg(F.min(F.col("ts").cast("date")).alias("f"), F.max(F.col("ts").cast("date")).alias("t"))
+    s = _t(spark, sf_dir, "events").groupBy("event_type").agg(F.min(F.col("ts").cast("date")).alias("f"), F.max(F.col("ts").cast("date")).alias("t"))
     return s.select("event_type", F.explode(F.sequence("f", "t")).alias("d"))
 
 
@@ -262,9 +262,9 @@ def any_value(spark, sf_dir):
     return n.join(_t(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).select("l_partkey", F.col("p_name").alias("name"), "n")
 
 
-@query("rl40_ordered_list", "SELECT o_custkey, list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS keys FROM orders WHERE o_custkey < 300 GROUP BY 1")
+@query("rl40_ordered_list", "SELECT o_custkey, list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS keys FROM orders GROUP BY 1")
 def ordered_list(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").where("o_custkey < 300")
+    o = _t(spark, sf_dir, "orders")
     return o.groupBy("o_custkey").agg(stats.ordered_list([-F.col("o_totalprice"), F.col("o_orderkey")], F.col("o_orderkey")).alias("keys"))
 
 
