@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import small_batches, tidy
+
 Q, EDIT_RATE = 8, 0.08
 #: Characters of the benchmark that one broadcast index holds, at most; larger benchmarks take further passes.
 BLOCK_CHARS = 8_000_000
@@ -201,6 +203,7 @@ def _bands(index, codes, starts, may, k, doc, a, b, out, texts) -> None:
 
 def indexes(benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> Iterator[Index]:
     """The benchmark's items in blocks of about ``block_chars`` characters, each of which fits a broadcast."""
+    small_batches(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").alias("i"), F.col("text").cast("string").alias("t")).where("t is not null").distinct()
     chars = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(chars) // block_chars))
@@ -236,7 +239,7 @@ def _matched(docs: DataFrame, index: Index, kind: pa.DataType) -> DataFrame:
                 new = [old + [dict(zip(("item_id", "start", "end", "edits"), m)) for m in more] for old, more in zip(b.column(2).to_pylist(), got)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, kind)], ["doc_id", "text", "matches"])
 
-    return docs.mapInArrow(run, f"doc_id long, text string, matches {MATCHES}")
+    return docs.mapInArrow(tidy(run), f"doc_id long, text string, matches {MATCHES}")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -252,5 +255,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: f
                     got = find(shared.value, [normal(x.as_py()) for x in b.column(at)])
                     yield b.filter(pa.array([not m for m in got], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

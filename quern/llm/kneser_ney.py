@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import scratch
+from quern.llm.common import scratch, tidy
 
 #: No word can hold white space, so these are free.
 END, BEGIN = (xxhash.xxh64_intdigest(x, 42) for x in (b"\n", b" "))
@@ -318,7 +318,7 @@ def train(docs: DataFrame, name: str = "kneser-ney", text: str = "text") -> Mode
         store.save(f"count-{part}", c)
         return pa.table({"part": pa.array([part], pa.int32()), "words": pa.array([len(k)], pa.int64()), "tokens": pa.array([int(c.sum())], pa.int64()), "hot": pa.array([np.flatnonzero(c > often).tolist()], pa.list_(pa.int64()))})
 
-    found = texts.mapInArrow(words, COUNTED).groupBy("part").applyInArrow(vocabulary, "part int, words long, tokens long, hot array<long>").collect()
+    found = texts.mapInArrow(tidy(words), COUNTED).groupBy("part").applyInArrow(vocabulary, "part int, words long, tokens long, hot array<long>").collect()
     sizes = np.zeros(2**bits, np.int64)
     for r in found:
         sizes[r.part] = r.words
@@ -366,7 +366,7 @@ def train(docs: DataFrame, name: str = "kneser-ney", text: str = "text") -> Mode
         out.append((-1, "shard", b"", part, b"", [len(k), *_kinds(c, 4).tolist(), *(kinds[begin].sum(axis=0).tolist())]))
         return pa.table(dict(zip(("part", "what", "keys", "width", "counts", "sums"), map(pa.array, zip(*out), (pa.int32(), pa.string(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()))))))
 
-    stats = texts.mapInArrow(pairs, COUNTED).groupBy("part").applyInArrow(shard, "part int, what string, keys binary, width int, counts binary, sums array<long>")
+    stats = texts.mapInArrow(tidy(pairs), COUNTED).groupBy("part").applyInArrow(shard, "part int, what string, keys binary, width int, counts binary, sums array<long>")
 
     def finish(t: pa.Table) -> pa.Table:
         part = t["part"][0].as_py()
@@ -408,7 +408,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
             n, known, base, full = shared.value.score(got)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(n), pa.array(known), pa.array(base), pa.array(full)], [*keep, "n_tokens", "n_known", "base_score", "score"])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, kind)
+    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(tidy(run), kind)
 
 
 def held_out_scores(docs: DataFrame) -> DataFrame:

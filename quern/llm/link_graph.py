@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut
+from quern.llm.common import cut, tidy
 
 _UPPER = {c: c + 32 for c in range(65, 91)}
 _LINK = re.compile(r"""(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -86,7 +86,7 @@ def judged(pages: DataFrame, rules: list[Rule]) -> DataFrame:
                 ["page_id", "host", "path", "rule", "ruled"],
             )
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(run, "page_id long, host string, path string, rule string, ruled string")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(tidy(run), "page_id long, host string, path string, rule string, ruled string")
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
             keys = list(count)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([count[k] for k in keys], pa.int64())], ["src", "dst", "n"])
 
-    found = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "src string, dst string, n long")
+    found = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(tidy(run), "src string, dst string, n long")
     return found.groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 

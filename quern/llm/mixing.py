@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ranked
+from quern.llm.common import ranked, tidy
 
 BLOCK_ROWS, PERIOD = 16, 1000
 #: Sources that one schedule mixes, at most: it is a table of the sources, held by the driver and every task.
@@ -147,7 +147,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(target, pa.float64()), *map(pa.array, out)], [*names, "target", "block", "release", "deadline", "slot", "position"])
 
     schema = "doc_id long, source string, k1 long, k2 long, target double, block long, release long, deadline long, slot long, position long"
-    return order.select(*names, "rank").mapInArrow(run, schema)
+    return order.select(*names, "rank").mapInArrow(tidy(run), schema)
 
 
 def reorder(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:

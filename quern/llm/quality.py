@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut
+from quern.llm.common import cut, tidy
 
 #: Characters counted as symbols, and the words of the window in which repeats are looked for.
 SYMBOLS = "#*$%&|<>"
@@ -95,7 +95,7 @@ def statistics(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
                 counts = np.array([x for x, _ in found], np.int64).reshape(-1, len(COUNTS))
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(counts[:, i])) for i in range(len(COUNTS))), pa.array([x for _, x in found], pa.list_(pa.float64()))], ["doc_id", *COUNTS, "x"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 @dataclass
@@ -196,7 +196,7 @@ def scored(stats: DataFrame, forest: Forest) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in plain), pa.array(forest.score(m))], [*plain, "quality_score"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in stats.dtypes if c != "x") + ", quality_score double"
-    return stats.mapInArrow(run, schema)
+    return stats.mapInArrow(tidy(run), schema)
 
 
 def rules(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ranked
+from quern.llm.common import ranked, tidy
 
 SHARDS, VNODES = 16, 256
 
@@ -74,7 +74,7 @@ def place(keys: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, load: flo
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(arc.astype(np.int32))], [*names, "arc"])
 
     kind = ", ".join(f"`{c}` {t}" for c, t in keys.dtypes)
-    on_ring = ranked(keys.mapInArrow(arcs, f"{kind}, arc int"), ["arc"], ["h", "doc_id", "k1", "k2"], "r")
+    on_ring = ranked(keys.mapInArrow(tidy(arcs), f"{kind}, arc int"), ["arc"], ["h", "doc_id", "k1", "k2"], "r")
     counts = np.zeros(len(owner), np.int64)
     for row in on_ring.groupBy("arc").count().collect():  # shards * vnodes rows at most
         counts[row[0]] = row[1]
@@ -92,7 +92,7 @@ def place(keys: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, load: flo
                 out[at] = shard[np.searchsorted(cum, r[at], side="right")]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(out)], [*names, "shard"])
 
-    return on_ring.select(*names, "arc", "r").mapInArrow(chosen, f"{kind}, shard int")
+    return on_ring.select(*names, "arc", "r").mapInArrow(tidy(chosen), f"{kind}, shard int")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, load: float = 1.0, positions: DataFrame | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import components, cut, spanning, text_key
+from quern.llm.common import components, cut, spanning, text_key, tidy
 
 U1 = np.uint64(1)
 
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42, text: str = "text"
             fp = np.array([fingerprint(x.as_py(), k, seed) for x in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return kept.mapInArrow(run, "doc_id long, fp long")
+    return kept.mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +148,7 @@ def links(fps: DataFrame, budget: int = 3) -> DataFrame:
             if len(at):
                 yield pa.RecordBatch.from_arrays(out, ["src", "dst"])
 
-    return dealt.mapInArrow(run, "src long, dst long")
+    return dealt.mapInArrow(tidy(run), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, budget: int = 3, seed: int = 42, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
