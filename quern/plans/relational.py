@@ -134,22 +134,22 @@ def full_join(spark, sf_dir):
     return side(3, "na").join(side(4, "nb"), "k", "full")
 
 
-@query("rl14_anti_join", "SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
+@query("rl14_anti_join", "SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000 WHERE o_orderkey IS NULL")
 def anti_join(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
-@query("rl15_exists", "SELECT p_partkey FROM part p WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > 45) AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_returnflag = 'R')")
+@query("rl15_exists", "SELECT p_partkey FROM part p WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > 45) AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_returnflag = 'R' AND l.l_quantity > 48)")
 def exists(spark, sf_dir):
     li = _t(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
-    return _t(spark, sf_dir, "part").join(li.where("l_quantity > 45"), "p_partkey", "left_semi").join(li.where("l_returnflag = 'R'"), "p_partkey", "left_anti").select("p_partkey")
+    return _t(spark, sf_dir, "part").join(li.where("l_quantity > 45"), "p_partkey", "left_semi").join(li.where("l_returnflag = 'R' and l_quantity > 48"), "p_partkey", "left_anti").select("p_partkey")
 
 
-@query("rl16_in_subquery", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50)")
+@query("rl16_in_subquery", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_discount > 0.09 AND l_tax > 0.07)")
 def in_subquery(spark, sf_dir):
     for t in ("supplier", "nation", "lineitem"):
         _t(spark, sf_dir, t).createOrReplaceTempView(f"quern_{t}")
-    return spark.sql("SELECT s_suppkey FROM quern_supplier WHERE s_nationkey IN (SELECT n_nationkey FROM quern_nation WHERE n_regionkey = 1) AND s_suppkey NOT IN (SELECT l_suppkey FROM quern_lineitem WHERE l_quantity >= 50)")
+    return spark.sql("SELECT s_suppkey FROM quern_supplier WHERE s_nationkey IN (SELECT n_nationkey FROM quern_nation WHERE n_regionkey = 1) AND s_suppkey NOT IN (SELECT l_suppkey FROM quern_lineitem WHERE l_quantity >= 50 AND l_discount > 0.09 AND l_tax > 0.07)")
 
 
 @query("rl17_filtered_by_subquery", "SELECT l_returnflag, count(*) FILTER (WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 40)) AS large, count(DISTINCT l_suppkey) FILTER (WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 40)) AS suppliers FROM lineitem GROUP BY 1")
@@ -407,10 +407,10 @@ def union(spark, sf_dir):
     return _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).union(_t(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
 
 
-@query("rl55_except_all", "SELECT l_quantity, l_returnflag FROM lineitem WHERE l_linenumber <= 3 EXCEPT ALL SELECT l_quantity, l_returnflag FROM lineitem WHERE l_linenumber > 3")
+@query("rl55_except_all", "SELECT l_quantity, l_returnflag FROM lineitem WHERE l_linenumber <= 4 EXCEPT ALL SELECT l_quantity, l_returnflag FROM lineitem WHERE l_linenumber > 4")
 def except_all(spark, sf_dir):
     li = _t(spark, sf_dir, "lineitem")
-    return li.where("l_linenumber <= 3").select("l_quantity", "l_returnflag").exceptAll(li.where("l_linenumber > 3").select("l_quantity", "l_returnflag"))
+    return li.where("l_linenumber <= 4").select("l_quantity", "l_returnflag").exceptAll(li.where("l_linenumber > 4").select("l_quantity", "l_returnflag"))
 
 
 @query("rl56_except", "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
