@@ -68,7 +68,7 @@ def json_array(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 def whole_file(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, md5) of each file, as text."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.length("value").cast("long").alias("bytes"), F.md5(F.col("value").cast("binary")).alias("md5"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.length("value").cast("long").alias("bytes"), F.md5(F.col("value").cast("binary")).alias("md5"))
 
 
 def parquet_bytes(path: str) -> int:
