@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one ranking bucket should hold, so that a window never sorts an unbounded group.
-BUCKET_ROWS = 20_000
+#: Rows that one ranking bucket should hold, so that a window never sorts an unbounded group. Of n rows, n / BUCKET_ROWS
+#: buckets are counted; beyond BUCKET_ROWS ** 2 rows both grow as the square root of n.
+BUCKET_ROWS = 2_048
 
 
 #: Rows and bytes of one Arrow batch, at most: documents may be long, and a task holds a batch or two.
@@ -94,6 +95,7 @@ def ranked(df: DataFrame, group: list[str], order: list[str], out: str, bucket_r
     """
     df = cut(df)
     total = df.count()
+    bucket_rows = max(bucket_rows, int(total**0.5))
     bits = max(0, min(40, int(np.ceil(np.log2(max(1, total / bucket_rows))))))
     # signed order: the arithmetic shift keeps it
     bucket = F.shiftright(F.col(order[0]), 64 - bits) if bits else F.lit(0).cast("long")
