@@ -52,70 +52,72 @@ def denominator(clean: Column) -> Column:
     return F.replace(F.regexp_extract(F.lower(clean), DENOMINATOR, 1), F.lit(" "), F.lit(""))
 
 
-def denominator_basis(den: Column) -> Column:
-    unit = F.regexp_extract(den, r"([a-z]+)\z", 1)
+def denominator_unit(den: Column) -> Column:
+    return F.regexp_extract(den, r"([a-z]+)\z", 1)
+
+
+def denominator_basis(unit: Column) -> Column:
     return F.when(unit.isin(*PIECES), "each").when(unit.isin(*GRAMS), "per_100g").when(unit.isin("ml", "l"), "per_100ml")
 
 
-def denominator_scale(den: Column) -> Column:
+def denominator_scale(den: Column, unit: Column) -> Column:
     """What brings a price per denominator to its basis; null for a zero quantity or an unknown unit."""
-    unit = F.regexp_extract(den, r"([a-z]+)\z", 1)
     quantity = F.coalesce(captured(den, r"^([0-9]+)").try_cast("double"), F.lit(1.0))
     size = quantity * _lookup(unit, GRAMS | {"ml": 1.0, "l": MILLILITRES["l"]})
     return F.when(unit.isin(*PIECES), F.lit(1.0)).otherwise(F.try_divide(F.lit(100.0), size))
 
 
-def shape_of(raw: Column, clean: Column, den: Column) -> Column:
+def shape_of(blank: Column, clean: Column, basis: Column) -> Column:
     """The shape's name: blank, one of SHAPES, or unparsed. A price per weight needs a denominator that is known."""
     low = F.lower(clean)
-    out = F.when(is_blank(raw), "blank")
+    out = F.when(blank, "blank")
     for s in SHAPES:
         fits = low.rlike(s.pattern)
-        out = out.when(fits & denominator_basis(den).isNotNull() if s.name == "per weight" else fits, s.name)
+        out = out.when(fits & basis.isNotNull() if s.name == "per weight" else fits, s.name)
     return out.otherwise("unparsed")
 
 
-def fields(clean: Column, shape: Column, den: Column, vendor: Column | None = None) -> dict[str, Column]:
-    """The typed fields. With a vendor, bare integers and thousands are read as that vendor is known to write them;
-    a null vendor is read like any other."""
-    scale, basis = denominator_scale(den), denominator_basis(den)
-    of = lambda attribute: _lookup(shape, {s.name: getattr(s, attribute) for s in SHAPES if getattr(s, attribute) is not None})
-    quantity = captured(clean, r"^([0-9]+) ?/").try_cast("double")
-    digits = captured(clean, r"([0-9]+)").try_cast("double")
-    price = (
-        F.when(shape == "plain", to_number(clean))
-        .when(shape == "thousands", F.replace(clean, F.lit(","), F.lit("")).try_cast("double"))
-        .when(shape.isin("cents", "now cents", "cent sign"), digits / 100.0)
-        .when(shape == "multibuy", F.try_divide(captured(clean, r"\$([0-9.]+)\z").try_cast("double"), quantity))
-        .when(shape == "per weight", captured(clean, r"([0-9]+(?:\.[0-9]+)?)").try_cast("double") * scale)
-    )
-    repair = F.when(shape == "per weight", F.when(scale == 1.0, "none").otherwise("basis_rescaled")).otherwise(of("repair"))
-    confidence = F.coalesce(of("confidence"), F.lit("none"))
-    if vendor is not None:
-        bare = clean.rlike(r"^[0-9]+\z")
-        who = F.coalesce(vendor, F.lit(""))
-        in_cents = (who == "Walmart") & bare & (digits >= 100)
-        doubtful = ((who == "Walmart") & bare & (digits >= 10) & (digits < 100)) | ((who == "Voila") & clean.rlike(SHAPES[1].pattern)) | ((who == "Galleria") & bare)
-        price = F.when(in_cents, digits / 100.0).otherwise(price)
-        repair = F.when(in_cents, "bare_integer_cents").otherwise(repair)
-        confidence = F.when(in_cents, "derived").when(doubtful, "ambiguous").otherwise(confidence)
-    return {
-        "offer_type": F.coalesce(of("offer"), shape),
-        "unit_price": price,
-        "min_qty": F.when(shape == "multibuy", quantity).when(shape != "blank", F.lit(1.0)),
-        "price_basis": F.when(shape == "per weight", basis).when(~shape.isin("blank", "unparsed"), "each"),
-        "price_basis_stated": F.nullif(den, F.lit("")),
-        "normalization": repair,
-        "parse_confidence": confidence,
-    }
-
-
 def parse_prices(df: DataFrame, sources: dict[str, str], vendor: str | None = None) -> DataFrame:
-    """Adds the fields of each text column, named prefix + field; sources: prefix -> column."""
+    """Adds the fields of each text column, named prefix + field; sources: prefix -> column.
+
+    With a vendor column, bare integers and thousands are read as that vendor is known to write them; a null vendor is
+    read like any other. What several fields need is a column of its own, so that no expression is worked out twice and
+    the generated code stays small.
+    """
     for prefix, column in sources.items():
-        clean, den, shape = f"__{prefix}clean", f"__{prefix}den", f"__{prefix}shape"
-        df = df.withColumn(clean, cleaned(F.col(column))).withColumn(den, denominator(F.col(clean)))
-        df = df.withColumn(shape, shape_of(F.col(column), F.col(clean), F.col(den)))
-        found = fields(F.col(clean), F.col(shape), F.col(den), F.col(vendor) if vendor else None)
-        df = df.withColumns({prefix + k: v for k, v in found.items()}).drop(clean, den, shape)
+        at = lambda name: F.col(f"__{prefix}{name}")  # noqa: B023, E731
+        stage = lambda df, **columns: df.withColumns({f"__{prefix}{k}": v for k, v in columns.items()})  # noqa: B023, E731
+        df = stage(df, clean=cleaned(F.col(column)), blank=is_blank(F.col(column)))
+        df = stage(df, den=denominator(at("clean")), digits=captured(at("clean"), r"([0-9]+)").try_cast("double"), bare=at("clean").rlike(r"^[0-9]+\z"))
+        df = stage(df, unit=denominator_unit(at("den")))
+        df = stage(df, basis=denominator_basis(at("unit")), scale=denominator_scale(at("den"), at("unit")))
+        df = stage(df, shape=shape_of(at("blank"), at("clean"), at("basis")))
+        shape, clean, scale, digits = at("shape"), at("clean"), at("scale"), at("digits")
+        of = lambda attribute: _lookup(shape, {s.name: getattr(s, attribute) for s in SHAPES if getattr(s, attribute) is not None})  # noqa: B023, E731
+        price = (
+            F.when(shape == "plain", to_number(clean))
+            .when(shape == "thousands", F.replace(clean, F.lit(","), F.lit("")).try_cast("double"))
+            .when(shape.isin("cents", "now cents", "cent sign"), digits / 100.0)
+            .when(shape == "multibuy", F.try_divide(captured(clean, r"\$([0-9.]+)\z").try_cast("double"), digits))
+            .when(shape == "per weight", captured(clean, r"([0-9]+(?:\.[0-9]+)?)").try_cast("double") * scale)
+        )
+        repair = F.when(shape == "per weight", F.when(scale == 1.0, "none").otherwise("basis_rescaled")).otherwise(of("repair"))
+        confidence = F.coalesce(of("confidence"), F.lit("none"))
+        if vendor is not None:
+            who, bare = F.coalesce(F.col(vendor), F.lit("")), at("bare")
+            in_cents = (who == "Walmart") & bare & (digits >= 100)
+            doubtful = ((who == "Walmart") & bare & (digits >= 10)) | ((who == "Voila") & (shape == "thousands")) | ((who == "Galleria") & bare)
+            price = F.when(in_cents, digits / 100.0).otherwise(price)
+            repair = F.when(in_cents, "bare_integer_cents").otherwise(repair)
+            confidence = F.when(in_cents, "derived").when(doubtful, "ambiguous").otherwise(confidence)
+        out = {
+            "offer_type": F.coalesce(of("offer"), shape),
+            "unit_price": price,
+            "min_qty": F.when(shape == "multibuy", digits).when(shape != "blank", F.lit(1.0)),
+            "price_basis": F.when(shape == "per weight", at("basis")).when(~shape.isin("blank", "unparsed"), "each"),
+            "price_basis_stated": F.nullif(at("den"), F.lit("")),
+            "normalization": repair,
+            "parse_confidence": confidence,
+        }
+        df = df.withColumns({prefix + k: v for k, v in out.items()}).drop(*[f"__{prefix}{k}" for k in ("clean", "blank", "den", "digits", "bare", "unit", "basis", "scale", "shape")])
     return df

@@ -25,6 +25,15 @@ CONTAINER = r"^([0-9]+) (?:per )?(?:pack|tray|bunch|bag|box|case)\z"
 _WORDS = "|".join(sorted({w for ws in SPELLINGS.values() for w in ws} - {"fl oz", "floz"}, key=lambda w: (-len(w), w))) + "|fl ?oz"
 #: A number and the unit behind it; the boundary is an ASCII one.
 SIZE = rf"([0-9]+(?:\.[0-9]+)?) ?({_WORDS})(?![A-Za-z0-9_])"
+
+
+def _lookup(key: Column, table: dict) -> Column:
+    out = None
+    for k, v in table.items():
+        out = (F if out is None else out).when(key == k, F.lit(v))
+    return out
+
+
 FIELDS = ("unit_qty", "unit_uom", "pack_count", "total_qty", "unit_parse_confidence")
 
 
@@ -35,29 +44,30 @@ def _of(token: Column, table: dict) -> Column:
     return out
 
 
-def fields(clean: Column) -> dict[str, Column]:
-    """clean: the lower-cased clean text. An explicit multiplier ('4 x 100g', '60gx6') is the pack; a bare count
-    ('24ea', '4 per pack') is one too, of pieces."""
-    core = F.regexp_replace(clean, r"([a-z]) ?[x*] ?[0-9]+\z", "$1")
-    amount, token = captured(core, SIZE, 1).try_cast("double"), captured(core, rf"[0-9] ?({_WORDS})(?![A-Za-z0-9_])")
-    held = captured(clean, CONTAINER).try_cast("double")
-    multiplier = F.coalesce(captured(clean, r"^([0-9]+) ?[x*] ?[0-9]").try_cast("double"), captured(clean, r"[a-z] ?[x*] ?([0-9]+)\z").try_cast("double"))
-    uom = F.coalesce(_of(token, {u: "g" for u in ("kg", "g", "lb", "oz")} | {u: "ml" for u in ("l", "ml", "fl oz")} | {"count": "count"}), F.when(held.isNotNull(), "count"))
-    factor = F.coalesce(_of(token, {u: GRAMS[u] for u in ("kg", "lb", "oz")} | {u: MILLILITRES[u] for u in ("l", "fl oz")}), F.lit(1.0))
-    junk, number = clean.isin(*JUNK), F.coalesce(amount, held)
-    counted = (uom == "count") & number.isNotNull()
-    pack = F.when(~junk, F.coalesce(multiplier, F.when(counted, number), F.lit(1.0)))
-    quantity = F.when(~junk, F.when(counted, F.lit(1.0)).otherwise(amount * factor))
+def parse_units(df: DataFrame, column: str) -> DataFrame:
+    """Adds the fields of a size text. An explicit multiplier ('4 x 100g', '60gx6') is the pack; a bare count ('24ea',
+    '4 per pack') is one too, of pieces. Staged, so that each expression is worked out once."""
+    c = lambda name: F.col(f"__{name}")
+    stage = lambda df, **columns: df.withColumns({f"__{k}": v for k, v in columns.items()})
+    df = stage(df, clean=F.lower(cleaned(F.col(column))))
+    df = stage(df, core=F.regexp_replace(c("clean"), r"([a-z]) ?[x*] ?[0-9]+\z", "$1"), held=captured(c("clean"), CONTAINER).try_cast("double"), junk=c("clean").isin(*JUNK))
+    df = stage(
+        df, amount=captured(c("core"), SIZE, 1).try_cast("double"), token=captured(c("core"), rf"[0-9] ?({_WORDS})(?![A-Za-z0-9_])"),
+        times=F.coalesce(captured(c("clean"), r"^([0-9]+) ?[x*] ?[0-9]").try_cast("double"), captured(c("clean"), r"[a-z] ?[x*] ?([0-9]+)\z").try_cast("double")),
+    )
+    # one look-up names the unit, and the rest follows from its name
+    df = stage(df, name=_of(c("token"), {u: u for u in SPELLINGS}), number=F.coalesce(c("amount"), c("held")))
+    by = lambda table: _lookup(c("name"), table)
+    df = stage(df, uom=F.coalesce(by({u: "g" for u in ("kg", "g", "lb", "oz")} | {u: "ml" for u in ("l", "ml", "fl oz")} | {"count": "count"}), F.when(c("held").isNotNull(), "count")))
+    df = stage(df, counted=F.coalesce((c("uom") == "count") & c("number").isNotNull(), F.lit(False)))
+    factor = F.coalesce(by({u: GRAMS[u] for u in ("kg", "lb", "oz")} | {u: MILLILITRES[u] for u in ("l", "fl oz")}), F.lit(1.0))
+    df = stage(df, pack=F.when(~c("junk"), F.coalesce(c("times"), F.when(c("counted"), c("number")), F.lit(1.0))), quantity=F.when(~c("junk"), F.when(c("counted"), F.lit(1.0)).otherwise(c("amount") * factor)))
     sure = (
-        F.when(junk, "none").when(held.isNotNull() & amount.isNull(), "inferred").when(counted, "exact")
-        .when(amount.isNotNull(), F.when(pack > 1, "derived").otherwise("exact")).otherwise("none")
+        F.when(c("junk"), "none").when(c("held").isNotNull() & c("amount").isNull(), "inferred").when(c("counted"), "exact")
+        .when(c("amount").isNotNull(), F.when(c("pack") > 1, "derived").otherwise("exact")).otherwise("none")
     )
-    return {"unit_qty": quantity, "unit_uom": F.when(~junk, uom), "pack_count": pack, "total_qty": quantity * F.coalesce(pack, F.lit(1.0)), "unit_parse_confidence": sure}
-
-
-def parse_units(df: DataFrame, column: str) -> DataFrame:
-    df = df.withColumn("__clean", F.lower(cleaned(F.col(column))))
-    return df.withColumns(fields(F.col("__clean"))).drop("__clean")
+    out = {"unit_qty": c("quantity"), "unit_uom": F.when(~c("junk"), c("uom")), "pack_count": c("pack"), "total_qty": c("quantity") * F.coalesce(c("pack"), F.lit(1.0)), "unit_parse_confidence": sure}
+    return df.withColumns(out).drop(*[f"__{k}" for k in ("clean", "core", "held", "junk", "amount", "token", "times", "name", "number", "uom", "counted", "pack", "quantity")])
 
 
 def folded_quantity(x: Column) -> Column:
