@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.config import GRAMS, MILLILITRES
-from quern.functions.text import NUMBER, captured, cleaned, is_blank, to_number
+from quern.functions.text import NUMBER, captured, cleaned, compiled_small, is_blank, to_number
 
 
 @dataclass(frozen=True)
@@ -84,6 +84,7 @@ def parse_prices(df: DataFrame, sources: dict[str, str], vendor: str | None = No
     read like any other. What several fields need is a column of its own, so that no expression is worked out twice and
     the generated code stays small.
     """
+    compiled_small(df)
     for prefix, column in sources.items():
         at = lambda name: F.col(f"__{prefix}{name}")  # noqa: B023, E731
         stage = lambda df, **columns: df.withColumns({f"__{prefix}{k}": v for k, v in columns.items()})  # noqa: B023, E731

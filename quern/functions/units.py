@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.config import GRAMS, MILLILITRES
-from quern.functions.text import captured, cleaned
+from quern.functions.text import captured, cleaned, compiled_small
 
 #: Spellings of each unit, and texts that mean "no size".
 SPELLINGS = {
@@ -49,7 +49,7 @@ def parse_units(df: DataFrame, column: str) -> DataFrame:
     '4 per pack') is one too, of pieces. Staged, so that each expression is worked out once."""
     c = lambda name: F.col(f"__{name}")
     stage = lambda df, **columns: df.withColumns({f"__{k}": v for k, v in columns.items()})
-    df = stage(df, clean=F.lower(cleaned(F.col(column))))
+    df = stage(compiled_small(df), clean=F.lower(cleaned(F.col(column))))
     df = stage(df, core=F.regexp_replace(c("clean"), r"([a-z]) ?[x*] ?[0-9]+\z", "$1"), held=captured(c("clean"), CONTAINER).try_cast("double"), junk=c("clean").isin(*JUNK))
     df = stage(
         df, amount=captured(c("core"), SIZE, 1).try_cast("double"), token=captured(c("core"), rf"[0-9] ?({_WORDS})(?![A-Za-z0-9_])"),

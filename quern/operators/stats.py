@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.shared import cut
+
 
 def share_pct(n: Column | str, group: Sequence[str] = ()) -> Column:
     """A count's share of its group's total, in per cent; over a table that is already aggregated."""
@@ -52,9 +54,29 @@ def histogram(df: DataFrame, column: str, edges: Sequence[float], labels: Sequen
     return n.withColumn("share_pct", share_pct("n", group))
 
 
+def global_rank(df: DataFrame, order: Sequence[str], out: str = "rank", partitions: int | None = None) -> DataFrame:
+    """Ranks from 0 over the whole table by a total order, nulls last, without a task that sorts it all: rows are dealt
+    out by ranges and written, the ranges counted, and each sorted on its own."""
+    by = [F.col(c).asc_nulls_last() for c in order]
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(n, *by).withColumn("__p", F.spark_partition_id()))
+    counts = sorted(dealt.groupBy("__p").count().collect())  # a number a range
+    begin, at = {}, 0
+    for r in counts:
+        begin[r["__p"]], at = at, at + r["count"]
+    starts = F.create_map(*[F.lit(x).cast("long") for p, b in begin.items() for x in (p, b)]) if begin else F.create_map().cast("map<bigint,bigint>")
+    within = F.row_number().over(Window.partitionBy("__p").orderBy(*by)) - 1
+    return dealt.withColumn(out, (starts[F.col("__p").cast("long")] + within).cast("long")).drop("__p")
+
+
 def tertiles(df: DataFrame, order: Sequence[str], out: str = "tertile") -> DataFrame:
-    """1 to 3 by a total order. The table is one of products, not of observations: its one window sorts it whole."""
-    return df.withColumn(out, F.ntile(3).over(Window.orderBy(*[F.col(c).asc_nulls_last() for c in order])))
+    """1 to 3 by a total order: thirds of the table, the first ones larger by a row where it can't be parted evenly."""
+    ranked = global_rank(df, order, "__rank")
+    n = ranked.count()
+    size, more = n // 3, n % 3
+    r, edge = F.col("__rank"), (n % 3) * (n // 3 + 1)
+    third = F.when(r < edge, F.floor(r / (size + 1)) + 1).otherwise(more + F.floor((r - edge) / max(size, 1)) + 1)
+    return ranked.withColumn(out, third.cast("int")).drop("__rank")
 
 
 def sample_share(df: DataFrame, key: str, one_in: int) -> DataFrame:

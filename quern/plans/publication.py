@@ -16,6 +16,7 @@ from quern.functions.units import display_size
 from quern.operators import timeline
 from quern.operators.stats import ordered_list
 from quern.plans.contracts import breaks
+from quern.sources.sinks import canonical
 
 KEYS = ["gtin", "vendor", "basis"]
 
@@ -180,3 +181,10 @@ def gate(meta: dict, products: list[dict], history: list[dict], floors: dict = c
     if today and "extract_date" in meta and (today - date.fromisoformat(str(meta["extract_date"]))).days > floors["vintage_days"]:
         bad.append("the extract is too old")
     return bad
+
+
+def parity(a: tuple[dict, list, list], b: tuple[dict, list, list], ignore: tuple[str, ...] = ("built_utc",)) -> list[str]:
+    """Which of two builds' documents differ, their time of building apart: a filtered load must publish what a full one does."""
+    meta = [{k: v for k, v in x[0].items() if k not in ignore} for x in (a, b)]
+    pairs = {"meta": (canonical(meta[0]), canonical(meta[1])), "products": (canonical(a[1]), canonical(b[1])), "history": (canonical(a[2]), canonical(b[2]))}
+    return [name for name, (x, y) in pairs.items() if x != y]

@@ -9,6 +9,7 @@ from quern.functions import text as X
 from quern.functions.prices import parse_prices
 from quern.functions.units import display_size, parse_units, stated_unit_price
 from quern.operators import audit
+from quern.plans.models import int_upc_match, stg_price, stg_product
 from quern.plans.registry import query
 
 
@@ -243,3 +244,54 @@ def id_shapes(spark, sf_dir):
 def decoded(spark, sf_dir):
     k = F.col("o_orderkey")
     return _t(spark, sf_dir, "orders").select("o_orderkey", C.decoded_date((1990 + k % 40) * 10000 + (k % 14) * 100 + k % 33).alias("d"))
+
+
+# ---- models
+
+
+def catalogue(spark, sf_dir):
+    """Parts as products: a vendor by number, the part's size in grams, its brand; small parts aren't listed."""
+    k = F.col("p_partkey")
+    text = k.cast("string")
+    vendor = F.when(k % 3 == 0, "Walmart").when(k % 3 == 1, "Voila").otherwise("Metro")
+    upc = F.lpad((k % 400).cast("string"), 12, "7")
+    parts = _t(spark, sf_dir, "part").where("p_size > 5")
+    return parts.select(F.concat(F.lit("p"), text).alias("id"), F.concat(vendor, F.lit("~"), "p_name").alias("concatted"), vendor.alias("vendor"), F.col("p_name").alias("product_name"), F.concat(F.col("p_size").cast("string"), F.lit(" g")).alias("units"), F.col("p_brand").alias("brand"), F.lit("").alias("detail_url"), text.alias("sku"), upc.alias("upc"))
+
+
+def observations(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice", F.col("l_quantity").cast("long").alias("q"))
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long").cast("string")
+    price = F.when(F.col("l_linenumber") % 3 == 0, F.concat(cents, F.lit("$"))).when(F.col("l_linenumber") % 3 == 1, F.concat(F.col("q").cast("string"), F.lit("/$9.00"))).otherwise("sold out")
+    day = F.date_format("l_shipdate", "yyyyMMdd").cast("long")
+    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("src_rowid"), F.when(F.col("l_linenumber") % 7 != 6, day).otherwise(2202).alias("nowtime"), price.alias("current_price"), F.lit("4.50").alias("old_price"), F.lit("").alias("price_per_unit"), F.lit("").alias("other"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("product_id"))
+
+
+_CATALOGUE = "c AS (SELECT p_partkey, 'p' || p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'Walmart' WHEN 1 THEN 'Voila' ELSE 'Metro' END AS vendor, p_name, p_size, p_brand, lpad(CAST(p_partkey % 400 AS VARCHAR), 12, '7') AS upc FROM part WHERE p_size > 5)"
+
+
+@query(
+    "an02_stg_price",
+    f"""WITH {_CATALOGUE}, o AS (SELECT l_orderkey * 10 + l_linenumber AS src_rowid, 'p' || l_partkey AS pid, CASE WHEN l_linenumber % 7 <> 6 THEN CAST(l_shipdate AS DATE) END AS observed_date, l_linenumber % 3 AS kind, CAST(l_quantity AS BIGINT) AS q, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem)
+    SELECT src_rowid, CASE WHEN c.id IS NOT NULL THEN md5(vendor || chr(31) || p_partkey) END AS product_key, observed_date, CASE kind WHEN 0 THEN 'scalar' WHEN 1 THEN 'multibuy' ELSE 'unparsed' END AS offer_type, CASE kind WHEN 0 THEN cents / 100.0::DOUBLE WHEN 1 THEN 9.0::DOUBLE / q END AS unit_price, CASE kind WHEN 2 THEN 'none' ELSE 'derived' END AS parse_confidence, 4.5::DOUBLE AS old_unit_price
+    FROM o LEFT JOIN c ON c.id = o.pid""",
+)
+def model_prices(spark, sf_dir):
+    return stg_price(observations(spark, sf_dir), catalogue(spark, sf_dir)).select("src_rowid", "product_key", "observed_date", "offer_type", "unit_price", "parse_confidence", "old_unit_price")
+
+
+@query(
+    "an03_stg_product",
+    f"WITH {_CATALOGUE} SELECT md5(vendor || chr(31) || p_partkey) AS product_key, vendor, CAST(p_size AS DOUBLE) AS unit_qty, 'g' AS unit_uom, 1.0::DOUBLE AS pack_count, CASE WHEN vendor = 'Voila' THEN 'unclassifiable' ELSE 'national_brand' END AS brand_class_coarse, CASE vendor WHEN 'Metro' THEN 'vendor_upc' WHEN 'Walmart' THEN 'matched_upc' ELSE 'fuzzy' END AS upc_tier FROM c",
+)
+def model_products(spark, sf_dir):
+    return stg_product(catalogue(spark, sf_dir)).select("product_key", "vendor", "unit_qty", "unit_uom", "pack_count", "brand_class_coarse", "upc_tier")
+
+
+@query(
+    "an04_int_upc_match",
+    f"""WITH {_CATALOGUE}, s AS (SELECT upc, count(DISTINCT vendor) AS n, count(DISTINCT vendor) FILTER (WHERE vendor = 'Voila') AS f, count(DISTINCT vendor) FILTER (WHERE vendor = 'Walmart') AS m, string_agg(DISTINCT vendor, ',' ORDER BY vendor) AS who FROM c GROUP BY 1)
+    SELECT md5(vendor || chr(31) || p_partkey) AS product_key, lpad(c.upc, 14, '0') AS gtin14, n AS n_vendors_on_gtin, f AS n_fuzzy_vendors_on_gtin, who AS vendors_on_gtin, CASE WHEN n < 2 THEN 'unmatched' WHEN f > 0 THEN 'fuzzy' WHEN m > 0 THEN 'matched_upc' ELSE 'vendor_upc' END AS match_tier, n >= 2 AND f = 0 AS is_reliable_only FROM c JOIN s ON s.upc = c.upc""",
+)
+def model_matches(spark, sf_dir):
+    return int_upc_match(stg_product(catalogue(spark, sf_dir))).select("product_key", "gtin14", "n_vendors_on_gtin", "n_fuzzy_vendors_on_gtin", "vendors_on_gtin", "match_tier", "is_reliable_only")

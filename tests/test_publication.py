@@ -83,6 +83,15 @@ def test_gate_floors(documents):
     assert any("under" in x for x in P.gate(*built(documents), {"products": 4, "comparable_pct": 90.0, "vintage_days": 21}, DAY))
 
 
+def test_parity(documents):
+    a, b = built(documents), copy.deepcopy(built(documents))
+    b[0]["built_utc"] = "later"
+    assert P.parity(a, b) == []
+    b[1][0]["name"] = "other"
+    b[0]["scope"] = "y"
+    assert P.parity(a, b) == ["meta", "products"]
+
+
 def test_guarantee_and_ageing(documents, spark):
     o = documents[0]
     tiers = spark.createDataFrame([("Metro", "vendor_upc"), ("Walmart", "matched_upc"), ("SaveOnFoods", "vendor_upc")], "vendor string, vendor_upc_tier string")
