@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,23 @@ BUCKET_ROWS = 2_048
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
 
 
+_SHIPPED: set[str] = set()
+
+
 def small_batches(spark: SparkSession) -> None:
+    """Sets the session's batches, and once for each application gives the workers this package, which on their
+    machines, or from another working folder, they may not find."""
     for k, v in BATCH.items():
         spark.conf.set(k, v)
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        top = Path(__file__).resolve().parent.parent
+        path = f"{tempfile.mkdtemp()}/{top.name}.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f"{top.name}/{f.relative_to(top)}")
+        sc.addPyFile(path)
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
