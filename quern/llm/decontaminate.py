@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import small_batches, tidy
 
-Q, EDIT_RATE = 8, 0.08
+Q, EDIT_RATE = 8, 0.1
 #: Characters of the benchmark that one broadcast index holds, at most; larger benchmarks take further passes.
 BLOCK_CHARS = 8_000_000
 _B = 0x9E3779B97F4A7C15 | 1
