@@ -45,6 +45,15 @@ FROZEN = ("h. frozen", "frozen|pizza|ice cream")
 SALE_WORDS = r"sale|rollback|clearance|deal|save|special|reduced|[0-9]+ *for *\$|was |price *drop"
 STOCK_WORDS = r"^(?:out of stock|low stock|in stock)\z"
 PROMOTION = r"[$][0-9]|you save|current price"
+#: How a listing text vendor~name@units^brand is written, the shapes of product ids and their names, and
+#: where a shop's url has its store.
+LISTING = "%~%@%^%"
+LISTING_PARTS = {"vendor": r"^([^~]+)~", "name": r"^[^~]+~(.*)@", "brand": r"\^(.*)$"}
+ID_SHAPES = [
+    ("base64-style (opaque, no sku)", r"=\z"), ("vendor + numeric sku", r"^[A-Za-z]+[0-9]+\z"), ("vendor + alnum sku", r"^[A-Za-z]+[A-Za-z0-9]+\z"),
+    ("contains hyphens (URL-slug shaped)", "-"),
+]
+STORE_IN_URL = {"rsid": r"/rsid/([0-9]+)/", "channel": r"/sm/([a-z]+)/rsid/"}
 
 
 def _filled(x: Column) -> Column:
@@ -137,21 +146,19 @@ def vendor_in_id(product_id: Column) -> Column:
 
 
 def listing_parts(listing: Column) -> dict[str, Column]:
-    """vendor~name@units^brand, taken apart; null parts where the text isn't of that form."""
-    ok = listing.like("%~%@%^%")
-    part = lambda pattern: F.when(ok, F.regexp_extract(listing, pattern, 1))
-    return {"vendor": part(r"^([^~]+)~"), "name": part(r"^[^~]+~(.*)@"), "brand": part(r"\^(.*)$")}
+    """A listing text, taken apart; null parts where the text isn't of that form."""
+    return {part: F.when(listing.like(LISTING), F.regexp_extract(listing, pattern, 1)) for part, pattern in LISTING_PARTS.items()}
 
 
 def id_shape(product_id: Column) -> Column:
-    return (
-        F.when(product_id.endswith("="), "base64-style (opaque, no sku)").when(product_id.rlike(r"^[A-Za-z]+[0-9]+\z"), "vendor + numeric sku")
-        .when(product_id.rlike(r"^[A-Za-z]+[A-Za-z0-9]+\z"), "vendor + alnum sku").when(product_id.contains("-"), "contains hyphens (URL-slug shaped)").otherwise("other")
-    )
+    out = None
+    for name, pattern in ID_SHAPES:
+        out = (F if out is None else out).when(product_id.rlike(pattern), name)
+    return out.otherwise("other")
 
 
 def store_in_url(url: Column) -> dict[str, Column]:
-    return {"rsid": F.regexp_extract(url, r"/rsid/([0-9]+)/", 1), "channel": F.regexp_extract(url, r"/sm/([a-z]+)/rsid/", 1)}
+    return {part: F.regexp_extract(url, pattern, 1) for part, pattern in STORE_IN_URL.items()}
 
 
 def decoded_date(number: Column) -> Column:

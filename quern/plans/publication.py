@@ -20,6 +20,13 @@ from quern.sources.sinks import canonical
 
 KEYS = ["gtin", "vendor", "basis"]
 
+#: What the published documents say.
+NOTHING_RECENT = "No chain has a price from the last 7 days. Nothing can be compared."
+ONE_RECENT = ("Only ", " has a price from the last 7 days. There is nothing to compare it with.")
+CHEAPEST_OF = ("Cheapest of the ", " chains with a price from the last 7 days: ")
+LATE, OTHER_BASIS, LATE_AND_OTHER = "no recent price", "priced on a different basis", "no recent price, and a different price basis"
+NO_NAME = "(no name)"
+
 
 def chain_offers(days: DataFrame, extract: date, recency: int = config.RECENCY_DAYS) -> DataFrame:
     """(gtin, vendor, basis, px, min_qty, on_sale, observed_date, days_behind): each chain's latest offer of a product,
@@ -46,7 +53,7 @@ def flagged(offers: DataFrame, stale: DataFrame, recent: int = config.RECENT_DAY
     k = None
     for h in ks:
         k = (F if k is None else k).when(F.col("days_behind") <= h, F.lit(h))
-    reason = F.when(late & other, "no recent price, and a different price basis").when(late, "no recent price").when(other, "priced on a different basis")
+    reason = F.when(late & other, LATE_AND_OTHER).when(late, LATE).when(other, OTHER_BASIS)
     o = o.withColumns({"is_recent": ~late, "comparable": ~late & ~other, "not_comparable_reason": reason, "k": k, "staleness_exceeds_measured": F.col("days_behind") > horizon})
     found = o.join(stale.select("vendor", "k", F.col("pct_wrong").alias("staleness_pct")), ["vendor", "k"], "left")
     return found.withColumn("staleness_horizon_days", F.when(F.col("staleness_pct").isNotNull(), F.col("k"))).drop("k")
@@ -65,7 +72,7 @@ def names(products: DataFrame, weights: DataFrame) -> DataFrame:
     products: models' products with gtin; weights: (product_key, n), how often each was observed.
     """
     size = display_size(F.col("unit_qty"), F.col("unit_uom"), F.col("pack_count"), F.col("unit_parse_confidence"))
-    p = products.select("product_key", "gtin", F.coalesce(F.nullif(F.trim("product_name"), F.lit("")), F.lit("(no name)")).alias("name"), shown_brand(F.col("brand_raw")).alias("brand"), size.alias("size"))
+    p = products.select("product_key", "gtin", F.coalesce(F.nullif(F.trim("product_name"), F.lit("")), F.lit(NO_NAME)).alias("name"), shown_brand(F.col("brand_raw")).alias("brand"), size.alias("size"))
     n = p.join(weights, "product_key").groupBy("gtin", "name", "brand", "size").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("gtin").orderBy(F.col("n").desc(), "name", "brand", "size")
     return n.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r", "n")
@@ -75,9 +82,9 @@ def claim(n, labels):
     """What may be said of a comparison of n chains, with their labels in order."""
     listed = F.concat(F.array_join(F.slice(labels, 1, F.greatest(n - 1, F.lit(1)).cast("int")), ", "), F.lit(" and "), F.element_at(labels, -1))
     return (
-        F.when(n == 0, "No chain has a price from the last 7 days. Nothing can be compared.")
-        .when(n == 1, F.concat(F.lit("Only "), F.element_at(labels, 1), F.lit(" has a price from the last 7 days. There is nothing to compare it with.")))
-        .otherwise(F.concat(F.lit("Cheapest of the "), n.cast("string"), F.lit(" chains with a price from the last 7 days: "), listed, F.lit(".")))
+        F.when(n == 0, NOTHING_RECENT)
+        .when(n == 1, F.concat(F.lit(ONE_RECENT[0]), F.element_at(labels, 1), F.lit(ONE_RECENT[1])))
+        .otherwise(F.concat(F.lit(CHEAPEST_OF[0]), n.cast("string"), F.lit(CHEAPEST_OF[1]), listed, F.lit(".")))
     )
 
 

@@ -167,16 +167,17 @@ def brands(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", cls.alias("brand_class"), C.coarse(cls).alias("brand_class_coarse"))
 
 
+_WORDS = (" Bread", " Egg", " Milk", " Salmon Pasta", " Grape Soda", " Rice", " Cola")
+
+
 @query(
     "kb_category",
-    """WITH n AS (SELECT p_partkey, lower(p_name || CASE p_partkey % 8 WHEN 0 THEN ' Bread' WHEN 1 THEN ' Egg' WHEN 2 THEN ' Milk' WHEN 3 THEN ' Salmon Pasta' WHEN 4 THEN ' Grape Soda' WHEN 5 THEN ' Rice' WHEN 6 THEN ' Cola' ELSE '' END) AS nm FROM part)
-    SELECT CASE WHEN regexp_matches(nm, '(bread|bagel|bun|tortilla|pita)') THEN 'a. bread & bakery' WHEN regexp_matches(nm, '(milk|cream|yogur|yoghur|cheese|butter|margarine)') THEN 'b. dairy' WHEN regexp_matches(nm, 'egg') THEN 'c. eggs'
-     WHEN regexp_matches(nm, '(apple|banana|orange|potato|onion|carrot|tomato|lettuce|berry|berries|grape|pepper|broccoli|cucumber)') THEN 'd. produce' WHEN regexp_matches(nm, '(chicken|beef|pork|turkey|bacon|ham|sausage|fish|salmon|tuna|shrimp)') THEN 'e. meat & fish'
-     WHEN regexp_matches(nm, '(rice|pasta|flour|sugar|cereal|oat|noodle)') THEN 'f. pantry staples' WHEN regexp_matches(nm, '(juice|coffee|tea|soda|water|cola|drink)') THEN 'g. beverages' ELSE 'h. other' END AS category, count(*) AS n FROM n GROUP BY 1""",
+    "WITH n AS (SELECT lower(p_name || CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(_WORDS)) + " ELSE '' END) AS nm FROM part) "
+    "SELECT CASE " + " ".join(f"WHEN regexp_matches(nm, '{words}') THEN '{label}'" for label, words in C.CATEGORIES) + " ELSE 'h. other' END AS category, count(*) AS n FROM n GROUP BY 1",
 )
 def categories(spark, sf_dir):
     k, extra = F.col("p_partkey") % 8, None
-    for i, word in enumerate((" Bread", " Egg", " Milk", " Salmon Pasta", " Grape Soda", " Rice", " Cola")):
+    for i, word in enumerate(_WORDS):
         extra = (F if extra is None else extra).when(k == i, word)
     name = F.concat("p_name", extra.otherwise(""))
     return _t(spark, sf_dir, "part").groupBy(C.category(name).alias("category")).agg(F.count(F.lit(1)).alias("n"))
@@ -204,8 +205,7 @@ def url_fields(spark, sf_dir):
 
 @query(
     "kb_listing_parts",
-    """WITH l AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN p_name ELSE 'Metro~' || p_name || '@' || p_size || '^' || p_brand END AS id FROM part)
-    SELECT p_partkey, CASE WHEN id LIKE '%~%@%^%' THEN regexp_extract(id, '^([^~]+)~', 1) END AS vendor, CASE WHEN id LIKE '%~%@%^%' THEN regexp_extract(id, '^[^~]+~(.*)@', 1) END AS name, CASE WHEN id LIKE '%~%@%^%' THEN regexp_extract(id, '\\^(.*)$', 1) END AS brand FROM l""".replace("\\\\", "\\"),
+    "SELECT p_partkey, CASE WHEN p_partkey % 9 <> 0 THEN 'Metro' END AS vendor, CASE WHEN p_partkey % 9 <> 0 THEN p_name END AS name, CASE WHEN p_partkey % 9 <> 0 THEN p_brand END AS brand FROM part",
 )
 def listings(spark, sf_dir):
     k = F.col("p_partkey")
