@@ -36,6 +36,7 @@ SHAPES = [
     Shape("per weight", r"^[0-9]+(\.[0-9]+)? ?(avg\.?)? ?[/.] ?[0-9]* ?[a-z]+\.?", "per_weight", None, "inferred"),
 ]
 DENOMINATOR = r"(?:avg)?[ .]?/? ?([0-9]* ?(?:kg|lbs|lb|g|ml|l|oz|ea|each|item|un))\.?"
+LEADING, MULTIBUY_TOTAL, BARE = r"([0-9]+(?:\.[0-9]+)?)", r"\$([0-9.]+)\z", r"^[0-9]+\z"
 PIECES = ("ea", "each", "item", "un")
 FIELDS = ("offer_type", "unit_price", "min_qty", "price_basis", "price_basis_stated", "normalization", "parse_confidence")
 
@@ -77,6 +78,57 @@ def shape_of(blank: Column, clean: Column, basis: Column) -> Column:
     return out.otherwise("unparsed")
 
 
+def stages(raw: Column, at) -> list[dict[str, Column]]:
+    """What the fields need, in layers: each may use those before it, through at(name)."""
+    return [
+        {"clean": cleaned(raw), "blank": is_blank(raw)},
+        {"den": denominator(at("clean")), "digits": captured(at("clean"), r"([0-9]+)").try_cast("double"), "bare": at("clean").rlike(BARE)},
+        {"unit": denominator_unit(at("den"))},
+        {"basis": denominator_basis(at("unit")), "scale": denominator_scale(at("den"), at("unit"))},
+        {"shape": shape_of(at("blank"), at("clean"), at("basis"))},
+    ]
+
+
+def vendor_readings(at, vendor: Column) -> dict[str, Column]:
+    """How a vendor is known to write prices: bare integers in cents, and spellings that may be either."""
+    who, bare, digits = F.coalesce(vendor, F.lit("")), at("bare"), at("digits")
+    walmart = (who == "Walmart") & bare
+    return {
+        "in_cents": walmart & (digits >= 100), "cents_or_dollars": walmart & (digits >= 10) & (digits < 100),
+        "thousands_in_doubt": (who == "Voila") & (at("shape") == "thousands"), "integer_in_doubt": (who == "Galleria") & bare,
+    }
+
+
+def fields(at, vendor: Column | None = None) -> dict[str, Column]:
+    """The typed fields, of the staged columns at(name)."""
+    shape, clean, scale, digits = at("shape"), at("clean"), at("scale"), at("digits")
+    of = lambda attribute: _lookup(shape, {s.name: getattr(s, attribute) for s in SHAPES if getattr(s, attribute) is not None})
+    price = (
+        F.when(shape == "plain", to_number(clean))
+        .when(shape == "thousands", F.replace(clean, F.lit(","), F.lit("")).try_cast("double"))
+        .when(shape.isin("cents", "now cents", "cent sign"), digits / 100.0)
+        .when(shape == "multibuy", F.try_divide(captured(clean, MULTIBUY_TOTAL).try_cast("double"), digits))
+        .when(shape == "per weight", captured(clean, LEADING).try_cast("double") * scale)
+    )
+    repair = F.when(shape == "per weight", F.when(scale == 1.0, "none").otherwise("basis_rescaled")).otherwise(of("repair"))
+    confidence = F.coalesce(of("confidence"), F.lit("none"))
+    if vendor is not None:
+        known = vendor_readings(at, vendor)
+        in_cents, doubtful = known["in_cents"], known["cents_or_dollars"] | known["thousands_in_doubt"] | known["integer_in_doubt"]
+        price = F.when(in_cents, digits / 100.0).otherwise(price)
+        repair = F.when(in_cents, "bare_integer_cents").otherwise(repair)
+        confidence = F.when(in_cents, "derived").when(doubtful, "ambiguous").otherwise(confidence)
+    return {
+        "offer_type": F.coalesce(of("offer"), shape),
+        "unit_price": price,
+        "min_qty": F.when(shape == "multibuy", digits).when(shape != "blank", F.lit(1.0)),
+        "price_basis": F.when(shape == "per weight", at("basis")).when(~shape.isin("blank", "unparsed"), "each"),
+        "price_basis_stated": F.nullif(at("den"), F.lit("")),
+        "normalization": repair,
+        "parse_confidence": confidence,
+    }
+
+
 def parse_prices(df: DataFrame, sources: dict[str, str], vendor: str | None = None) -> DataFrame:
     """Adds the fields of each text column, named prefix + field; sources: prefix -> column.
 
@@ -87,38 +139,9 @@ def parse_prices(df: DataFrame, sources: dict[str, str], vendor: str | None = No
     compiled_small(df)
     for prefix, column in sources.items():
         at = lambda name: F.col(f"__{prefix}{name}")  # noqa: B023, E731
-        stage = lambda df, **columns: df.withColumns({f"__{prefix}{k}": v for k, v in columns.items()})  # noqa: B023, E731
-        df = stage(df, clean=cleaned(F.col(column)), blank=is_blank(F.col(column)))
-        df = stage(df, den=denominator(at("clean")), digits=captured(at("clean"), r"([0-9]+)").try_cast("double"), bare=at("clean").rlike(r"^[0-9]+\z"))
-        df = stage(df, unit=denominator_unit(at("den")))
-        df = stage(df, basis=denominator_basis(at("unit")), scale=denominator_scale(at("den"), at("unit")))
-        df = stage(df, shape=shape_of(at("blank"), at("clean"), at("basis")))
-        shape, clean, scale, digits = at("shape"), at("clean"), at("scale"), at("digits")
-        of = lambda attribute: _lookup(shape, {s.name: getattr(s, attribute) for s in SHAPES if getattr(s, attribute) is not None})  # noqa: B023, E731
-        price = (
-            F.when(shape == "plain", to_number(clean))
-            .when(shape == "thousands", F.replace(clean, F.lit(","), F.lit("")).try_cast("double"))
-            .when(shape.isin("cents", "now cents", "cent sign"), digits / 100.0)
-            .when(shape == "multibuy", F.try_divide(captured(clean, r"\$([0-9.]+)\z").try_cast("double"), digits))
-            .when(shape == "per weight", captured(clean, r"([0-9]+(?:\.[0-9]+)?)").try_cast("double") * scale)
-        )
-        repair = F.when(shape == "per weight", F.when(scale == 1.0, "none").otherwise("basis_rescaled")).otherwise(of("repair"))
-        confidence = F.coalesce(of("confidence"), F.lit("none"))
-        if vendor is not None:
-            who, bare = F.coalesce(F.col(vendor), F.lit("")), at("bare")
-            in_cents = (who == "Walmart") & bare & (digits >= 100)
-            doubtful = ((who == "Walmart") & bare & (digits >= 10)) | ((who == "Voila") & (shape == "thousands")) | ((who == "Galleria") & bare)
-            price = F.when(in_cents, digits / 100.0).otherwise(price)
-            repair = F.when(in_cents, "bare_integer_cents").otherwise(repair)
-            confidence = F.when(in_cents, "derived").when(doubtful, "ambiguous").otherwise(confidence)
-        out = {
-            "offer_type": F.coalesce(of("offer"), shape),
-            "unit_price": price,
-            "min_qty": F.when(shape == "multibuy", digits).when(shape != "blank", F.lit(1.0)),
-            "price_basis": F.when(shape == "per weight", at("basis")).when(~shape.isin("blank", "unparsed"), "each"),
-            "price_basis_stated": F.nullif(at("den"), F.lit("")),
-            "normalization": repair,
-            "parse_confidence": confidence,
-        }
-        df = df.withColumns({prefix + k: v for k, v in out.items()}).drop(*[f"__{prefix}{k}" for k in ("clean", "blank", "den", "digits", "bare", "unit", "basis", "scale", "shape")])
+        names = []
+        for layer in stages(F.col(column), at):
+            df = df.withColumns({f"__{prefix}{k}": v for k, v in layer.items()})
+            names += [f"__{prefix}{k}" for k in layer]
+        df = df.withColumns({prefix + k: v for k, v in fields(at, F.col(vendor) if vendor else None).items()}).drop(*names)
     return df

@@ -44,30 +44,48 @@ def _of(token: Column, table: dict) -> Column:
     return out
 
 
-def parse_units(df: DataFrame, column: str) -> DataFrame:
-    """Adds the fields of a size text. An explicit multiplier ('4 x 100g', '60gx6') is the pack; a bare count ('24ea',
-    '4 per pack') is one too, of pieces. Staged, so that each expression is worked out once."""
-    c = lambda name: F.col(f"__{name}")
-    stage = lambda df, **columns: df.withColumns({f"__{k}": v for k, v in columns.items()})
-    df = stage(compiled_small(df), clean=F.lower(cleaned(F.col(column))))
-    df = stage(df, core=F.regexp_replace(c("clean"), r"([a-z]) ?[x*] ?[0-9]+\z", "$1"), held=captured(c("clean"), CONTAINER).try_cast("double"), junk=c("clean").isin(*JUNK))
-    df = stage(
-        df, amount=captured(c("core"), SIZE, 1).try_cast("double"), token=captured(c("core"), rf"[0-9] ?({_WORDS})(?![A-Za-z0-9_])"),
-        times=F.coalesce(captured(c("clean"), r"^([0-9]+) ?[x*] ?[0-9]").try_cast("double"), captured(c("clean"), r"[a-z] ?[x*] ?([0-9]+)\z").try_cast("double")),
-    )
-    # one look-up names the unit, and the rest follows from its name
-    df = stage(df, name=_of(c("token"), {u: u for u in SPELLINGS}), number=F.coalesce(c("amount"), c("held")))
-    by = lambda table: _lookup(c("name"), table)
-    df = stage(df, uom=F.coalesce(by({u: "g" for u in ("kg", "g", "lb", "oz")} | {u: "ml" for u in ("l", "ml", "fl oz")} | {"count": "count"}), F.when(c("held").isNotNull(), "count")))
-    df = stage(df, counted=F.coalesce((c("uom") == "count") & c("number").isNotNull(), F.lit(False)))
+def stages(raw: Column, at) -> list[dict[str, Column]]:
+    """What the fields need, in layers: each may use those before it, through at(name)."""
+    by = lambda table: _lookup(at("name"), table)
     factor = F.coalesce(by({u: GRAMS[u] for u in ("kg", "lb", "oz")} | {u: MILLILITRES[u] for u in ("l", "fl oz")}), F.lit(1.0))
-    df = stage(df, pack=F.when(~c("junk"), F.coalesce(c("times"), F.when(c("counted"), c("number")), F.lit(1.0))), quantity=F.when(~c("junk"), F.when(c("counted"), F.lit(1.0)).otherwise(c("amount") * factor)))
+    kind = by({u: "g" for u in ("kg", "g", "lb", "oz")} | {u: "ml" for u in ("l", "ml", "fl oz")} | {"count": "count"})
+    return [
+        {"clean": F.lower(cleaned(raw))},
+        {"core": F.regexp_replace(at("clean"), r"([a-z]) ?[x*] ?[0-9]+\z", "$1"), "held": captured(at("clean"), CONTAINER).try_cast("double"), "junk": at("clean").isin(*JUNK)},
+        {
+            "amount": captured(at("core"), SIZE, 1).try_cast("double"), "token": captured(at("core"), rf"[0-9] ?({_WORDS})(?![A-Za-z0-9_])"),
+            "lead": captured(at("clean"), r"^([0-9]+) ?[x*] ?[0-9]").try_cast("double"), "trail": captured(at("clean"), r"[a-z] ?[x*] ?([0-9]+)\z").try_cast("double"),
+        },
+        # one look-up names the unit, and the rest follows from its name
+        {"name": _of(at("token"), {u: u for u in SPELLINGS}), "number": F.coalesce(at("amount"), at("held"))},
+        {"kind": F.coalesce(kind, F.when(at("held").isNotNull(), "count")), "factor": factor},
+        {"counted": F.coalesce((at("kind") == "count") & at("number").isNotNull(), F.lit(False))},
+        {
+            "pack": F.when(~at("junk"), F.coalesce(at("lead"), at("trail"), F.when(at("counted"), at("number")), F.lit(1.0))),
+            "quantity": F.when(~at("junk"), F.when(at("counted"), F.lit(1.0)).otherwise(at("amount") * at("factor"))),
+        },
+    ]
+
+
+def fields(at) -> dict[str, Column]:
+    """The typed fields, of the staged columns at(name)."""
     sure = (
-        F.when(c("junk"), "none").when(c("held").isNotNull() & c("amount").isNull(), "inferred").when(c("counted"), "exact")
-        .when(c("amount").isNotNull(), F.when(c("pack") > 1, "derived").otherwise("exact")).otherwise("none")
+        F.when(at("junk"), "none").when(at("held").isNotNull() & at("amount").isNull(), "inferred").when(at("counted"), "exact")
+        .when(at("amount").isNotNull(), F.when(at("pack") > 1, "derived").otherwise("exact")).otherwise("none")
     )
-    out = {"unit_qty": c("quantity"), "unit_uom": F.when(~c("junk"), c("uom")), "pack_count": c("pack"), "total_qty": c("quantity") * F.coalesce(c("pack"), F.lit(1.0)), "unit_parse_confidence": sure}
-    return df.withColumns(out).drop(*[f"__{k}" for k in ("clean", "core", "held", "junk", "amount", "token", "times", "name", "number", "uom", "counted", "pack", "quantity")])
+    return {"unit_qty": at("quantity"), "unit_uom": F.when(~at("junk"), at("kind")), "pack_count": at("pack"), "total_qty": at("quantity") * F.coalesce(at("pack"), F.lit(1.0)), "unit_parse_confidence": sure}
+
+
+def parse_units(df: DataFrame, column: str) -> DataFrame:
+    """Adds the fields of a size text. An explicit multiplier ('4 x 100g', '60gx6') is the pack; a bare count ('24ea',
+    '4 per pack') is one too, of pieces. Staged, so that each expression is worked out once."""
+    at = lambda name: F.col(f"__{name}")
+    names = []
+    compiled_small(df)
+    for layer in stages(F.col(column), at):
+        df = df.withColumns({f"__{k}": v for k, v in layer.items()})
+        names += [f"__{k}" for k in layer]
+    return df.withColumns(fields(at)).drop(*names)
 
 
 def folded_quantity(x: Column) -> Column:
