@@ -105,9 +105,9 @@ def concentration(rows: DataFrame, name: str, tops: Sequence[int] = (10, 50)) ->
     """(top, names, rows, share_pct): what share of all rows the most frequent names hold (ties by name). Aggregated
     before it is ranked; the ranking holds one row a name."""
     n = rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("n"))
-    total = n.agg(F.sum("n")).first()[0] or 0
-    most = n.orderBy(F.col("n").desc(), F.col(name).asc()).limit(max(tops))
-    ranked = most.withColumn("__r", F.row_number().over(Window.orderBy(F.col("n").desc(), F.col(name).asc())))
+    total = n.agg(F.sum("n")).first()[0] or 0  # total: an aggregate is one row
+    most = n.orderBy(F.col("n").desc(), F.col(name).asc()).limit(max(tops))  # total: ordered by count, then name, which is the group key
+    ranked = most.withColumn("__r", F.row_number().over(Window.orderBy(F.col("n").desc(), F.col(name).asc())))  # total: by count, then name
     out = ranked.withColumn("top", F.explode(F.array(*[F.lit(t) for t in tops]))).where("__r <= top").groupBy("top").agg(F.count(F.lit(1)).alias("names"), F.sum("n").alias("rows"))
     return out.withColumn("share_pct", F.lit(100.0) * F.col("rows") / F.lit(total))
 

@@ -19,7 +19,7 @@ def share_pct(n: Column | str, group: Sequence[str] = ()) -> Column:
 def mode_lowest(df: DataFrame, group: Sequence[str], column: str, out: str = "mode") -> DataFrame:
     """The most frequent value of each group, the lowest of equals. Pre-aggregated by value, so that no group is sorted."""
     n = df.where(F.col(column).isNotNull()).groupBy(*group, column).agg(F.count(F.lit(1)).alias("__n"))
-    return n.groupBy(*group).agg(F.max_by(column, F.struct("__n", -F.col(column))).alias(out))
+    return n.groupBy(*group).agg(F.max_by(column, F.struct("__n", -F.col(column))).alias(out))  # total: the key ends in the value itself
 
 
 def geometric_mean(x: Column) -> Column:
@@ -30,7 +30,7 @@ def average_ranks(df: DataFrame, column: str, out: str, group: Sequence[str] = (
     """Ranks from 1, equal values sharing the mean of their places. For tables of groups, not of rows: one window."""
     order = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
     same = Window.partitionBy(*group, column)
-    return df.withColumn(out, F.rank().over(Window.partitionBy(*group).orderBy(order)) + (F.count(F.lit(1)).over(same) - 1) / F.lit(2.0))
+    return df.withColumn(out, F.rank().over(Window.partitionBy(*group).orderBy(order)) + (F.count(F.lit(1)).over(same) - 1) / F.lit(2.0))  # total: equal values are meant to share a rank
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -65,7 +65,7 @@ def global_rank(df: DataFrame, order: Sequence[str], out: str = "rank", partitio
     for r in counts:
         begin[r["__p"]], at = at, at + r["count"]
     starts = F.create_map(*[F.lit(x).cast("long") for p, b in begin.items() for x in (p, b)]) if begin else F.create_map().cast("map<bigint,bigint>")
-    within = F.row_number().over(Window.partitionBy("__p").orderBy(*by)) - 1
+    within = F.row_number().over(Window.partitionBy("__p").orderBy(*by)) - 1  # total: the caller gives a total order
     return dealt.withColumn(out, (starts[F.col("__p").cast("long")] + within).cast("long")).drop("__p")
 
 
@@ -87,11 +87,11 @@ def sample_share(df: DataFrame, key: str, one_in: int) -> DataFrame:
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first k rows of each group by a total order."""
     w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
+    return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")  # total: the caller gives a total order
 
 
 def ordered_list(sort_by: Sequence[Column], payload: Column) -> Column:
     """An aggregate: the group's payloads as an array ordered by the sort columns (negate numbers for descending)."""
     names = [f"s{i}" for i in range(len(sort_by))]
-    rows = F.array_sort(F.collect_list(F.struct(*[c.alias(n) for c, n in zip(sort_by, names)], payload.alias("p"))))
+    rows = F.array_sort(F.collect_list(F.struct(*[c.alias(n) for c, n in zip(sort_by, names)], payload.alias("p"))))  # total: sorted by the key
     return F.transform(rows, lambda x: x["p"])

@@ -32,7 +32,7 @@ def spans(days: DataFrame, keys: Sequence[str], until: Column | None = None) ->
     """(keys, d): every day from a group's first to ``until`` (by default the table's last day)."""
     first = days.groupBy(*keys).agg(F.min("d").alias("__a"), F.max("d").alias("__z"))
     if until is None:
-        last = days.agg(F.max("d")).first()[0]
+        last = days.agg(F.max("d")).first()[0]  # total: an aggregate is one row
         until = F.lit(last)
     return first.where(F.col("__a").isNotNull()).select(*keys, F.explode(F.sequence("__a", F.greatest(until, "__a"))).alias("d"))
 
@@ -45,7 +45,7 @@ def missing_days(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def runs(days: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, from_date, to_date, days): maximal runs of consecutive days."""
-    tag = F.date_sub("d", F.row_number().over(_series(keys)))
+    tag = F.date_sub("d", F.row_number().over(_series(keys)))  # total: a series has one row a day
     return days.withColumn("__g", tag).groupBy(*keys, "__g").agg(F.min("d").alias("from_date"), F.max("d").alias("to_date"), F.count(F.lit(1)).alias("days")).drop("__g")
 
 
@@ -94,7 +94,7 @@ def sale_events(days: DataFrame, keys: Sequence[str]) -> DataFrame:
     Days that weren't observed don't part an island; an observed day that isn't on sale does.
     """
     w, by = _series(keys), Window.partitionBy(*keys, "on_sale").orderBy("d")
-    tag = F.row_number().over(w) - F.row_number().over(by)
+    tag = F.row_number().over(w) - F.row_number().over(by)  # total: a series has one row a day
     return days.withColumn("__g", tag).where("on_sale = 1").groupBy(*keys, "__g").agg(F.min("d").alias("start_d"), F.max("d").alias("end_d"), F.count(F.lit(1)).alias("run_days"), F.min("px").alias("sale_px")).drop("__g")
 
 
@@ -122,8 +122,8 @@ def lookback_statistics(events: DataFrame, days: DataFrame, keys: Sequence[str],
     rows = with_lookback(events, days, keys, window).where("d is not null")
     per = rows.groupBy(*events.columns, "px").agg(F.count(F.lit(1)).alias("__n"), F.max("d").alias("__last"))
     return per.groupBy(*events.columns).agg(
-        F.sum("__n").alias("prior_days"), F.max_by("px", F.struct("__n", -F.col("px"))).alias("modal_px"),
-        F.percentile("px", F.lit(0.5), F.col("__n")).alias("median_px"), F.max_by("px", "__last").alias("last_px"),
+        F.sum("__n").alias("prior_days"), F.max_by("px", F.struct("__n", -F.col("px"))).alias("modal_px"),  # total: the key ends in the price, which is the group key
+        F.percentile("px", F.lit(0.5), F.col("__n")).alias("median_px"), F.max_by("px", "__last").alias("last_px"),  # total: a last day is of one row of a series
         F.min("px").alias("low_px"), F.max("px").alias("high_px"), F.count(F.lit(1)).alias("distinct_px"),
     )
 
@@ -144,7 +144,7 @@ def weekday_changes(days: DataFrame, keys: Sequence[str], group: Sequence[str])
 
 def weekday_concentration(changes: DataFrame, group: Sequence[str]) -> DataFrame:
     """(group, busiest, excess_pct): the weekday with most changes (the first of equals), and its share over a seventh."""
-    best = changes.groupBy(*group).agg(F.max_by("weekday", F.struct("changes", -F.col("weekday"))).alias("busiest"), F.max("share_pct").alias("top_pct"))
+    best = changes.groupBy(*group).agg(F.max_by("weekday", F.struct("changes", -F.col("weekday"))).alias("busiest"), F.max("share_pct").alias("top_pct"))  # total: the key ends in the weekday, which is the group key
     return best.select(*group, "busiest", (F.col("top_pct") - F.lit(100.0) / 7).alias("excess_pct"))
 
 
@@ -158,7 +158,7 @@ def spells(days: DataFrame, keys: Sequence[str], gap: int = SPELL_GAP_DAYS, epsi
     if flag:
         new = new | (F.col("on_sale") != F.lag("on_sale").over(w))
     marked = days.withColumn("__new", F.when(new, 1).otherwise(0)).withColumn("__s", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = [F.min("d").alias("from_date"), F.max("d").alias("to_date"), F.min_by("px", "d").alias("px"), F.count(F.lit(1)).alias("observed_days")]
+    out = [F.min("d").alias("from_date"), F.max("d").alias("to_date"), F.min_by("px", "d").alias("px"), F.count(F.lit(1)).alias("observed_days")]  # total: a series has one row a day
     if flag:
         out.append(F.max("on_sale").alias("on_sale"))
     found = marked.groupBy(*keys, "__s").agg(*out).drop("__s")
@@ -217,7 +217,7 @@ def nearest(events: DataFrame, days: DataFrame, keys: Sequence[str], within: int
         on = on & (F.col(k) == F.col(f"__{k}"))
     close = e.join(o, on).withColumn("__far", F.abs(F.datediff("near_d", "d"))).where(F.col("__far") <= within)
     best = Window.partitionBy(*event_id).orderBy("__far", "near_d", "near_px")
-    return close.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__b", "__o", "__far", "__r", *[f"__{k}" for k in keys])
+    return close.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__b", "__o", "__far", "__r", *[f"__{k}" for k in keys])  # total: by distance, day and price, of which a series has one row
 
 
 def expand_spells(spell: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -113,13 +113,13 @@ def match_contracts(match: DataFrame, product: DataFrame) -> dict[str, DataFrame
 
 def failures(tests: dict[str, DataFrame]) -> list[str]:
     """The names of the tests that have a violation; each stops at its first."""
-    return [name for name, v in tests.items() if v.limit(1).count()]
+    return [name for name, v in tests.items() if v.limit(1).count()]  # total: any row will do: it is counted
 
 
 def checksums(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, object]:
     """An order-independent checksum of each column, in one pass."""
     columns = list(columns or df.columns)
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(row_hash([c])).alias(c) for c in columns]).first()
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(row_hash([c])).alias(c) for c in columns]).first()  # total: an aggregate is one row
     return row.asDict()
 
 
@@ -141,7 +141,7 @@ def twice(build: Callable[[], DataFrame], settings: Sequence[dict[str, str]] = (
                 conf.set(k, v)
             try:
                 df = build()
-                seen.append((df.schema.simpleString(), tuple(sorted(checksums(df).items())), df.agg(F.sum(row_hash(df.columns))).first()[0]))
+                seen.append((df.schema.simpleString(), tuple(sorted(checksums(df).items())), df.agg(F.sum(row_hash(df.columns))).first()[0]))  # total: an aggregate is one row
             finally:
                 for k, v in old.items():
                     conf.set(k, v)

@@ -15,7 +15,7 @@ BROADCAST_ROWS = 1_000_000
 
 def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most ``limit`` rows (counted here unless given)."""
-    n = df.limit(limit + 1).count() if rows is None else rows
+    n = df.limit(limit + 1).count() if rows is None else rows  # total: any rows will do: they are counted
     return F.broadcast(df) if n <= limit else df
 
 
@@ -57,7 +57,7 @@ def barcode_span(products: DataFrame, key: str = "gtin14", vendor: str = "vendor
     n = lambda t: F.sum((F.col("__t") == t).cast("long"))
     return each.groupBy(key).agg(
         F.count(vendor).alias("n_vendors"), n("vendor_upc").alias("n_vendor_upc"), n("matched_upc").alias("n_matched_upc"), n("fuzzy").alias("n_fuzzy"),
-        F.array_join(F.array_sort(F.collect_list(vendor)), ",").alias("vendors_on_gtin"),
+        F.array_join(F.array_sort(F.collect_list(vendor)), ",").alias("vendors_on_gtin"),  # total: sorted
     )
 
 

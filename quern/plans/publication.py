@@ -32,14 +32,14 @@ def chain_offers(days: DataFrame, extract: date, recency: int = config.RECENCY_D
     """(gtin, vendor, basis, px, min_qty, on_sale, observed_date, days_behind): each chain's latest offer of a product,
     on the basis it was last seen on (of several that day, the last in order)."""
     recent = days.where(F.col("d") > F.date_sub(F.lit(extract), recency))
-    latest = recent.groupBy(*KEYS).agg(*[F.max_by(c, "d").alias(c) for c in ("px", "min_qty", "on_sale")], F.max("d").alias("observed_date"))
-    best = latest.groupBy("gtin", "vendor").agg(F.max_by(F.struct("basis", "px", "min_qty", "on_sale", "observed_date"), F.struct("observed_date", "basis")).alias("o"))
+    latest = recent.groupBy(*KEYS).agg(*[F.max_by(c, "d").alias(c) for c in ("px", "min_qty", "on_sale")], F.max("d").alias("observed_date"))  # total: a chain has one row a product, basis and day
+    best = latest.groupBy("gtin", "vendor").agg(F.max_by(F.struct("basis", "px", "min_qty", "on_sale", "observed_date"), F.struct("observed_date", "basis")).alias("o"))  # total: the key ends in the basis, of which there is one row
     return best.select("gtin", "vendor", "o.*").withColumn("days_behind", F.datediff(F.lit(extract), "observed_date").cast("long"))
 
 
 def majority_basis(offers: DataFrame) -> DataFrame:
     n = offers.groupBy("gtin", "basis").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("gtin").agg(F.max_by("basis", F.struct("n", "basis")).alias("product_basis"))
+    return n.groupBy("gtin").agg(F.max_by("basis", F.struct("n", "basis")).alias("product_basis"))  # total: the key ends in the basis, which is the group key
 
 
 def flagged(offers: DataFrame, stale: DataFrame, recent: int = config.RECENT_DAYS, horizon: int = config.STALE_AFTER_DAYS) -> DataFrame:
@@ -75,7 +75,7 @@ def names(products: DataFrame, weights: DataFrame) -> DataFrame:
     p = products.select("product_key", "gtin", F.coalesce(F.nullif(F.trim("product_name"), F.lit("")), F.lit(NO_NAME)).alias("name"), shown_brand(F.col("brand_raw")).alias("brand"), size.alias("size"))
     n = p.join(weights, "product_key").groupBy("gtin", "name", "brand", "size").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("gtin").orderBy(F.col("n").desc(), "name", "brand", "size")
-    return n.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r", "n")
+    return n.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r", "n")  # total: the order holds the whole group key
 
 
 def claim(n, labels):
@@ -112,8 +112,8 @@ def products_document(offers: DataFrame, context: DataFrame, name: DataFrame) ->
     rows = o.groupBy("gtin").agg(
         ordered_list([~fits, F.col("px"), F.col("vendor")], offer).alias("offers"),
         F.sum(fits.cast("long")).alias("n"), F.max("product_basis").alias("basis"),
-        F.min_by(F.struct("vendor", "min_qty"), F.when(fits, F.struct("px", "vendor"))).alias("best"),
-        F.array_sort(F.collect_list(F.when(fits, F.col("vendor")))).alias("compared"),
+        F.min_by(F.struct("vendor", "min_qty"), F.when(fits, F.struct("px", "vendor"))).alias("best"),  # total: the key ends in the vendor, of which there is one row
+        F.array_sort(F.collect_list(F.when(fits, F.col("vendor")))).alias("compared"),  # total: sorted
         ordered_list([F.col("vendor")], F.when(fits, F.col("label"))).alias("labels"),
         ordered_list([F.col("vendor")], F.when(~fits, missing)).alias("unavailable"),
     )
@@ -140,7 +140,7 @@ def search(products: DataFrame, text: str, most: int = 25) -> DataFrame:
     then by name."""
     hay = F.lower(F.concat_ws(" ", "name", "brand", "size"))
     at = F.instr(hay, text.lower())
-    return products.withColumn("__at", at).where("__at > 0").orderBy("__at", F.col("comparison.n_compared").desc(), "name", "gtin14").limit(most).drop("__at")
+    return products.withColumn("__at", at).where("__at > 0").orderBy("__at", F.col("comparison.n_compared").desc(), "name", "gtin14").limit(most).drop("__at")  # total: ordered to the barcode
 
 
 def aged(offers: DataFrame, today: date, recent: int = config.RECENT_DAYS) -> DataFrame:

@@ -41,7 +41,7 @@ def filtered_load(prices: DataFrame, products: DataFrame, vendors: list[str]) ->
 
 
 def empty_like(df: DataFrame) -> DataFrame:
-    return df.limit(0)
+    return df.limit(0)  # total: no row is taken
 
 
 def with_row_ids(df: DataFrame, name: str = "src_rowid") -> DataFrame:

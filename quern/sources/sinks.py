@@ -29,7 +29,7 @@ def write_json_array(df: DataFrame, path: str) -> int:
 
 
 def write_json_object(df: DataFrame, path: str) -> None:
-    rows = list(json_lines(df.limit(2)))
+    rows = list(json_lines(df.limit(2)))  # total: any two rows will do: they are counted
     if len(rows) != 1:
         raise ValueError(f"a JSON object needs exactly one row, there are {len(rows)} or more")
     with open(path, "w", encoding="utf-8") as f:
@@ -37,12 +37,12 @@ def write_json_object(df: DataFrame, path: str) -> None:
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    writer = df.write.mode("overwrite").option("compression", "zstd")
+    writer = df.write.mode("overwrite").option("compression", "zstd")  # total: the writer mode, not a statistic
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).csv(path)  # total: the writer mode, not a statistic
 
 
 def write_model(df: DataFrame, path: str, rows_in: int | None = None, partition_by: list[str] | None = None) -> int:

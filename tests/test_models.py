@@ -142,3 +142,12 @@ def test_stream_equals_batch(spark, raw, products, tmp_path):
     assert got.count() == len(RAW) and Q.cache_differences(got.drop("src_rowid"), want.drop("src_rowid")) == []
     n = stream.daily_counts(want).agg(F.sum("rows"), F.sum("priced")).first()
     assert tuple(n) == (8, 7)
+
+
+@pytest.mark.parametrize("folder", ["operators", "sources", "streaming", "functions"])
+def test_own_sources_explain_every_order(folder):
+    from pathlib import Path
+
+    top = Path(Q.__file__).resolve().parent.parent
+    assert {p.name: found for p in (top / folder).glob("*.py") if (found := Q.loose_calls(str(p)))} == {}
+    assert {n: found for n in ("models", "contracts", "publication") if (found := Q.loose_calls(str(top / "plans" / f"{n}.py")))} == {}
