@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Rows that one ranking bucket should hold, so that a window never sorts an unbounded group. Of n rows, n / BUCKET_ROWS
 #: buckets are counted; beyond BUCKET_ROWS ** 2 rows both grow as the square root of n.
-BUCKET_ROWS = 2_048
+BUCKET_ROWS = 512
 
 
 #: Rows and bytes of one Arrow batch, at most: documents may be long, and a task holds a batch or two.
