@@ -64,23 +64,27 @@ def _direct() -> Iterator[tuple[str, str, Column]]:
     yield "name_size", "x string", X.size_in_name(x)
 
 
-def _made(spark: SparkSession, name: str, params: str, e: Column) -> None:
-    holders = ", ".join(f"cast(null as {p.split()[1]}) as {p.split()[0]}" for p in params.split(", "))
+def _made(spark: SparkSession, name: str, params: str, e: Column) -> list[str]:
+    """Creates a function of those of the parameters that its expression refers to; returns their names, in order."""
+    kinds = dict(p.split() for p in params.split(", "))
+    holders = ", ".join(f"cast(null as {t}) as {p}" for p, t in kinds.items())
     bound = spark.sql(f"select {holders}").select(e.alias("o"))._jdf.queryExecution().analyzed().expressions().head().child()
-    spark.sql(f"create or replace temporary function {name}({params}) returns {bound.dataType().sql()} return {bound.sql()}")
+    refs = bound.references().toSeq()
+    used = {refs.apply(i).name() for i in range(refs.size())}
+    kept = [p for p in kinds if p in used]
+    spark.sql(f"create or replace temporary function {name}({', '.join(f'{p} {kinds[p]}' for p in kept)}) returns {bound.dataType().sql()} return {bound.sql()}")
+    return kept
 
 
 def _staged(spark: SparkSession, prefix: str, kinds: dict[str, str], layers: list[dict[str, Column]]) -> dict[str, str]:
-    """Functions prefix_part(x) of the parts; returns what each part's call is."""
-    calls: dict[str, str] = {}
+    """Functions prefix_part(x) of the parts; returns what each part's call is. A part calls only the parts it needs."""
+    calls = {"x": "x"}
     for layer in layers:
+        known = dict(calls)
         for part, e in layer.items():
-            params = ", ".join(f"{k} {kinds[k]}" for k in calls) + (", " if calls else "") + "x string"
-            _made(spark, f"{prefix}_{part}_of", params, e)
-        calls |= {part: f"{prefix}_{part}(x)" for part in layer}
-        for part in layer:
-            before = [k for k in calls if k not in layer]
-            spark.sql(f"create or replace temporary function {prefix}_{part}(x string) returns {kinds[part]} return {prefix}_{part}_of({', '.join([*(calls[k] for k in before), 'x'])})")
+            need = _made(spark, f"{prefix}_{part}_of", ", ".join(f"{k} {kinds.get(k, 'string')}" for k in known), e)
+            spark.sql(f"create or replace temporary function {prefix}_{part}(x string) returns {kinds[part]} return {prefix}_{part}_of({', '.join(known[k] for k in need)})")
+            calls[part] = f"{prefix}_{part}(x)"
     return calls
 
 
@@ -88,32 +92,32 @@ def register(spark: SparkSession) -> list[str]:
     """Creates the functions in the session; returns their names. They live as long as the session does."""
     names = []
 
-    def put(name: str, params: str, e: Column) -> None:
-        _made(spark, name, params, e)
-        names.append(name)
-
     def wrap(name: str, params: str, kind: str, body: str) -> None:
         spark.sql(f"create or replace temporary function {name}({params}) returns {kind} return {body}")
         names.append(name)
 
     for name, params, e in _direct():
-        put(name, params, e)
+        _made(spark, name, params, e)
+        names.append(name)
     col = F.col
+
+    def over(name: str, kind: str, e: Column, calls: dict[str, str], kinds: dict[str, str], vendor: bool = False) -> None:
+        """name(x) or name(vendor, x): an expression of staged parts over their calls."""
+        own = {"vendor": "vendor"} if vendor else {}
+        need = _made(spark, f"{name}_of", ", ".join(f"{k} {kinds.get(k, 'string')}" for k in [*own, *calls]), e)
+        wrap(name, "vendor string, x string" if vendor else "x string", kind, f"{name}_of({', '.join((own | calls)[k] for k in need)})")
+
     calls = _staged(spark, "p_part", _PRICE, P.stages(F.col("x"), col))
-    every, passed = ", ".join(f"{k} {t}" for k, t in _PRICE.items()), ", ".join(calls[k] for k in _PRICE)
     public = {"offer_type": "p_offer_type", "unit_price": "p_unit_price", "min_qty": "p_min_qty", "price_basis": "p_price_basis", "price_basis_stated": "p_basis_stated", "normalization": "p_normalization", "parse_confidence": "p_confidence"}
-    kinds = {"unit_price": "double", "min_qty": "double"}
+    doubles = {"unit_price": "double", "min_qty": "double"}
     for field, e in P.fields(col).items():
-        _made(spark, f"{public[field]}_of", every, e)
-        wrap(public[field], "x string", kinds.get(field, "string"), f"{public[field]}_of({passed})")
+        over(public[field], doubles.get(field, "string"), e, calls, _PRICE)
     with_vendor = P.fields(col, F.col("vendor"))
     for field in ("unit_price", "normalization", "parse_confidence"):
-        _made(spark, f"{public[field]}_v_of", f"vendor string, {every}", with_vendor[field])
-        wrap(f"{public[field]}_v", "vendor string, x string", kinds.get(field, "string"), f"{public[field]}_v_of(vendor, {passed})")
+        over(f"{public[field]}_v", doubles.get(field, "string"), with_vendor[field], calls, _PRICE, vendor=True)
     readings = {"in_cents": "p_wm_cents", "cents_or_dollars": "p_wm_ambiguous", "thousands_in_doubt": "p_voila_thousands", "integer_in_doubt": "p_galleria_bare_int"}
     for reading, e in P.vendor_readings(col, F.col("vendor")).items():
-        _made(spark, f"{readings[reading]}_of", f"vendor string, {every}", e)
-        wrap(readings[reading], "vendor string, x string", "boolean", f"{readings[reading]}_of(vendor, {passed})")
+        over(readings[reading], "boolean", e, calls, _PRICE, vendor=True)
     wrap("p_den_raw", "x string", "string", calls["den"])
     wrap("p_den_unit", "x string", "string", calls["unit"])
     wrap("p_basis", "x string", "string", calls["basis"])
@@ -124,12 +128,9 @@ def register(spark: SparkSession) -> list[str]:
     wrap("p_den_ml", "x string", "double", f"case when {calls['basis']} = 'per_100ml' then try_divide(100.0D, {calls['scale']}) end")
 
     calls = _staged(spark, "u_part", _UNIT, U.stages(F.col("x"), col))
-    every, passed = ", ".join(f"{k} {t}" for k, t in _UNIT.items()), ", ".join(calls[k] for k in _UNIT)
     public = {"unit_qty": ("u_qty", "double"), "unit_uom": ("u_uom", "string"), "pack_count": ("u_pack_count", "double"), "total_qty": ("u_total_qty", "double"), "unit_parse_confidence": ("u_confidence", "string")}
     for field, e in U.fields(col).items():
-        name, kind = public[field]
-        _made(spark, f"{name}_of", every, e)
-        wrap(name, "x string", kind, f"{name}_of({passed})")
+        over(*public[field], e, calls, _UNIT)
     for name, part in (("u_core", "core"), ("u_qty_lit", "amount"), ("u_tok_raw", "token"), ("u_perpack_n", "held"), ("u_pack_lead", "lead"), ("u_pack_trail", "trail"), ("u_uom_token", "kind"), ("u_count_n", "number"), ("u_factor", "factor")):
         wrap(name, "x string", _UNIT[part], calls[part])
     return names
