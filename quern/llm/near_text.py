@@ -3,7 +3,8 @@
 A text's set of k-word shingles is folded into a signed count vector and projected to 1024 bits. Sets of Jaccard
 similarity J have cosine 2J / (1 + J), and each bit differs with the probability angle / pi. Every 16-bit block of the
 fingerprint roots one trie: texts that agree on a block meet in one node, and there the following 64 bits are compared
-within an error budget. Pairs are then judged on all 1024 bits; those too close to call are verified on their sets.
+within an error budget. Pairs are then judged on all 1024 bits, and every pair that may be one is verified on its sets
+before it links anything: the fold gives texts of few shingles few fingerprints.
 """
 
 from __future__ import annotations
@@ -201,6 +202,42 @@ def _holding(docs: DataFrame, keys: KeyFile, want: bool) -> DataFrame:
     return marked.mapInArrow(tidy(run), docs.schema)
 
 
+class ValueFile:
+    """Byte strings of whole 64-bit words by their long key, as arrays in the shared folder that workers map: pairs are
+    compared without a copy of both values for every pair."""
+
+    def __init__(self, rows: DataFrame, name: str, part_bytes: int = 32_000_000):
+        key, value = rows.columns
+        size = rows.agg(F.sum(F.octet_length(value))).first()[0] or 0
+        self.bits = max(5, int(np.ceil(np.log2(max(1, size / part_bytes)))))
+        self.store = store = Store(scratch(rows.sparkSession, name))
+
+        def save(t: pa.Table) -> pa.Table:
+            part = t["part"][0].as_py()
+            keys = t["key"].to_numpy()
+            order = np.argsort(keys)
+            values = [t["value"][i].as_py() for i in order.tolist()]
+            store.save(f"keys-{part}", keys[order])
+            store.save(f"ends-{part}", np.cumsum([len(x) // 8 for x in values]))
+            store.save(f"values-{part}", np.frombuffer(b"".join(values), np.uint64))
+            return pa.table({"part": pa.array([part], pa.int32())})
+
+        part = F.shiftrightunsigned(F.col(key), 64 - self.bits).cast("int")
+        rows.select(part.alias("part"), F.col(key).alias("key"), F.col(value).alias("value")).groupBy("part").applyInArrow(save, "part int").collect()
+
+    def values(self, keys: np.ndarray) -> list[np.ndarray]:
+        """The value of each key, all of which are held."""
+        out: list = [None] * len(keys)
+        part = (keys.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
+        for p in np.unique(part).tolist():
+            at = np.flatnonzero(part == p)
+            ends, held = self.store.load(f"ends-{p}"), self.store.load(f"values-{p}")
+            row = np.searchsorted(self.store.load(f"keys-{p}"), keys[at])
+            for i, lo, hi in zip(at.tolist(), np.where(row > 0, ends[row - 1], 0).tolist(), ends[row].tolist()):
+                out[i] = held[lo:hi]
+        return out
+
+
 def _verified(docs: DataFrame, edges: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
     """The edges (a, b) whose shingle sets reach the similarity, computed on the whole sets."""
     ends = edges.select(F.col("a").alias("k1")).unionAll(edges.select(F.col("b").alias("k1"))).distinct()
@@ -213,25 +250,27 @@ def _verified(docs: DataFrame, edges: DataFrame, texts: DataFrame, k: int, simil
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x.as_py(), k, hashes).tobytes() for x in b.column(1)], pa.binary())], ["k1", "s"])
 
     held = some.select(text_key(F.col("text").cast("string"))[0], F.col("text").cast("string").alias("text")).mapInArrow(tidy(sets), "k1 long, s binary").dropDuplicates(["k1"])
-    both = edges.join(held.select(F.col("k1").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("k1").alias("b"), F.col("s").alias("sb")), "b")
+    found = ValueFile(cut(held), "sets")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                n = len(np.intersect1d(x, y, assume_unique=True))
+            for x, y in zip(*(found.values(b.column(c).to_numpy(zero_copy_only=False)) for c in (0, 1))):
+                n = 0
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                    n = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(n >= similarity * (len(x) + len(y) - n))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(tidy(judge), "a long, b long")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(edges.repartition(parts).mapInArrow(tidy(judge), "a long, b long"))
 
 
 def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, k1, k2, component): every row's class of near-duplicate texts, component one of the class's k1.
 
     Texts are linked whose k-word shingle sets reach the Jaccard similarity: texts equal in all characters (null as
-    empty) always, others as the fingerprints find them. Texts without a word link to equal ones only.
+    empty) always, others as the fingerprints find them; no pair is linked whose whole sets don't reach it. Texts without a word link to equal ones only.
     """
     rows = cut(_fingerprinted(docs, k))
     texts = cut(rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")))
@@ -239,22 +278,17 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     mean = differing(similarity)
     sigma = sqrt(mean * (1 - mean))
     budget = int(64 * mean + 3 * sigma * 8) + 1
-    low, high = BITS * mean - 2.5 * sigma * sqrt(BITS), BITS * mean + 3.5 * sigma * sqrt(BITS)
+    high = BITS * mean + 3.5 * sigma * sqrt(BITS)
     wordy = texts.where("fp is not null")
     spark_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a few tables join most of a large group; the others then look for links between what is still apart
-    first, judged = None, None
+    final, linked = None, None
     for tables in (range(FIRST_TABLES), range(FIRST_TABLES, TABLES)):
-        labelled = wordy.withColumn("label", F.col("k1")) if first is None else wordy.join(first, wordy.k1 == first.node, "left").select("k1", "fp", F.coalesce("component", "k1").alias("label"))
+        labelled = wordy.withColumn("label", F.col("k1")) if final is None else wordy.join(final, wordy.k1 == final.node, "left").select("k1", "fp", F.coalesce("component", "k1").alias("label"))
         found = _judged(_candidates(labelled, budget, tables, max(spark_parts, -(-n * len(tables) // 2_000_000))), texts, high)
-        judged = found if judged is None else judged.unionAll(found)
-        first = cut(components(judged.where(F.col("d") <= low).select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-    la, lb = (first.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b"))
-    open_ = judged.where(F.col("d") > low).join(la, "a", "left").join(lb, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-    open_ = cut(open_.select("a", "b"))
-    more = _verified(docs, open_, texts, k, similarity).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    tree = first.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
-    final = components(tree.unionAll(more))
+        more = _verified(docs, found.select("a", "b"), texts, k, similarity)
+        linked = more if linked is None else linked.unionAll(more)
+        final = cut(components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
     named = texts.join(final, texts.k1 == final.node, "left").select("k1", "k2", F.coalesce("component", "k1").alias("component"))
     return rows.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "k1", "k2", "component")
 

@@ -91,3 +91,18 @@ def test_keep_one_and_odd_inputs(spark):
     left = Counter(r.doc_id for r in got.collect())
     assert left == Counter([3, 4, None, 7, 6])
     assert N.keep_one(docs.limit(0)).collect() == []
+
+
+def test_unlike_short_texts_of_one_fingerprint_stay_apart(spark, make_docs):
+    hashes, seen = N._Hashes(), {}
+    texts = [f"a{i} b{i}" for i in range(3000)]
+    for t in texts:  # place and sign are all that a single shingle leaves
+        h = int(N.shingle_set(t, 5, hashes)[0])
+        seen.setdefault((h >> 52, h & 1), []).append(t)
+    alike = next(x for x in seen.values() if len(x) > 1)[:2]
+    bits = N.wide_bits([N.shingle_set(t, 5, hashes) for t in alike])
+    assert (bits[0] == bits[1]).all()
+    docs = make_docs([(i, t, "s") for i, t in enumerate([*alike, alike[0].upper()])])
+    comp = {r.doc_id: r.component for r in N.classes(docs).collect()}
+    assert comp[0] == comp[2] != comp[1]
+    assert sorted(r.doc_id for r in N.keep_one(docs).collect()) == [0, 1]
