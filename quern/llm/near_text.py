@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import components, cut, scratch, text_key, tidy
 from quern.llm.kneser_ney import Store, _Hashes
-from quern.llm.simhash import _ranges
+from quern.llm.simhash import _ranges, trie_pairs
 
 BITS, FOLD, BLOCK = 1024, 4096, 16
 TABLES = BITS // BLOCK
@@ -116,9 +116,46 @@ def _fingerprinted(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(text), text.alias("text")).mapInArrow(tidy(run), "doc_id long, k1 long, k2 long, fp binary")
 
 
-def _candidates(texts: DataFrame, budget: int, tables: range, partitions: int) -> DataFrame:
+class ValueFile:
+    """Byte strings of whole 64-bit words by their long key, as arrays in the shared folder that workers map: pairs are
+    compared without a copy of both values for every pair."""
+
+    def __init__(self, rows: DataFrame, name: str, part_bytes: int = 32_000_000):
+        key, value = rows.columns
+        size = rows.agg(F.sum(F.octet_length(value))).first()[0] or 0
+        self.bits = max(5, int(np.ceil(np.log2(max(1, size / part_bytes)))))
+        self.store = store = Store(scratch(rows.sparkSession, name))
+
+        def save(t: pa.Table) -> pa.Table:
+            part = t["part"][0].as_py()
+            keys = t["key"].to_numpy()
+            order = np.argsort(keys)
+            values = [t["value"][i].as_py() for i in order.tolist()]
+            store.save(f"keys-{part}", keys[order])
+            store.save(f"ends-{part}", np.cumsum([len(x) // 8 for x in values]))
+            store.save(f"values-{part}", np.frombuffer(b"".join(values), np.uint64))
+            return pa.table({"part": pa.array([part], pa.int32())})
+
+        part = F.shiftrightunsigned(F.col(key), 64 - self.bits).cast("int")
+        rows.select(part.alias("part"), F.col(key).alias("key"), F.col(value).alias("value")).groupBy("part").applyInArrow(save, "part int").collect()
+
+    def values(self, keys: np.ndarray) -> list[np.ndarray]:
+        """The value of each key, all of which are held."""
+        out: list = [None] * len(keys)
+        part = (keys.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
+        for p in np.unique(part).tolist():
+            at = np.flatnonzero(part == p)
+            ends, held = self.store.load(f"ends-{p}"), self.store.load(f"values-{p}")
+            row = np.searchsorted(self.store.load(f"keys-{p}"), keys[at])
+            for i, lo, hi in zip(at.tolist(), np.where(row > 0, ends[row - 1], 0).tolist(), ends[row].tolist()):
+                out[i] = held[lo:hi]
+        return out
+
+
+def _candidates(texts: DataFrame, fps: ValueFile, budget: int, most: float, tables: range, partitions: int, every: bool) -> DataFrame:
     """(a, b), a < b: texts (k1, fp, label) that share one of these blocks, differ within the budget in the 64 bits
-    behind it, and aren't of one label."""
+    behind it and in at most ``most`` of all bits, and aren't of one label: every such pair, or else those that
+    ``group_links`` gives."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,26 +173,18 @@ def _candidates(texts: DataFrame, budget: int, tables: range, partitions: int) -
         if not parts:
             return
         head, sub, key, label = (np.concatenate(x) for x in zip(*parts))
-        i, j = group_links(sub.view(np.uint64), head, budget, label)
-        a, b = np.minimum(key[i], key[j]), np.maximum(key[i], key[j])
-        pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-        for at in range(0, len(pairs), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[at : at + 100_000, c])) for c in (0, 1)], ["a", "b"])
-
-    return dealt.mapInArrow(tidy(meet), "a long, b long").distinct()
+        # sorted as signed longs: with the sign bit turned over, which no distance sees, they are sorted as unsigned ones
+        bits = sub.view(np.uint64) ^ np.uint64(1 << 63)
+        for i, j in trie_pairs(bits, head, budget, label) if every else [group_links(bits, head, budget, label)]:
+            for at in range(0, len(i), 1 << 15):
+                x, y = key[i[at : at + (1 << 15)]], key[j[at : at + (1 << 15)]]
+                some, back = np.unique(np.r_[x, y], return_inverse=True)
+                fp = np.array(fps.values(some), np.uint64).reshape(len(some), -1)
+                d = np.bitwise_count(fp[back[: len(x)]] ^ fp[back[len(x) :]]).sum(axis=1, dtype=np.int32)
+                near = (d <= most) & (x != y)
+                yield pa.RecordBatch.from_arrays([pa.array(f(x[near], y[near])) for f in (np.minimum, np.maximum)], ["a", "b"])
 
-
-def _judged(pairs: DataFrame, texts: DataFrame, most: float) -> DataFrame:
-    """(a, b, d): the pairs that differ in at most so many of all bits."""
-    fps = texts.select("k1", "fp")
-    both = pairs.join(fps.select(F.col("k1").alias("a"), F.col("fp").alias("fa")), "a").join(fps.select(F.col("k1").alias("b"), F.col("fp").alias("fb")), "b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in (2, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32))], ["a", "b", "d"])
-
-    return cut(both.select("a", "b", "fa", "fb").mapInArrow(tidy(compare), "a long, b long, d int").where(F.col("d") <= most))
+    return cut(dealt.mapInArrow(tidy(meet), "a long, b long").distinct())
 
 
 class KeyFile:
@@ -202,42 +231,6 @@ def _holding(docs: DataFrame, keys: KeyFile, want: bool) -> DataFrame:
     return marked.mapInArrow(tidy(run), docs.schema)
 
 
-class ValueFile:
-    """Byte strings of whole 64-bit words by their long key, as arrays in the shared folder that workers map: pairs are
-    compared without a copy of both values for every pair."""
-
-    def __init__(self, rows: DataFrame, name: str, part_bytes: int = 32_000_000):
-        key, value = rows.columns
-        size = rows.agg(F.sum(F.octet_length(value))).first()[0] or 0
-        self.bits = max(5, int(np.ceil(np.log2(max(1, size / part_bytes)))))
-        self.store = store = Store(scratch(rows.sparkSession, name))
-
-        def save(t: pa.Table) -> pa.Table:
-            part = t["part"][0].as_py()
-            keys = t["key"].to_numpy()
-            order = np.argsort(keys)
-            values = [t["value"][i].as_py() for i in order.tolist()]
-            store.save(f"keys-{part}", keys[order])
-            store.save(f"ends-{part}", np.cumsum([len(x) // 8 for x in values]))
-            store.save(f"values-{part}", np.frombuffer(b"".join(values), np.uint64))
-            return pa.table({"part": pa.array([part], pa.int32())})
-
-        part = F.shiftrightunsigned(F.col(key), 64 - self.bits).cast("int")
-        rows.select(part.alias("part"), F.col(key).alias("key"), F.col(value).alias("value")).groupBy("part").applyInArrow(save, "part int").collect()
-
-    def values(self, keys: np.ndarray) -> list[np.ndarray]:
-        """The value of each key, all of which are held."""
-        out: list = [None] * len(keys)
-        part = (keys.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
-        for p in np.unique(part).tolist():
-            at = np.flatnonzero(part == p)
-            ends, held = self.store.load(f"ends-{p}"), self.store.load(f"values-{p}")
-            row = np.searchsorted(self.store.load(f"keys-{p}"), keys[at])
-            for i, lo, hi in zip(at.tolist(), np.where(row > 0, ends[row - 1], 0).tolist(), ends[row].tolist()):
-                out[i] = held[lo:hi]
-        return out
-
-
 def _verified(docs: DataFrame, edges: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
     """The edges (a, b) whose shingle sets reach the similarity, computed on the whole sets."""
     ends = edges.select(F.col("a").alias("k1")).unionAll(edges.select(F.col("b").alias("k1"))).distinct()
@@ -281,12 +274,14 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     high = BITS * mean + 3.5 * sigma * sqrt(BITS)
     wordy = texts.where("fp is not null")
     spark_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a few tables join most of a large group; the others then look for links between what is still apart
+    fps = ValueFile(wordy.select("k1", "fp"), "fingerprints")
+    # forests of a few tables join most of a large group; what their edges passed over, and all that is still apart, is
+    # then looked for in every table, pair by pair
     final, linked = None, None
-    for tables in (range(FIRST_TABLES), range(FIRST_TABLES, TABLES)):
+    for tables, every in ((range(FIRST_TABLES), False), (range(TABLES), True)):
         labelled = wordy.withColumn("label", F.col("k1")) if final is None else wordy.join(final, wordy.k1 == final.node, "left").select("k1", "fp", F.coalesce("component", "k1").alias("label"))
-        found = _judged(_candidates(labelled, budget, tables, max(spark_parts, -(-n * len(tables) // 2_000_000))), texts, high)
-        more = _verified(docs, found.select("a", "b"), texts, k, similarity)
+        found = _candidates(labelled, fps, budget, high, tables, max(spark_parts, -(-n * len(tables) // 2_000_000)), every)
+        more = _verified(docs, found, texts, k, similarity)
         linked = more if linked is None else linked.unionAll(more)
         final = cut(components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
     named = texts.join(final, texts.k1 == final.node, "left").select("k1", "k2", F.coalesce("component", "k1").alias("component"))

@@ -115,6 +115,68 @@ def trie_links(keys: np.ndarray, budget: int, skip: int = 0, leaf: int = 16, ste
     return lab
 
 
+def _halves(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, t: int) -> np.ndarray:
+    """Of each range [lo, hi) of sorted keys that agree in their first t bits, the first place whose bit t is set."""
+    lo, hi = lo.copy(), hi.copy()
+    while (open_ := lo < hi).any():
+        mid = (lo + hi) // 2
+        up = keys[np.minimum(mid, len(keys) - 1)] >> np.uint64(63 - t) & U1 == 1
+        hi = np.where(open_ & up, mid, hi)
+        lo = np.where(open_ & ~up, mid + 1, lo)
+    return lo
+
+
+def trie_pairs(keys: np.ndarray, heads: np.ndarray, budget: int, label: np.ndarray, leaf: int = 64, step: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i, j), i < j, of one head and different labels whose 64-bit keys differ in at most ``budget`` bits, some
+    at a time. Rows are sorted by head and key; every head roots a trie. Nodes of one label are not walked."""
+    n = len(keys)
+    if n < 2:
+        return
+    cuts = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1], True])
+    lo, hi = cuts[:-1], cuts[1:]
+    many = hi - lo > 1
+    changes = np.cumsum(np.r_[0, label[1:] != label[:-1]])
+    stack = [(0, lo[many], hi[many], lo[many], hi[many], np.zeros(many.sum(), np.int8))]
+    while stack:
+        t, al, ah, bl, bh, err = stack.pop()
+        if len(al) > step:
+            half = len(al) // 2
+            stack += [(t, *(x[:half] for x in (al, ah, bl, bh, err))), (t, *(x[half:] for x in (al, ah, bl, bh, err)))]
+            continue
+        one = (changes[ah - 1] == changes[al]) & (changes[bh - 1] == changes[bl]) & (label[al] == label[bl])
+        small = ((ah - al) * (bh - bl) <= leaf) | (t >= 64)
+        now = small & ~one
+        of, first = _ranges(al[now], ah[now])
+        first_j = np.where((al == bl)[now][of], first + 1, bl[now][of])
+        last_j = bh[now][of]
+        total = np.cumsum(last_j - first_j)
+        at = 0
+        while at < len(first):  # a million comparisons at a time
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), "right")))
+            of2, j = _ranges(first_j[at:end], last_j[at:end])
+            i = first[at:end][of2]
+            near = (np.bitwise_count(keys[i] ^ keys[j]) <= budget) & (label[i] != label[j])
+            if near.any():
+                yield i[near], j[near]
+            at = end
+        go = ~small & ~one
+        if not go.any():
+            continue
+        al, ah, bl, bh, err = (x[go] for x in (al, ah, bl, bh, err))
+        own = al == bl
+        am, bm = _halves(keys, al, ah, t), _halves(keys, bl, bh, t)
+        kids = [
+            (al, am, bl, bm, err, np.ones(len(al), bool)),
+            (am, ah, bm, bh, err, np.ones(len(al), bool)),
+            (al, am, bm, bh, err + 1, err < budget),
+            (am, ah, bl, bm, err + 1, (err < budget) & ~own),
+        ]
+        rows = [np.concatenate(x) for x in zip(*kids)]
+        ok = rows[5] & (rows[1] > rows[0]) & (rows[3] > rows[2]) & ~((rows[0] == rows[2]) & (rows[1] - rows[0] < 2))
+        if ok.any():
+            stack.append((t + 1, *(x[ok] for x in rows[:5])))
+
+
 def _blocks(budget: int) -> list[tuple[int, int]]:
     """(first bit, bits) of the budget + 1 blocks of 64 bits."""
     cuts = np.linspace(0, 64, budget + 2).astype(int).tolist()

@@ -106,3 +106,19 @@ def test_unlike_short_texts_of_one_fingerprint_stay_apart(spark, make_docs):
     comp = {r.doc_id: r.component for r in N.classes(docs).collect()}
     assert comp[0] == comp[2] != comp[1]
     assert sorted(r.doc_id for r in N.keep_one(docs).collect()) == [0, 1]
+
+
+def test_pairs_that_a_forest_passes_over_are_found(spark, make_docs, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), *(" ".join(f"x{rng.randrange(10**9)}" for _ in range(50)) for _ in range(20))]
+    blocks = np.random.default_rng(8).integers(0, 2**16, (22, 64), dtype=np.uint16)
+    # the first two share the first block alone, where the others lie halfway between them in the 64 bits behind it
+    blocks[1] = blocks[0] ^ np.uint16(3)
+    blocks[1:, 0] = blocks[0, 0]
+    blocks[1, 1:5] = blocks[0, 1:5] ^ np.array([7, 7, 3, 3], np.uint16)
+    blocks[2:, 1:5] = blocks[0, 1:5] ^ np.array([7, 3, 0, 0], np.uint16)
+    fps = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(blocks)], "doc_id long, fp binary")
+    monkeypatch.setattr(N, "_fingerprinted", lambda docs, k: docs.select("doc_id", *N.text_key(docs["text"])).join(fps, "doc_id"))
+    comp = {r.doc_id: r.component for r in N.classes(make_docs([(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert comp[0] == comp[1] and len(set(comp.values())) == 21

@@ -79,3 +79,19 @@ def test_empty_repeated_and_null_rows(spark, make_docs):
     rows = [(1, "a b c", "s"), (1, "a b c", "s"), (None, "a b c", "s"), (None, "x y z q", None)]
     got = sorted(map(tuple, simhash.near_duplicates(make_docs(rows)).select("doc_id", "component_id").collect()), key=str)
     assert got == sorted([(1, 1), (1, 1), (None, 1), (None, None)], key=str)
+
+
+def test_trie_pairs_are_all_pairs_of_different_labels():
+    rng = np.random.default_rng(4)
+    heads = np.sort(rng.integers(0, 5, 700))
+    base = rng.integers(0, 2**64, 6, dtype=np.uint64)
+    keys = base[rng.integers(0, 6, 700)] ^ (np.uint64(1) << rng.integers(0, 64, 700, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 700, dtype=np.uint64))
+    keys[::9] = base[0]
+    order = np.lexsort((keys, heads))
+    heads, keys, label = heads[order], keys[order], rng.integers(0, 40, 700)
+    near = (heads[:, None] == heads) & (label[:, None] != label)
+    for budget in (2, 4, 19):
+        want = {(i, j) for i, j in zip(*np.nonzero(np.triu(near & (np.bitwise_count(keys[:, None] ^ keys) <= budget), 1)))}
+        for leaf in (1, 64):
+            got = [(i, j) for x in simhash.trie_pairs(keys, heads, budget, label, leaf=leaf, step=100) for i, j in zip(*x)]
+            assert len(got) == len(set(got)) and set(got) == want
