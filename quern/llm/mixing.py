@@ -2,8 +2,11 @@
 
 A source of weight w = a / P releases its block j at slot floor(j / w) and must have it placed by slot ceil((j + 1) / w).
 One block goes out a slot, of the released blocks the one with the earliest deadline; as the weights sum to one, no
-deadline is missed, and after every slot each source is less than one block off its share. The schedule repeats after P
-slots, so that one period, which the driver makes from the weights alone, places blocks of any number of rows.
+deadline is missed, and after every slot each source is less than one block off its share.
+
+The weights are taken as they are, as exact rationals over the whole run: the driver schedules the blocks that have rows
+(some numbers each), and a source that has run out no longer takes part. Where a period is asked for, the weights are
+rounded to whole blocks of it, and that schedule repeats.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +80,10 @@ class Plan:
     before: np.ndarray  # (period, sources): blocks of each source in the slots before
     block_rows: int
 
+    @property
+    def targets(self) -> np.ndarray:
+        return self.blocks / len(self.before)
+
     @staticmethod
     def of(weights: dict, rows: dict, block_rows: int, period: int) -> Plan:
         blocks = shares(weights, period)
@@ -110,12 +118,72 @@ class Plan:
         return block, turn * period + self.releases[source][j], turn * period + self.deadlines[source][j], slot, position[back] + rank % self.block_rows
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+def whole_run(weights: dict, blocks: dict) -> dict[object, np.ndarray]:
+    """Of each source with blocks, the (release, deadline, slot) of each of them, by earliest deadline first from the
+    exact weights. Sources without blocks, or with no more, leave their slots empty."""
+    if min(weights.values()) <= 0:
+        raise ValueError("every source needs a weight above 0")
+    names = sorted((s for s in weights if blocks.get(s)), key=lambda s: (s is not None, s or ""))
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    total = sum(exact.values())
+    turn = [(total / exact[s]).as_integer_ratio() for s in names]  # slots from one block to the next
+    out = [np.empty((3, blocks[s]), np.int64) for s in names]
+    waiting = [(0, i, 0) for i in range(len(names))]
+    ready: list[tuple] = []
+    t = 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
+        while waiting and waiting[0][0] <= t:
+            release, i, j = heapq.heappop(waiting)
+            up, down = turn[i]
+            heapq.heappush(ready, (-(-(j + 1) * up // down), i, j, release))
+        deadline, i, j, release = heapq.heappop(ready)
+        out[i][:, j] = release, deadline, t
+        if j + 1 < out[i].shape[1]:
+            up, down = turn[i]
+            heapq.heappush(waiting, ((j + 1) * up // down, i, j + 1))
+        t += 1
+    return dict(zip(names, out))
+
+
+@dataclass
+class WholeRun:
+    """Release, deadline, slot and first position of every block of every source."""
+
+    names: dict
+    targets: np.ndarray
+    blocks: list[np.ndarray]
+    block_rows: int
+
+    @staticmethod
+    def of(weights: dict, rows: dict, block_rows: int) -> WholeRun:
+        found = whole_run(weights, {s: -(-n // block_rows) for s, n in rows.items()})
+        names = list(found)
+        sizes = [np.minimum(block_rows, rows[s] - np.arange(found[s].shape[1]) * block_rows) for s in names]
+        size = np.concatenate([*sizes, np.zeros(0, np.int64)])
+        order = np.argsort(np.concatenate([*(found[s][2] for s in names), np.zeros(0, np.int64)]))
+        first = np.empty(len(size), np.int64)
+        first[order] = np.cumsum(size[order]) - size[order]
+        cuts = np.cumsum([len(x) for x in sizes])[:-1]
+        total = sum(map(Fraction, weights.values()))
+        targets = np.array([float(Fraction(weights[s]) / total) for s in names])
+        return WholeRun({s: i for i, s in enumerate(names)}, targets, [np.vstack([found[s], x]) for s, x in zip(names, np.split(first, cuts))], block_rows)
+
+    def place(self, source: int, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(block, release, deadline, slot, position) of the rows of one source with these ranks."""
+        block = rank // self.block_rows
+        release, deadline, slot, first = self.blocks[source][:, block]
+        return block, release, deadline, slot, first + rank % self.block_rows
+
+
+def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, period: int | None = None) -> DataFrame:
     """(doc_id, source, k1, k2, target, block, release, deadline, slot, position): where every row goes in the mixture.
 
     weights: of each source; without them, the square root of its rows. Within a source rows are ordered by a hash, so
     that its blocks are alike. position is gapless from 0. A source that runs out leaves its later slots empty, and the
-    others keep their order and their weights among each other; no row is dropped or repeated. A null source is a
+    others keep their weights among each other; no row is dropped or repeated. target is the given weight over all weights,
+    or with a ``period`` its blocks in one. A null source is a
     source; one without a weight is an error. k1 and k2 hash the text (null as empty) and name the row with doc_id.
     """
     from quern.llm.common import text_key
@@ -129,7 +197,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
         weights = {s: n**0.5 for s, n in counts.items()}
     if missing := [s for s in counts if s not in weights]:
         raise ValueError(f"sources without a weight: {missing[:5]}")
-    plan = docs.sparkSession.sparkContext.broadcast(Plan.of(weights, counts, block_rows, period) if weights else None)
+    plan = docs.sparkSession.sparkContext.broadcast((Plan.of(weights, counts, block_rows, period) if period else WholeRun.of(weights, counts, block_rows)) if weights else None)
     order = ranked(rows, ["source"], ["h", "doc_id", "k1", "k2"], "rank")
     names = ["doc_id", "source", "k1", "k2"]
 
@@ -143,14 +211,14 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
                 at = np.flatnonzero(source == s)
                 for o, v in zip(out, p.place(s, rank[at])):
                     o[at] = v
-            target = p.blocks[source] / len(p.before) if len(source) else np.zeros(0)
+            target = p.targets[source] if len(source) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(target, pa.float64()), *map(pa.array, out)], [*names, "target", "block", "release", "deadline", "slot", "position"])
 
     schema = "doc_id long, source string, k1 long, k2 long, target double, block long, release long, deadline long, slot long, position long"
     return order.select(*names, "rank").mapInArrow(tidy(run), schema)
 
 
-def reorder(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+def reorder(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, period: int | None = None) -> DataFrame:
     """All rows of docs, all columns as they are, sorted into the mixture's order: partition by partition, row by row."""
     from quern.llm.common import text_key
 

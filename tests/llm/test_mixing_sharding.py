@@ -56,6 +56,28 @@ def test_mix_places_every_row_as_brute_force_does(spark):
     assert mixing.mix(docs.limit(0)).collect() == [] and mixing.reorder(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("weights", [{"a": 12.5, "b": 987.5}, {"hot": 0.995, **{f"s{i}": 0.0001 for i in range(50)}}, {"a": 2**0.5, "b": 3**0.5, None: 0.01}])
+def test_whole_run_stays_within_one_block_of_the_weights(weights):
+    total, slots = sum(weights.values()), 30_000
+    run = mixing.whole_run(weights, {s: int(w / total * slots) + 1 for s, w in weights.items()})
+    used = np.concatenate([x[2] for x in run.values()])
+    assert len(set(used.tolist())) == len(used)
+    for s, (release, deadline, slot) in run.items():
+        assert (release <= slot).all() and (slot < deadline).all()
+        j, share = np.arange(len(slot)), weights[s] / total
+        # the furthest ahead after a block, the furthest behind before it
+        assert (j + 1 - (slot + 1) * share < 1 + 1e-9).all() and (j - slot * share > -1 - 1e-9).all()
+
+
+def test_mix_follows_the_given_weights_over_many_periods(spark):
+    n = {"a": 200, "b": 15_800}
+    docs = spark.range(sum(n.values())).selectExpr("id as doc_id", "string(id) as text", f"if(id < {n['a']}, 'a', 'b') as source")
+    got = mixing.mix(docs, {"a": 12.5, "b": 987.5}, block_rows=1).collect()
+    assert sorted(r.position for r in got) == list(range(len(got)))
+    assert {r.source: r.target for r in got} == {"a": 0.0125, "b": 0.9875}
+    assert all(abs(r.block - r.slot * r.target) <= 1 and r.release <= r.slot < r.deadline for r in got)
+
+
 def test_allot_equals_a_walk_of_single_keys():
     rng = np.random.default_rng(2)
     _, owner = sharding.ring(5, 8)
