@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from quern.llm import kneser_ney
 from quern.llm.common import cut
 
-#: Trusted documents that the model is fitted on, and that thresholds are taken from, at most: those with the smallest
-#: hash of their doc_id.
-MAX_TRUSTED, MAX_CALIBRATION = 20_000, 5_000
 #: A document's mean is taken together with so many tokens of its language's mean, so that short texts aren't judged by
 #: a few rare words.
 PRIOR_TOKENS = 30
@@ -53,27 +50,39 @@ def thresholds(lang: list[str | None], score: np.ndarray, tokens: np.ndarray, qu
     return out
 
 
-def trusted(labels: DataFrame, max_trusted: int = MAX_TRUSTED, max_calibration: int = MAX_CALIBRATION) -> DataFrame:
+def thresholds_of(held: DataFrame, quantile: float = QUANTILE, rows: int = 50) -> Thresholds:
+    """``thresholds`` of all rows (lang, score, n_tokens) of held, worked out in Spark. Means are rounded, so that the order
+    of a sum can't move them."""
+    mean = F.round(F.sum("score") / F.sum("n_tokens"), 9)
+    any_mean = held.agg(mean).first()[0]
+    if any_mean is None:
+        return thresholds([], np.zeros(0), np.zeros(0), quantile)
+    named = held.where("lang <> ''")
+    by = {r.lang: r.m for r in named.groupBy("lang").agg(mean.alias("m"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= rows).collect()}
+    least = lambda m: F.percentile(adjusted(F.col("score"), F.col("n_tokens"), m), F.lit(1 - quantile))
+    of = F.coalesce(*(F.when(F.col("lang") == x, F.lit(m)) for x, m in sorted(by.items())), F.lit(any_mean))
+    found = {r.lang: r.q for r in named.groupBy("lang").agg(least(of).alias("q")).collect()}
+    return Thresholds(by, {x: found[x] for x in by}, any_mean, held.agg(least(F.lit(any_mean))).first()[0])
+
+
+def trusted(labels: DataFrame) -> DataFrame:
     """(doc_id, fit): labelled rows of quality 1; a fifth of them, by crc32 of doc_id, only calibrates (fit is false)."""
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("q")).where("q = 1")
-    good = good.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 != 0).alias("fit"))
-    pick = lambda fit, n: good.where(F.col("fit") == fit).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    return cut(pick(True, max_trusted).unionAll(pick(False, max_calibration)))
+    return cut(good.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 != 0).alias("fit")))
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED, max_calibration: int = MAX_CALIBRATION, quantile: float = QUANTILE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, n_tokens, n_known, score, perplexity, threshold, kept) of every document.
 
     perplexity is 10 ** (-score / n_tokens), threshold the largest adjusted perplexity that the document's language
     keeps (see PRIOR_TOKENS). Null and empty texts are their end alone; repeated rows are answered one by one. Without
     trusted documents everything is kept.
     """
-    chosen = trusted(labels, max_trusted, max_calibration)  # at most max_trusted + max_calibration rows: a broadcast
+    chosen = trusted(labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    some = cut(rows.join(F.broadcast(chosen), "doc_id"))
+    some = cut(rows.join(chosen, "doc_id"))
     model = kneser_ney.train(some.where("fit"), "quality-model")
-    held = kneser_ney.score(some.where("not fit"), model, ["doc_id", "lang"]).orderBy("doc_id", "score").collect()
-    t = thresholds([r.lang for r in held], np.array([r.score for r in held], float), np.array([r.n_tokens for r in held], float), quantile)
+    t = thresholds_of(cut(kneser_ney.score(some.where("not fit"), model, ["doc_id", "lang"])), quantile)
     found = kneser_ney.score(rows, model, ["doc_id", "lang"])
     of = lambda by, other: F.coalesce(*(F.when(F.col("lang") == x, F.lit(v)) for x, v in sorted(by.items())), F.lit(other))
     found = found.withColumn("mean", of(t.mean, t.any_mean)).withColumn("least", of(t.least, t.any_least))

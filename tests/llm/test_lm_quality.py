@@ -31,3 +31,15 @@ def test_thresholds_are_the_languages_quantiles():
     assert set(t.least) == {"a", "b"}
     for x, part in (("a", slice(0, 200)), ("b", slice(200, 390))):
         assert np.mean(Q.adjusted(score[part], tokens[part], t.mean[x]) >= t.least[x]) == 0.9
+
+
+def test_a_rare_language_has_its_own_quantile_in_a_large_corpus(spark):
+    rng = np.random.default_rng(1)
+    lang = ["big"] * 20_000 + ["rare"] * 100 + ["few"] * 10 + [None] * 5
+    score, tokens = -rng.random(len(lang)) * 300 - 10, rng.integers(20, 200, len(lang))
+    held = spark.createDataFrame(list(zip(lang, score.tolist(), tokens.tolist())), "lang string, score double, n_tokens long")
+    got, want = Q.thresholds_of(held, 0.9), Q.thresholds(lang, score, tokens, 0.9)
+    assert set(got.least) == {"big", "rare"} and np.allclose([got.any_mean, got.any_least], [want.any_mean, want.any_least])
+    assert all(np.isclose(got.least[x], want.least[x]) and np.isclose(got.mean[x], want.mean[x]) for x in got.least)
+    labels = spark.range(40_000).selectExpr("id as doc_id", "1 as quality")
+    assert Q.trusted(labels).count() == 40_000
