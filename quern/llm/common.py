@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -11,7 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that one ranking bucket should hold, so that a window never sorts an unbounded group. Of n rows, n / BUCKET_ROWS
@@ -35,11 +38,13 @@ def small_batches(spark: SparkSession) -> None:
     if sc.applicationId not in _SHIPPED:
         _SHIPPED.add(sc.applicationId)
         top = Path(__file__).resolve().parent.parent
-        path = f"{tempfile.mkdtemp()}/{top.name}.zip"
+        folder = tempfile.mkdtemp()
+        path = f"{folder}/{top.name}.zip"
         with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
             for f in sorted(top.rglob("*.py")):
                 z.write(f, f"{top.name}/{f.relative_to(top)}")
         sc.addPyFile(path)
+        atexit.register(shutil.rmtree, folder, True)
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
@@ -65,7 +70,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset, as in tests, a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session, as in tests,
+    takes a temporary one; on a cluster, whose executors would not see that, it is an error."""
     small_batches(spark)
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
@@ -73,6 +79,8 @@ def shared_dir(spark: SparkSession) -> str:
     now = spark.sparkContext._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
     spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -102,52 +110,71 @@ def text_key(text) -> list:
     return [F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(7), t).alias("k2")]
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], out: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def unused(taken: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column has, in any case."""
+    have = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str], out: str, bucket_rows: int = BUCKET_ROWS, copies: int = 1 << 16) -> DataFrame:
     """Adds ``out``: each row's rank from 0 in its group, ordered by the first of ``order`` (a long, spread over its whole
     range like a hash) and then by the rest.
 
     A group may hold any share of the rows: it is cut into ranges of the first order column, the ranges are counted
-    (one small row each), and only ranges are sorted.
+    (one small row each), and only ranges are sorted. Equal rows are counted first and take consecutive ranks; where one
+    is repeated over ``copies`` times, several tasks write its copies out again.
     """
-    df = cut(df)
-    total = df.count()
+    names = df.columns
+    n, b, at, begin, before, chunk = unused([*names, out], "n", "b", "at", "begin", "before", "chunk")
+    df = cut(df.groupBy(*names).agg(F.count(F.lit(1)).alias(n)))
+    total, most = df.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(1))).first()
     bucket_rows = max(bucket_rows, int(total**0.5))
     bits = max(0, min(40, int(np.ceil(np.log2(max(1, total / bucket_rows))))))
     # signed order: the arithmetic shift keeps it
-    bucket = F.shiftright(F.col(order[0]), 64 - bits) if bits else F.lit(0).cast("long")
-    df = df.withColumn("__b", bucket)
-    part = [*group, "__b"]
-    sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("__n"))
-    from pyspark.sql import Window
-
+    df = df.withColumn(b, F.shiftright(F.col(order[0]), 64 - bits) if bits else F.lit(0).cast("long"))
+    part = [*group, b]
     # the groups' ranges: total / bucket_rows of them a group at most
-    before = F.sum("__n").over(Window.partitionBy(*group).orderBy(F.col("__b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)) if group else None
-    if group:
-        offsets = sizes.withColumn("__at", F.coalesce(before, F.lit(0))).drop("__n")
-    else:
-        offsets = sizes.withColumn("__at", F.coalesce(F.sum("__n").over(Window.orderBy(F.col("__b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    within = F.row_number().over(Window.partitionBy(*part).orderBy(*[F.col(c).asc_nulls_first() for c in order])) - 1
-    o = offsets.select(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(part)], "__at")
+    sizes = df.groupBy(*part).agg(F.sum(n).alias(before))
+    ranges = Window.partitionBy(*group).orderBy(F.col(b).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn(at, F.coalesce(F.sum(before).over(ranges), F.lit(0)))
+    ends = unused([*df.columns, out, before, at], *(f"o{i}" for i in range(len(part))))
+    offsets = offsets.select(*[F.col(c).alias(o) for c, o in zip(part, ends)], at)
     on = F.lit(True)
-    for i, c in enumerate(part):
-        on = on & F.col(c).eqNullSafe(F.col(f"__o{i}"))
-    return (
-        df.withColumn("__w", within)
-        .join(o, on)
-        .withColumn(out, (F.col("__at") + F.col("__w")).cast("long"))
-        .drop("__b", "__w", "__at", *[f"__o{i}" for i in range(len(part))])
-    )
+    for c, o in zip(part, ends):
+        on = on & F.col(c).eqNullSafe(F.col(o))
+    rows = Window.partitionBy(*part).orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    found = df.withColumn(before, F.coalesce(F.sum(n).over(rows), F.lit(0))).join(offsets, on)
+    found = found.select(*names, n, (F.col(at) + F.col(before)).cast("long").alias(begin))
+    if most == 1:
+        return found.select(*names, F.col(begin).alias(out))
+    if most > copies:
+        found = found.withColumn(chunk, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(copies).cast("long")))).repartition(begin, chunk)
+        found = found.select(*names, F.least(F.col(n) - F.col(chunk), F.lit(copies)).alias(n), (F.col(begin) + F.col(chunk)).alias(begin))
+    return found.withColumn(chunk, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))).select(*names, (F.col(begin) + F.col(chunk)).alias(out))
+
 
+#: Links that one task joins, at most: 16 bytes each, and some arrays of their ends.
+TASK_LINKS = 1_000_000
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+
+def components(edges: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     """Connected components of (src, dst) longs: one row (node, component) for each node, component its smallest node.
 
-    Large-star and small-star rounds; each round aggregates a node's neighbours to their minimum, so that a hub is
-    never gathered in one task. No edges give no rows.
+    While there are more links than a task takes: large-star and small-star rounds, until nothing changes; each
+    aggregates a node's neighbours to their minimum, so that a hub is never gathered in one task. Up to ``task_links``
+    are joined in one task, to the same result. No edges give no rows; null ends are left out.
     """
     e = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    if e.count() <= task_links:
+        return cut(e.repartition(1).mapInArrow(tidy(_joined), "node long, component long"))
     last = None
-    for _ in range(most_rounds):
+    while True:
         both = e.unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
         e = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
@@ -158,7 +185,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == last:
             return e.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionAll(e.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
         last = now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+    if not parts:
+        return
+    src, dst = (np.concatenate(x) for x in zip(*parts))
+    nodes, at = np.unique(np.r_[src, dst], return_inverse=True)
+    found = nodes[spanning(len(nodes), at[: len(src)], at[len(src) :])]
+    for a in range(0, len(nodes), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[a : a + (1 << 16)]), pa.array(found[a : a + (1 << 16)])], ["node", "component"])
 
 
 def spanning(n: int, i: np.ndarray, j: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:

@@ -11,10 +11,11 @@ that they would fill one: their bigrams are dealt to all shards by the second wo
 
 from __future__ import annotations
 
+import io
 import json
 import os
-import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlparse
@@ -33,19 +34,22 @@ END, BEGIN = (xxhash.xxh64_intdigest(x, 42) for x in (b"\n", b" "))
 #: Tokens that a task holds before it combines them, and distinct keys before it hands them on.
 BATCH_TOKENS, BUFFER_KEYS = 400_000, 2_000_000
 VOCAB_BYTES, PAIR_BYTES = 48_000_000, 12_000_000
+#: Arrays that a worker maps at once, and bytes of them that it holds where they can't be mapped.
+HELD, HELD_BYTES = 1024, 256 << 20
 
 
 class Store:
-    """Arrays by name in the shared folder: mapped where it is a mounted one, and else fetched once a worker."""
+    """Arrays by name in the shared folder: mapped where it is a mounted one, and else fetched into memory. A worker holds
+    the last ``HELD`` of them, or as many as ``HELD_BYTES`` of fetched ones; others are given back."""
 
     def __init__(self, uri: str):
         self.uri = uri
         parts = urlparse(uri)
         self.local = parts.path if parts.scheme in ("", "file") else None
-        self.held: dict[str, np.ndarray] = {}
+        self.held: OrderedDict[str, np.ndarray] = OrderedDict()
 
     def __getstate__(self):
-        return {"uri": self.uri, "local": self.local, "held": {}}
+        return {"uri": self.uri, "local": self.local, "held": OrderedDict()}
 
     def save(self, name: str, x: np.ndarray) -> None:
         """Whole or not at all: a task that runs twice writes the same file twice."""
@@ -57,22 +61,30 @@ class Store:
             os.replace(part, f"{self.local}/{name}.npy")
             return
         files, path = pafs.FileSystem.from_uri(self.uri)
-        with tempfile.NamedTemporaryFile() as f:
-            np.save(f, x)
-            f.flush()
-            with files.open_output_stream(f"{path}/{name}.npy") as out, open(f.name, "rb") as part:
-                out.write(part.read())
+        files.create_dir(path, recursive=True)
+        data = io.BytesIO()
+        np.save(data, x)
+        with files.open_output_stream(f"{path}/{name}.npy") as out:
+            out.write(data.getbuffer())
 
     def load(self, name: str) -> np.ndarray:
-        if name not in self.held:
+        if name in self.held:
+            self.held.move_to_end(name)
+            return self.held[name]
+        if self.local is None:
+            files, base = pafs.FileSystem.from_uri(self.uri)
+            with files.open_input_stream(f"{base}/{name}.npy") as f:
+                found = np.load(io.BytesIO(f.read()))
+            spare = HELD_BYTES - found.nbytes
+            while self.held and sum(x.nbytes for x in self.held.values()) > spare:
+                self.held.popitem(last=False)
+        else:
             path = f"{self.local}/{name}.npy"
-            if self.local is None:
-                files, base = pafs.FileSystem.from_uri(self.uri)
-                path = f"{tempfile.mkdtemp()}/{name}.npy"
-                with files.open_input_stream(f"{base}/{name}.npy") as f, open(path, "wb") as out:
-                    out.write(f.read())
-            self.held[name] = np.load(path, mmap_mode="r") if os.path.getsize(path) > 128 else np.load(path)
-        return self.held[name]
+            found = np.load(path, mmap_mode="r") if os.path.getsize(path) > 128 else np.load(path)
+        self.held[name] = found
+        if len(self.held) > HELD:
+            self.held.popitem(last=False)
+        return found
 
 
 class _Hashes(dict):

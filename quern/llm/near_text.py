@@ -1,30 +1,44 @@
-"""Near-duplicate filtering by wide SimHash fingerprints of word shingles.
+"""Near-duplicate filtering by wide SimHash fingerprints of word shingles, joined by operator 5's trie walk.
 
 A text's set of k-word shingles is folded into a signed count vector and projected to 1024 bits. Sets of Jaccard
-similarity J have cosine 2J / (1 + J), and each bit differs with the probability angle / pi. This is LSH banding: texts
-that agree on one of the 64 16-bit blocks meet in a group; a pair that shares none (about 1 % at 0.8) is not found. Spanning
-forests of a few tables' groups come first. Then every group roots a trie over the following 64 bits, whose walk gives all
-pairs within an error budget that are still apart. Pairs are judged on all 1024 bits, and every pair that may be one is
-verified on its sets before it links anything: the fold gives texts of few shingles few fingerprints.
+similarity J have cosine 2J / (1 + J), and each bit differs with the probability angle / pi. Many tables each take some
+of the bits as a text's head. Texts of one head root a trie over 64 further bits, whose node pairs ``simhash.trie_pairs``
+walks with an error budget; its pairs are judged on 128 and then on all bits, and last on the whole shingle sets. Only a
+pair whose sets reach the similarity links, and at once: what is linked is not walked again, so that a group of n copies
+costs some n comparisons of sets, and gives n - 1 links.
+
+How many bits a head takes, and so how many tables a pair needs to meet in one, follows from the number of texts
+(``Tables.of``). Sets and fingerprints lie in files in the shared folder that workers map.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, pi, sqrt
+from dataclasses import dataclass
+from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import components, cut, scratch, text_key, tidy
+from quern.llm.common import components, cut, scratch, text_key, tidy, unused
 from quern.llm.kneser_ney import Store, _Hashes
-from quern.llm.simhash import _ranges, trie_pairs
-
-BITS, FOLD, BLOCK = 1024, 4096, 16
-TABLES = BITS // BLOCK
-FIRST_TABLES = 8
+from quern.llm.simhash import Labels, trie_pairs
+
+BITS, FOLD = 1024, 4096
+WORDS = BITS // 64
+#: By how much the share of differing bits strays because of the fold (its standard deviation, by experiment).
+FOLD_SPREAD = 0.011
+#: Texts that should share a head, on average; the share of pairs right at the similarity that no table brings together.
+GROUP_TEXTS, MISSED = 256, 0.0001
+#: Texts of one head that one task takes; larger groups are cut into chunks, and each pair of chunks is a task's.
+TASK_TEXTS = 1_000_000
+#: Words of 64 bits that a file of sets holds before the next one is begun.
+FILE_WORDS = 1 << 23
+#: Sets of fewer shingles are kept in all 64 bits of their hashes, others in 32.
+SMALL_SET = 64
 _MATRIX: list[np.ndarray] = []
 
 
@@ -46,7 +60,7 @@ def wide_bits(sets: list[np.ndarray]) -> np.ndarray:
     """(texts, BITS / 64) fingerprints of shingle sets; empty sets: zeros."""
     if not _MATRIX:
         _MATRIX.append((np.random.default_rng(11).integers(0, 2, (FOLD, BITS), np.int8) * 2 - 1).astype(np.float32))
-    out = np.zeros((len(sets), BITS // 64), np.uint64)
+    out = np.zeros((len(sets), WORDS), np.uint64)
     for at in range(0, len(sets), 256):
         part = sets[at : at + 256]
         row = np.repeat(np.arange(len(part)), [len(x) for x in part])
@@ -63,155 +77,276 @@ def differing(similarity: float) -> float:
     return acos(2 * similarity / (1 + similarity)) / pi
 
 
-def group_links(sub: np.ndarray, heads: np.ndarray, budget: int, label: np.ndarray | None = None, small: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, j) among rows of equal head (rows are sorted by it) whose 64 bits differ within the budget: all links
-    of groups up to ``small`` rows, and of larger ones a spanning forest of the shortest. Rows of one label are linked
-    already, and no link is given between them."""
-    cuts = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1], True])
-    lo, hi = cuts[:-1], cuts[1:]
-    label = np.arange(len(sub)) if label is None else label
-    out = []
-    few = (hi - lo > 1) & (hi - lo <= small)
-    end = np.repeat(hi[few], (hi - lo)[few])
-    _, first = _ranges(lo[few], hi[few])
-    for at in range(0, len(first), 1 << 15):
-        i, e = first[at : at + (1 << 15)], end[at : at + (1 << 15)]
-        of, j = _ranges(i + 1, e)
-        i = i[of]
-        near = (np.bitwise_count(sub[i] ^ sub[j]) <= budget) & (label[i] != label[j])
-        out.append((i[near], j[near]))
-    for a, b in zip(lo[hi - lo > small].tolist(), hi[hi - lo > small].tolist()):
-        keys, have = sub[a:b], label[a:b]
-        if (have == have[0]).all():
-            continue
-        best, via = np.full(b - a, 255, np.uint8), np.zeros(b - a, np.int64)
-        out_of = np.ones(b - a, bool)
-        v = 0
-        ends, starts = [], []
-        for _ in range(b - a - 1):  # Prim: the next row is the one nearest to any taken one, those of its label first
-            out_of[v] = False
-            d = np.where(have == have[v], 0, np.bitwise_count(keys ^ keys[v]) + np.uint8(1))
-            closer = d < best
-            best[closer], via[closer] = d[closer], v
-            v = int(np.where(out_of, best, 255).argmin())
-            if 0 < best[v] <= budget + 1:
-                starts.append(via[v])
-                ends.append(v)
-        out.append((np.array(starts, np.int64) + a, np.array(ends, np.int64) + a))
-    return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-
-
-def _fingerprinted(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, k1, k2, fp): fp holds BITS bits, null where the text has no word."""
+def stored(s: np.ndarray) -> np.ndarray:
+    """A set as it is kept: its size and its hashes, as whole 64-bit words."""
+    x = s
+    if len(s) >= SMALL_SET:
+        short = np.unique((s >> np.uint64(16)).astype(np.uint32))
+        x = np.zeros(len(short) + len(short) % 2, np.uint32)
+        x[: len(short)] = short
+        return np.r_[np.uint64(len(short) << 1 | 1), x.view(np.uint64)]
+    return np.r_[np.uint64(len(s) << 1), x]
+
+
+def reach(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (sorted and distinct) have at least this Jaccard similarity."""
+    if x.dtype != y.dtype:
+        x, y = (z if z.dtype == np.uint32 else np.unique((z >> np.uint64(16)).astype(np.uint32)) for z in (x, y))
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    n = len(np.intersect1d(x, y, assume_unique=True))
+    return n >= similarity * (len(x) + len(y) - n) - 1e-9
+
+
+@dataclass
+class Tables:
+    """The bits that are each table's head, and the budgets of 64, 128 and all bits."""
+
+    columns: np.ndarray  # (tables, width)
+    near: int
+    nearer: int
+    most: int
+
+    @staticmethod
+    def of(texts: int, similarity: float) -> Tables:
+        """Heads of so many bits that about GROUP_TEXTS texts share one, and tables until a pair at the similarity, whose
+        bits differ by a spread more than expected, misses all of them with the probability MISSED."""
+        mean = differing(similarity)
+        width = int(np.clip(ceil(log2(max(1, texts / GROUP_TEXTS))), 4, 40))
+        count = ceil(log(MISSED) / log(1 - (1 - mean - FOLD_SPREAD) ** width))
+        rng = np.random.default_rng(5)
+        spread = lambda n, z: sqrt(mean * (1 - mean) / n + FOLD_SPREAD**2) * z * n
+        # a budget in each table, so that the looser ones cost little recall; all bits are judged once
+        return Tables(np.stack([rng.choice(BITS, width, replace=False) for _ in range(count)]), int(64 * mean + spread(64, 3.7)), int(128 * mean + spread(128, 3.7)), int(BITS * mean + spread(BITS, 4.5)))
+
+    def heads(self, fp: np.ndarray) -> np.ndarray:
+        """(texts, tables): each text's head, which names its table too."""
+        bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+        out = np.empty((len(fp), len(self.columns)), np.int64)
+        power = 1 << np.arange(self.columns.shape[1], dtype=np.int64)
+        for t, c in enumerate(self.columns):
+            out[:, t] = bits[:, c] @ power | t << 48
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for big in batches:
-            for at in range(0, big.num_rows, 512):
-                b = big.slice(at, 512)
-                sets = [shingle_set(x.as_py(), k, hashes) for x in b.column(3)]
-                bits = wide_bits(sets)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([x.tobytes() if len(s) else None for x, s in zip(bits, sets)], pa.binary())], ["doc_id", "k1", "k2", "fp"])
+    def first(self, ha: np.ndarray, hb: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of pairs of texts, the first table that brings them together within its budgets."""
+        d = np.bitwise_count(a ^ b).astype(np.int32)
+        one = d[:, np.arange(len(self.columns)) % WORDS]
+        two = one + d[:, (np.arange(len(self.columns)) + 1) % WORDS]
+        return np.argmax((ha == hb) & (one <= self.near) & (two <= self.nearer), axis=1)
 
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(text), text.alias("text")).mapInArrow(tidy(run), "doc_id long, k1 long, k2 long, fp binary")
 
+class Sets:
+    """Fingerprints and sets by reference: the number of a file, and where in it a text's begin."""
 
-class ValueFile:
-    """Byte strings of whole 64-bit words by their long key, as arrays in the shared folder that workers map: pairs are
-    compared without a copy of both values for every pair."""
+    def __init__(self, store: Store):
+        self.store = store
 
-    def __init__(self, rows: DataFrame, name: str, part_bytes: int = 32_000_000):
-        key, value = rows.columns
-        size = rows.agg(F.sum(F.octet_length(value))).first()[0] or 0
-        self.bits = max(5, int(np.ceil(np.log2(max(1, size / part_bytes)))))
-        self.store = store = Store(scratch(rows.sparkSession, name))
+    def _at(self, ref: int) -> tuple[np.ndarray, int]:
+        return self.store.load(f"sets-{ref >> 24}"), ref & 0xFFFFFF
 
-        def save(t: pa.Table) -> pa.Table:
-            part = t["part"][0].as_py()
-            keys = t["key"].to_numpy()
-            order = np.argsort(keys)
-            values = [t["value"][i].as_py() for i in order.tolist()]
-            store.save(f"keys-{part}", keys[order])
-            store.save(f"ends-{part}", np.cumsum([len(x) // 8 for x in values]))
-            store.save(f"values-{part}", np.frombuffer(b"".join(values), np.uint64))
-            return pa.table({"part": pa.array([part], pa.int32())})
+    def fingerprints(self, refs: np.ndarray) -> np.ndarray:
+        out = np.empty((len(refs), WORDS), np.uint64)
+        for i, r in enumerate(refs.tolist()):
+            x, at = self._at(r)
+            out[i] = x[at : at + WORDS]
+        return out
 
-        part = F.shiftrightunsigned(F.col(key), 64 - self.bits).cast("int")
-        rows.select(part.alias("part"), F.col(key).alias("key"), F.col(value).alias("value")).groupBy("part").applyInArrow(save, "part int").collect()
+    def set(self, ref: int) -> np.ndarray:
+        x, at = self._at(ref)
+        n = int(x[at + WORDS])
+        at += WORDS + 1
+        return x[at : at + (n >> 1)] if not n & 1 else x[at : at + (n + 3 >> 2)].view(np.uint32)[: n >> 1]
 
-    def values(self, keys: np.ndarray) -> list[np.ndarray]:
-        """The value of each key, all of which are held."""
-        out: list = [None] * len(keys)
-        part = (keys.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
-        for p in np.unique(part).tolist():
-            at = np.flatnonzero(part == p)
-            ends, held = self.store.load(f"ends-{p}"), self.store.load(f"values-{p}")
-            row = np.searchsorted(self.store.load(f"keys-{p}"), keys[at])
-            for i, lo, hi in zip(at.tolist(), np.where(row > 0, ends[row - 1], 0).tolist(), ends[row].tolist()):
-                out[i] = held[lo:hi]
-        return out
 
+def _fingerprinted(docs: DataFrame, k: int, store: Store) -> DataFrame:
+    """(doc_id, k1, k2, fp, ref): fp holds BITS bits and ref names the stored set; both are null where the text has no
+    word. A task writes files of its own, and names them by itself, so that what a lost task wrote is never read."""
 
-def _candidates(texts: DataFrame, fps: ValueFile, budget: int, most: float, tables: range, partitions: int, every: bool) -> DataFrame:
-    """(a, b), a < b: texts (k1, fp, label) that share one of these blocks, differ within the budget in the 64 bits
-    behind it and in at most ``most`` of all bits, and aren't of one label: every such pair, or else those that
-    ``group_links`` gives."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size = _Hashes(), [], 0
+        file = TaskContext.get().taskAttemptId() << 10
+        for big in batches:
+            for at in range(0, big.num_rows, 512):
+                b = big.slice(at, 512)
+                sets = [shingle_set(x.as_py(), k, hashes) for x in b.column(3)]
+                bits, refs = wide_bits(sets), []
+                for x, s in zip(bits, sets):
+                    if not len(s):
+                        refs.append(None)
+                        continue
+                    refs.append(file << 24 | size)
+                    held += [x, stored(s)]
+                    size += len(x) + len(held[-1])
+                    if size >= FILE_WORDS:
+                        store.save(f"sets-{file}", np.concatenate(held))
+                        file, held, size = file + 1, [], 0
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([x.tobytes() if len(s) else None for x, s in zip(bits, sets)], pa.binary()), pa.array(refs, pa.int64())], ["doc_id", "k1", "k2", "fp", "ref"])
+        if held:
+            store.save(f"sets-{file}", np.concatenate(held))
+
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(text), text.alias("text")).mapInArrow(tidy(run), "doc_id long, k1 long, k2 long, fp binary, ref long")
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bits = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(b.num_rows, -1)
-            block = bits.view(np.uint16).astype(np.int64)
-            around = np.concatenate([bits.view(np.uint16), bits.view(np.uint16)[:, :5]], axis=1)
-            for r in tables:
-                sub = np.ascontiguousarray(around[:, r + 1 : r + 5]).view(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array((r << BLOCK | block[:, r]).astype(np.int32)), pa.array(sub), b.column(0), b.column(2)], ["head", "sub", "k1", "label"])
 
-    dealt = texts.select("k1", "fp", "label").mapInArrow(tidy(deal), "head int, sub long, k1 long, label long").repartition(partitions, "head").sortWithinPartitions("head", "sub", "k1")
+def _links(texts: DataFrame, n: int, sets: Sets, tables: Tables, similarity: float, task_texts: int) -> DataFrame:
+    """(src, dst): references of texts (ref, fp) whose sets reach the similarity, enough to span every component."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 4096):
+                b = big.slice(at, 4096)
+                fp = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(b.num_rows, -1)
+                heads = tables.heads(fp)
+                for t in range(heads.shape[1]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (heads[:, t], fp[:, t % WORDS].view(np.int64), fp[:, (t + 1) % WORDS].view(np.int64))] + [b.column(0)], ["head", "s0", "s1", "ref"])
+
+    dealt = texts.select("ref", "fp").mapInArrow(tidy(deal), "head long, s0 long, s1 long, ref long")
+    if n > task_texts:  # a head may hold any share of the texts
+        hot = dealt.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > task_texts)
+        hot = cut(hot.select("head", F.ceil(F.col("n") / task_texts).alias("chunks")))
+        dealt = dealt.join(hot, "head", "left").withColumn("own", F.pmod(F.xxhash64("ref"), F.coalesce("chunks", F.lit(1))))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)) - 1))
+        dealt = dealt.select("head", "s0", "s1", "ref", "own", other.alias("other"))
+        dealt = dealt.select("head", "s0", "s1", "ref", F.xxhash64(F.least("own", "other"), F.greatest("own", "other")).alias("chunk"))
+    else:
+        dealt = dealt.withColumn("chunk", F.lit(0).cast("long"))
+    spark = texts.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * len(tables.columns) // 1_000_000))
+    dealt = dealt.repartition(parts, "head", "chunk").sortWithinPartitions("head", "chunk", "s0", "ref")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [tuple(c.to_numpy(zero_copy_only=False) for c in b.columns) for b in batches if b.num_rows]
         if not parts:
             return
-        head, sub, key, label = (np.concatenate(x) for x in zip(*parts))
+        head, s0, s1, ref, chunk = (np.concatenate(x) for x in zip(*parts))
+        del parts
         # sorted as signed longs: with the sign bit turned over, which no distance sees, they are sorted as unsigned ones
-        bits = sub.view(np.uint64) ^ np.uint64(1 << 63)
-        for i, j in trie_pairs(bits, head, budget, label) if every else [group_links(bits, head, budget, label)]:
-            for at in range(0, len(i), 1 << 15):
-                x, y = key[i[at : at + (1 << 15)]], key[j[at : at + (1 << 15)]]
-                some, back = np.unique(np.r_[x, y], return_inverse=True)
-                fp = np.array(fps.values(some), np.uint64).reshape(len(some), -1)
-                d = np.bitwise_count(fp[back[: len(x)]] ^ fp[back[len(x) :]]).sum(axis=1, dtype=np.int32)
-                near = (d <= most) & (x != y)
-                yield pa.RecordBatch.from_arrays([pa.array(f(x[near], y[near])) for f in (np.minimum, np.maximum)], ["a", "b"])
+        key, more = s0.view(np.uint64) ^ np.uint64(1 << 63), s1.view(np.uint64)
+        group = np.cumsum(np.r_[False, (head[1:] != head[:-1]) | (chunk[1:] != chunk[:-1])])
+        known = Labels(np.arange(len(key)))
+        last = np.flatnonzero(np.r_[group[1:] != group[:-1], True])
+        src, dst = [], []
+
+        def judge(i: np.ndarray, j: np.ndarray) -> None:
+            """Links the pairs whose sets reach the similarity; a few at first, as each link may answer others."""
+            ok = np.bitwise_count(more[i] ^ more[j]) + np.bitwise_count(key[i] ^ key[j]) <= tables.nearer
+            i, j, step = i[ok], j[ok], 64
+            while len(i):
+                a, b = i[:step], j[:step]
+                some, back = np.unique(np.r_[a, b], return_inverse=True)
+                fp = sets.fingerprints(ref[some])
+                x, y = back[: len(a)], back[len(a) :]
+                h = tables.heads(fp)
+                ok = (np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int32) <= tables.most) & (ref[a] != ref[b])
+                ok[ok] = tables.first(h[x[ok]], h[y[ok]], fp[x[ok]], fp[y[ok]]) == head[a[ok]] >> 48
+                a, b = a[ok], b[ok]
+                linked = np.zeros(len(a), bool)
+                lab = known.label
+                done: dict[int, int] = {}
+
+                def root(v: int) -> int:
+                    v = int(lab[v])
+                    while v in done:
+                        v = done[v]
+                    return v
+
+                for n, (u, v) in enumerate(zip(a.tolist(), b.tolist())):
+                    p, q = root(u), root(v)
+                    if p != q and reach(sets.set(int(ref[u])), sets.set(int(ref[v])), similarity):
+                        linked[n] = True
+                        done[max(p, q)] = min(p, q)
+                known.join(a[linked], b[linked])
+                src.append(ref[a[linked]])
+                dst.append(ref[b[linked]])
+                i, j = i[step:], j[step:]
+                apart = known.label[i] != known.label[j]
+                i, j, step = i[apart], j[apart], min(2 * step, 1 << 14)
+
+        # neighbours in the sorted order come first: they join most of a large group
+        by = np.setdiff1d(np.arange(len(key) - 1), last)
+        by = by[np.bitwise_count(key[by] ^ key[by + 1]) <= tables.near]
+        for a in range(0, len(by), 1 << 14):
+            judge(by[a : a + (1 << 14)], by[a : a + (1 << 14)] + 1)
+        for budget in sorted({tables.near // 4, tables.near // 2, tables.near}):
+            for i, j in trie_pairs(key, group, budget, known):
+                judge(i, j)
+            if src and sum(map(len, src)) >= 1 << 16:
+                yield _pairs(src, dst)
+                src.clear(), dst.clear()
+        yield _pairs(src, dst)
+
+    return dealt.mapInArrow(tidy(meet), "src long, dst long")
+
+
+def _pairs(src: list, dst: list) -> pa.RecordBatch:
+    none = np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, none])) for x in (src, dst)], ["src", "dst"])
+
+
+def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, task_texts: int = TASK_TEXTS) -> DataFrame:
+    """(doc_id, k1, k2, component): every row's class of near-duplicate texts; component names the class.
 
-    return cut(dealt.mapInArrow(tidy(meet), "a long, b long").distinct())
+    Texts are linked whose k-word shingle sets reach the Jaccard similarity: texts equal in all characters (null as
+    empty) always, others as the fingerprints find them; no pair is linked whose whole sets don't reach it. Texts without
+    a word link to equal ones only. A null doc_id is answered like any other, repeated rows are answered one by one, and
+    an empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    sets = Sets(Store(scratch(spark, "sets")))
+    rows = cut(_fingerprinted(docs, k, sets.store))
+    # equal texts have equal fingerprints, whichever row's files are read
+    texts = cut(rows.groupBy("k1", "k2").agg(F.min("ref").alias("ref"), F.min("fp").alias("fp")))
+    n = texts.count()
+    found = components(cut(_links(texts.where("fp is not null"), n, sets, Tables.of(n, similarity), similarity, task_texts)))
+    # a text without a word is a class of its own; references are not negative
+    own = F.when(F.col("ref").isNull(), -1 - F.abs(F.col("k1") % (2**62))).otherwise(F.col("ref"))
+    named = texts.join(found, texts.ref == found.node, "left").select("k1", "k2", F.coalesce("component", own).alias("component"))
+    return rows.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "k1", "k2", "component")
 
 
 class KeyFile:
-    """A set of longs as sorted arrays in the shared folder, one for each value of the top bits, mapped by workers."""
+    """A set of distinct longs, each with a long of its own where a second column is given, as sorted arrays in the shared
+    folder, one for each value of the top bits; workers map them."""
 
     def __init__(self, keys: DataFrame, name: str):
         n = keys.count()
         self.bits = max(0, int(np.ceil(np.log2(max(1, n / 1_000_000)))))
         self.store = store = Store(scratch(keys.sparkSession, name))
         bits, col = self.bits, keys.columns[0]
+        valued = len(keys.columns) > 1
 
         def save(t: pa.Table) -> pa.Table:
             part = t["part"][0].as_py()
-            store.save(f"keys-{part}", np.unique(t["key"].to_numpy()))
+            have, first = np.unique(t["key"].to_numpy(), return_index=True)
+            store.save(f"keys-{part}", have)
+            if valued:
+                store.save(f"values-{part}", t["value"].to_numpy()[first])
             return pa.table({"part": pa.array([part], pa.int32())})
 
         part = (F.shiftrightunsigned(F.col(col), 64 - bits) if bits else F.lit(0)).cast("int")
-        self.parts = sorted(r.part for r in keys.select(part.alias("part"), F.col(col).alias("key")).groupBy("part").applyInArrow(save, "part int").collect())
+        value = F.col(keys.columns[1]) if valued else F.lit(0).cast("long")
+        self.parts = sorted(r.part for r in keys.select(part.alias("part"), F.col(col).alias("key"), value.alias("value")).groupBy("part").applyInArrow(save, "part int").collect())
 
-    def contains(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), bool)
+    def _look(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         part = (keys.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
         for p in np.intersect1d(part, self.parts).tolist():
             at = np.flatnonzero(part == p)
             have = self.store.load(f"keys-{p}")
-            out[at] = have[np.minimum(np.searchsorted(have, keys[at]), len(have) - 1)] == keys[at]
+            i = np.minimum(np.searchsorted(have, keys[at]), len(have) - 1)
+            yield p, at, i, have[i] == keys[at]
+
+    def contains(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), bool)
+        for _, at, _, hit in self._look(keys):
+            out[at] = hit
+        return out
+
+    def values(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' values, -1 for unknown ones."""
+        out = np.full(len(keys), -1, np.int64)
+        for p, at, i, hit in self._look(keys):
+            out[at] = np.where(hit, self.store.load(f"values-{p}")[i], -1)
         return out
 
 
@@ -219,89 +354,35 @@ def _row_key(doc_id, k1, k2):
     return F.xxhash64(F.coalesce(doc_id, F.lit(-1).cast("long")), doc_id.isNull(), k1, k2)
 
 
-def _holding(docs: DataFrame, keys: KeyFile, want: bool) -> DataFrame:
-    """The rows of docs, all columns as they are, whose row key is in the set (or is not)."""
+def _holding(docs: DataFrame, keys: KeyFile) -> DataFrame:
+    """The rows of docs, all columns as they are, whose row key is in the set."""
     k1, k2 = text_key(F.col("text").cast("string"))
-    marked = docs.select("*", _row_key(F.col("doc_id").cast("long"), k1, k2).alias("__key"))
+    marked = docs.select("*", _row_key(F.col("doc_id").cast("long"), k1, k2).alias(*unused(docs.columns, "row_key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = keys.contains(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)) == want
+            ok = keys.contains(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays(b.columns[:-1], schema=pa.schema([b.schema.field(i) for i in range(b.num_columns - 1)])).filter(pa.array(ok))
 
     return marked.mapInArrow(tidy(run), docs.schema)
 
 
-def _verified(docs: DataFrame, edges: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The edges (a, b) whose shingle sets reach the similarity, computed on the whole sets."""
-    ends = edges.select(F.col("a").alias("k1")).unionAll(edges.select(F.col("b").alias("k1"))).distinct()
-    rows = texts.join(ends, "k1").select(_row_key(F.col("rep"), F.col("k1"), F.col("k2")).alias("key"))
-    some = _holding(docs.select("doc_id", "text"), KeyFile(rows, "verify"), True)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x.as_py(), k, hashes).tobytes() for x in b.column(1)], pa.binary())], ["k1", "s"])
-
-    held = some.select(text_key(F.col("text").cast("string"))[0], F.col("text").cast("string").alias("text")).mapInArrow(tidy(sets), "k1 long, s binary").dropDuplicates(["k1"])
-    found = ValueFile(cut(held), "sets")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(*(found.values(b.column(c).to_numpy(zero_copy_only=False)) for c in (0, 1))):
-                n = 0
-                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
-                    n = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(n >= similarity * (len(x) + len(y) - n))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(edges.repartition(parts).mapInArrow(tidy(judge), "a long, b long"))
-
-
-def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, k1, k2, component): every row's class of near-duplicate texts, component one of the class's k1.
-
-    Texts are linked whose k-word shingle sets reach the Jaccard similarity: texts equal in all characters (null as
-    empty) always, others as the fingerprints find them; no pair is linked whose whole sets don't reach it. Texts without a word link to equal ones only.
-    """
-    rows = cut(_fingerprinted(docs, k))
-    texts = cut(rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")))
-    n = texts.count()
-    mean = differing(similarity)
-    sigma = sqrt(mean * (1 - mean))
-    budget = int(64 * mean + 3 * sigma * 8) + 1
-    high = BITS * mean + 3.5 * sigma * sqrt(BITS)
-    wordy = texts.where("fp is not null")
-    spark_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fps = ValueFile(wordy.select("k1", "fp"), "fingerprints")
-    # forests of a few tables join most of a large group; what their edges passed over, and all that is still apart, is
-    # then looked for in every table, pair by pair
-    final, linked = None, None
-    for tables, every in ((range(FIRST_TABLES), False), (range(TABLES), True)):
-        labelled = wordy.withColumn("label", F.col("k1")) if final is None else wordy.join(final, wordy.k1 == final.node, "left").select("k1", "fp", F.coalesce("component", "k1").alias("label"))
-        found = _candidates(labelled, fps, budget, high, tables, max(spark_parts, -(-n * len(tables) // 2_000_000)), every)
-        more = _verified(docs, found, texts, k, similarity)
-        linked = more if linked is None else linked.unionAll(more)
-        final = cut(components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-    named = texts.join(final, texts.k1 == final.node, "left").select("k1", "k2", F.coalesce("component", "k1").alias("component"))
-    return rows.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "k1", "k2", "component")
-
-
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs, all columns as they are, of which one stays of each class: the one with the smallest doc_id,
-    ties by the text's hash; a null doc_id comes last. Rows repeated whole stay once."""
+    """The rows of docs, all columns as they are, of which one stays of each class (see ``classes``): the one with the
+    smallest doc_id, ties by the text's hash; a null doc_id comes last. Of rows that are equal in these the one stays whose
+    columns have the smallest hash (maps, which have none, are left out of it), so that rows repeated whole stay once."""
     found = cut(classes(docs, k, similarity))
     key = _row_key(F.col("doc_id"), F.col("k1"), F.col("k2"))
     # a struct's null field would come first, so that nulls are ordered by a flag of their own
     best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("m")).select(_row_key(F.col("m.doc_id"), F.col("m.k1"), F.col("m.k2")).alias("key"))
     by = found.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
     stays = cut(by.join(best, "key"))
-    kept = _holding(docs, KeyFile(stays.where("n = 1").select("key"), "stays"), True)
+    kept = _holding(docs, KeyFile(stays.where("n = 1").select("key"), "stays"))
     if stays.where("n > 1").limit(1).count() == 0:
         return kept
-    again = _holding(docs, KeyFile(stays.where("n > 1").select("key"), "repeated"), True)
+    again = _holding(docs, KeyFile(stays.where("n > 1").select("key"), "repeated"))
     k1, k2 = text_key(F.col("text").cast("string"))
-    one = again.select(_row_key(F.col("doc_id").cast("long"), k1, k2).alias("__k"), F.struct(*[F.col(c) for c in docs.columns]).alias("__r")).groupBy("__k").agg(F.first("__r").alias("__r"))
-    return kept.unionAll(one.select(*[F.col("__r")[c].alias(c) for c in docs.columns]))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    one = again.select(_row_key(F.col("doc_id").cast("long"), k1, k2).alias("key"), F.xxhash64(*hashed).alias("h"), F.struct("*").alias("row"))
+    one = one.groupBy("key").agg(F.min_by("row", "h").alias("row"))
+    return kept.unionAll(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))

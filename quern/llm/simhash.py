@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import components, cut, spanning, text_key, tidy
+from quern.llm.common import components, cut, spanning, tidy
 
 U1 = np.uint64(1)
 
@@ -67,54 +67,6 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
-def trie_links(keys: np.ndarray, budget: int, skip: int = 0, leaf: int = 16, step: int = 1 << 18) -> np.ndarray:
-    """Component labels (smallest index) of sorted distinct 64-bit keys that agree in their first ``skip`` bits and
-    differ in at most ``budget`` bits. Node pairs whose keys are all in one component already are not walked."""
-    n = len(keys)
-    lab = np.arange(n)
-    if n < 2:
-        return lab
-    for k in range(1, budget + 1):  # near links first: what they join is pruned later on
-        heads = np.flatnonzero(np.r_[True, (keys[1:] ^ keys[:-1]) >> np.uint64(64 - skip) != 0]) if skip else np.array([0])
-        ends = np.r_[heads[1:], n]
-        many = ends - heads > 1
-        stack = [(skip, heads[many], ends[many], heads[many], ends[many], np.zeros(many.sum(), np.int8))]
-        while stack:
-            t, al, ah, bl, bh, err = stack.pop()
-            if len(al) > step:
-                half = len(al) // 2
-                stack += [(t, *(x[:half] for x in (al, ah, bl, bh, err))), (t, *(x[half:] for x in (al, ah, bl, bh, err)))]
-                continue
-            changes = np.cumsum(np.r_[0, lab[1:] != lab[:-1]])
-            one = (changes[ah - 1] == changes[al]) & (changes[bh - 1] == changes[bl]) & (lab[al] == lab[bl])
-            own = al == bl
-            small = ((ah - al) * (bh - bl) <= leaf) | (t >= 64)
-            now = small & ~one
-            if now.any():  # few keys below: compare them
-                of, i = _ranges(al[now], ah[now])
-                of2, j = _ranges(bl[now][of], bh[now][of])
-                i = i[of2]
-                near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= k)
-                lab = spanning(n, i[near], j[near], lab)
-            go = ~small & ~one
-            if not go.any():
-                continue
-            al, ah, bl, bh, err, own = (x[go] for x in (al, ah, bl, bh, err, own))
-            ones = np.cumsum(np.r_[0, (keys >> np.uint64(63 - t)) & U1]).astype(np.int64)
-            am, bm = ah - (ones[ah] - ones[al]), bh - (ones[bh] - ones[bl])
-            kids = [
-                (al, am, bl, bm, err, np.ones(len(al), bool)),
-                (am, ah, bm, bh, err, np.ones(len(al), bool)),
-                (al, am, bm, bh, err + 1, err < k),
-                (am, ah, bl, bm, err + 1, (err < k) & ~own),
-            ]
-            rows = [np.concatenate(x) for x in zip(*kids)]
-            ok = rows[5] & (rows[1] > rows[0]) & (rows[3] > rows[2]) & ~((rows[0] == rows[2]) & (rows[1] - rows[0] < 2))
-            if ok.any():
-                stack.append((t + 1, *(x[ok] for x in rows[:5])))
-    return lab
-
-
 def _halves(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, t: int) -> np.ndarray:
     """Of each range [lo, hi) of sorted keys that agree in their first t bits, the first place whose bit t is set."""
     lo, hi = lo.copy(), hi.copy()
@@ -126,24 +78,40 @@ def _halves(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, t: int) -> np.ndar
     return lo
 
 
-def trie_pairs(keys: np.ndarray, heads: np.ndarray, budget: int, label: np.ndarray, leaf: int = 64, step: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+class Labels:
+    """Which component each of n sorted keys is known to be in. ``changes`` counts the label's changes up to a key, so that
+    a range is of one label where its ends have one count."""
+
+    def __init__(self, label: np.ndarray):
+        self.set(label)
+
+    def set(self, label: np.ndarray) -> None:
+        self.label = label
+        self.changes = np.cumsum(np.r_[0, label[1:] != label[:-1]]) if len(label) else label
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        if len(i):
+            self.set(spanning(len(self.label), i, j, self.label))
+
+
+def trie_pairs(keys: np.ndarray, heads: np.ndarray, budget: int, known: Labels, leaf: int = 64, step: int = 1 << 16, skip: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs (i, j), i < j, of one head and different labels whose 64-bit keys differ in at most ``budget`` bits, some
-    at a time. Rows are sorted by head and key; every head roots a trie. Nodes of one label are not walked."""
+    at a time. Rows are sorted by head and key; every head roots a trie, whose keys agree in their first ``skip`` bits.
+    Nodes of one label are not walked: whoever takes the pairs may join labels in between."""
     n = len(keys)
     if n < 2:
         return
     cuts = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1], True])
     lo, hi = cuts[:-1], cuts[1:]
     many = hi - lo > 1
-    changes = np.cumsum(np.r_[0, label[1:] != label[:-1]])
-    stack = [(0, lo[many], hi[many], lo[many], hi[many], np.zeros(many.sum(), np.int8))]
+    stack = [(skip, lo[many], hi[many], lo[many], hi[many], np.zeros(many.sum(), np.int8))]
     while stack:
         t, al, ah, bl, bh, err = stack.pop()
         if len(al) > step:
             half = len(al) // 2
             stack += [(t, *(x[:half] for x in (al, ah, bl, bh, err))), (t, *(x[half:] for x in (al, ah, bl, bh, err)))]
             continue
-        one = (changes[ah - 1] == changes[al]) & (changes[bh - 1] == changes[bl]) & (label[al] == label[bl])
+        one = (known.changes[ah - 1] == known.changes[al]) & (known.changes[bh - 1] == known.changes[bl]) & (known.label[al] == known.label[bl])
         small = ((ah - al) * (bh - bl) <= leaf) | (t >= 64)
         now = small & ~one
         of, first = _ranges(al[now], ah[now])
@@ -151,13 +119,15 @@ def trie_pairs(keys: np.ndarray, heads: np.ndarray, budget: int, label: np.ndarr
         last_j = bh[now][of]
         total = np.cumsum(last_j - first_j)
         at = 0
-        while at < len(first):  # a million comparisons at a time
-            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), "right")))
+        while at < len(first):  # a quarter of a million comparisons at a time
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 18), "right")))
             of2, j = _ranges(first_j[at:end], last_j[at:end])
             i = first[at:end][of2]
-            near = (np.bitwise_count(keys[i] ^ keys[j]) <= budget) & (label[i] != label[j])
-            if near.any():
-                yield i[near], j[near]
+            near = np.bitwise_count(keys[i] ^ keys[j]) <= budget
+            i, j = i[near], j[near]
+            apart = known.label[i] != known.label[j]
+            if apart.any():
+                yield i[apart], j[apart]
             at = end
         go = ~small & ~one
         if not go.any():
@@ -177,6 +147,18 @@ def trie_pairs(keys: np.ndarray, heads: np.ndarray, budget: int, label: np.ndarr
             stack.append((t + 1, *(x[ok] for x in rows[:5])))
 
 
+def trie_links(keys: np.ndarray, budget: int, skip: int = 0) -> np.ndarray:
+    """Component labels (smallest index) of sorted distinct 64-bit keys that are linked where they agree in their first
+    ``skip`` bits and differ in at most ``budget`` bits. The walk is repeated with a rising budget: what near links join
+    is not walked for far ones."""
+    known = Labels(np.arange(len(keys)))
+    heads = keys >> np.uint64(64 - skip) if skip else np.zeros(len(keys), np.uint64)
+    for k in range(1, budget + 1):
+        for i, j in trie_pairs(keys, heads, k, known, skip=skip):
+            known.join(i, j)
+    return known.label
+
+
 def _blocks(budget: int) -> list[tuple[int, int]]:
     """(first bit, bits) of the budget + 1 blocks of 64 bits."""
     cuts = np.linspace(0, 64, budget + 2).astype(int).tolist()
@@ -217,13 +199,12 @@ def near_duplicates(docs: DataFrame, k: int = 3, budget: int = 3, seed: int = 42
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most ``budget`` bits.
 
     Null and empty texts share fingerprint 0 and link like any other; repeated rows are returned as often as they
-    come; a null doc_id is returned and never names a component unless its class has no other.
+    come. A null doc_id links what it stands between and gets its class's smallest doc_id; where a class has none but
+    null, component_id is null. No rows give none.
     """
     fps = cut(fingerprints(docs, k, seed, text, doc_id))
     reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = links(reps, budget)
-    src, dst = reps.select(F.col("fp").alias("src"), F.col("rep").alias("a")), reps.select(F.col("fp").alias("dst"), F.col("rep").alias("b"))
-    edges = found.join(src, "src").join(dst, "dst").where("a is not null and b is not null").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    comp = components(edges)
-    named = reps.join(comp, reps.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    comp = components(links(reps, budget))
+    classed = reps.join(comp, reps.fp == comp.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("class"))
+    named = classed.groupBy("class").agg(F.min("rep").alias("component_id"))
+    return fps.join(classed.select("fp", "class").join(named, "class").drop("class"), "fp").select("doc_id", "fp", "component_id")

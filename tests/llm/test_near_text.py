@@ -56,28 +56,6 @@ def test_classes_find_near_copies(spark, make_docs):
     assert near > 20 and hit >= 0.97 * near and far == 0
 
 
-def test_group_links_span_large_groups():
-    rng = np.random.default_rng(0)
-    base = rng.integers(0, 2**64, 3, dtype=np.uint64)
-    sub = np.array([int(base[i % 3]) ^ (1 << int(rng.integers(64))) for i in range(90)], np.uint64)
-    heads = np.repeat([1, 2], [60, 30])
-    i, j = N.group_links(sub, heads, 4, small=40)
-    assert (heads[i] == heads[j]).all() and (np.bitwise_count(sub[i] ^ sub[j]) <= 4).all()
-    groups = {}
-    for x in range(90):
-        groups.setdefault((heads[x], x % 3), set()).add(x)
-    lab = list(range(90))
-    for a, b in zip(i.tolist(), j.tolist()):
-        old, new = lab[a], lab[b]
-        lab = [new if v == old else v for v in lab]
-    assert all(len({lab[x] for x in g}) == 1 for g in groups.values()) and len(set(lab)) == 6
-    assert (heads[i] == 1).sum() == 57
-    # rows of one label are linked already: two links join what two labels leave apart of the first head's three groups
-    label = np.where((np.arange(90) % 3 == 0) & (np.arange(90) < 50), 1000, np.arange(90))
-    i, j = N.group_links(sub, heads, 4, label, small=40)
-    assert (heads[i] == 1).sum() == 57 - (len([x for x in range(50) if x % 3 == 0]) - 1) and (label[i] != label[j]).all()
-
-
 def test_keep_one_and_odd_inputs(spark):
     rng = random.Random(1)
     base = [f"w{rng.randrange(999)}" for _ in range(300)]
@@ -108,17 +86,57 @@ def test_unlike_short_texts_of_one_fingerprint_stay_apart(spark, make_docs):
     assert sorted(r.doc_id for r in N.keep_one(docs).collect()) == [0, 1]
 
 
-def test_pairs_that_a_forest_passes_over_are_found(spark, make_docs, monkeypatch):
+def family(rng, n, share):
+    """n texts that keep each word of one base with the probability share, and for each of a tenth of them a near copy."""
+    base = [f"b{i}" for i in range(300)]
+    out = []
+    for _ in range(n):
+        at, t = rng.randrange(300), list(base)
+        for i in range(int(300 * (1 - share))):
+            t[(at + i) % 300] = f"n{rng.randrange(10**9)}"
+        out.append(t)
+    for t in out[: n // 10]:
+        t = list(t)
+        for i in rng.sample(range(300), 3):
+            t[i] = "changed"
+        out.append(t)
+    return [" ".join(t) for t in out]
+
+
+def test_near_copies_within_a_family_of_unlike_texts(spark, make_docs):
     rng = random.Random(8)
-    base = [f"w{i}" for i in range(100)]
-    texts = [" ".join(base), " ".join([*base[:-1], "other"]), *(" ".join(f"x{rng.randrange(10**9)}" for _ in range(50)) for _ in range(20))]
-    blocks = np.random.default_rng(8).integers(0, 2**16, (22, 64), dtype=np.uint16)
-    # the first two share the first block alone, where the others lie halfway between them in the 64 bits behind it
-    blocks[1] = blocks[0] ^ np.uint16(3)
-    blocks[1:, 0] = blocks[0, 0]
-    blocks[1, 1:5] = blocks[0, 1:5] ^ np.array([7, 7, 3, 3], np.uint16)
-    blocks[2:, 1:5] = blocks[0, 1:5] ^ np.array([7, 3, 0, 0], np.uint16)
-    fps = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(blocks)], "doc_id long, fp binary")
-    monkeypatch.setattr(N, "_fingerprinted", lambda docs, k: docs.select("doc_id", *N.text_key(docs["text"])).join(fps, "doc_id"))
-    comp = {r.doc_id: r.component for r in N.classes(make_docs([(i, t, "s") for i, t in enumerate(texts)])).collect()}
-    assert comp[0] == comp[1] and len(set(comp.values())) == 21
+    texts = family(rng, 400, 0.86)
+    docs = make_docs([(i, t, "s") for i, t in enumerate(texts)])
+    sets = [shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    far = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in ((1, 2), (3, 50), (7, 90))]
+    assert max(far) < 0.8 and len(pairs) >= 40
+    comp = {r.doc_id: r.component for r in N.classes(docs).collect()}
+    assert all(comp[i] == comp[j] for i, j in pairs)
+    # large groups in chunks, each pair of which is a task's, to the same end
+    cut = {r.doc_id: r.component for r in N.classes(docs, task_texts=50).collect()}
+    names = lambda c: {frozenset(i for i in c if c[i] == x) for x in set(c.values())}
+    assert names(cut) == names(comp)
+
+
+def test_tables_follow_the_number_of_texts():
+    for n in (1, 10**4, 10**7, 10**10):
+        t = N.Tables.of(n, 0.8)
+        p = 1 - N.differing(0.8) - N.FOLD_SPREAD
+        assert (1 - p ** t.columns.shape[1]) ** len(t.columns) <= N.MISSED and n / 2 ** t.columns.shape[1] <= N.GROUP_TEXTS
+    assert len(t.columns) < 2**15
+
+
+def test_stored_sets_come_back(tmp_path):
+    rng = np.random.default_rng(1)
+    sets = N.Sets(N.Store(str(tmp_path)))
+    held = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (1, 63, 64, 65, 1000)]
+    refs, parts, at = [], [], 0
+    for s in held:
+        refs.append(7 << 24 | at)
+        parts += [np.full(N.WORDS, len(s), np.uint64), N.stored(s)]
+        at += N.WORDS + len(parts[-1])
+    sets.store.save("sets-7", np.concatenate(parts))
+    assert (sets.fingerprints(np.array(refs))[:, 0] == [len(s) for s in held]).all()
+    for r, s in zip(refs, held):
+        assert N.reach(sets.set(r), s, 1.0) and not N.reach(sets.set(r), np.r_[s, s[-1] ^ np.uint64(1 << 40)], 1.0)

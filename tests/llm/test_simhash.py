@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 
 from quern.llm import simhash
+from quern.llm.common import components
 
 
 def brute_fp(text):
@@ -51,7 +52,7 @@ def test_trie_links_equal_brute_force():
             keys.add(x)
     keys = np.array(sorted(keys), np.uint64)
     for budget in (1, 3, 5):
-        lab = simhash.trie_links(keys, budget, leaf=4)
+        lab = simhash.trie_links(keys, budget)
         want = brute_components(list(range(len(keys))), keys.tolist(), budget)
         assert lab.tolist() == want
 
@@ -93,5 +94,31 @@ def test_trie_pairs_are_all_pairs_of_different_labels():
     for budget in (2, 4, 19):
         want = {(i, j) for i, j in zip(*np.nonzero(np.triu(near & (np.bitwise_count(keys[:, None] ^ keys) <= budget), 1)))}
         for leaf in (1, 64):
-            got = [(i, j) for x in simhash.trie_pairs(keys, heads, budget, label, leaf=leaf, step=100) for i, j in zip(*x)]
+            got = [(i, j) for x in simhash.trie_pairs(keys, heads, budget, simhash.Labels(label), leaf=leaf, step=100) for i, j in zip(*x)]
             assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_null_ids_bridge_and_never_name_a_class(spark, monkeypatch):
+    # 0b000, 0b111, 0b111111: the middle one alone links the other two at three bits
+    cases = [[(9, 0), (None, 0b111), (4, 0b111111)], [(None, 0), (2, 0b111), (1, 0b111111)], [(None, 0), (None, 1), (None, 3)], [(5, 0), (5, 0), (None, 0), (3, 2**40 - 1)]]
+    for rows in cases:
+        fps = spark.createDataFrame(rows, "doc_id long, fp long")
+        monkeypatch.setattr(simhash, "fingerprints", lambda *a, fps=fps, **k: fps)
+        got = sorted((r.fp, r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(fps).collect())
+        lab = list(range(len(rows)))
+        for _ in rows:
+            for i in range(len(rows)):
+                for j in range(len(rows)):
+                    if (rows[i][1] ^ rows[j][1]).bit_count() <= 3:
+                        lab[i] = lab[j] = min(lab[i], lab[j])
+        want = [min((rows[j][0] for j in range(len(rows)) if lab[j] == lab[i] and rows[j][0] is not None), default=None) for i in range(len(rows))]
+        assert got == sorted((fp, i or 0, w) for (i, fp), w in zip(rows, want))
+
+
+def test_components_by_rounds_equal_one_task(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 2000 + i) for i in range(50)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    one, many = ({r.node: r.component for r in components(df, task_links=n).collect()} for n in (10**6, 10))
+    assert one == many and one[1040] == 1000
+    assert components(df.limit(0)).collect() == []
