@@ -1,12 +1,12 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source of weight w = a / P releases its block j at slot floor(j / w) and must have it placed by slot ceil((j + 1) / w).
-One block goes out a slot, of the released blocks the one with the earliest deadline; as the weights sum to one, no
-deadline is missed, and after every slot each source is less than one block off its share.
+A source whose share of the weights is w releases its block j at slot floor(j / w) and must have it placed by slot
+ceil((j + 1) / w). One block goes out a slot, of the released blocks the one with the earliest deadline; as the shares
+sum to one, no deadline is missed, and after every slot each source is less than one block off its share.
 
-The weights are taken as they are, as exact rationals over the whole run: the driver schedules the blocks that have rows
-(some numbers each), and a source that has run out no longer takes part. Where a period is asked for, the weights are
-rounded to whole blocks of it, and that schedule repeats.
+The weights are taken as they are, as exact rationals over the whole run. The driver schedules the blocks that have rows
+one after the other, and writes them down in pieces, so that it holds one piece however many there are; workers map the
+pieces that their rows are in.
 """
 
 from __future__ import annotations
@@ -18,117 +18,29 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import ranked, tidy
+from quern.llm.common import ranked, scratch, text_key, tidy, unused
+from quern.llm.kneser_ney import Store
+from quern.llm.near_text import KeyFile
 
-BLOCK_ROWS, PERIOD = 16, 1000
-#: Sources that one schedule mixes, at most: it is a table of the sources, held by the driver and every task.
-MAX_SOURCES = 10_000
+BLOCK_ROWS = 16
+#: Sources that one schedule mixes, at most: the driver holds some numbers of each.
+MAX_SOURCES = 100_000
+#: Blocks that the driver schedules before it writes them down.
+PIECE_BLOCKS = 1 << 19
 
 
-def shares(weights: dict, period: int = PERIOD) -> dict:
-    """Blocks of each source in a period: the weights by largest remainder, one block at least."""
-    if not weights:
-        return {}
-    if min(weights.values()) <= 0:
+def earliest_first(weights: list, blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, j, release, deadline, slot) of every block of the sources, by earliest deadline first from the exact
+    weights. Sources without blocks, or with no more, leave their slots empty."""
+    if weights and min(weights) <= 0:
         raise ValueError("every source needs a weight above 0")
-    period = max(period, 10 * len(weights))
-    total = sum(weights.values())
-    names = sorted(weights, key=lambda s: (s is not None, s or ""))
-    exact = {s: weights[s] / total * period for s in names}
-    out = {s: max(1, int(exact[s])) for s in names}
-    for s in sorted(names, key=lambda s: out[s] - exact[s])[: max(0, period - sum(out.values()))]:
-        out[s] += 1
-    while sum(out.values()) > period:  # sources raised to one block take from the largest
-        out[max(names, key=lambda s: out[s])] -= 1
-    return out
-
-
-def schedule(blocks: dict) -> list[tuple]:
-    """(source, j, release, deadline) of each slot of one period, by earliest deadline first."""
-    period = sum(blocks.values())
-    names = list(blocks)
-    waiting = [(0, i, 0) for i in range(len(names))]
-    heapq.heapify(waiting)
-    ready: list[tuple] = []
-    out = []
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            release, i, j = heapq.heappop(waiting)
-            a = blocks[names[i]]
-            heapq.heappush(ready, (-(-(j + 1) * period // a), i, j, release))
-        deadline, i, j, release = heapq.heappop(ready)
-        out.append((names[i], j, release, deadline))
-        a = blocks[names[i]]
-        if j + 1 < a:
-            heapq.heappush(waiting, ((j + 1) * period // a, i, j + 1))
-    return out
-
-
-@dataclass
-class Plan:
-    """One period and the sources' rows: what places any block without a look at the others."""
-
-    names: dict
-    blocks: np.ndarray  # of each source in a period
-    rows: np.ndarray  # of each source in all
-    slots: list[np.ndarray]  # of each source's blocks in the period
-    releases: list[np.ndarray]
-    deadlines: list[np.ndarray]
-    before: np.ndarray  # (period, sources): blocks of each source in the slots before
-    block_rows: int
-
-    @property
-    def targets(self) -> np.ndarray:
-        return self.blocks / len(self.before)
-
-    @staticmethod
-    def of(weights: dict, rows: dict, block_rows: int, period: int) -> Plan:
-        blocks = shares(weights, period)
-        names = {s: i for i, s in enumerate(blocks)}
-        order = schedule(blocks)
-        n = len(names)
-        slots, rel, dead = ([[] for _ in range(n)] for _ in range(3))
-        before = np.zeros((len(order), n), np.int32)
-        for t, (s, _, release, deadline) in enumerate(order):
-            i = names[s]
-            slots[i].append(t)
-            rel[i].append(release)
-            dead[i].append(deadline)
-            if t + 1 < len(order):
-                before[t + 1] = before[t]
-                before[t + 1, i] += 1
-        arr = lambda x: [np.array(v, np.int64) for v in x]
-        return Plan(names, np.array([blocks[s] for s in names], np.int64), np.array([rows.get(s, 0) for s in names], np.int64), arr(slots), arr(rel), arr(dead), before, block_rows)
-
-    def place(self, source: int, rank: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(block, release, deadline, slot, position) of the rows of one source with these ranks."""
-        period, a = len(self.before), int(self.blocks[source])
-        block = rank // self.block_rows
-        turn, j = block // a, block % a
-        slot = turn * period + self.slots[source][j]
-        some, back = np.unique(slot, return_inverse=True)
-        position = np.empty(len(some), np.int64)
-        for at in range(0, len(some), 4096):
-            t = some[at : at + 4096]
-            placed = (t // period)[:, None] * self.blocks[None] + self.before[t % period]
-            position[at : at + 4096] = np.minimum(placed * self.block_rows, self.rows[None]).sum(axis=1)
-        return block, turn * period + self.releases[source][j], turn * period + self.deadlines[source][j], slot, position[back] + rank % self.block_rows
-
-
-def whole_run(weights: dict, blocks: dict) -> dict[object, np.ndarray]:
-    """Of each source with blocks, the (release, deadline, slot) of each of them, by earliest deadline first from the
-    exact weights. Sources without blocks, or with no more, leave their slots empty."""
-    if min(weights.values()) <= 0:
-        raise ValueError("every source needs a weight above 0")
-    names = sorted((s for s in weights if blocks.get(s)), key=lambda s: (s is not None, s or ""))
-    exact = {s: Fraction(w) for s, w in weights.items()}
-    total = sum(exact.values())
-    turn = [(total / exact[s]).as_integer_ratio() for s in names]  # slots from one block to the next
-    out = [np.empty((3, blocks[s]), np.int64) for s in names]
-    waiting = [(0, i, 0) for i in range(len(names))]
+    exact = [Fraction(w) for w in weights]
+    total = sum(exact)
+    turn = [(total / w).as_integer_ratio() for w in exact]  # slots from one block to the next
+    waiting = [(0, i, 0) for i, n in enumerate(blocks) if n]
     ready: list[tuple] = []
     t = 0
     while waiting or ready:
@@ -139,55 +51,84 @@ def whole_run(weights: dict, blocks: dict) -> dict[object, np.ndarray]:
             up, down = turn[i]
             heapq.heappush(ready, (-(-(j + 1) * up // down), i, j, release))
         deadline, i, j, release = heapq.heappop(ready)
-        out[i][:, j] = release, deadline, t
-        if j + 1 < out[i].shape[1]:
+        yield i, j, release, deadline, t
+        if j + 1 < blocks[i]:
             up, down = turn[i]
             heapq.heappush(waiting, ((j + 1) * up // down, i, j + 1))
         t += 1
-    return dict(zip(names, out))
 
 
 @dataclass
-class WholeRun:
-    """Release, deadline, slot and first position of every block of every source."""
+class Plan:
+    """Where workers find each block's release, deadline, slot and first position. A piece of the schedule holds some
+    consecutive blocks of each source, in the order of the sources: ``key`` is a source and its first block there, and
+    ``piece`` and ``at`` say where these begin."""
 
     names: dict
     targets: np.ndarray
-    blocks: list[np.ndarray]
+    store: Store
+    key: np.ndarray
+    piece: np.ndarray
+    at: np.ndarray
     block_rows: int
 
     @staticmethod
-    def of(weights: dict, rows: dict, block_rows: int) -> WholeRun:
-        found = whole_run(weights, {s: -(-n // block_rows) for s, n in rows.items()})
-        names = list(found)
-        sizes = [np.minimum(block_rows, rows[s] - np.arange(found[s].shape[1]) * block_rows) for s in names]
-        size = np.concatenate([*sizes, np.zeros(0, np.int64)])
-        order = np.argsort(np.concatenate([*(found[s][2] for s in names), np.zeros(0, np.int64)]))
-        first = np.empty(len(size), np.int64)
-        first[order] = np.cumsum(size[order]) - size[order]
-        cuts = np.cumsum([len(x) for x in sizes])[:-1]
+    def of(spark: SparkSession, weights: dict, rows: dict, block_rows: int, piece_blocks: int = PIECE_BLOCKS) -> Plan:
+        names = sorted(weights, key=lambda s: (s is not None, s or ""))
+        count = [rows.get(s, 0) for s in names]
+        store = Store(scratch(spark, "mixture"))
+        heads: list[list[np.ndarray]] = []
+        buffer: list[tuple] = []
+        placed = 0
+
+        def flush() -> None:
+            nonlocal placed
+            x = np.array(buffer, np.int64).T
+            size = np.minimum(block_rows, np.array(count, np.int64)[x[0]] - x[1] * block_rows)
+            first = placed + np.cumsum(size) - size
+            placed += int(size.sum())
+            order = np.lexsort((x[1], x[0]))
+            store.save(f"piece-{len(heads)}", np.vstack([x[2:], first])[:, order])
+            source, j = x[0][order], x[1][order]
+            new = np.flatnonzero(np.r_[True, source[1:] != source[:-1]])
+            heads.append([source[new] << 40 | j[new], np.full(len(new), len(heads)), new])
+            buffer.clear()
+
+        for block in earliest_first([weights[s] for s in names], [-(-n // block_rows) for n in count]):
+            buffer.append(block)
+            if len(buffer) >= piece_blocks:
+                flush()
+        if buffer:
+            flush()
+        key, piece, at = (np.concatenate([*(h[i] for h in heads), np.zeros(0, np.int64)]).astype(np.int64) for i in range(3))
+        order = np.argsort(key)
         total = sum(map(Fraction, weights.values()))
         targets = np.array([float(Fraction(weights[s]) / total) for s in names])
-        return WholeRun({s: i for i, s in enumerate(names)}, targets, [np.vstack([found[s], x]) for s, x in zip(names, np.split(first, cuts))], block_rows)
+        return Plan({s: i for i, s in enumerate(names)}, targets, store, key[order], piece[order], at[order], block_rows)
 
-    def place(self, source: int, rank: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(block, release, deadline, slot, position) of the rows of one source with these ranks."""
+    def place(self, source: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(block, release, deadline, slot, position) of rows by source and rank in it."""
         block = rank // self.block_rows
-        release, deadline, slot, first = self.blocks[source][:, block]
-        return block, release, deadline, slot, first + rank % self.block_rows
+        want = source << 40 | block
+        entry = np.searchsorted(self.key, want, side="right") - 1
+        at = self.at[entry] + want - self.key[entry]
+        out = np.empty((4, len(rank)), np.int64)
+        for p in np.unique(self.piece[entry]).tolist():
+            here = np.flatnonzero(self.piece[entry] == p)
+            out[:, here] = self.store.load(f"piece-{p}")[:, at[here]]
+        return block, out[0], out[1], out[2], out[3] + rank % self.block_rows
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, period: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, source, k1, k2, target, block, release, deadline, slot, position): where every row goes in the mixture.
 
     weights: of each source; without them, the square root of its rows. Within a source rows are ordered by a hash, so
     that its blocks are alike. position is gapless from 0. A source that runs out leaves its later slots empty, and the
-    others keep their weights among each other; no row is dropped or repeated. target is the given weight over all weights,
-    or with a ``period`` its blocks in one. A null source is a
-    source; one without a weight is an error. k1 and k2 hash the text (null as empty) and name the row with doc_id.
+    others keep their weights among each other; no row is dropped or repeated, and equal rows take a place each. target
+    is the given weight over all weights. A null source is a source; one without a weight, and more than MAX_SOURCES, are
+    errors. k1 and k2 hash the text (null as empty) and name the row with doc_id. An empty table gives no rows.
     """
-    from quern.llm.common import text_key
-
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *text_key(F.col("text").cast("string")))
     rows = rows.withColumn("h", F.xxhash64("doc_id", "k1"))
     counts = {r[0]: r[1] for r in rows.groupBy("source").count().limit(MAX_SOURCES + 1).collect()}
@@ -197,7 +138,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
         weights = {s: n**0.5 for s, n in counts.items()}
     if missing := [s for s in counts if s not in weights]:
         raise ValueError(f"sources without a weight: {missing[:5]}")
-    plan = docs.sparkSession.sparkContext.broadcast((Plan.of(weights, counts, block_rows, period) if period else WholeRun.of(weights, counts, block_rows)) if weights else None)
+    plan = spark.sparkContext.broadcast(Plan.of(spark, weights, counts, block_rows))  # some numbers of each source and piece
     order = ranked(rows, ["source"], ["h", "doc_id", "k1", "k2"], "rank")
     names = ["doc_id", "source", "k1", "k2"]
 
@@ -205,27 +146,27 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
         p = plan.value
         for b in batches:
             source = np.array([p.names[x] for x in b.column(1).to_pylist()], np.int64)
-            rank = b.column(4).to_numpy(zero_copy_only=False)
-            out = [np.empty(len(rank), np.int64) for _ in range(5)]
-            for s in np.unique(source).tolist():
-                at = np.flatnonzero(source == s)
-                for o, v in zip(out, p.place(s, rank[at])):
-                    o[at] = v
             target = p.targets[source] if len(source) else np.zeros(0)
+            out = p.place(source, b.column(4).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(target, pa.float64()), *map(pa.array, out)], [*names, "target", "block", "release", "deadline", "slot", "position"])
 
     schema = "doc_id long, source string, k1 long, k2 long, target double, block long, release long, deadline long, slot long, position long"
     return order.select(*names, "rank").mapInArrow(tidy(run), schema)
 
 
-def reorder(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, period: int | None = None) -> DataFrame:
-    """All rows of docs, all columns as they are, sorted into the mixture's order: partition by partition, row by row."""
-    from quern.llm.common import text_key
+def reorder(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """All rows of docs, all columns as they are, sorted into the mixture's order: partition by partition, row by row. What
+    holds of ``mix`` holds here. Rows move once: their places are looked up in files, not joined."""
+    key = lambda d, s, a, b: F.xxhash64(F.coalesce(d, F.lit(-1).cast("long")), d.isNull(), F.coalesce(s, F.lit("")), s.isNull(), a, b)
+    # equal rows share (doc_id, source, k1, k2); any of their positions serves any of them
+    placed = mix(docs, weights, block_rows).select(key(F.col("doc_id"), F.col("source"), F.col("k1"), F.col("k2")).alias("key"), "position")
+    places = KeyFile(placed.groupBy("key").agg(F.min("position").alias("position")), "places")
+    (at,) = unused(docs.columns, "position")
+    keyed = docs.select("*", key(F.col("doc_id").cast("long"), F.col("source").cast("string"), *text_key(F.col("text").cast("string"))).alias(at))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = places.values(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found)], schema=b.schema)
 
-    key = text_key(F.col("text").cast("string"))
-    # equal rows share (doc_id, source, k1, k2); any of their positions serves any of them, so they are numbered
-    placed = mix(docs, weights, block_rows, period).select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("position").alias("__p"))
-    slots = placed.groupBy("__d", "__s", "__k1", "__k2").agg(F.min("__p").alias("__p"))
-    keyed = docs.select("*", key[0].alias("__a"), key[1].alias("__b"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("source").cast("string").eqNullSafe(F.col("__s")) & (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2"))
-    return keyed.join(slots, on).repartitionByRange("__p").sortWithinPartitions("__p").select(*[keyed[c] for c in docs.columns])
+    return keyed.mapInArrow(tidy(run), keyed.schema).repartitionByRange(at).sortWithinPartitions(at).select(*[F.col(f"`{c}`") for c in docs.columns])

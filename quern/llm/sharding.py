@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ranked, tidy
+from quern.llm.common import ranked, text_key, tidy
 
 SHARDS, VNODES = 16, 256
 
@@ -102,8 +102,6 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, load: flo
     have no bytes. Slots follow the ring or, where given, ``positions`` (doc_id, k1, k2, position): an order of the rows, 0
     and up, of which a row without one comes last. Repeated rows take one slot each. An empty table gives no rows.
     """
-    from quern.llm.common import text_key
-
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keys = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"),

@@ -3,6 +3,8 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 from quern.llm import decontaminate, mixing, toxicity
 
+from tests.llm.test_mixing_sharding import brute_mix
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -51,11 +53,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert not clean & held and len(left - clean - held) <= 1
     assert Counter(r.doc_id for r in seen["mixing"]) == Counter(clean)
     sizes = Counter(r.source for r in seen["decontamination"])
-    order, want = mixing.schedule(mixing.shares({s: n**0.5 for s, n in sizes.items()})), []
-    while any(sizes.values()):
-        for s, *_ in order:
-            want += [s] * min(mixing.BLOCK_ROWS, sizes[s])
-            sizes[s] -= min(mixing.BLOCK_ROWS, sizes[s])
+    want = brute_mix(sizes, {s: n**0.5 for s, n in sizes.items()}, mixing.BLOCK_ROWS)
     source = {r.doc_id: r.source for r in seen["mixing"]}
     last = seen["sharding"]
     assert [source[r.doc_id] for r in sorted(last, key=lambda r: r.mix_position)] == want
