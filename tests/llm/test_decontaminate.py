@@ -34,10 +34,11 @@ def made(rng, n):
     return " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(2, 8))) for _ in range(n))
 
 
-def test_find_equals_brute_force():
+def test_find_equals_brute_force(monkeypatch):
     rng = random.Random(3)
     items = [(i, made(rng, rng.choice([2, 12, 25]))) for i in range(12)] + [(98, "tiny"), (99, None), (100, " ")]
     index = D.Index.of(items)
+    held = [D._plain(index.text(i)) for i in range(len(index.ids))]
     texts = []
     for n in range(120):
         i = rng.randrange(13)
@@ -45,10 +46,13 @@ def test_find_equals_brute_force():
         texts.append(D.normal(made(rng, rng.randrange(0, 30)) + " " + mid + " " + made(rng, rng.randrange(0, 30))))
     got = D.find(index, texts)
     for t, found in zip(texts, got):
-        want = {index.ids[i]: e for i, x in enumerate(index.texts) if (e := best_edits(x, t)) <= index.budget[i]}
+        want = {index.id(i): e for i, x in enumerate(held) if (e := best_edits(x, t)) <= index.budget[i]}
         assert {m[0]: m[3] for m in found} == want
         for m in found:
-            assert best_edits(index.texts[index.ids.index(m[0])], t[m[1] : m[2]]) == m[3]
+            assert best_edits(held[index.ids.tolist().index(m[0])], t[m[1] : m[2]]) == m[3]
+    # q-grams that stand in many items are looked at some at a time, to the same end
+    monkeypatch.setattr(D, "POSTINGS", 50)
+    assert D.find(index, texts) == got
 
 
 def test_grams_tell_windows_apart():
@@ -71,3 +75,25 @@ def test_matches_blocks_and_odd_inputs(spark):
     left = D.drop_contaminated(docs, b, block_chars=500)
     assert left.dtypes == docs.dtypes and sorted(r.doc_id for r in left.collect()) == sorted(i for i, m in one if not m)
     assert D.matches(docs.limit(0), b).count() == 0 and D.drop_contaminated(docs, b.limit(0)).count() == len(rows)
+
+
+def test_short_items_have_their_edits_too(spark):
+    rng = random.Random(4)
+    bench = [(n, made(rng, 12)[:n].strip().ljust(n, "x")) for n in (5, 9, 10, 12, 15, 19, 20, 23, 30, 31, 40)]
+    rows = []
+    for i, (n, t) in enumerate(bench):
+        rows += [(100 * i + k, made(rng, 9) + changed(rng, t, k) + made(rng, 9)) for k in range(0, 6)]
+    got = {r.doc_id: {m.item_id: m.edits for m in r.matches} for r in D.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    for i, t in rows:
+        t = D.normal(t)
+        assert got[i] == {n: e for n, x in bench if (e := best_edits(D.normal(x), t)) <= int(len(D.normal(x)) * D.EDIT_RATE)}
+
+
+def test_a_benchmark_of_many_blocks(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3000)]
+    bench = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(5000)]  # 2 million characters
+    rows = [(i, f"before {bench[i][1]} after") for i in range(0, 5000, 50)] + [(-1, " ".join(words))]
+    docs, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = {r.doc_id: [m.item_id for m in r.matches] for r in D.matches(docs, b, block_chars=100_000).collect()}
+    assert got == {i: [i] if i >= 0 else [] for i, _ in rows}
