@@ -80,7 +80,7 @@ class Store:
                 self.held.popitem(last=False)
         else:
             path = f"{self.local}/{name}.npy"
-            found = np.load(path, mmap_mode="r") if os.path.getsize(path) > 128 else np.load(path)
+            found = np.load(path, mmap_mode="r").view(np.ndarray) if os.path.getsize(path) > 128 else np.load(path)
         self.held[name] = found
         if len(self.held) > HELD:
             self.held.popitem(last=False)

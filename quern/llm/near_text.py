@@ -88,14 +88,34 @@ def stored(s: np.ndarray) -> np.ndarray:
     return np.r_[np.uint64(len(s) << 1), x]
 
 
-def reach(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
-    """Whether two sets (sorted and distinct) have at least this Jaccard similarity."""
-    if x.dtype != y.dtype:
-        x, y = (z if z.dtype == np.uint32 else np.unique((z >> np.uint64(16)).astype(np.uint32)) for z in (x, y))
-    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
-        return False
-    n = len(np.intersect1d(x, y, assume_unique=True))
-    return n >= similarity * (len(x) + len(y) - n) - 1e-9
+def _short(s: np.ndarray) -> np.ndarray:
+    return s if s.dtype == np.uint32 else np.unique((s >> np.uint64(16)).astype(np.uint32))
+
+
+def reach(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sets with these numbers (each sorted and distinct) have at least this Jaccard similarity, pair by pair."""
+    enough = lambda n, both: n >= similarity * (both - n) - 1e-9
+    size = np.array([len(s) for s in sets], np.int64)
+    out = np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9
+    short = {i: _short(sets[i]) for i in np.unique(np.r_[x[out], y[out]]).tolist()}
+    todo = np.flatnonzero(out)
+    total = np.cumsum(size[x[todo]] + size[y[todo]])
+    at = 0
+    while at < len(todo):  # some millions of hashes at a time: those that both sets hold come twice
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 21), "right")))
+        some = todo[at:end]
+        flat = np.concatenate([short[i] for pair in zip(x[some].tolist(), y[some].tolist()) for i in pair]).astype(np.uint64)
+        sizes = np.array([[len(short[i]) for i in c[some].tolist()] for c in (x, y)]).sum(axis=0)
+        flat |= np.repeat(np.arange(len(some), dtype=np.uint64) << np.uint64(32), sizes)
+        flat.sort()
+        twice = flat[1:][flat[1:] == flat[:-1]] >> np.uint64(32)
+        out[some] = enough(np.bincount(twice.astype(np.int64), minlength=len(some)), sizes)
+        at = end
+    for n in np.flatnonzero(out).tolist():  # small sets again, by all bits
+        a, b = sets[x[n]], sets[y[n]]
+        if a.dtype == b.dtype == np.uint64:
+            out[n] = enough(len(np.intersect1d(a, b, assume_unique=True)), len(a) + len(b))
+    return out
 
 
 @dataclass
@@ -241,21 +261,23 @@ def _links(texts: DataFrame, n: int, sets: Sets, tables: Tables, similarity: flo
                 ok = (np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int32) <= tables.most) & (ref[a] != ref[b])
                 ok[ok] = tables.first(h[x[ok]], h[y[ok]], fp[x[ok]], fp[y[ok]]) == head[a[ok]] >> 48
                 a, b = a[ok], b[ok]
-                linked = np.zeros(len(a), bool)
-                lab = known.label
-                done: dict[int, int] = {}
+                x, y = x[ok], y[ok]
+                need = np.unique(np.r_[x, y])
+                ok = reach([sets.set(int(ref[some[v]])) for v in need.tolist()], np.searchsorted(need, x), np.searchsorted(need, y), similarity)
+                a, b = a[ok], b[ok]
+                linked, lab, up = np.zeros(len(a), bool), known.label, {}
 
-                def root(v: int) -> int:
+                def root(v: int, lab=lab, up=up) -> int:
                     v = int(lab[v])
-                    while v in done:
-                        v = done[v]
+                    while v in up:
+                        v = up[v]
                     return v
 
                 for n, (u, v) in enumerate(zip(a.tolist(), b.tolist())):
                     p, q = root(u), root(v)
-                    if p != q and reach(sets.set(int(ref[u])), sets.set(int(ref[v])), similarity):
+                    if p != q:
                         linked[n] = True
-                        done[max(p, q)] = min(p, q)
+                        up[max(p, q)] = min(p, q)
                 known.join(a[linked], b[linked])
                 src.append(ref[a[linked]])
                 dst.append(ref[b[linked]])

@@ -138,5 +138,16 @@ def test_stored_sets_come_back(tmp_path):
         at += N.WORDS + len(parts[-1])
     sets.store.save("sets-7", np.concatenate(parts))
     assert (sets.fingerprints(np.array(refs))[:, 0] == [len(s) for s in held]).all()
-    for r, s in zip(refs, held):
-        assert N.reach(sets.set(r), s, 1.0) and not N.reach(sets.set(r), np.r_[s, s[-1] ^ np.uint64(1 << 40)], 1.0)
+    # every stored set with the same, with one hash more, and with others
+    more = [np.sort(np.r_[s, s[-1] ^ np.uint64(1 << 40)]) for s in held]
+    back = [sets.set(r) for r in refs]
+    every = [*back, *held, *more]
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(15), np.arange(15)))
+    for similarity in (1.0, 0.95, 0.5):
+        got = N.reach(every, x, y, similarity)
+        for i, j, ok in zip(x.tolist(), y.tolist(), got.tolist()):
+            a, b = (set(([*held, *held, *more][v] >> np.uint64(16)).astype(np.uint32).tolist()) if len([*held, *held, *more][v]) >= 60 else set(held[v % 5].tolist() if v < 10 else more[v - 10].tolist()) for v in (i, j))
+            if max(len(a), len(b)) >= 60:
+                assert ok == (len(a & b) >= similarity * len(a | b)) or min(len(a), len(b)) == 1
+    one = [np.array([5 << 50], np.uint64), np.array([(5 << 50) + 1], np.uint64)]
+    assert N.reach(one, np.array([0, 0]), np.array([0, 1]), 0.8).tolist() == [True, False]
