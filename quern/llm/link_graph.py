@@ -2,7 +2,7 @@
 
 Trust is a personalised PageRank from trusted hosts along links, distrust one from blocked hosts against them (who links
 to a blocked host is suspect). Both run in one pass a round over the aggregated host edges, and every host is judged by
-their difference.
+the share of distrust in all that is known of it.
 """
 
 from __future__ import annotations
@@ -111,50 +111,58 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
+def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, rounds: int | None = None) -> DataFrame:
     """(host, trust, distrust): hosts has (host, good, bad), the seeds' weights, null as 0; edges (src, dst, n).
 
-    Each score sums to its seeds' sum; mass at hosts without a way on returns to the seeds. Ends after ``rounds`` or
-    when no score moves by more than ``tolerance``. Hosts that only edges name take part without seeds.
+    Both are personalised PageRanks over the mass that restarts: trust = good + damping * what links bring, each host
+    handing its trust to those it links to by n; distrust goes against the links, from a host to those that link to it.
+    Neither is ever less than its seed. Mass at hosts without a way on ends there. The loop ends when no score moves by
+    more than ``tolerance`` (for which log(tolerance) / log(damping) rounds are enough of unit seeds), or after ``rounds``
+    if given. Links within a host, null hosts and those without n > 0 are left out; hosts that only edges name take part
+    without seeds; hosts and edges that are repeated add up.
     """
-    edges = cut(edges.where("src <> dst and n > 0"))
-    out = edges.groupBy("src").agg(F.sum("n").alias("out")).withColumnRenamed("src", "host")
-    into = edges.groupBy("dst").agg(F.sum("n").alias("into")).withColumnRenamed("dst", "host")
-    seeds = hosts.groupBy("host").agg(F.sum(F.coalesce("good", F.lit(0.0))).alias("good"), F.sum(F.coalesce("bad", F.lit(0.0))).alias("bad"))
-    nodes = seeds.join(out, "host", "full").join(into, "host", "full").na.fill(0)
-    shares = edges.join(out.withColumnRenamed("host", "src"), "src").join(into.withColumnRenamed("host", "dst"), "dst")
-    shares = cut(shares.select("src", "dst", (F.col("n") / F.col("out")).alias("on"), (F.col("n") / F.col("into")).alias("back")))
-    state = cut(nodes.select("host", "good", "bad", "out", "into", F.col("good").alias("trust"), F.col("bad").alias("distrust"), F.lit(0.0).alias("moved")))
-    total = state.agg(F.coalesce(F.sum("good"), F.lit(0.0)), F.coalesce(F.sum("bad"), F.lit(0.0))).first()
-    share = lambda part, whole: float(part or 0) / whole if whole else 0.0
-    for _ in range(rounds):
-        stuck = state.agg(F.sum(F.when(F.col("out") == 0, F.col("trust"))), F.sum(F.when(F.col("into") == 0, F.col("distrust")))).first()
-        ranks = state.select("host", "trust", "distrust")
-        given = shares.join(ranks, shares.src == ranks.host).select(F.col("dst").alias("host"), (F.col("trust") * F.col("on")).alias("t"), F.lit(0.0).alias("d"))
-        given = given.unionAll(shares.join(ranks, shares.dst == ranks.host).select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("back")).alias("d")))
+    edges = edges.where("src <> dst and n > 0").groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    edges = cut(edges)
+    out = edges.groupBy("src").agg(F.sum("n").alias("out"))
+    into = edges.groupBy("dst").agg(F.sum("n").alias("into"))
+    shares = cut(edges.join(out, "src").join(into, "dst").select("src", "dst", (damping * F.col("n") / F.col("out")).alias("on"), (damping * F.col("n") / F.col("into")).alias("back")))
+    named = shares.select(F.col("src").alias("host")).unionAll(shares.select(F.col("dst").alias("host"))).distinct()
+    seeds = hosts.where("host is not null").groupBy("host").agg(F.sum(F.coalesce("good", F.lit(0.0))).alias("good"), F.sum(F.coalesce("bad", F.lit(0.0))).alias("bad"))
+    nodes = cut(seeds.join(named, "host", "full").na.fill(0))
+    state, done = nodes.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust")), 0
+    while rounds is None or done < rounds:
+        given = shares.join(state, shares.src == state.host).select(F.col("dst").alias("host"), (F.col("trust") * F.col("on")).alias("t"), F.lit(0.0).alias("d"))
+        given = given.unionAll(shares.join(state, shares.dst == state.host).select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("back")).alias("d")))
         got = given.groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        back = (1 - damping) + damping * share(stuck[0], total[0]), (1 - damping) + damping * share(stuck[1], total[1])
-        new = state.join(got, "host", "left").select(
-            "host", "good", "bad", "out", "into", F.col("trust").alias("t0"), F.col("distrust").alias("d0"),
-            (F.col("good") * back[0] + damping * F.coalesce("t", F.lit(0.0))).alias("trust"), (F.col("bad") * back[1] + damping * F.coalesce("d", F.lit(0.0))).alias("distrust"),
-        )
-        state = cut(new.withColumn("moved", F.greatest(F.abs(F.col("trust") - F.col("t0")), F.abs(F.col("distrust") - F.col("d0")))).drop("t0", "d0"))
-        if (state.agg(F.max("moved")).first()[0] or 0) <= tolerance:
+        new = nodes.join(got, "host", "left").join(state, "host")
+        trust, distrust = (F.col(seed) + F.coalesce(brought, F.lit(0.0)) for seed, brought in (("good", "t"), ("bad", "d")))
+        moved = F.greatest(F.abs(trust - F.col("trust")), F.abs(distrust - F.col("distrust")))
+        new = cut(new.select("host", trust.alias("trust"), distrust.alias("distrust"), moved.alias("moved")))
+        state, done = new.select("host", "trust", "distrust"), done + 1
+        if (new.agg(F.max("moved")).first()[0] or 0) <= tolerance:
             break
-    return state.select("host", "trust", "distrust")
+    return state
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, **how) -> DataFrame:
+def suspicion(trust, distrust, unknown):
+    """The share of distrust in all that is known of a host: its trust, its distrust, and the share of its pages that no
+    rule fits. A host without links gets the share of its pages that rules block."""
+    return distrust / F.greatest(trust + distrust + unknown, F.lit(1e-300))
+
+
+def filter_urls(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, edges: DataFrame | None = None, **how) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every page.
 
     A host's seeds are the shares of its pages that rules allow (trusted) and block. Pages that no rule fits are blocked
-    where their host's distrust less its trust reaches ``threshold``. Pages without a host (null urls too) are allowed;
-    repeated rows are answered one by one.
+    where their host's ``suspicion`` is above ``threshold``. A host's distrust is its own seed at least, however many link
+    to it, so that links can clear it only by the trust that they bring. ``edges`` (src, dst, n) stand in place of the
+    pages' own links between hosts (see ``host_edges``). Pages without a host (null urls too) are allowed; repeated rows
+    count and are answered one by one; an empty table gives no rows.
     """
     found = cut(judged(pages, rules))
-    by = found.where("host <> ''").groupBy("host").agg(F.avg((F.col("ruled") == "allow").cast("double")).alias("g"), F.avg((F.col("ruled") == "block").cast("double")).alias("b"), F.count(F.lit(1)).alias("n"), F.count("ruled").alias("r"))
-    seeds = by.select("host", (F.coalesce("g", F.lit(0.0)) * F.col("r") / F.col("n")).alias("good"), (F.coalesce("b", F.lit(0.0)) * F.col("r") / F.col("n")).alias("bad"))
-    scores = propagate(seeds, host_edges(pages), **how)
-    both = found.join(scores, "host", "left")
-    method = F.when(F.col("distrust") - F.col("trust") >= threshold, "block").otherwise("allow")
-    return both.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "trust", "distrust")
+    share = lambda verdict: F.avg(F.when(F.col("ruled") == verdict, 1.0).otherwise(0.0))
+    seeds = cut(found.where("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad")))
+    scores = propagate(seeds, host_edges(pages) if edges is None else edges, **how).join(seeds, "host")
+    scores = scores.select("host", "trust", "distrust", suspicion(F.col("trust"), F.col("distrust"), 1 - F.col("good") - F.col("bad")).alias("suspicion"))
+    method = F.when(F.col("suspicion") > threshold, "block").otherwise("allow")
+    return found.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "trust", "distrust")
