@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, kneser_ney, line_runs, link_graph, lm_quality, mixing, quality, sharding, simhash, toxicity
+from quern.llm import decontaminate, kneser_ney, line_runs, link_graph, lm_quality, mixing, near_text, quality, sharding, simhash, toxicity
 from quern.llm.common import table
 
 
 def op1_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts, base rules and verdict. Null and empty texts have no words and fail; repeated rows are
+    answered one by one; a null doc_id is answered; an empty table gives no rows."""
     return quality.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_decontaminate_qgram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items that it holds. Null and empty texts hold none; repeated rows and null
+    doc_ids are answered one by one; an empty table gives no rows, an empty benchmark no matches (least_edits null)."""
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_sort(F.transform("matches", lambda m: m["item_id"]))
     return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.size("matches").cast("long").alias("n_items"), ids.alias("item_ids"), F.array_min(F.transform("matches", lambda m: m["edits"])).alias("least_edits"))
@@ -24,56 +28,222 @@ URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net
 
 
 def op3_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict. Null urls and those without :// have neither host nor path and are
+    allowed; of rules of one length the alphabetically first counts; repeated rows are answered one by one."""
     return link_graph.filter_urls(table(spark, sf_dir, "pages"), [link_graph.Rule.of(*r) for r in URL_RULES])
 
 
 def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the mixture. Null texts count as empty, a null source is a source; equal rows take one
+    place each; rows of one hash are ordered by doc_id and text; an empty table gives no rows."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("k1", "k2")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and class. Null and empty texts have fingerprint zero and link like any other; a null
+    doc_id links but names no class; repeated rows are answered one by one; an empty table gives no rows."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op6_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot, by the law ``rows``. Null texts have no bytes; null doc_ids and repeated rows get
+    slots of their own; an empty table gives no rows."""
     found = sharding.shard(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its frequent lines. Every row is a document, repeated rows too; null and empty texts are one
+    empty line, which stays; an empty table gives no rows."""
     found = line_runs.drop_frequent(table(spark, sf_dir, "documents"), min_docs=10)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
 def op8_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's scores. Null and empty texts are their end alone; a null doc_id counts as the text ''; repeated
+    rows are learned from and answered one by one; an empty table gives no rows."""
     return kneser_ney.held_out_scores(table(spark, sf_dir, "documents"))
 
 
 def op9_lm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity under trusted text, and its verdict. Null and empty texts are their end alone; a score
+    right at the threshold is kept; null languages go by all; repeated rows are answered one by one."""
     return lm_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity. Null and empty texts score alike; null languages go by all languages' threshold, and a
+    score right at it is toxic; repeated rows are answered one by one; an empty table gives no rows."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def corpus_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1: counts and base rules."""
+    return op1_quality_gbt(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def corpus_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op3 for pages that link to no other host: all of it."""
+    return op3_link_graph(spark, sf_dir).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: Rounds of the propagation over orders, so that SQL can spell them out.
+ROUNDS = 6
+
+
+def corpus_link_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3's propagation over a graph that has links: customers are hosts, and a clerk's orders link each to the next by
+    order key. Trusted are those of segment BUILDING, blocked those with an account below zero."""
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    name = lambda c: F.concat(F.lit("c"), c)
+    clerk = (F.col("o_orderkey") % 97).alias("clerk")
+    following = F.lead("o_custkey").over(Window.partitionBy("clerk").orderBy("o_orderkey"))
+    edges = orders.select("o_orderkey", "o_custkey", clerk).select(name("o_custkey").alias("src"), name(following).alias("dst")).where("dst is not null")
+    edges = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    hosts = customers.select(name("c_custkey").alias("host"), (F.col("c_mktsegment") == "BUILDING").cast("double").alias("good"), (F.col("c_acctbal") < 0).cast("double").alias("bad"))
+    found = link_graph.propagate(hosts, edges, rounds=ROUNDS, tolerance=0.0)
+    return found.select("host", F.round("trust", 6).alias("trust"), F.round("distrust", 6).alias("distrust"))
+
+
+def corpus_mixture_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4: each source's rows, blocks and target, and how its blocks keep to their windows."""
+    found = op4_pfair_mixing(spark, sf_dir).withColumn("in_window", F.expr("release <= slot and slot < deadline"))
+    by = found.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("block").alias("n_blocks"), F.round(F.first("target"), 9).alias("target"), F.countDistinct("position").alias("n_positions"),
+        F.sum((~F.col("in_window")).cast("long")).alias("n_late"), F.sum(F.col("position")).alias("places"),
+    )
+    whole = by.agg(F.lit("(all)").alias("source"), F.sum("n_rows").alias("n_rows"), F.sum("n_blocks").alias("n_blocks"), F.round(F.sum("target"), 6).alias("target"), F.sum("n_positions").alias("n_positions"), F.sum("n_late").alias("n_late"), F.sum("places").alias("places"))
+    return by.withColumn("places", F.lit(None).cast("long")).unionAll(whole)
+
+
+def corpus_shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op6, by shard: rows, and slots without a gap."""
+    return op6_bounded_ring(spark, sf_dir).groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("slot").alias("n_slots"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
+
+
+def corpus_row_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op6, by document: its size."""
+    return op6_bounded_ring(spark, sf_dir).select("doc_id", "size", "law", (F.col("shard").between(0, 15)).alias("placed"))
+
+
+def corpus_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op8: all but the model's score."""
+    return op8_kneser_ney_scores(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
+
+
+def corpus_trusted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9: every document's tokens, and which of them trusted documents hold."""
+    return op9_lm_quality(spark, sf_dir).select("doc_id", "lang", "n_tokens", "n_known")
+
+
+def corpus_kept_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the pipeline's near duplicates: of equal texts at most the smallest doc_id stays."""
+    kept = near_text.keep_one(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    least = docs.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.min("doc_id").alias("doc_id"))
+    return least.select("doc_id").unionAll(kept.select("doc_id")).distinct()
+
+
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith(("op", "corpus_")) and callable(f)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LINES = "string_split(coalesce(text, ''), chr(10))"
 _LINE_DEDUP = f"""
-WITH l AS (SELECT doc_id, unnest({_LINES}) AS line, unnest(range(len({_LINES}))) AS pos FROM documents),
-k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key FROM l),
-f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
-r AS (SELECT doc_id, pos, line, key IN (SELECT key FROM f) AS gone FROM k)
+WITH d AS (SELECT row_number() OVER () AS rid, * FROM documents),
+l AS (SELECT rid, doc_id, unnest({_LINES}) AS line, unnest(range(len({_LINES}))) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, {_BLANKS}), '{_UPPER}', '{_LOWER}') AS key FROM l),
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT rid) >= 10),
+r AS (SELECT rid, doc_id, pos, line, key IN (SELECT key FROM f) AS gone FROM k)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM r GROUP BY doc_id
+FROM r GROUP BY rid, doc_id
+"""
+
+_WORD = "[^\\x20\\x09-\\x0D]+"
+_COUNTS = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS words FROM d),
+p AS (SELECT rid, words, unnest(range(len(words) - 4)) AS pos FROM w WHERE len(words) >= 5),
+g AS (SELECT rid, pos, count(*) OVER (PARTITION BY rid, array_to_string(words[pos + 1:pos + 5], ' ')) AS n FROM p),
+c AS (SELECT rid, count(DISTINCT place) AS n FROM (SELECT rid, unnest(range(pos, pos + 5)) AS place FROM g WHERE n >= 2) GROUP BY rid),
+l AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d),
+u AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '{_WORD}') GROUP BY rid),
+s AS (SELECT w.rid, doc_id, len(words) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(u.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+      FROM w LEFT JOIN u USING (rid) LEFT JOIN c USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s
+"""
+
+_RULES = ", ".join(f"('{verdict}', '{text.partition('/')[0]}', '/{text.partition('/')[2]}', '{text}')" for verdict, text in URL_RULES)
+_URLS = f"""
+WITH rules(ruled, rule_host, rule_path, rule) AS (VALUES {_RULES}),
+a AS (SELECT row_number() OVER () AS rid, page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM a),
+p AS (SELECT rid, page_id, translate(raw, '{_UPPER}', '{_LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+f AS (SELECT p.*, rule, ruled, row_number() OVER (PARTITION BY rid ORDER BY length(rule) DESC, rule) AS nr
+      FROM p LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
+b AS (SELECT *, avg(CASE WHEN ruled = 'block' THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY host) AS blocked FROM f WHERE nr = 1)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host <> '' AND blocked > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM b
+"""
+
+
+def _link_rounds() -> str:
+    parts = ["""
+WITH o AS (SELECT 'c' || o_custkey AS src, 'c' || lead(o_custkey) OVER (PARTITION BY o_orderkey % 97 ORDER BY o_orderkey) AS dst FROM orders),
+e AS (SELECT src, dst, count(*) AS n FROM o WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst),
+s AS (SELECT src, dst, 0.85 * n / sum(n) OVER (PARTITION BY src) AS fwd, 0.85 * n / sum(n) OVER (PARTITION BY dst) AS rev FROM e),
+r0 AS (SELECT host, max(good) AS good, max(bad) AS bad, max(good) AS trust, max(bad) AS distrust FROM (
+    SELECT 'c' || c_custkey AS host, CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0::DOUBLE ELSE 0 END AS good, CASE WHEN c_acctbal < 0 THEN 1.0::DOUBLE ELSE 0 END AS bad FROM customer
+    UNION ALL SELECT src, 0, 0 FROM e UNION ALL SELECT dst, 0, 0 FROM e) GROUP BY host)"""]
+    for i in range(ROUNDS):
+        parts.append(f"""
+t{i + 1} AS (SELECT dst AS host, sum(fwd * trust) AS x FROM s JOIN r{i} ON src = host GROUP BY dst),
+d{i + 1} AS (SELECT src AS host, sum(rev * distrust) AS y FROM s JOIN r{i} ON dst = host GROUP BY src),
+r{i + 1} AS (SELECT host, good, bad, good + coalesce(x, 0) AS trust, bad + coalesce(y, 0) AS distrust FROM r0 LEFT JOIN t{i + 1} USING (host) LEFT JOIN d{i + 1} USING (host))""")
+    return ",".join(parts) + f" SELECT host, round(trust, 6) AS trust, round(distrust, 6) AS distrust FROM r{ROUNDS}"
+
+
+_SOURCES = """
+WITH s AS (SELECT source, count(*) AS n_rows, ceil(count(*) / 16.0)::BIGINT AS n_blocks FROM documents GROUP BY source),
+t AS (SELECT *, round(sqrt(n_rows) / sum(sqrt(n_rows)) OVER (), 9) AS target FROM s)
+SELECT source, n_rows, n_blocks, target, n_rows AS n_positions, 0::BIGINT AS n_late, NULL::BIGINT AS places FROM t
+UNION ALL SELECT '(all)', sum(n_rows)::BIGINT, sum(n_blocks)::BIGINT, 1.0, sum(n_rows)::BIGINT, 0, (sum(n_rows) * (sum(n_rows) - 1) // 2)::BIGINT FROM t
+"""
+_SHARDS = """
+WITH n AS (SELECT count(*) AS n FROM documents), s AS (SELECT unnest(range(16))::INT AS shard)
+SELECT shard, n // 16 + (shard < n % 16)::INT AS n_rows, n // 16 + (shard < n % 16)::INT AS n_slots, 0::BIGINT AS first_slot, n // 16 + (shard < n % 16)::INT - 1 AS last_slot FROM s, n
+"""
+_SIZES = "SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, 'rows' AS law, true AS placed FROM documents"
+
+#: CRC-32 of a short ASCII text, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT FOR c IN string_split({text}, '')]), lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, bit: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+_TOKENS = f"list_append(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}'), chr(10))"
+_BASE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_CRC.format(text="doc_id::VARCHAR")} % 10 = 0 AS held_out, {_TOKENS} AS tokens FROM documents),
+t AS (SELECT rid, held_out, unnest(tokens) AS token FROM d),
+c AS (SELECT token, count(*) AS c FROM t WHERE NOT held_out GROUP BY token),
+n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c),
+s AS (SELECT rid, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))) AS base FROM t LEFT JOIN c USING (token), n GROUP BY rid)
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base, 5) AS base_score FROM d JOIN s USING (rid), n
+"""
+_TRUSTED = f"""
+WITH good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+fitted AS (SELECT doc_id FROM good WHERE {_CRC.format(text="doc_id::VARCHAR")} % 5 <> 0),
+d AS (SELECT row_number() OVER () AS rid, doc_id, lang, {_TOKENS} AS tokens FROM documents),
+t AS (SELECT rid, doc_id, unnest(tokens) AS token FROM d),
+k AS (SELECT DISTINCT token, 1 AS known FROM t WHERE doc_id IN (SELECT doc_id FROM fitted)),
+s AS (SELECT rid, count(*) AS n_tokens, count(known) AS n_known FROM t LEFT JOIN k USING (token) GROUP BY rid)
+SELECT doc_id, lang, n_tokens, n_known FROM d JOIN s USING (rid)
 """
+_COPIES = "SELECT min(doc_id) AS doc_id FROM documents GROUP BY coalesce(text, '')"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": _LINE_DEDUP}
+    return {
+        "op7_line_dedup": _LINE_DEDUP, "corpus_quality_counts": _COUNTS, "corpus_url_rules": _URLS, "corpus_link_scores": _link_rounds(), "corpus_mixture_sources": _SOURCES,
+        "corpus_shard_sizes": _SHARDS, "corpus_row_sizes": _SIZES, "corpus_base_scores": _BASE, "corpus_trusted_words": _TRUSTED, "corpus_kept_copies": _COPIES,
+    }

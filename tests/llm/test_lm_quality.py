@@ -1,8 +1,10 @@
 import random
+import zlib
 
 import numpy as np
 
 from quern.llm import lm_quality as Q
+from tests.llm.test_kneser_ney import Brute
 
 
 def test_junk_goes_and_clean_text_stays(spark):
@@ -43,3 +45,26 @@ def test_a_rare_language_has_its_own_quantile_in_a_large_corpus(spark):
     assert all(np.isclose(got.least[x], want.least[x]) and np.isclose(got.mean[x], want.mean[x]) for x in got.least)
     labels = spark.range(40_000).selectExpr("id as doc_id", "1 as quality")
     assert Q.trusted(labels).count() == 40_000
+
+
+def test_classification_equals_brute_force(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(rng.choice(words if rng.random() < 0.97 else ["odd", f"n{rng.randrange(99)}"]) for _ in range(rng.randrange(0, 40))), rng.choice(["a", "a", "b", None])) for i in range(600)]
+    rows += [rows[3]] * 2 + [(None, "w1 w2", "a"), (601, None, "b")]
+    good = {i: int(rng.random() < 0.8) for i in range(0, 600) if i % 2}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, q, 0) for i, q in good.items()] + [(5, 0, 0)], "doc_id long, quality int, toxic int")
+    good[5] = 0
+    fits = lambda i: zlib.crc32(str(i).encode()) % 5 != 0
+    model = Brute([t for i, t, _ in rows if good.get(i) and fits(i)])
+    held = [(x or "", *model.score(t)) for i, t, x in rows if good.get(i) and not fits(i)]
+    t = Q.thresholds([h[0] for h in held], np.array([h[4] for h in held]), np.array([float(h[1]) for h in held]), 0.9)
+    want = []
+    for i, text, x in rows:
+        n, known, _, score = model.score(text)
+        least = t.least.get(x, t.any_least)
+        want.append((i, n, known, round(score, 4), bool(Q.adjusted(score, n, t.mean.get(x, t.any_mean)) >= least - 1e-9)))
+    got = [(r.doc_id, r.n_tokens, r.n_known, round(r.score, 4), r.kept) for r in Q.classify(docs, labels, 0.9).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted(got, key=key) == sorted(want, key=key) and 0 < sum(not r[4] for r in got) < len(got)

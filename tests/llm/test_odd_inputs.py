@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, kneser_ney, line_runs, link_graph, lm_quality, mixing, near_text, quality, sharding, simhash, toxicity
 
-CLASHES = ["fp", "component_id", "k1", "k2", "h", "rank", "slot", "position", "shard", "score", "kept", "key", "label", "head", "n", "x", "pos", "first", "t1", "gone", "matches", "host", "rep", "size"]
+CLASHES = ["fp", "component_id", "k1", "k2", "h", "rank", "slot", "position", "shard", "score", "kept", "key", "label", "head", "n", "x", "pos", "first", "t1", "gone", "matches", "host", "rep", "size", "row_key", "_row_key", "_position", "Row", "ref", "n_words", "__a", "__b", "__p", "__d", "__s", "__k", "__k1", "__r", "__n", "__o0", "__key", "__text"]
 LONG = " ".join(f"word{i % 5000}" for i in range(250_000))
 ROWS = [
     (1, "a plain text of several words, nothing more to it than that", "en", "s0"), (2, "A plain text of several words, nothing more to it than that", "en", "s0"), (2, "A plain text of several words, nothing more to it than that", "en", "s0"),
@@ -79,3 +79,24 @@ def test_empty_tables(spark, docs, labels, benchmark):
     none = docs.limit(0)
     for df in (quality.rules(none, labels), decontaminate.matches(none, benchmark), mixing.mix(none), simhash.near_duplicates(none), sharding.shard(none), line_runs.drop_frequent(none), kneser_ney.held_out_scores(none), lm_quality.classify(none, labels.limit(0)), toxicity.classify(none, labels.limit(0)), near_text.keep_one(none), mixing.reorder(none)):
         assert df.count() == 0
+
+
+def test_pipeline_stages_on_awkward_tables(spark, docs, labels, benchmark, tmp_path):
+    import corpus_pipeline
+
+    for name, t in (("labels", labels.where("toxic = 7")), ("benchmark", benchmark)):
+        t.write.parquet(f"{tmp_path}/{name}.parquet")
+    for start in (docs, docs.limit(0)):
+        rows, sizes = start, [start.count()]
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            rows = stage(spark, rows, str(tmp_path))
+            if i < 4:
+                assert rows.dtypes == docs.dtypes
+            path = f"{tmp_path}/{start is docs}-{i}"
+            rows.write.parquet(path)
+            rows = spark.read.parquet(path)
+            sizes.append(rows.count())
+        assert sizes == sorted(sizes, reverse=True) and sizes[3] == sizes[-1]
+        left = rows.collect()
+        assert len({(r.shard, r.slot) for r in left}) == len(left) == len({r.mix_position for r in left})
+        assert not left or {1, 2} & {r.doc_id for r in left} == set() and len([r for r in left if r.doc_id in (3, 4, None)]) >= 2

@@ -50,3 +50,17 @@ def test_rules_on_held_out_rows_and_odd_inputs(spark, make_docs):
     assert got[None].base_failed and not got[700].kept
     assert all(r.kept or r.base_failed for r in quality.rules(docs, labels.limit(0)).collect())
     assert quality.rules(make_docs([]), labels).collect() == []
+
+
+def test_flat_trees_score_as_a_walk_does():
+    rng = np.random.default_rng(7)
+    x = rng.random((900, 4))
+    f = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float), [0, 1, 0, -1], trees=12)
+    for row, got in zip(x[:200], f.score(x[:200])):
+        z = f.base
+        for t in range(len(f.feature)):
+            node = 0
+            while f.left[t, node] != node:
+                node = f.left[t, node] if row[f.feature[t, node]] <= f.threshold[t, node] else f.right[t, node]
+            z += f.value[t, node]
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-12
