@@ -35,6 +35,7 @@ SHAPES = [
     Shape("multibuy", r"^[0-9]+ ?/ ?\$[0-9]+(\.[0-9]+)?\z", "multibuy", "none", "derived"),
     Shape("per weight", r"^[0-9]+(\.[0-9]+)? ?(avg\.?)? ?[/.] ?[0-9]* ?[a-z]+\.?", "per_weight", None, "inferred"),
 ]
+#: Where a price has its denominator, its first number, a multibuy its total; and what counts as a piece.
 DENOMINATOR = r"(?:avg)?[ .]?/? ?([0-9]* ?(?:kg|lbs|lb|g|ml|l|oz|ea|each|item|un))\.?"
 LEADING, MULTIBUY_TOTAL, BARE = r"([0-9]+(?:\.[0-9]+)?)", r"\$([0-9.]+)\z", r"^[0-9]+\z"
 PIECES = ("ea", "each", "item", "un")

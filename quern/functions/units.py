@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.config import GRAMS, MILLILITRES
-from quern.functions.text import captured, cleaned, compiled_small
+from quern.functions.text import captured, cleaned, compiled_small, two_decimals
 
 #: Spellings of each unit, and texts that mean "no size".
 SPELLINGS = {
@@ -21,10 +21,11 @@ SPELLINGS = {
 }
 JUNK = ("error", "n/a", "na", "none", "null", "-", ".", "")
 CONTAINER = r"^([0-9]+) (?:per )?(?:pack|tray|bunch|bag|box|case)\z"
-
+#: A multiplier before or behind a size, and the same behind a unit.
+LEAD, TRAIL, UNIT_TRAIL = r"^([0-9]+) ?[x*] ?[0-9]", r"[x*] ?([0-9]+)\z", r"[a-z] ?[x*] ?([0-9]+)\z"
+#: A number and the unit behind it, and the unit alone; the boundary is an ASCII one.
 _WORDS = "|".join(sorted({w for ws in SPELLINGS.values() for w in ws} - {"fl oz", "floz"}, key=lambda w: (-len(w), w))) + "|fl ?oz"
-#: A number and the unit behind it; the boundary is an ASCII one.
-SIZE = rf"([0-9]+(?:\.[0-9]+)?) ?({_WORDS})(?![A-Za-z0-9_])"
+SIZE, TOKEN = rf"([0-9]+(?:\.[0-9]+)?) ?({_WORDS})(?![A-Za-z0-9_])", rf"[0-9] ?({_WORDS})(?![A-Za-z0-9_])"
 
 
 def _lookup(key: Column, table: dict) -> Column:
@@ -53,8 +54,8 @@ def stages(raw: Column, at) -> list[dict[str, Column]]:
         {"clean": F.lower(cleaned(raw))},
         {"core": F.regexp_replace(at("clean"), r"([a-z]) ?[x*] ?[0-9]+\z", "$1"), "held": captured(at("clean"), CONTAINER).try_cast("double"), "junk": at("clean").isin(*JUNK)},
         {
-            "amount": captured(at("core"), SIZE, 1).try_cast("double"), "token": captured(at("core"), rf"[0-9] ?({_WORDS})(?![A-Za-z0-9_])"),
-            "lead": captured(at("clean"), r"^([0-9]+) ?[x*] ?[0-9]").try_cast("double"), "trail": captured(at("clean"), r"[a-z] ?[x*] ?([0-9]+)\z").try_cast("double"),
+            "amount": captured(at("core"), SIZE, 1).try_cast("double"), "token": captured(at("core"), TOKEN),
+            "lead": captured(at("clean"), LEAD).try_cast("double"), "trail": captured(at("clean"), UNIT_TRAIL).try_cast("double"),
         },
         # one look-up names the unit, and the rest follows from its name
         {"name": _of(at("token"), {u: u for u in SPELLINGS}), "number": F.coalesce(at("amount"), at("held"))},
@@ -92,15 +93,15 @@ def folded_quantity(x: Column) -> Column:
     """The first, simpler reading: quantity times unit times any multiplier, or a container's count."""
     clean = F.lower(cleaned(x))
     amount = captured(clean, SIZE, 1).try_cast("double")
-    token = captured(clean, rf"[0-9] ?({_WORDS})(?![A-Za-z0-9_])")
-    times = F.coalesce(captured(clean, r"^([0-9]+) ?[x*] ?[0-9]").try_cast("double"), captured(clean, r"[x*] ?([0-9]+)\z").try_cast("double"), F.lit(1.0))
+    token = captured(clean, TOKEN)
+    times = F.coalesce(captured(clean, LEAD).try_cast("double"), captured(clean, TRAIL).try_cast("double"), F.lit(1.0))
     factor = F.coalesce(_of(token, {u: GRAMS[u] for u in ("kg", "lb", "oz")} | {u: MILLILITRES[u] for u in ("l", "fl oz")}), F.lit(1.0))
     return F.coalesce(amount * factor * times, captured(clean, CONTAINER).try_cast("double"))
 
 
 def folded_class(x: Column) -> Column:
     clean = F.lower(cleaned(x))
-    token = captured(clean, rf"[0-9] ?({_WORDS})(?![A-Za-z0-9_])")
+    token = captured(clean, TOKEN)
     known = _of(token, {u: "mass_g" for u in ("kg", "g", "lb", "oz")} | {u: "volume_ml" for u in ("l", "ml", "fl oz")} | {"count": "count"})
     return F.coalesce(known, F.when(clean.rlike(CONTAINER), "count"))
 
@@ -117,6 +118,6 @@ def stated_unit_price(x: Column) -> dict[str, Column]:
 
 def display_size(quantity: Column, uom: Column, pack: Column, confidence: Column) -> Column:
     """'2 x 500 ml': only for sure readings, without trailing zeros; else empty."""
-    number = F.regexp_replace(F.regexp_replace(F.format_string("%.2f", quantity), r"0+\z", ""), r"\.\z", "")
+    number = F.regexp_replace(F.regexp_replace(two_decimals(quantity), r"0+\z", ""), r"\.\z", "")
     packs = F.when(F.coalesce(pack, F.lit(1.0)) > 1, F.concat(pack.cast("int").cast("string"), F.lit(" x "))).otherwise("")
     return F.when(confidence.isin("exact", "derived") & quantity.isNotNull(), F.concat(packs, number, F.lit(" "), F.coalesce(uom, F.lit("")))).otherwise("")

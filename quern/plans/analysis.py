@@ -67,9 +67,9 @@ def partial(spark, sf_dir):
     return timeline.partial_days(rows, ["vendor"], trailing=7, shares=(90, 80, 60))
 
 
-@query("an07_date_gaps", "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_totalprice > 480000), l AS (SELECT d, lag(d) OVER (ORDER BY d) AS previous FROM d) SELECT d, previous, d - previous AS gap_days FROM l WHERE d - previous > 1")
+@query("an07_date_gaps", "WITH d AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS d FROM orders), l AS (SELECT d, lag(d) OVER (ORDER BY d) AS previous FROM d) SELECT d, previous, d - previous AS gap_days FROM l WHERE d - previous > 1")
 def date_gaps(spark, sf_dir):
-    return timeline.date_gaps(_t(spark, sf_dir, "orders").where("o_totalprice > 480000").select(F.col("o_orderdate").cast("date").alias("d")))
+    return timeline.date_gaps(_t(spark, sf_dir, "orders").select(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("d")))
 
 
 @query("an08_day_ratio", "WITH n AS (SELECT event_type AS vendor, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1, 2) SELECT *, CAST(n AS DOUBLE) / lag(n) OVER (PARTITION BY vendor ORDER BY d) AS ratio FROM n")
@@ -458,7 +458,7 @@ def verdicts(spark, sf_dir):
     return d.select("gtin14", F.col("comparison.n_compared").alias("n_compared"), F.col("comparison.cheapest").alias("cheapest"), F.array_join("comparison.compared", "|").alias("compared"), F.size("offers").cast("long").alias("offers"))
 
 
-@query("an45_guarantee")
+@query("an45_guarantee", f"{_OFFERS} SELECT gtin, vendor, px FROM ff")
 def guarantee(spark, sf_dir):
     tiers = panel(spark, sf_dir).select("vendor").distinct().withColumn("vendor_upc_tier", F.lit("vendor_upc"))
     return publication.guaranteed(offers(spark, sf_dir), ["click", "view", "error", "purchase", "signup"], tiers).select("gtin", "vendor", "px")

@@ -9,14 +9,19 @@ from quern.functions import catalogue as C
 from quern.functions.prices import parse_prices
 from quern.functions.units import parse_units
 
-#: A products table up to this size in rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most ``limit`` rows (counted here unless given)."""
-    n = df.limit(limit + 1).count() if rows is None else rows  # total: any rows will do: they are counted
-    return F.broadcast(df) if n <= limit else df
+#: A table up to this size, in rows and in bytes, is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+
+
+def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most ``limit`` rows of ``limit_bytes`` in all: texts by their length, other
+    columns at eight bytes. Both are measured here; ``rows`` spares that where the caller knows it to be too many."""
+    if rows is not None and rows > limit:
+        return df
+    texts = [F.octet_length(F.col(f"`{f.name}`").cast("string")) for f in df.schema if f.dataType.simpleString() in ("string", "binary") or "<" in f.dataType.simpleString()]
+    width = sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(8 * len(df.columns)))
+    n, size = df.limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()  # total: any rows will do: they are counted
+    return F.broadcast(df) if n <= limit and size <= limit_bytes else df
 
 
 def stg_price(prices: DataFrame, products: DataFrame, version: int = 2, product_rows: int | None = None) -> DataFrame:

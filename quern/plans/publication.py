@@ -16,6 +16,7 @@ from quern.functions.units import display_size
 from quern.operators import timeline
 from quern.operators.stats import ordered_list
 from quern.plans.contracts import breaks
+from quern.plans.models import sized
 from quern.sources.sinks import canonical
 
 KEYS = ["gtin", "vendor", "basis"]
@@ -94,7 +95,7 @@ def guaranteed(offers: DataFrame, vendors: list[str], tiers: DataFrame) -> DataF
     tiers: (vendor, vendor_upc_tier), one row a vendor at most and tier.
     """
     loose = tiers.where(~F.col("vendor_upc_tier").isin("vendor_upc", "matched_upc")).select("vendor").distinct().withColumn("loose", F.lit(True))
-    o = breaks(offers.join(F.broadcast(loose), "vendor", "left"), ~F.col("vendor").isin(*vendors), "an offer of a chain outside the extract")
+    o = breaks(offers.join(sized(loose), "vendor", "left"), ~F.col("vendor").isin(*vendors), "an offer of a chain outside the extract")
     return breaks(o, F.coalesce("loose", F.lit(False)), "a chain of the extract is no longer of a reliable tier").drop("loose")
 
 

@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from quern.plans import analysis, relational, text  # noqa: F401
+    from quern.plans import analysis, relational, surface, text  # noqa: F401
 
 
 def queries() -> dict:

@@ -419,12 +419,10 @@ def except_set(spark, sf_dir):
     return o.where("o_orderstatus = 'F'").select("o_custkey").subtract(o.where("o_orderstatus = 'P'").select("o_custkey"))
 
 
-@query("rl50_order_nulls", "SELECT p_partkey, row_number() OVER (ORDER BY nullif(p_size % 10, 0) DESC NULLS LAST, p_name, p_partkey) AS r FROM part QUALIFY r <= 100")
+@query("rl50_order_nulls", "SELECT p_partkey, row_number() OVER (ORDER BY nullif(p_size % 10, 0) DESC NULLS LAST, p_name, p_partkey) AS r FROM part")
 def order_nulls(spark, sf_dir):
-    p = _t(spark, sf_dir, "part").withColumn("z", F.nullif(F.col("p_size") % 10, F.lit(0)))
-    order = [F.col("z").desc_nulls_last(), F.col("p_name"), F.col("p_partkey")]
-    first = p.orderBy(*order).limit(100)  # the first hundred come from a top-k, so that the window's one task holds no more
-    return first.select("p_partkey", F.row_number().over(Window.orderBy(*order)).alias("r"))
+    p = _t(spark, sf_dir, "part").select("p_partkey", "p_name", F.nullif(F.col("p_size") % 10, F.lit(0)).alias("z"))
+    return stats.global_rank(p, [F.col("z").desc_nulls_last(), F.col("p_name"), F.col("p_partkey")], "r").select("p_partkey", (F.col("r") + 1).alias("r"))
 
 
 # ---- scalar functions

@@ -99,13 +99,12 @@ def unit_fields(spark, sf_dir):
 
 @query(
     "up_display_size",
-    _SIZED + """SELECT CASE kind WHEN 0 THEN q || ' g' WHEN 1 THEN (q * 1000 + 500) || ' g' WHEN 2 THEN CASE WHEN q > 1 THEN q || ' x ' ELSE '' END || '355 ml' WHEN 3 THEN CASE WHEN q > 1 THEN q || ' x ' ELSE '' END || '60 g'
-    WHEN 4 THEN CASE WHEN q > 1 THEN q || ' x ' ELSE '' END || '1 count' ELSE '' END AS size, count(*) AS n FROM s WHERE kind IN (0,1,2,3,4,5,7,8) GROUP BY 1""",
+    _SIZED + r"""SELECT CASE kind WHEN 0 THEN q || ' g' WHEN 1 THEN (q * 1000 + 500) || ' g' WHEN 2 THEN CASE WHEN q > 1 THEN q || ' x ' ELSE '' END || '355 ml' WHEN 3 THEN CASE WHEN q > 1 THEN q || ' x ' ELSE '' END || '60 g'
+    WHEN 4 THEN CASE WHEN q > 1 THEN q || ' x ' ELSE '' END || '1 count' WHEN 6 THEN regexp_replace(regexp_replace(printf('%.2f', CAST(q * 29.5735::DOUBLE AS DOUBLE)), '0+$', ''), '\.$', '') || ' ml'
+    WHEN 9 THEN regexp_replace(regexp_replace(printf('%.2f', CAST(q * 453.592::DOUBLE AS DOUBLE)), '0+$', ''), '\.$', '') || ' g' ELSE '' END AS size, count(*) AS n FROM s GROUP BY 1""",
 )
 def displayed(spark, sf_dir):
-    kind = (F.col("l_orderkey") + 2 * F.col("l_linenumber")) % 10
     rows = parse_units(sized(spark, sf_dir), "units")
-    rows = rows.where(kind.isin(0, 1, 2, 3, 4, 5, 7, 8))
     return rows.groupBy(display_size(F.col("unit_qty"), F.col("unit_uom"), F.col("pack_count"), F.col("unit_parse_confidence")).alias("size")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -183,10 +182,9 @@ def categories(spark, sf_dir):
     return _t(spark, sf_dir, "part").groupBy(C.category(name).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("kb_norm", r"SELECT doc_id, length(regexp_replace(lower(trim(coalesce(text, ''))), '\s+', ' ', 'g')) AS chars FROM documents WHERE NOT contains(text, chr(11))")
+@query("kb_norm", r"SELECT doc_id, regexp_replace(lower(trim(coalesce(text, ''))), '\s+', ' ', 'g') AS norm FROM documents")
 def normalised_names(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\x0b")))
-    return d.select("doc_id", F.length(X.normalised(F.col("text"))).cast("long").alias("chars"))
+    return _t(spark, sf_dir, "documents").select("doc_id", X.normalised(F.col("text")).alias("norm"))
 
 
 @query(
@@ -198,9 +196,14 @@ def shapes(spark, sf_dir):
     return audit.shape_census(rows, "x").select("shape", "n")
 
 
-@query("kb_url_fields", "SELECT page_id, regexp_extract(url, '/([a-z]+)/[0-9]+', 1) AS section, regexp_extract(url, '/([0-9]+)', 1) AS number FROM pages")
+@query(
+    "kb_url_fields",
+    "SELECT page_id, CASE WHEN page_id % 4 < 2 THEN CAST(page_id AS VARCHAR) ELSE '' END AS rsid, CASE page_id % 4 WHEN 0 THEN 'pickup' WHEN 1 THEN 'delivery' ELSE '' END AS channel FROM pages",
+)
 def url_fields(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "/([a-z]+)/[0-9]+", 1).alias("section"), F.regexp_extract("url", "/([0-9]+)", 1).alias("number"))
+    n = F.col("page_id").cast("string")
+    url = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("https://shop/sm/pickup/rsid/"), n, F.lit("/p"))).when(F.col("page_id") % 4 == 1, F.concat(F.lit("/sm/delivery/rsid/"), n, F.lit("/"))).when(F.col("page_id") % 4 == 2, F.concat(F.lit("/rsid/x"), n, F.lit("/")))
+    return _t(spark, sf_dir, "pages").select("page_id", *[F.coalesce(c, F.lit("")).alias(part) for part, c in C.store_in_url(url).items()])
 
 
 @query(

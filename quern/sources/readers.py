@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sqlite3
-from collections.abc import Iterator
 from datetime import date
 
 import pyarrow as pa
@@ -71,10 +70,44 @@ def whole_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.length("value").cast("long").alias("bytes"), F.md5(F.col("value").cast("binary")).alias("md5"))
 
 
-def parquet_bytes(path: str) -> int:
-    """Compressed bytes of a Parquet file's column chunks, from its footer."""
-    meta = pq.read_metadata(path)
-    return sum(meta.row_group(g).column(c).total_compressed_size for g in range(meta.num_row_groups) for c in range(meta.num_columns))
+def parquet_bytes(spark: SparkSession, path: str) -> int:
+    """Compressed bytes of the column chunks of a Parquet file, or of all those in a folder and its partitions, from their
+    footers alone; wherever Spark can read them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    found, total = where.getFileSystem(conf).listFiles(where, True), 0
+    while found.hasNext():
+        at = found.next().getPath()
+        if at.getName().endswith(".parquet"):
+            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(at, conf))
+            total += sum(block.getCompressedSize() for block in reader.getFooter().getBlocks())
+            reader.close()
+    return total
+
+
+def attach(spark: SparkSession, database: str, folder: str) -> list[str]:
+    """Every Parquet table of a folder (a file or folder NAME.parquet) as the table NAME of a database, so that one query
+    may read several snapshots: SELECT ... FROM today.part JOIN before.part. The names of the tables; those of an earlier
+    attachment under the same name go."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = sorted(f.getPath().getName() for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where))
+    names = [n.removesuffix(".parquet") for n in names if n.endswith(".parquet")]
+    detach(spark, database)
+    spark.sql(f"CREATE DATABASE `{database}`")
+    for n in names:
+        spark.sql(f"CREATE TABLE `{database}`.`{n}` USING parquet OPTIONS (path '{folder}/{n}.parquet')")
+    return names
+
+
+def detach(spark: SparkSession, database: str) -> None:
+    """Forgets an attached database; its files stay."""
+    spark.sql(f"DROP DATABASE IF EXISTS `{database}` CASCADE")
+
+
+def catalogue(spark: SparkSession, database: str) -> DataFrame:
+    """(table_name, column_name, position, data_type) of every column of a database's tables, positions from 1."""
+    rows = [(t.name, c.name, i, c.dataType) for t in spark.catalog.listTables(database) for i, c in enumerate(spark.catalog.listColumns(f"`{database}`.`{t.name}`"), 1)]
+    return spark.createDataFrame(rows, "table_name string, column_name string, position int, data_type string")
 
 
 def calendar(spark: SparkSession, first: date, last: date) -> DataFrame:
@@ -84,7 +117,3 @@ def calendar(spark: SparkSession, first: date, last: date) -> DataFrame:
 
 def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
-
-
-def catalogue(df: DataFrame, table: str) -> Iterator[tuple[str, str, str]]:
-    return ((table, f.name, f.dataType.simpleString()) for f in df.schema.fields)

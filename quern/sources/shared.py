@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where the session has none, as in tests, a temporary folder is set."""
+    """spark.checkpoint.dir. Where it is unset a local session, as in tests, takes a temporary folder; on a cluster, whose
+    executors would not see that, it is an error."""
     sc = spark.sparkContext
     if found := sc.getConf().get("spark.checkpoint.dir"):
-        return found
+        return found.rstrip("/")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         sc.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints")
-    return sc._jsc.sc().getCheckpointDir().get()
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes with the session."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import datetime as dt
 import json
 import sqlite3
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -150,7 +151,11 @@ def test_sqlite_and_light_load(spark, tmp_path):
         db.executemany("INSERT INTO raw VALUES (?,?,?,?,?,?)", [(20260801 + i, "1.99", None, "", "", f"p{i % 4}") for i in range(10)])
     assert readers.sqlite_query(path, "SELECT count(*), typeof(max(nowtime)) FROM raw") == [(10, "integer")]
     assert readers.sqlite_to_parquet(path, "raw", f"{tmp_path}/raw.parquet", PRICES[2], rows=3) == 10
-    assert readers.parquet_bytes(f"{tmp_path}/raw.parquet") > 0
+    meta = pq.read_metadata(f"{tmp_path}/raw.parquet")
+    size = sum(meta.row_group(g).column(c).total_compressed_size for g in range(meta.num_row_groups) for c in range(meta.num_columns))
+    assert readers.parquet_bytes(spark, f"{tmp_path}/raw.parquet") == size
+    spark.read.parquet(f"{tmp_path}/raw.parquet").repartition(3).write.partitionBy("product_id").parquet(f"{tmp_path}/parts")
+    assert readers.parquet_bytes(spark, f"{tmp_path}/parts") > 0
     prices = spark.read.schema(PRICES[2]).parquet(f"{tmp_path}/raw.parquet")
     products = spark.createDataFrame([("p0", "Metro"), ("p1", "Walmart"), ("p2", "Voila")], "id string, vendor string")
     some, kept = readers.filtered_load(prices, products, ["Metro", "Walmart"])
