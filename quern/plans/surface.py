@@ -287,7 +287,7 @@ def junk_brand(spark, sf_dir):
     return contracts.product_contracts(product, source)["product.junk_brand"].select("sku")
 
 
-_MATCHED = "c AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Walmart' WHEN 1 THEN 'Voila' ELSE 'Metro' END AS vendor, p_partkey % 400 AS g FROM part WHERE p_size > 5), s AS (SELECT g, count(DISTINCT vendor) AS n, count(DISTINCT vendor) FILTER (WHERE vendor = 'Voila') AS f FROM c GROUP BY 1), m AS (SELECT md5(vendor || chr(31) || p_partkey) AS product_key, vendor, n, f FROM c JOIN s USING (g))"
+_MATCHED = "c AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Walmart' WHEN 1 THEN 'Voila' ELSE 'Metro' END AS vendor, lpad(CAST(p_partkey % 400 AS VARCHAR), 12, '7') AS g FROM part WHERE p_size > 5), s AS (SELECT g, count(DISTINCT vendor) AS n, count(DISTINCT vendor) FILTER (WHERE vendor = 'Voila') AS f FROM c GROUP BY 1), m AS (SELECT md5(vendor || chr(31) || p_partkey) AS product_key, vendor, n, f FROM c JOIN s USING (g))"
 
 
 def _matches(spark, sf_dir):
