@@ -1,18 +1,22 @@
 """Quality classifier: a Kneser-Ney model of trusted text, and per-document perplexity held against its language.
 
-The model's counts are sharded (see kneser_ney); every batch of documents joins its sorted n-grams with each shard.
+The model's counts are sharded (see kneser_ney); every batch of documents merge-joins its sorted n-grams with the shards
+that hold them, which workers map.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import kneser_ney
-from quern.llm.common import cut
+from quern.llm.common import cut, tidy
+from quern.llm.near_text import KeyFile
 
 #: A document's mean is taken together with so many tokens of its language's mean, so that short texts aren't judged by
 #: a few rare words.
@@ -78,11 +82,20 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     keeps (see PRIOR_TOKENS). Null and empty texts are their end alone; repeated rows are answered one by one. Without
     trusted documents everything is kept.
     """
-    chosen = trusted(labels)
+    fits = KeyFile(trusted(labels).select("doc_id", F.col("fit").cast("long").alias("fit")), "trusted")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    some = cut(rows.join(chosen, "doc_id"))
-    model = kneser_ney.train(some.where("fit"), "quality-model")
-    t = thresholds_of(cut(kneser_ney.score(some.where("not fit"), model, ["doc_id", "lang"])), quantile)
+
+    def known(fit: int) -> DataFrame:
+        """The trusted documents that are learned from (1) or calibrated on (0), looked up where they are: no text moves."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(fits.values(b.column(0).to_numpy(zero_copy_only=False)) == fit))
+
+        return rows.where("doc_id is not null").mapInArrow(tidy(run), rows.schema)
+
+    model = kneser_ney.train(known(1), "quality-model")
+    t = thresholds_of(cut(kneser_ney.score(known(0), model, ["doc_id", "lang"])), quantile)
     found = kneser_ney.score(rows, model, ["doc_id", "lang"])
     of = lambda by, other: F.coalesce(*(F.when(F.col("lang") == x, F.lit(v)) for x, v in sorted(by.items())), F.lit(other))
     found = found.withColumn("mean", of(t.mean, t.any_mean)).withColumn("least", of(t.least, t.any_least))
