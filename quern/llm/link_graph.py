@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import cut, tidy
+from quern.plans.models import sized
 
 _UPPER = {c: c + 32 for c in range(65, 91)}
 _LINK = re.compile(r"""(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -164,5 +165,6 @@ def filter_urls(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, edg
     seeds = cut(found.where("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad")))
     scores = propagate(seeds, host_edges(pages) if edges is None else edges, **how).join(seeds, "host")
     scores = scores.select("host", "trust", "distrust", suspicion(F.col("trust"), F.col("distrust"), 1 - F.col("good") - F.col("bad")).alias("suspicion"))
+    scores = cut(scores)
     method = F.when(F.col("suspicion") > threshold, "block").otherwise("allow")
-    return found.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "trust", "distrust")
+    return found.join(sized(scores), "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "trust", "distrust")
