@@ -2,8 +2,9 @@
 
 Words are counted first; a word's number is its place among the sorted word hashes. Bigrams are then counted as 64-bit
 keys (previous word's number, word's number) in shards of sorted arrays, from which each word's continuations follow.
-All arrays are plain files in the shared folder; workers map them into memory and merge-join the sorted keys of a batch
-of documents with each shard, so that no task holds more than a batch and the pages it touches.
+All arrays are plain files in the shared folder that workers map. To score documents, the sorted keys of a batch of them
+are sent to the shards, merge-joined there, and their counts sent back (``asked``), so that no task holds more than a
+batch or a shard.
 
 Counting combines in each task before the shuffle. A shard holds a range of previous words, but for words so frequent
 that they would fill one: their bigrams are dealt to all shards by the second word.
@@ -18,6 +19,7 @@ import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil, log2
 from urllib.parse import urlparse
 
 import numpy as np
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import scratch, tidy
+from quern.llm.common import scratch, tidy, unused
 
 #: No word can hold white space, so these are free.
 END, BEGIN = (xxhash.xxh64_intdigest(x, 42) for x in (b"\n", b" "))
@@ -237,8 +239,9 @@ class Model:
             out = np.where(self.hot[at] == u, w * self.shards // v, out)
         return out
 
-    def score(self, docs: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        """(tokens, known tokens, base score, score) of whole documents, logarithms to base 10."""
+    def score(self, docs: list[np.ndarray], answers: Answers | None = None) -> tuple[np.ndarray, ...]:
+        """(tokens, known tokens, base score, score) of whole documents, logarithms to base 10; with the bigrams' counts
+        out of ``answers``, where this batch's are there."""
         sizes = np.array([len(d) for d in docs], np.int64)
         starts = np.cumsum(sizes) - sizes
         words, back = np.unique(np.concatenate([*docs, np.array([BEGIN], np.uint64)]), return_inverse=True)
@@ -267,28 +270,42 @@ class Model:
             lower = np.maximum(follows - d[np.minimum(follows, 3).astype(int)], 0) / total + spare / (v + 1)
             with np.errstate(divide="ignore", invalid="ignore"):
                 gamma = np.where(count > 0, kinds @ self.discount / count, 1.0)
-            pairs = self._pairs(ids[u], ids[w])
+            pairs = self._pairs(ids[u], ids[w], answers)
             cu = np.maximum(count[u], 1)
             high = np.maximum(pairs - np.r_[0, self.discount][np.minimum(pairs, 3)], 0) / cu
             score = np.log10(high + gamma[u] * lower[w])
         sums = lambda x: np.add.reduceat(x, starts) if len(x) else x
         return sizes, sums((count[w] > 0).astype(np.int64)), sums(base[w]), sums(score)
 
-    def _pairs(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Counts of bigrams: their sorted distinct keys are merge-joined with each shard."""
-        out = np.zeros(len(u), np.int64)
+    def keys(self, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of bigrams by their words' numbers: which may be known, their distinct keys, and which key each has."""
         at = np.flatnonzero((u <= self.vocabulary) & (w < self.vocabulary))
-        keys, back = np.unique(u[at].astype(np.uint64) << np.uint64(32) | w[at].astype(np.uint64), return_inverse=True)
+        return at, *np.unique(u[at].astype(np.uint64) << np.uint64(32) | w[at].astype(np.uint64), return_inverse=True)
+
+    def by_shard(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of the keys by shard, and where each shard begins in it."""
         part = self.part(keys)
-        found = np.zeros(len(keys), np.int64)
         order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(self.shards + 1))
-        for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if b > a and self.filled[s]:
-                have, n = self.store.load(f"pair-{s}"), self.store.load(f"pair-count-{s}")
-                k = keys[order[a:b]]
-                i = np.minimum(np.searchsorted(have, k), len(have) - 1)
-                found[order[a:b]] = np.where(have[i] == k, n[i], 0)
+        return order, np.searchsorted(part[order], np.arange(self.shards + 1))
+
+    def counts(self, shard: int, keys: np.ndarray) -> np.ndarray:
+        """Counts of sorted bigrams of one shard: a merge join."""
+        if not len(keys) or not self.filled[shard]:
+            return np.zeros(len(keys), np.int64)
+        have, n = self.store.load(f"pair-{shard}"), self.store.load(f"pair-count-{shard}")
+        i = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+        return np.where(have[i] == keys, n[i], 0).astype(np.int64)
+
+    def _pairs(self, u: np.ndarray, w: np.ndarray, answers: Answers | None = None) -> np.ndarray:
+        out = np.zeros(len(u), np.int64)
+        at, keys, back = self.keys(u, w)
+        order, cuts = self.by_shard(keys)
+        found = np.zeros(len(keys), np.int64)
+        if (n := answers.find(keys) if answers else None) is not None:
+            found[order] = n
+        else:
+            for s in np.flatnonzero(np.diff(cuts)).tolist():
+                found[order[cuts[s] : cuts[s + 1]]] = self.counts(s, keys[order[cuts[s] : cuts[s + 1]]])
         out[at] = found[back]
         return out
 
@@ -409,18 +426,107 @@ def train(docs: DataFrame, name: str = "kneser-ney", text: str = "text") -> Mode
     return model
 
 
+@dataclass
+class Answers:
+    """The counts that batches of documents asked of the shards, by a hash of the keys that each asked for: in their order
+    by shard. They lie in files of some batches each."""
+
+    store: Store
+    bits: int
+
+    def file(self, batch: int) -> int:
+        return batch % 2**64 >> 64 - self.bits if self.bits else 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray | None:
+        """The counts; nothing if no batch asked for just these keys, as where files are split otherwise than before."""
+        name = batch_name(keys)
+        file = self.file(name)
+        try:
+            held, ends = self.store.load(f"asked-{file}"), self.store.load(f"ends-{file}")
+        except FileNotFoundError:
+            return None
+        i = int(np.searchsorted(held, name))
+        if i == len(held) or held[i] != name:
+            return None
+        n = self.store.load(f"counts-{file}")[ends[i - 1] if i else 0 : ends[i]]
+        return n if len(n) == len(keys) else None
+
+
+def batch_name(keys: np.ndarray) -> int:
+    """A signed 64-bit hash."""
+    return xxhash.xxh3_64_intdigest(np.ascontiguousarray(keys).view(np.uint8)) - 2**63
+
+
+def asked(rows: DataFrame, column: int, model: Model, tokens: int) -> Answers | None:
+    """Joins the bigrams of all batches of rows with the shards: each batch's distinct bigrams go to the shards that hold
+    them, a shard is read once for all that ask, and the counts come back by batch."""
+    if not model.tokens:
+        return None
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(model)  # offsets and the frequent words: some numbers a shard
+    answers = Answers(Store(scratch(spark, "answers")), max(0, ceil(log2(max(1, tokens / BATCH_TOKENS / 16)))))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, model = _Hashes(), shared.value
+        for _, got in _groups(batches, column, hashes):
+            words, back = np.unique(np.concatenate([*got, np.array([BEGIN], np.uint64)]), return_inverse=True)
+            ids = model.number(words)
+            u = np.r_[back[-1], back[:-2]]
+            u[np.cumsum([0, *map(len, got[:-1])])] = back[-1]
+            _, keys, _ = model.keys(ids[u], ids[back[:-1]])
+            if not len(keys):
+                continue
+            name, (order, cuts) = batch_name(keys), model.by_shard(keys)
+            some = np.flatnonzero(np.diff(cuts)).tolist()
+            packed = [_pack(keys[order[cuts[s] : cuts[s + 1]]]) for s in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([name] * len(some), pa.int64()), pa.array(packed, pa.binary())], ["shard", "batch", "keys"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            files, widths, out = [], [], []
+            for s, name, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                n = _small(shared.value.counts(s, _unpack(k.as_py())))
+                files.append(answers.file(name))
+                widths.append(n.itemsize)
+                out.append(n.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), b.column(1), b.column(0), pa.array(widths, pa.int32()), pa.array(out, pa.binary())], ["file", "batch", "shard", "width", "counts"])
+
+    def save(t: pa.Table) -> pa.Table:
+        found: dict[int, dict[int, np.ndarray]] = {}
+        for name, s, width, n in zip(t["batch"].to_pylist(), t["shard"].to_pylist(), t["width"].to_pylist(), t["counts"]):
+            found.setdefault(name, {})[s] = np.frombuffer(n.as_py(), f"u{width}")  # batches of equal keys are one
+        file, names = t["file"][0].as_py(), sorted(found)
+        parts = [np.concatenate([found[x][s] for s in sorted(found[x])]) for x in names]
+        answers.store.save(f"ends-{file}", np.cumsum([len(x) for x in parts]))
+        answers.store.save(f"counts-{file}", np.concatenate(parts))
+        answers.store.save(f"asked-{file}", np.array(names, np.int64))
+        return pa.table({"file": pa.array([file], pa.int64())})
+
+    parts = max(model.shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.mapInArrow(tidy(ask), "shard int, batch long, keys binary").repartition(parts, "shard").sortWithinPartitions("shard")
+    counted = dealt.mapInArrow(tidy(answer), "file long, batch long, shard int, width int, counts binary")
+    counted.groupBy("file").applyInArrow(save, "file long").agg(F.count(F.lit(1))).first()
+    return answers
+
+
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` of docs with n_tokens, n_known, base_score and score of every whole text (null: empty)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # offsets and the frequent words: some numbers a shard
+    """The columns ``keep`` of docs with n_tokens, n_known, base_score and score of every whole text (null: empty).
+
+    Documents are read twice: first their batches ask the shards for counts (see ``asked``), then these are put together.
+    A batch that finds no answer looks its bigrams up in the shards itself, to the same result."""
     kind = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", n_tokens long, n_known long, base_score double, score double"
+    rows = docs.select(*keep, F.col(text).cast("string").alias(*unused(keep, "text")))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length(rows.columns[-1])), F.lit(0))).first()[0]
+    answers = asked(rows, len(keep), model, int(size) // 6)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # offsets and the frequent words: some numbers a shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b, got in _groups(batches, len(keep), hashes):
-            n, known, base, full = shared.value.score(got)
+            n, known, base, full = shared.value.score(got, answers)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(n), pa.array(known), pa.array(base), pa.array(full)], [*keep, "n_tokens", "n_known", "base_score", "score"])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(tidy(run), kind)
+    return rows.mapInArrow(tidy(run), kind)
 
 
 def held_out_scores(docs: DataFrame) -> DataFrame:

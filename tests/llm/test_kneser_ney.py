@@ -101,3 +101,24 @@ def test_empty_null_and_repeated_rows(spark, make_docs):
     assert (one.held_out, one.n_tokens, one.n_known) == (True, 1, 1)
     none = K.held_out_scores(make_docs([(None, "a", None)])).collect()[0]
     assert (none.train_tokens, none.n_known, none.score) == (0, 0, 0.0)
+
+
+def test_answers_are_what_the_shards_hold(spark, make_docs, texts, monkeypatch):
+    monkeypatch.setattr(K, "PAIR_BYTES", 500)
+    docs = make_docs([(i, t, "s") for i, t in enumerate(texts)]).coalesce(1)
+    model = K.train(docs.where("doc_id % 3 > 0"))
+    rows = docs.select("text")
+    hashes = K._Hashes()
+    batches = [K.hashed(r.text, hashes) for r in rows.collect()]
+    for tokens in (1, 10**9):  # one file, and many
+        answers = K.asked(rows, 0, model, tokens)
+        words, back = np.unique(np.concatenate([*batches, np.array([K.BEGIN], np.uint64)]), return_inverse=True)
+        ids, starts = model.number(words), np.cumsum([0, *map(len, batches[:-1])])
+        u = np.r_[back[-1], back[:-2]]
+        u[starts] = back[-1]
+        _, keys, _ = model.keys(ids[u], ids[back[:-1]])
+        order, cuts = model.by_shard(keys)
+        want = np.concatenate([model.counts(s, keys[order[a:b]]) for s, (a, b) in enumerate(zip(cuts, cuts[1:]))])
+        assert answers.find(keys).tolist() == want.tolist() and want.sum() > 0 and answers.find(keys[1:]) is None
+        assert all((a == b).all() for a, b in zip(model.score(batches, answers), model.score(batches)))
+    assert K.asked(rows.limit(0), 0, model, 1).find(keys) is None
