@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import re
 import shutil
 import tempfile
@@ -104,6 +105,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are done: it does so when the driver's garbage collector finds them
+    without an owner, which in a driver with little to do may be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_key(text) -> list:
     """Two independent 64-bit hashes of a text, null as empty."""
     t = F.coalesce(text, F.lit(""))

@@ -2,9 +2,9 @@
 
 Words are counted first; a word's number is its place among the sorted word hashes. Bigrams are then counted as 64-bit
 keys (previous word's number, word's number) in shards of sorted arrays, from which each word's continuations follow.
-All arrays are plain files in the shared folder that workers map. To score documents, the sorted keys of a batch of them
-are sent to the shards, merge-joined there, and their counts sent back (``asked``), so that no task holds more than a
-batch or a shard.
+All arrays are plain files in the shared folder; workers map them into memory and merge-join the sorted keys of a batch
+of documents with each shard, so that no task holds more than a batch and the pages it touches. Or the batches' keys are
+sent to the shards and the counts back (``asked``), so that each shard is read once.
 
 Counting combines in each task before the shuffle. A shard holds a range of previous words, but for words so frequent
 that they would fill one: their bigrams are dealt to all shards by the second word.
@@ -29,12 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import scratch, tidy, unused
+from quern.llm.common import release, scratch, tidy, unused
 
 #: No word can hold white space, so these are free.
 END, BEGIN = (xxhash.xxh64_intdigest(x, 42) for x in (b"\n", b" "))
 #: Tokens that a task holds before it combines them, and distinct keys before it hands them on.
 BATCH_TOKENS, BUFFER_KEYS = 400_000, 2_000_000
+#: Tokens of a batch that asks the shards for counts.
+ASK_TOKENS = 1_200_000
 VOCAB_BYTES, PAIR_BYTES = 48_000_000, 12_000_000
 #: Arrays that a worker maps at once, and bytes of them that it holds where they can't be mapped.
 HELD, HELD_BYTES = 1024, 256 << 20
@@ -107,14 +109,14 @@ def hashed(text: str | None, hashes: _Hashes) -> np.ndarray:
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], column: int, hashes: _Hashes) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Slices of the batches of about BATCH_TOKENS tokens, and their documents' tokens."""
+def _groups(batches: Iterator[pa.RecordBatch], column: int, hashes: _Hashes, tokens: int = BATCH_TOKENS) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of the batches of about so many tokens, and their documents' tokens."""
     for b in batches:
         begin, docs, n = 0, [], 0
         for i in range(b.num_rows):
             docs.append(hashed(b.column(column)[i].as_py(), hashes))
             n += len(docs[-1])
-            if n >= BATCH_TOKENS:
+            if n >= tokens:
                 yield b.slice(begin, i + 1 - begin), docs
                 begin, docs, n = i + 1, [], 0
         if docs:
@@ -130,15 +132,24 @@ def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return k[heads], np.add.reduceat(c, heads) if len(k) else c
 
 
+def _shrunk(data: bytes) -> bytes:
+    """Compressed for a shuffle: entropy coding, which the shuffle's own compressor lacks, takes a quarter off."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _grown(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def _pack(keys: np.ndarray) -> bytes:
-    """Differences of sorted keys, byte plane by byte plane: what the shuffle's compressor shrinks best."""
+    """Differences of sorted keys, byte plane by byte plane, compressed."""
     gaps = np.diff(keys, prepend=keys.dtype.type(0))
-    return np.ascontiguousarray(gaps.view(np.uint8).reshape(len(keys), -1).T).tobytes()
+    return _shrunk(np.ascontiguousarray(gaps.view(np.uint8).reshape(len(keys), -1).T).tobytes())
 
 
 def _unpack(data: bytes, kind=np.uint64) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    planes = np.frombuffer(_grown(data), np.uint8).reshape(width, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
 
 
@@ -423,6 +434,8 @@ def train(docs: DataFrame, name: str = "kneser-ney", text: str = "text") -> Mode
     store.save("lower-kinds", np.array([lower[0], lower[1], lower[4]], np.int64))
     store.save("meta", np.frombuffer(json.dumps({"tokens": model.tokens, "vocabulary": model.vocabulary, "pairs": model.pairs}).encode(), np.uint8))
     store.held.clear()
+    del stats, ended, found
+    release(spark)
     return model
 
 
@@ -448,7 +461,8 @@ class Answers:
         i = int(np.searchsorted(held, name))
         if i == len(held) or held[i] != name:
             return None
-        n = self.store.load(f"counts-{file}")[ends[i - 1] if i else 0 : ends[i]]
+        packed = self.store.load(f"counts-{file}")[ends[i - 1] if i else 0 : ends[i]]
+        n = np.frombuffer(_grown(packed[1:].tobytes()), f"u{packed[0]}")
         return n if len(n) == len(keys) else None
 
 
@@ -464,11 +478,11 @@ def asked(rows: DataFrame, column: int, model: Model, tokens: int) -> Answers |
         return None
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(model)  # offsets and the frequent words: some numbers a shard
-    answers = Answers(Store(scratch(spark, "answers")), max(0, ceil(log2(max(1, tokens / BATCH_TOKENS / 16)))))
+    answers = Answers(Store(scratch(spark, "answers")), max(0, ceil(log2(max(1, tokens / ASK_TOKENS / 8)))))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, model = _Hashes(), shared.value
-        for _, got in _groups(batches, column, hashes):
+        for _, got in _groups(batches, column, hashes, ASK_TOKENS):
             words, back = np.unique(np.concatenate([*got, np.array([BEGIN], np.uint64)]), return_inverse=True)
             ids = model.number(words)
             u = np.r_[back[-1], back[:-2]]
@@ -488,17 +502,18 @@ def asked(rows: DataFrame, column: int, model: Model, tokens: int) -> Answers |
                 n = _small(shared.value.counts(s, _unpack(k.as_py())))
                 files.append(answers.file(name))
                 widths.append(n.itemsize)
-                out.append(n.tobytes())
+                out.append(_shrunk(n.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), b.column(1), b.column(0), pa.array(widths, pa.int32()), pa.array(out, pa.binary())], ["file", "batch", "shard", "width", "counts"])
 
     def save(t: pa.Table) -> pa.Table:
         found: dict[int, dict[int, np.ndarray]] = {}
         for name, s, width, n in zip(t["batch"].to_pylist(), t["shard"].to_pylist(), t["width"].to_pylist(), t["counts"]):
-            found.setdefault(name, {})[s] = np.frombuffer(n.as_py(), f"u{width}")  # batches of equal keys are one
+            found.setdefault(name, {})[s] = np.frombuffer(_grown(n.as_py()), f"u{width}")  # batches of equal keys are one
         file, names = t["file"][0].as_py(), sorted(found)
         parts = [np.concatenate([found[x][s] for s in sorted(found[x])]) for x in names]
-        answers.store.save(f"ends-{file}", np.cumsum([len(x) for x in parts]))
-        answers.store.save(f"counts-{file}", np.concatenate(parts))
+        packed = [bytes([x.itemsize]) + _shrunk(x.tobytes()) for x in parts]
+        answers.store.save(f"ends-{file}", np.cumsum([len(x) for x in packed]))
+        answers.store.save(f"counts-{file}", np.frombuffer(b"".join(packed), np.uint8))
         answers.store.save(f"asked-{file}", np.array(names, np.int64))
         return pa.table({"file": pa.array([file], pa.int64())})
 
@@ -506,23 +521,28 @@ def asked(rows: DataFrame, column: int, model: Model, tokens: int) -> Answers |
     dealt = rows.mapInArrow(tidy(ask), "shard int, batch long, keys binary").repartition(parts, "shard").sortWithinPartitions("shard")
     counted = dealt.mapInArrow(tidy(answer), "file long, batch long, shard int, width int, counts binary")
     counted.groupBy("file").applyInArrow(save, "file long").agg(F.count(F.lit(1))).first()
+    del dealt, counted
+    release(spark)
     return answers
 
 
-def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", join: bool = False) -> DataFrame:
     """The columns ``keep`` of docs with n_tokens, n_known, base_score and score of every whole text (null: empty).
 
-    Documents are read twice: first their batches ask the shards for counts (see ``asked``), then these are put together.
-    A batch that finds no answer looks its bigrams up in the shards itself, to the same result."""
+    Each batch of documents looks its bigrams up in the shards, which workers map. With ``join`` documents are read twice:
+    first all batches ask the shards for counts (see ``asked``), then these are put together; a batch that finds no answer
+    looks its bigrams up itself, to the same result."""
     kind = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", n_tokens long, n_known long, base_score double, score double"
     rows = docs.select(*keep, F.col(text).cast("string").alias(*unused(keep, "text")))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length(rows.columns[-1])), F.lit(0))).first()[0]
-    answers = asked(rows, len(keep), model, int(size) // 6)
+    answers, tokens = None, BATCH_TOKENS
+    if join:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length(rows.columns[-1])), F.lit(0))).first()[0]
+        answers, tokens = asked(rows, len(keep), model, int(size) // 6), ASK_TOKENS
     shared = docs.sparkSession.sparkContext.broadcast(model)  # offsets and the frequent words: some numbers a shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for b, got in _groups(batches, len(keep), hashes):
+        for b, got in _groups(batches, len(keep), hashes, tokens):
             n, known, base, full = shared.value.score(got, answers)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(n), pa.array(known), pa.array(base), pa.array(full)], [*keep, "n_tokens", "n_known", "base_score", "score"])
 

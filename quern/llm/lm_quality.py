@@ -1,7 +1,7 @@
 """Quality classifier: a Kneser-Ney model of trusted text, and per-document perplexity held against its language.
 
-The model's counts are sharded (see kneser_ney); every batch of documents merge-joins its sorted n-grams with the shards
-that hold them, which workers map.
+The model's counts are sharded (see kneser_ney); documents' n-grams are sent to the shards that hold them, merge-joined
+there, and the counts sent back by batch of documents.
 """
 
 from __future__ import annotations
@@ -95,8 +95,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
         return rows.where("doc_id is not null").mapInArrow(tidy(run), rows.schema)
 
     model = kneser_ney.train(known(1), "quality-model")
-    t = thresholds_of(cut(kneser_ney.score(known(0), model, ["doc_id", "lang"])), quantile)
-    found = kneser_ney.score(rows, model, ["doc_id", "lang"])
+    t = thresholds_of(cut(kneser_ney.score(known(0), model, ["doc_id", "lang"], join=True)), quantile)
+    found = kneser_ney.score(rows, model, ["doc_id", "lang"], join=True)
     of = lambda by, other: F.coalesce(*(F.when(F.col("lang") == x, F.lit(v)) for x, v in sorted(by.items())), F.lit(other))
     found = found.withColumn("mean", of(t.mean, t.any_mean)).withColumn("least", of(t.least, t.any_least))
     kept = adjusted(F.col("score"), F.col("n_tokens"), F.col("mean")) >= F.col("least")
