@@ -106,7 +106,7 @@ def detach(spark: SparkSession, database: str) -> None:
 
 def catalogue(spark: SparkSession, database: str) -> DataFrame:
     """(table_name, column_name, position, data_type) of every column of a database's tables, positions from 1."""
-    rows = [(t.name, c.name, i, c.dataType) for t in spark.catalog.listTables(database) for i, c in enumerate(spark.catalog.listColumns(f"`{database}`.`{t.name}`"), 1)]
+    rows = [(t.name, c.name, i, c.dataType) for t in spark.catalog.listTables(database) if not t.isTemporary for i, c in enumerate(spark.catalog.listColumns(f"`{database}`.`{t.name}`"), 1)]
     return spark.createDataFrame(rows, "table_name string, column_name string, position int, data_type string")
 
 

@@ -173,3 +173,15 @@ def test_sql_files(spark, tmp_path):
     (tmp_path / "d.sql").write_text("SELECT 1; SELECT nothing FROM nowhere")
     with pytest.raises(RuntimeError, match="statement 2"):
         sqlfile.run(spark, str(tmp_path / "d.sql"))
+
+
+def test_attached_databases_and_their_catalogue(spark, tmp_path):
+    for name, add in (("a", 0), ("b", 1)):
+        spark.range(4).selectExpr("id", f"id + {add} as x").write.parquet(f"{tmp_path}/{name}/t.parquet")
+    spark.range(1).createOrReplaceTempView("not_of_it")
+    assert readers.attach(spark, "snap_a", f"{tmp_path}/a") == ["t"] == readers.attach(spark, "snap_b", f"{tmp_path}/b") == readers.attach(spark, "snap_b", f"{tmp_path}/b")
+    assert spark.sql("SELECT count(*) FROM snap_a.t a JOIN snap_b.t b ON a.id = b.id WHERE a.x <> b.x").first()[0] == 4
+    assert [tuple(r) for r in readers.catalogue(spark, "snap_a").orderBy("position").collect()] == [("t", "id", 1, "bigint"), ("t", "x", 2, "bigint")]
+    for name in ("snap_a", "snap_b"):
+        readers.detach(spark, name)
+    assert not [d for d in spark.catalog.listDatabases() if d.name in ("snap_a", "snap_b")] and spark.read.parquet(f"{tmp_path}/a/t.parquet").count() == 4
