@@ -168,11 +168,16 @@ def spells(days: DataFrame, keys: Sequence[str], gap: int = SPELL_GAP_DAYS, epsi
 def horizons(days: DataFrame, keys: Sequence[str], ks: Sequence[int] = HORIZONS) -> DataFrame:
     """Each observation with the price k days later (later_px, null if that day wasn't observed), for every k.
 
-    The horizons are exploded on one side, so that one equi-join by series and day serves them all.
+    A window's range of one day looks each horizon up, so that a series is moved once and as it is; the horizons are
+    spread after that, in the same task. A series with a null in its keys has no later prices.
     """
-    ahead = days.select(*keys, "d", "px", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")).withColumn("__at", F.date_add("d", F.col("k")))
-    later = days.select(*keys, F.col("d").alias("__at"), F.col("px").alias("later_px"))
-    return ahead.join(later, [*keys, "__at"], "left").drop("__at")
+    w = Window.partitionBy(*keys).orderBy(F.unix_date("d").cast("long"))
+    known = F.col("d").isNotNull()
+    for c in keys:
+        known = known & F.col(c).isNotNull()
+    later = [F.struct(F.lit(k).alias("k"), F.when(known, F.max("px").over(w.rangeBetween(k, k))).alias("later_px")) for k in ks]
+    found = days.select(*keys, "d", "px", F.array(*later).alias("__later"))
+    return found.select(*keys, "d", "px", F.explode("__later").alias("__later")).select(*keys, "d", "px", "__later.k", "__later.later_px")
 
 
 def staleness(days: DataFrame, keys: Sequence[str], group: Sequence[str], ks: Sequence[int] = HORIZONS, epsilon: float = PRICE_EPSILON) -> DataFrame:

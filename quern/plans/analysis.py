@@ -446,15 +446,15 @@ def offer_rows(spark, sf_dir):
     return offers(spark, sf_dir).drop("product_basis", "min_qty", "staleness_horizon_days")
 
 
-def documents(spark, sf_dir):
+def documents(spark, sf_dir, look_back=True):
     o = offers(spark, sf_dir)
     names = o.select("gtin").distinct().select("gtin", F.concat(F.lit("product "), F.col("gtin").cast("string")).alias("name"), F.lit("").alias("brand"), F.lit("").alias("size"))
-    return publication.products_document(o, publication.sale_context(o, _based(spark, sf_dir)), names)
+    return publication.products_document(o, publication.sale_context(o, _based(spark, sf_dir)) if look_back else None, names)
 
 
 @query("an44_verdicts", f"{_OFFERS}, v AS (SELECT gtin, count(*) FILTER (WHERE comparable) AS n, arg_min(vendor, (px, vendor)) FILTER (WHERE comparable) AS cheapest, string_agg(vendor, '|' ORDER BY vendor) FILTER (WHERE comparable) AS compared, count(*) AS offers FROM ff GROUP BY 1) SELECT gtin AS gtin14, n AS n_compared, CASE WHEN n >= 2 THEN cheapest END AS cheapest, coalesce(compared, '') AS compared, offers FROM v")
 def verdicts(spark, sf_dir):
-    d = documents(spark, sf_dir)
+    d = documents(spark, sf_dir, look_back=False)  # a verdict doesn't tell the days before
     return d.select("gtin14", F.col("comparison.n_compared").alias("n_compared"), F.col("comparison.cheapest").alias("cheapest"), F.array_join("comparison.compared", "|").alias("compared"), F.size("offers").cast("long").alias("offers"))
 
 

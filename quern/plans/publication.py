@@ -99,9 +99,13 @@ def guaranteed(offers: DataFrame, vendors: list[str], tiers: DataFrame) -> DataF
     return breaks(o, F.coalesce("loose", F.lit(False)), "a chain of the extract is no longer of a reliable tier").drop("loose")
 
 
-def products_document(offers: DataFrame, context: DataFrame, name: DataFrame) -> DataFrame:
-    """One row a barcode, nested as it is published, ordered by barcode. offers: what ``flagged`` gives."""
-    o = offers.join(context, ["gtin", "vendor"], "left").withColumn("label", chain_label(F.col("vendor")))
+def products_document(offers: DataFrame, context: DataFrame | None, name: DataFrame) -> DataFrame:
+    """One row a barcode, nested as it is published, ordered by barcode. offers: what ``flagged`` gives.
+
+    context: what ``sale_context`` gives; without it, for readers of the comparison alone, no days before are looked back on.
+    """
+    o = offers.join(context, ["gtin", "vendor"], "left") if context is not None else offers.withColumns({c: F.lit(None).cast(t) for c, t in (("prior_days", "long"), ("prior_low", "double"), ("prior_high", "double"), ("prior_same", "long"))})
+    o = o.withColumn("label", chain_label(F.col("vendor")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     offer = F.struct(
         F.col("vendor").alias("chain"), F.col("label").alias("chain_label"), F.round("px", 2).alias("price"), "basis", "min_qty", "observed_date", "days_behind", "is_recent",
