@@ -436,9 +436,9 @@ def _based(spark, sf_dir):
     return panel(spark, sf_dir).withColumn("basis", F.when(F.col("px") >= 5, "per_100g").otherwise("each")).withColumn("min_qty", F.lit(1.0))
 
 
-def offers(spark, sf_dir):
+def offers(spark, sf_dir, load=None):
     days = _based(spark, sf_dir)
-    return publication.flagged(publication.chain_offers(days, _EXTRACT), timeline.staleness(days, K, ["vendor"]))
+    return publication.flagged(publication.chain_offers(days if load is None else load, _EXTRACT), timeline.staleness(days, K, ["vendor"]))
 
 
 @query("an44_offers", f"{_OFFERS} SELECT gtin, ff.vendor, basis, px, on_sale, observed_date, days_behind, is_recent, comparable, not_comparable_reason, pct_wrong AS staleness_pct, staleness_exceeds_measured FROM ff LEFT JOIN stale ON stale.vendor = ff.vendor AND stale.k = ff.kk")
@@ -446,8 +446,8 @@ def offer_rows(spark, sf_dir):
     return offers(spark, sf_dir).drop("product_basis", "min_qty", "staleness_horizon_days")
 
 
-def documents(spark, sf_dir, look_back=True):
-    o = offers(spark, sf_dir)
+def documents(spark, sf_dir, look_back=True, load=None):
+    o = offers(spark, sf_dir, load)
     names = o.select("gtin").distinct().select("gtin", F.concat(F.lit("product "), F.col("gtin").cast("string")).alias("name"), F.lit("").alias("brand"), F.lit("").alias("size"))
     return publication.products_document(o, publication.sale_context(o, _based(spark, sf_dir)) if look_back else None, names)
 
@@ -458,6 +458,34 @@ def verdicts(spark, sf_dir):
     return d.select("gtin14", F.col("comparison.n_compared").alias("n_compared"), F.col("comparison.cheapest").alias("cheapest"), F.array_join("comparison.compared", "|").alias("compared"), F.size("offers").cast("long").alias("offers"))
 
 
+_V = ", v AS (SELECT gtin, count(*) FILTER (WHERE comparable) AS n FROM ff GROUP BY 1)"
+
+
+@query("dq11_extract_gate", f"{_OFFERS}{_V} SELECT gtin AS gtin14, 'no offer, or one without a price' AS problem FROM v WHERE gtin % 9 = 2 UNION ALL SELECT gtin, 'the compared chains aren''t the comparable offers' FROM v WHERE gtin % 7 = 1 OR gtin % 9 = 2 AND n > 0 UNION ALL SELECT gtin, 'the cheapest chain is wrong' FROM v WHERE n >= 2 AND (gtin % 9 = 2) <> (gtin % 5 = 0)")
+def extract_gate(spark, sf_dir):
+    """Documents of which some were broken: offers emptied, a chain too many counted, the cheapest left out."""
+    g, c = F.col("gtin14"), F.col("comparison")
+    c = c.withField("n_compared", c["n_compared"] + (g % 7 == 1).cast("long")).withField("cheapest", F.when(g % 5 != 0, c["cheapest"]))
+    return publication.product_problems(documents(spark, sf_dir, look_back=False).withColumn("comparison", c).withColumn("offers", F.filter("offers", lambda o: g % 9 != 2)))
+
+
+@query("dq11_history_gate", f"{W}, n AS (SELECT DISTINCT gtin, vendor, px >= 5 AS dear FROM obs) SELECT gtin AS gtin14, vendor AS chain, 'spells overlap or lack' AS problem FROM n WHERE gtin % 4 = 0")
+def history_gate(spark, sf_dir):
+    """Histories of which some lost their spells."""
+    h = publication.history_document(_based(spark, sf_dir), _EXTRACT)
+    return publication.spell_problems(h.withColumn("spells", F.filter("spells", lambda s: F.col("gtin14") % 4 != 0)))
+
+
+@query("dq12_extract_parity", f"{_OFFERS}{_V} SELECT CASE WHEN gtin % 13 = 0 THEN 'only a' WHEN gtin % 11 = 0 THEN 'differ' ELSE 'same' END AS status, count(*) AS documents FROM v GROUP BY 1")
+def extract_parity(spark, sf_dir):
+    """The documents, and those of a load of the published products alone, of which some were lost and some renamed."""
+    days = _based(spark, sf_dir)
+    light = days.join(publication.chain_offers(days, _EXTRACT).select("gtin").distinct(), "gtin", "left_semi")
+    name = F.when(F.col("gtin14") % 11 == 0, "another").otherwise(F.col("name"))
+    whole, part = (documents(spark, sf_dir, False, d) for d in (days, light))
+    return publication.document_parity(whole, part.where("gtin14 % 13 <> 0").withColumn("name", name))
+
+
 @query("an45_guarantee", f"{_OFFERS} SELECT gtin, vendor, px FROM ff")
 def guarantee(spark, sf_dir):
     tiers = panel(spark, sf_dir).select("vendor").distinct().withColumn("vendor_upc_tier", F.lit("vendor_upc"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern import config
@@ -195,6 +195,46 @@ def gate(meta: dict, products: list[dict], history: list[dict], floors: dict = c
     return bad
 
 
+def _told(rows: DataFrame, keys: list[str], problems: dict[str, Column]) -> DataFrame:
+    """(keys, problem): one row for each problem a row has; what can't be told, because of a null, is one."""
+    texts = F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(text)) for text, bad in problems.items()])
+    return rows.select(*keys, F.explode(F.filter(texts, lambda x: x.isNotNull())).alias("problem"))
+
+
+def product_problems(products: DataFrame) -> DataFrame:
+    """(gtin14, problem): what keeps the documents of ``products_document`` from being released, read where they lie;
+    ``gate`` asks the same of documents that have been fetched."""
+    fit = F.filter("offers", lambda o: o["comparable"])
+    chains, low = F.transform(fit, lambda o: o["chain"]), F.array_min(F.transform(fit, lambda o: o["price"]))
+    lowest = F.transform(F.filter(fit, lambda o: o["price"] == low), lambda o: o["chain"])
+    c = F.col("comparison")
+    found = _told(products, ["gtin14"], {
+        "no offer, or one without a price": (F.size("offers") < 1) | F.exists("offers", lambda o: o["price"].isNull() | (o["price"] <= 0)),
+        "the compared chains aren't the comparable offers": (c["n_compared"] != F.size(fit)) | (F.sort_array(c["compared"]) != F.sort_array(chains)),
+        "the cheapest chain is wrong": F.when(F.size(fit) >= 2, ~F.array_contains(lowest, c["cheapest"])).otherwise(c["cheapest"].isNotNull()),
+        "an offer's reason contradicts it": F.exists("offers", lambda o: o["comparable"] & ~o["is_recent"] | (o["comparable"] == o["not_comparable_reason"].isNotNull())),
+        "staleness beyond what was measured": F.exists("offers", lambda o: o["staleness_exceeds_measured"] & o["staleness_pct"].isNotNull()),
+    })
+    again = products.groupBy("gtin14").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return found.unionAll(again.select("gtin14", F.lit("the product repeats").alias("problem")))
+
+
+def spell_problems(history: DataFrame) -> DataFrame:
+    """(gtin14, chain, problem): histories of ``history_document`` without a spell, or whose spells overlap."""
+    late = F.transform("spells", lambda s, i: (i > 0) & (F.get("spells", i - 1)["to_date"] >= s["from_date"]))
+    return _told(history, ["gtin14", "chain"], {"spells overlap or lack": (F.size("spells") < 1) | F.exists(late, lambda x: x)})
+
+
+def document_parity(a: DataFrame, b: DataFrame, key: str = "gtin14") -> DataFrame:
+    """(status, documents): how many documents of two builds are the same, differ, or are in one alone. Documents go to one
+    task a key as the SHA-256 of their JSON, not as they are."""
+    side = lambda df, n: df.select(key, F.lit(n).alias("side"), F.sha2(F.to_json(F.struct(*[c for c in df.columns])), 256).alias("h"))
+    of = lambda n: F.max(F.when(F.col("side") == n, F.col("h")))
+    both = side(a, 1).unionAll(side(b, 2)).groupBy(key).agg(of(1).alias("a"), of(2).alias("b"))
+    status = F.when(F.col("b").isNull(), "only a").when(F.col("a").isNull(), "only b").when(F.col("a") == F.col("b"), "same").otherwise("differ")
+    return both.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("documents"))
+
+
 def parity(a: tuple[dict, list, list], b: tuple[dict, list, list], ignore: tuple[str, ...] = ("built_utc",)) -> list[str]:
     """Which of two builds' documents differ, their time of building apart: a filtered load must publish what a full one does."""
     meta = [{k: v for k, v in x[0].items() if k not in ignore} for x in (a, b)]

@@ -80,6 +80,26 @@ def test_gate_sees_each_change(documents, i):
     assert P.gate(*parts, FLOORS, DAY)
 
 
+def _read(spark, rows, like, path):
+    path.write_text("".join(json.dumps(r) + "\n" for r in rows))
+    return spark.read.schema(like.schema).json(str(path))
+
+
+def test_gates_where_the_documents_lie(spark, documents, tmp_path):
+    _, products, history = documents
+    assert P.product_problems(products).count() == P.spell_problems(history).count() == 0
+    for i in (4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14):  # those that change one product's or one history's document
+        m, ps, hs = copy.deepcopy(built(documents))
+        CHANGES[i](m, ps, hs)
+        found = P.spell_problems(_read(spark, hs, history, tmp_path / f"h{i}")) if i > 12 else P.product_problems(_read(spark, ps, products, tmp_path / f"p{i}"))
+        assert {r.gtin14 for r in found.collect()} == ({"g3"} if i in (9, 11, 12) else {"g1"}), i
+    _, ps, _ = built(documents)
+    ps[1]["comparison"] = None
+    found = P.product_problems(_read(spark, [*ps, ps[0]], products, tmp_path / "again")).collect()
+    assert ("g1", "the product repeats") in found and {r.gtin14 for r in found} == {"g1", "g2"}
+    assert P.product_problems(products.limit(0)).count() == 0
+
+
 def test_gate_floors(documents):
     assert any("under" in x for x in P.gate(*built(documents), {"products": 4, "comparable_pct": 90.0, "vintage_days": 21}, DAY))
 
