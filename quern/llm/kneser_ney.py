@@ -551,12 +551,13 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", jo
 
 def held_out_scores(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): a model of the documents whose
-    crc32(doc_id as text) mod 10 is not 0 (a null doc_id counts as the text '') scores every document.
+    crc32(doc_id as text) mod 10 is not 0 (a null doc_id counts as the text '') scores every document. Batches ask the
+    shards for counts, so that each shard is read once however many documents there are.
 
     Empty texts are their end alone. Repeated rows are learned from and answered one by one. If nothing is learned
     from, score is 0 and base_score goes by its formula.
     """
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0).alias("held_out"))
     model = train(marked.where(~F.col("held_out")))
-    found = score(marked, model, ["doc_id", "held_out"])
+    found = score(marked, model, ["doc_id", "held_out"], join=True)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
