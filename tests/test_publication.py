@@ -8,6 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from quern.operators import timeline
 from quern.plans import publication as P
 from quern.sources import readers, sinks, sqlfile
 from quern.sources.schema import PROVENANCE
@@ -205,3 +206,9 @@ def test_attached_databases_and_their_catalogue(spark, tmp_path):
     for name in ("snap_a", "snap_b"):
         readers.detach(spark, name)
     assert not [d for d in spark.catalog.listDatabases() if d.name in ("snap_a", "snap_b")] and spark.read.parquet(f"{tmp_path}/a/t.parquet").count() == 4
+
+
+def test_horizons_of_series_without_a_key(spark):
+    rows = [("a", dt.date(2024, 1, 1), 1.0), ("a", dt.date(2024, 1, 3), 2.0), ("b", dt.date(2024, 1, 3), 9.0), (None, dt.date(2024, 1, 1), 5.0), (None, dt.date(2024, 1, 3), 6.0), ("a", None, 7.0)]
+    found = timeline.horizons(spark.createDataFrame(rows, "g string, d date, px double"), ["g"], [1, 2]).where("later_px is not null").collect()
+    assert [tuple(r) for r in found] == [("a", dt.date(2024, 1, 1), 1.0, 2, 2.0)]
