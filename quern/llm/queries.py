@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, kneser_ney, line_runs, link_graph, lm_quality, mixing, near_text, quality, sharding, simhash, toxicity
+from quern.llm import conversations, decontaminate, kneser_ney, license_scan, line_runs, link_graph, lm_quality, merkle, mixing, near_text, quality, sharding, simhash, toxicity
 from quern.llm.common import table
 
 
@@ -78,6 +78,40 @@ def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license phrases and templates. Null and empty texts have no words, no labels and score 0; very long
+    texts are read whole; templates that tie are all named; repeated rows and null doc_ids are answered one by one; an
+    empty table gives no rows."""
+    return license_scan.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations as op12 damages them: by crc32 of ``conv_id:turn`` modulo 20. A null in any column is one space;
+    ``copies`` says how often a row is there afterwards."""
+    one = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(one("conv_id"), F.lit(":"), one("turn")).cast("binary")) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(one("text"), "[.!?]", "")).otherwise(one("text"))
+    return rows.select("conv_id", "turn", F.when(fault == 4, "user").otherwise(one("role")).alias("role"), text.alias("text"), F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1).alias("copies"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults and cheapest repair. Null roles and texts are one space, null conv_ids one conversation,
+    null turns first; rows of one turn go by role and text's hash; of equally cheap audits the ASCII-least; very long
+    texts and conversations are cut into chunks; repeated rows are duplicates; an empty table gives no rows."""
+    return conversations.repair(damaged(table(spark, sf_dir, "conversations")), copies="copies")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and verification. Nulls are encoded as -; null languages are a group, the first; null
+    doc_ids come first, rows of one doc_id by their digest, equal rows are leaves of their own; very long texts are
+    hashed whole; n_chars of the largest long grows by one all the same; an empty table gives no rows."""
+    docs = table(spark, sf_dir, "documents")
+    of = lambda n: merkle.digest(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text"))
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    shown = F.when(tampered & F.col("n_chars").isNotNull(), of(F.col("n_chars").cast("decimal(20,0)") + 1))
+    return merkle.manifest(docs.select("doc_id", F.col("lang").alias("grp"), of(F.col("n_chars")).alias("leaf"), shown.alias("shown")))
+
+
 def corpus_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op1: counts and base rules."""
     return op1_quality_gbt(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -241,9 +275,97 @@ SELECT doc_id, lang, n_tokens, n_known FROM d JOIN s USING (rid)
 """
 _COPIES = "SELECT min(doc_id) AS doc_id FROM documents GROUP BY coalesce(text, '')"
 
+_PHRASES = ", ".join(f"('{label}', {license_scan.tokens(p)})" for label, p in license_scan.PHRASES)
+_TEMPLATES = ", ".join(f"('{label}', {sorted(set(license_scan.tokens(t)))})" for label, t in license_scan.TEMPLATES)
+#: By brute force: every block against every template.
+_LICENSES = f"""
+WITH phrases(label, p) AS (VALUES {_PHRASES}), templates(label, tw) AS (VALUES {_TEMPLATES}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+q AS (SELECT rid, w, unnest(range(len(w))) AS pos FROM d),
+f AS (SELECT rid, pos, label FROM q JOIN phrases ON w[pos + 1] = p[1] AND w[pos + 1:pos + len(p)] = p),
+b AS (SELECT rid, list_distinct(w[k * {license_scan.STEP} + 1:k * {license_scan.STEP} + {2 * license_scan.STEP}]) AS bw FROM (SELECT rid, w, unnest(range((len(w) + {license_scan.STEP - 1}) // {license_scan.STEP})) AS k FROM d)),
+m AS (SELECT rid, label, len(list_intersect(bw, tw)) AS shared, len(tw) AS size FROM b, templates),
+t AS (SELECT rid, label, shared / size AS share FROM m WHERE shared >= ceil({license_scan.THRESHOLD}::DOUBLE * size - 1e-9)),
+n AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM f GROUP BY rid),
+l AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM f UNION ALL SELECT rid, label FROM t) GROUP BY rid),
+s AS (SELECT rid, max(share) AS share FROM t GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN n USING (rid) LEFT JOIN l USING (rid) LEFT JOIN s USING (rid)
+"""
+
+
+def _add(x: str, cost: str, letter: str) -> str:
+    return f"CASE WHEN {x} <> '~' THEN printf('%06d', left({x}, 6)::INT + {cost}) || substr({x}, 7) || '{letter}' ELSE '~' END"
+
+
+_INSERTED = f"least(u, {_add('b', '5', 'I')}, {_add('s', '5', 'I')}, {_add('a', '5', 'I')}) AS u, least(a, {_add('u', '5', 'I')}) AS a"
+_STEPS = (
+    f"{_add('b', '2', 'D')} AS b, least({_add('s', '2', 'D')}, CASE WHEN NOT gone AND ini = 's' THEN {_add('b', 'more', 'K')} ELSE '~' END) AS s, "
+    f"least({_add('u', '2', 'D')}, CASE WHEN NOT gone AND ini = 'u' THEN least({_add('b', 'more', 'K')}, {_add('s', 'more', 'K')}, {_add('a', 'more', 'K')}) ELSE '~' END, "
+    f"CASE WHEN NOT gone THEN least({_add('b', '1 + more', 'R')}, {_add('s', '1 + more', 'R')}, {_add('a', '1 + more', 'R')}) ELSE '~' END) AS u, "
+    f"least({_add('a', '2', 'D')}, CASE WHEN NOT gone AND ini = 'a' THEN {_add('u', 'more', 'K')} ELSE '~' END, CASE WHEN NOT gone THEN {_add('u', '1 + more', 'R')} ELSE '~' END) AS a"
+)
+#: The cheapest, then least, prefix of an audit by state, row after row (b: nothing yet, s, u, a: after such a row).
+_REPAIRS = f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format(text="(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS fault FROM conversations),
+g AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE fault WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE fault <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+             NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS cut, left(role, 1) AS ini FROM g),
+r AS (SELECT *, blank OR again AS gone, 5 * (cut AND NOT blank AND NOT again)::INT AS more, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM o),
+w AS (
+    SELECT conv_id, 0::BIGINT AS i, '000000' AS b, '~' AS s, '~' AS u, '~' AS a FROM (SELECT DISTINCT conv_id FROM c)
+    UNION ALL
+    SELECT conv_id, i, {_STEPS} FROM (SELECT conv_id, b, s, {_INSERTED}, ini, gone, more, i FROM (SELECT conv_id, b, s, {_INSERTED}, ini, gone, more, i FROM (
+        SELECT w.conv_id, b, s, u, a, ini, gone, more, r.i FROM w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1)))
+),
+e AS (SELECT conv_id, least(b, a) AS best FROM (SELECT conv_id, b, s, {_INSERTED} FROM (SELECT conv_id, b, s, {_INSERTED} FROM w QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1))),
+x AS (SELECT conv_id, left(best, 6)::BIGINT AS cost, substr(best, 7) AS audit FROM e),
+l AS (SELECT conv_id, k, audit[k] AS letter, sum((audit[k] <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY k) AS i FROM (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS k FROM x)),
+h AS (SELECT l.conv_id, k, letter, r.text, r.role, r.ini, row_number() OVER (PARTITION BY l.conv_id ORDER BY k) - 1 AS m FROM l LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.i AND letter <> 'I' WHERE letter <> 'D'),
+p AS (SELECT *, m - max((letter = 'K' AND m = 0 AND ini = 's')::INT) OVER (PARTITION BY conv_id) AS place FROM h),
+y AS (SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN place % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE letter WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY k)) AS sha FROM p GROUP BY conv_id),
+z AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate, count(*) FILTER (WHERE more > 0) AS truncated,
+             count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT x.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM x LEFT JOIN y ON y.conv_id IS NOT DISTINCT FROM x.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM x.conv_id
+"""
+
+
+def _enc(x: str) -> str:
+    return f"coalesce(octet_length(encode({x}::VARCHAR))::VARCHAR || ':' || {x}::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_enc(x) for x in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+_UP = "list_transform(range((len(nodes) + 1) // 2), lambda k: sha256(array_to_string(nodes[2 * k + 1:2 * k + 2], '')))"
+_MERKLE = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '-') AS g, {_leaf("n_chars")} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {_CRC.format(text="coalesce(doc_id, 0)::VARCHAR")} % 7 = 0 THEN {_leaf("(n_chars::HUGEINT + 1)")} ELSE {_leaf("n_chars")} END AS shown FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM d),
+t AS (SELECT g, 0 AS level, list(leaf ORDER BY place) AS nodes FROM p GROUP BY g
+      UNION ALL SELECT g, level + 1, {_UP} FROM t WHERE len(nodes) > 1),
+s AS (SELECT g, level AS height, nodes[1] AS subroot, row_number() OVER (ORDER BY g) - 1 AS place FROM t WHERE len(nodes) = 1),
+c AS (SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM s UNION ALL SELECT level + 1, {_UP} FROM c WHERE len(nodes) > 1),
+ways AS (
+    SELECT rid, level, nodes[xor(p.place >> level, 1) + 1] AS sib, (p.place >> level) AS k, 0 AS part FROM p JOIN t USING (g) WHERE len(nodes) > 1
+    UNION ALL SELECT rid, c.level, c.nodes[xor(s.place >> c.level, 1) + 1], (s.place >> c.level), 1 FROM p JOIN s USING (g) JOIN c ON len(c.nodes) > 1),
+steps AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY part, level) AS nr FROM ways),
+f AS (SELECT rid, 0::BIGINT AS nr, shown AS cur FROM p
+      UNION ALL SELECT f.rid, f.nr + 1, sha256(CASE WHEN sib IS NULL THEN cur WHEN k % 2 = 0 THEN cur || sib ELSE sib || cur END) FROM f JOIN steps ON steps.rid = f.rid AND steps.nr = f.nr + 1),
+proof AS (SELECT rid, sha256(coalesce(string_agg(sib, '' ORDER BY nr), '')) AS proof FROM steps GROUP BY rid),
+folds AS (SELECT rid, arg_max(cur, nr) AS folded FROM f GROUP BY rid),
+r AS (SELECT nodes[1] AS root FROM c WHERE len(nodes) = 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM p JOIN s USING (g) JOIN folds USING (rid) LEFT JOIN proof USING (rid), r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_line_dedup": _LINE_DEDUP, "corpus_quality_counts": _COUNTS, "corpus_url_rules": _URLS, "corpus_link_scores": _link_rounds(), "corpus_mixture_sources": _SOURCES,
         "corpus_shard_sizes": _SHARDS, "corpus_row_sizes": _SIZES, "corpus_base_scores": _BASE, "corpus_trusted_words": _TRUSTED, "corpus_kept_copies": _COPIES,
+        "op11_license_scan": _LICENSES, "op12_conversation_repair": _REPAIRS, "op13_merkle_manifest": _MERKLE,
     }
