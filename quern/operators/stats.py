@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.plans.models import sized
 from quern.sources.shared import cut
 
 
@@ -22,6 +24,120 @@ def mode_lowest(df: DataFrame, group: Sequence[str], column: str, out: str = "mo
     return n.groupBy(*group).agg(F.max_by(column, F.struct("__n", -F.col(column))).alias(out))  # total: the key ends in the value itself
 
 
+#: A group of up to so many rows is sorted by one task.
+QUANTILE_ROWS = 200_000
+#: Points of the sketch that narrows the rows around a rank: each round leaves some three of a thousand parts of them.
+SKETCH_POINTS, SKETCH_ACCURACY = 1000, 10_000
+
+
+def same(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on keys that may be null; b's are left out."""
+    names = [f"__same{i}" for i in range(len(keys))]
+    other = b.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *[c for c in b.columns if c not in keys])
+    return a.join(other, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names))), how).drop(*names)
+
+
+def quantiles(df: DataFrame, group: Sequence[str], wanted: Mapping[str, tuple[str, float]], limit: int = QUANTILE_ROWS) -> DataFrame:
+    """(group, <name> ...): exact quantiles, interpolated between the two values next to p * (n - 1); wanted: name ->
+    (column, p).
+
+    A group of any size: one of up to ``limit`` rows is sorted by one task; a larger one never is. There the rows next to
+    a rank are found by selection (see ``selected``), in tasks of up to ``limit`` values. Null values don't count, a group
+    without others gets null, a null group is a group; NaN is above all; an empty group list is the whole table, one row.
+    The columns wanted are written once and read again, so that df is worked out once.
+    """
+    columns = sorted({c for c, _ in wanted.values()})
+    keys = [f"__g{i}" for i in range(max(1, len(group)))]
+    at = {c: f"__v{i}" for i, c in enumerate(columns)}
+    by = [F.col(c).alias(k) for c, k in zip(group, keys)] or [F.lit(0).alias(keys[0])]
+    rows = cut(df.select(*by, *[F.col(c).cast("double").alias(at[c]) for c in columns]))
+    sizes = cut(rows.groupBy(*keys).agg(*[F.count(at[c]).alias(at[c]) for c in columns]))
+    large = sizes.where(reduce(lambda x, y: x | y, (F.col(at[c]) > limit for c in columns)))
+    plain = [F.percentile(at[c], F.lit(p)).alias(name) for name, (c, p) in wanted.items()]
+    if large.isEmpty():
+        found = rows.groupBy(*keys).agg(*plain)
+    else:
+        large = sized(cut(large))
+        found = same(large.select(*keys), large, keys)
+        for c in columns:
+            ps = {name: p for name, (x, p) in wanted.items() if x == c}
+            own = same(rows.where(F.col(at[c]).isNotNull()), large.select(*keys), keys, "left_semi").select(*keys, F.col(at[c]).alias("v"))
+            n = large.where(F.col(at[c]) > 0).select(*keys, F.col(at[c]).alias("n"))
+            ranks = n.select(*keys, F.explode(F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(float(p)) * (F.col("n") - 1)).alias("h")) for name, p in ps.items()])).alias("x"))
+            ranks = ranks.select(*keys, "x.name", "x.h")
+            each = ranks.select(*keys, F.explode(F.array(F.floor("h"), F.ceil("h"))).alias("k")).distinct()
+            values = selected(own, keys, same(each, n, keys), limit)
+            lo = same(ranks.withColumn("k", F.floor("h")), values.withColumnRenamed("v", "lo"), [*keys, "k"])
+            both = same(lo.withColumn("k", F.ceil("h")), values.withColumnRenamed("v", "hi"), [*keys, "k"])
+            q = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("h") - F.floor("h")))
+            one = both.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, q)).alias(name) for name in ps])
+            found = same(found, one, keys, "left")
+        rest = same(rows, large.select(*keys), keys, "left_anti").groupBy(*keys).agg(*plain)
+        found = found.select(*keys, *wanted).unionAll(rest.select(*keys, *wanted))
+    if not group:
+        found = found.select(*wanted) if not sizes.isEmpty() else df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(p)).alias(name) for name, (c, p) in wanted.items()])
+        return found
+    return found.select(*[F.col(k).alias(c) for c, k in zip(group, keys)], *wanted)
+
+
+#: Of a target and its bracket, ``lo`` to ``hi``: whether a value lies inside, and whether the target's own does.
+_INSIDE = "(lo is null or v > lo) and (hi is null or v < hi)"
+_PLACE = "(k - below - at_lo)"
+_OPEN = f"({_PLACE} >= 0 and {_PLACE} < inside)"
+
+
+def narrowed(rows: DataFrame, keys: list[str], targets: DataFrame, limit: int, rounds: int = 16) -> DataFrame:
+    """(keys, k, lo, hi, below, at_lo, inside, stuck): for each of targets (keys, k, n), n the group's rows, two values that
+    the one of rank k lies between (null: no bound) and the exact number of rows below the first, at it, and between them.
+
+    While over ``limit`` rows are inside, a mergeable sketch of these (a few kilobytes a task) gives two closer ends and one
+    more pass counts them; equal values count at an end or fall together, however many there are.
+    """
+    none = F.lit(None).cast("double")
+    state = cut(targets.select(*keys, "k", none.alias("lo"), none.alias("hi"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("at_lo"), F.col("n").alias("inside"), F.lit(False).alias("stuck")))
+    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+    wide_ = f"({_OPEN} and inside > {limit} and not stuck)"
+    for _ in range(rounds):
+        wide = state.where(wide_)
+        if wide.isEmpty():
+            break
+        near = same(rows, sized(wide), keys).where(_INSIDE)
+        grid = near.groupBy(*keys, "k").agg(F.percentile_approx("v", [i / SKETCH_POINTS for i in range(SKETCH_POINTS + 1)], SKETCH_ACCURACY).alias("grid"))
+        t = F.expr(_PLACE) / F.col("inside") * SKETCH_POINTS
+        closer = same(wide, grid, [*keys, "k"])
+        # get() is null beyond either end: the bracket's own end then stays
+        closer = closer.withColumn("lo2", F.coalesce(F.get("grid", (F.floor(t) - 1).cast("int")), "lo")).withColumn("hi2", F.coalesce(F.get("grid", (F.ceil(t) + 1).cast("int")), "hi")).drop("grid")
+        closer = cut(closer)
+        near = same(rows, sized(closer), keys).where(_INSIDE)
+        lo2, hi2, n = F.col("lo2"), F.col("hi2"), lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+        moved = near.groupBy(*keys, "k").agg(
+            n(v < lo2).alias("more"), n((v == lo2) & (lo.isNull() | (lo2 > lo))).alias("now_lo"), n((lo2.isNull() | (v > lo2)) & (hi2.isNull() | (v < hi2))).alias("now"), n(v == hi2).alias("now_hi")
+        )
+        both = same(closer, moved, [*keys, "k"])
+        kept = lo2.eqNullSafe(lo)
+        below = F.when(kept, F.col("below")).otherwise(F.col("below") + F.col("at_lo") + F.col("more"))
+        at_lo = F.when(kept, F.col("at_lo")).otherwise(F.col("now_lo"))
+        # a sketch is within its error by its making; were it not, or no closer, the bracket would stay as it is
+        good = (F.col("k") >= below) & (F.col("k") < below + at_lo + F.col("now") + F.col("now_hi") + F.when(hi2.eqNullSafe(hi), 1).otherwise(0)) & (F.col("now") < F.col("inside"))
+        new = both.select(
+            *keys, "k", F.when(good, lo2).otherwise(lo).alias("lo"), F.when(good, hi2).otherwise(hi).alias("hi"), F.when(good, below).otherwise(F.col("below")).alias("below"),
+            F.when(good, at_lo).otherwise(F.col("at_lo")).alias("at_lo"), F.when(good, F.col("now")).otherwise(F.col("inside")).alias("inside"), (~good).alias("stuck"),
+        )
+        state = cut(state.where(f"not {wide_}").unionAll(new))
+    return state
+
+
+def selected(rows: DataFrame, keys: list[str], targets: DataFrame, limit: int) -> DataFrame:
+    """(keys, k, v): of rows (keys, v), none null, the value of rank k (from 0) in its group. The rows inside a target's
+    bracket (see ``narrowed``) are counted by value and summed up in order, by a window over at most ``limit`` values."""
+    state = narrowed(rows, keys, targets, limit)
+    last = same(rows, sized(state.where(_OPEN)), keys).where(_INSIDE).groupBy(*keys, "k", "below", "at_lo", "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*keys, "k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    hit = last.withColumn("upto", upto).where(f"{_PLACE} >= upto - c and {_PLACE} < upto").select(*keys, "k", "v")
+    found = same(state, hit, [*keys, "k"], "left")
+    return cut(found.select(*keys, "k", F.when(F.expr(_OPEN), F.col("v")).when(F.expr(f"{_PLACE} < 0"), F.col("lo")).otherwise(F.col("hi")).alias("v")))
+
+
 def geometric_mean(x: Column) -> Column:
     return F.exp(F.avg(F.ln(x)))
 

@@ -461,12 +461,96 @@ def verdicts(spark, sf_dir):
 _V = ", v AS (SELECT gtin, count(*) FILTER (WHERE comparable) AS n FROM ff GROUP BY 1)"
 
 
-@query("dq11_extract_gate", f"{_OFFERS}{_V} SELECT gtin AS gtin14, 'no offer, or one without a price' AS problem FROM v WHERE gtin % 9 = 2 UNION ALL SELECT gtin, 'the compared chains aren''t the comparable offers' FROM v WHERE gtin % 7 = 1 OR gtin % 9 = 2 AND n > 0 UNION ALL SELECT gtin, 'the cheapest chain is wrong' FROM v WHERE n >= 2 AND (gtin % 9 = 2) <> (gtin % 5 = 0)")
+#: By document: its offers, comparable ones, and which other facts hold.
+_DOCS = _OFFERS + """, x AS (SELECT ff.*, pct_wrong AS pct FROM ff LEFT JOIN stale ON stale.vendor = ff.vendor AND stale.k = ff.kk),
+v AS (SELECT gtin, gtin % 29 AS r, count(*) AS offers, count(*) FILTER (WHERE comparable) AS n, count(*) FILTER (WHERE NOT staleness_exceeds_measured) AS measured, count(*) FILTER (WHERE NOT staleness_exceeds_measured AND pct IS NULL) AS holes,
+             count(*) FILTER (WHERE staleness_exceeds_measured) AS beyond, count(*) FILTER (WHERE vendor = 'view') AS views, count(*) FILTER (WHERE comparable AND vendor = 'view') AS views_in, arg_min(vendor, (px, vendor)) FILTER (WHERE comparable) AS best FROM x GROUP BY 1)"""
+_TOLD = {
+    "no offer, or one without a price": "r = 1 OR r = 2",
+    "the compared chains aren't the comparable offers": "r = 3 OR (r = 1 AND n > 0) OR (r = 14 AND views_in > 0)",
+    "the cheapest chain is wrong": "n >= 2 AND (r = 1 OR r = 4) OR (r = 4 AND n < 2) OR (r = 14 AND n >= 2 AND best = 'view')",
+    "an offer's reason contradicts it": "r = 5 AND n < offers",
+    "staleness beyond what was measured": "r = 6 AND beyond > 0",
+    "no staleness within what was measured": "(r = 7 AND measured > 0) OR (holes > 0 AND r NOT IN (1, 6))",
+    "a comparable offer on another basis": "r = 8 AND n > 0",
+    "a chain is neither compared nor unavailable, or has no offer": "r = 1 OR (r = 9 AND n < offers) OR (r = 14 AND views > 0)",
+    "an unavailable chain without a reason": "r = 10 AND n < offers",
+    "an unavailable chain without its last day": "r = 11 AND n < offers",
+    "no claim": "r = 12",
+    "the claim isn't the comparison's": "r IN (3, 13, 15, 16) OR (r = 1 AND n > 0) OR (r = 14 AND views_in > 0)",
+    "the claim says and twice": "r = 15",
+    "the claim prints a chain's code": "r = 16",
+    "a chain without a label": "r = 14 AND views > 0",
+    "the brand is a promotion": "r = 17",
+    "an offer of a chain outside the extract": "r = 14 AND views > 0",
+}
+
+
+@query("dq11_extract_gate", _DOCS + " UNION ALL ".join([""] + [f"SELECT gtin AS gtin14, '{k.replace(chr(39), chr(39) * 2)}' AS problem FROM v WHERE {w}" for k, w in _TOLD.items()]).replace(" UNION ALL ", " ", 1))
 def extract_gate(spark, sf_dir):
-    """Documents of which some were broken: offers emptied, a chain too many counted, the cheapest left out."""
-    g, c = F.col("gtin14"), F.col("comparison")
-    c = c.withField("n_compared", c["n_compared"] + (g % 7 == 1).cast("long")).withField("cheapest", F.when(g % 5 != 0, c["cheapest"]))
-    return publication.product_problems(documents(spark, sf_dir, look_back=False).withColumn("comparison", c).withColumn("offers", F.filter("offers", lambda o: g % 9 != 2)))
+    """Every document, most of them broken in one of 17 ways by its barcode: each is found, with what follows from it."""
+    d = documents(spark, sf_dir, look_back=False)
+    r, c = F.col("gtin14") % 29, F.col("comparison")
+    of = lambda k, new, old: F.when(r == k, new).otherwise(old)
+    each = lambda f: F.transform("offers", f)
+    off = {
+        2: lambda o: o.withField("price", F.lit(0.0)), 5: lambda o: o.withField("not_comparable_reason", F.when(o["comparable"], o["not_comparable_reason"]).otherwise("")),
+        6: lambda o: o.withField("staleness_pct", F.lit(1.0)), 7: lambda o: o.withField("staleness_pct", F.lit(None).cast("double")),
+        8: lambda o: o.withField("basis", F.concat(F.lit("no "), o["basis"])), 14: lambda o: o.withField("chain", F.when(o["chain"] == "view", "SaveOnFoods").otherwise(o["chain"])).withField("chain_label", F.when(o["chain"] == "view", "SaveOnFoods").otherwise(o["chain_label"])),
+    }
+    made = F.when(r == 1, F.filter("offers", lambda o: F.lit(False)))
+    for k, f in off.items():
+        made = made.when(r == k, each(f))
+    gone = lambda field, kind: F.transform(c["unavailable"], lambda u: u.withField(field, F.lit(None).cast(kind)))
+    said = c["claim"]
+    claim = F.when(r == 12, "").when(r == 13, F.concat(F.lit("Cheapest: "), said)).when(r == 15, F.concat(said, F.lit(" This and that and more."))).when(r == 16, F.concat(said, F.lit(" SaveOnFoods"))).otherwise(said)
+    unavailable = F.when(r == 9, F.filter(c["unavailable"], lambda u: F.lit(False))).when(r == 10, gone("reason", "string")).when(r == 11, gone("last_observed", "date")).otherwise(c["unavailable"])
+    cheapest = of(4, F.when(c["n_compared"] >= 2, F.lit(None).cast("string")).otherwise("click"), c["cheapest"])
+    c = c.withField("n_compared", of(3, c["n_compared"] + 1, c["n_compared"])).withField("cheapest", cheapest).withField("claim", claim).withField("unavailable", unavailable)
+    d = d.withColumns({"comparison": c, "offers": made.otherwise(F.col("offers")), "brand": of(17, F.lit("Now $3.99, you save"), F.col("brand"))})
+    if bad := publication.lacking_fields(d):
+        raise ValueError(f"documents lack {bad}")
+    return publication.product_problems(d, ["click", "view", "error", "purchase", "signup"])
+
+
+_CURVES = _OFFERS + """, p AS (SELECT *, lag(pct_wrong) OVER (PARTITION BY vendor ORDER BY k) AS before, lead(pct_wrong) OVER (PARTITION BY vendor ORDER BY k) AS after FROM stale WHERE vendor IN (SELECT vendor FROM ff)),
+b AS (SELECT vendor, bool_or(coalesce(before > pct_wrong, false)) AS falls, bool_or(coalesce(before < pct_wrong, false)) AS rises, bool_or(pct_wrong IS NULL) AS hole FROM p GROUP BY 1)"""
+
+
+@query("dq11_chain_gate", _CURVES + """ SELECT 'as it is' AS build, vendor AS chain, 'staleness falls with age' AS problem FROM b WHERE falls UNION ALL SELECT 'as it is', vendor, 'the curve has a hole' FROM b WHERE hole
+    UNION ALL SELECT 'reversed', vendor, 'the curve isn''t in order of age' FROM b UNION ALL SELECT 'reversed', vendor, 'staleness falls with age' FROM b WHERE rises UNION ALL SELECT 'reversed', vendor, 'the curve has a hole' FROM b WHERE hole
+    UNION ALL SELECT 'emptied', vendor, 'no staleness curve' FROM b UNION ALL SELECT 'emptied', vendor, 'a chain outside the extract' FROM b WHERE vendor <> 'view'""")
+def chain_gate(spark, sf_dir):
+    """The chains' measured staleness as it is, in reverse order of age, and without a curve while only one chain is let in."""
+    curves = publication.chain_curves(offers(spark, sf_dir), timeline.staleness(_based(spark, sf_dir), K, ["vendor"]))
+    builds = [
+        ("as it is", publication.chain_problems(curves)), ("reversed", publication.chain_problems(curves.withColumn("staleness", F.reverse("staleness")))),
+        ("emptied", publication.chain_problems(curves.withColumn("staleness", F.filter("staleness", lambda s: F.lit(False))), ["view"])),
+    ]
+    out = None
+    for build, found in builds:
+        found = found.select(F.lit(build).alias("build"), "chain", "problem")
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
+@query("dq11_floors", _DOCS + """, s AS (SELECT count(*)::DOUBLE AS n, 100.0::DOUBLE * count(*) FILTER (WHERE n >= 2) / count(*) AS share FROM v)
+    SELECT 'products' AS floor, n AS value, 100.0::DOUBLE AS least, n >= 100 AS holds FROM s UNION ALL SELECT 'comparable_pct', round(share, 8), 40.0, share >= 40 FROM s UNION ALL SELECT 'products_shipped', 7, n, n = 7 FROM s UNION ALL SELECT 'vintage_days', 21, 21, true""")
+def extract_floors(spark, sf_dir):
+    found = publication.floors(documents(spark, sf_dir, look_back=False), 7, _EXTRACT, date(2024, 2, 20), {"products": 100, "comparable_pct": 40.0, "vintage_days": 21})
+    return found.withColumn("value", F.round("value", 8))
+
+
+@query("dq11_statements", "SELECT o_orderpriority AS snapshot_id, unnest(CASE o_orderpriority[1] WHEN '1' THEN [] WHEN '2' THEN ['attribution doesn''t name the source'] WHEN '3' THEN ['scope doesn''t state national brands'] WHEN '4' THEN ['scope doesn''t state no basket'] ELSE ['attribution doesn''t name the source', 'scope doesn''t state national brands', 'scope doesn''t state no basket'] END) AS problem FROM (SELECT DISTINCT o_orderpriority FROM orders)")
+def statements(spark, sf_dir):
+    """A publication's statements for each order priority, of which some lack a part."""
+    k = F.col("snapshot_id")
+    meta = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("snapshot_id")).distinct()
+    at = k.substr(1, 1)
+    meta = meta.withColumn("attribution", F.when(at == "2", "of unknown origin").when(at == "5", F.lit(None).cast("string")).otherwise("Data of the open price archive"))
+    scope = F.create_map(F.lit("brands"), F.when(at == "3", "all brands").otherwise("National Brands only"), F.lit("sums"), F.when(at == "4", F.lit(None).cast("string")).otherwise("there is no total"))
+    meta = meta.withColumn("scope", F.when(at != "5", scope))
+    return publication.statement_problems(meta, "open price archive", [("national brands",), ("no basket", "no total")])
 
 
 @query("dq11_history_gate", f"{W}, n AS (SELECT DISTINCT gtin, vendor, px >= 5 AS dear FROM obs) SELECT gtin AS gtin14, vendor AS chain, 'spells overlap or lack' AS problem FROM n WHERE gtin % 4 = 0")

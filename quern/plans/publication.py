@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern import config
-from quern.functions.catalogue import chain_label, shown_brand
+from quern.functions.catalogue import CHAIN_LABELS, PROMOTION, chain_label, shown_brand
 from quern.functions.units import display_size
 from quern.operators import timeline
 from quern.operators.stats import ordered_list
@@ -201,24 +201,128 @@ def _told(rows: DataFrame, keys: list[str], problems: dict[str, Column]) -> Data
     return rows.select(*keys, F.explode(F.filter(texts, lambda x: x.isNotNull())).alias("problem"))
 
 
-def product_problems(products: DataFrame) -> DataFrame:
-    """(gtin14, problem): what keeps the documents of ``products_document`` from being released, read where they lie;
-    ``gate`` asks the same of documents that have been fetched."""
+def claim_said(claim: Column) -> Column:
+    """What a claim says, read back from its words: (n, labels). Of no known form: null."""
+    listed = F.regexp_extract(claim, f"^{CHEAPEST_OF[0]}([0-9]+)" + CHEAPEST_OF[1].replace(".", "\\.") + "(.+)\\.$", 2)
+    one = F.regexp_extract(claim, f"^{ONE_RECENT[0]}(.+)" + ONE_RECENT[1].replace(".", "\\.") + "$", 1)
+    n = F.regexp_extract(claim, f"^{CHEAPEST_OF[0]}([0-9]+)", 1).try_cast("long")
+    said = lambda n, labels: F.struct(n.cast("long").alias("n"), labels.alias("labels"))
+    return (
+        F.when(claim == NOTHING_RECENT, said(F.lit(0), F.array().cast("array<string>")))
+        .when(one != "", said(F.lit(1), F.array(one)))
+        .when(listed != "", said(n, F.split(listed, ", | and ")))
+    )
+
+
+#: What a document and its parts must have.
+PRODUCT_FIELDS = ("gtin14", "name", "basis", "offers", "comparison")
+OFFER_FIELDS = ("chain", "chain_label", "price", "basis", "observed_date", "days_behind", "is_recent", "comparable", "staleness_exceeds_measured")
+
+
+def lacking_fields(products: DataFrame) -> list[str]:
+    """The columns and the offers' fields that a table of documents lacks: told by its schema, no row is read."""
+    bad = [c for c in PRODUCT_FIELDS if c not in products.columns]
+    if "offers" in products.columns:
+        kind = products.schema["offers"].dataType
+        have = getattr(getattr(kind, "elementType", None), "names", [])
+        bad += [f"offers.{c}" for c in OFFER_FIELDS if c not in have]
+    return bad
+
+
+def product_problems(products: DataFrame, chains: list[str] | None = None) -> DataFrame:
+    """(gtin14, problem): what keeps the documents of ``products_document`` from being released, read where they lie: one
+    pass over nested arrays, no document is moved. ``gate`` asks part of it of documents that have been fetched.
+
+    chains: those that the publication compares; without it, offers of others aren't told.
+    """
     fit = F.filter("offers", lambda o: o["comparable"])
-    chains, low = F.transform(fit, lambda o: o["chain"]), F.array_min(F.transform(fit, lambda o: o["price"]))
+    names, low = F.transform(fit, lambda o: o["chain"]), F.array_min(F.transform(fit, lambda o: o["price"]))
     lowest = F.transform(F.filter(fit, lambda o: o["price"] == low), lambda o: o["chain"])
     c = F.col("comparison")
-    found = _told(products, ["gtin14"], {
+    claim, codes = c["claim"], list(CHAIN_LABELS)
+    said = claim_said(claim)
+    # set differences, both ways: each chain of an offer is compared or unavailable, and no other is either
+    offered, told = F.transform("offers", lambda o: o["chain"]), F.concat(c["compared"], F.transform(c["unavailable"], lambda u: u["chain"]))
+    apart = (F.size(F.array_except(offered, told)) > 0) | (F.size(F.array_except(told, offered)) > 0)
+    bare = lambda chain, label: chain.isin(codes) & F.coalesce(chain == label, F.lit(True))
+    problems = {
         "no offer, or one without a price": (F.size("offers") < 1) | F.exists("offers", lambda o: o["price"].isNull() | (o["price"] <= 0)),
-        "the compared chains aren't the comparable offers": (c["n_compared"] != F.size(fit)) | (F.sort_array(c["compared"]) != F.sort_array(chains)),
+        "the compared chains aren't the comparable offers": (c["n_compared"] != F.size(fit)) | (F.sort_array(c["compared"]) != F.sort_array(names)),
         "the cheapest chain is wrong": F.when(F.size(fit) >= 2, ~F.array_contains(lowest, c["cheapest"])).otherwise(c["cheapest"].isNotNull()),
-        "an offer's reason contradicts it": F.exists("offers", lambda o: o["comparable"] & ~o["is_recent"] | (o["comparable"] == o["not_comparable_reason"].isNotNull())),
+        "an offer's reason contradicts it": F.exists("offers", lambda o: o["comparable"] & ~o["is_recent"] | (o["comparable"] == F.coalesce(o["not_comparable_reason"] != "", F.lit(False)))),
         "staleness beyond what was measured": F.exists("offers", lambda o: o["staleness_exceeds_measured"] & o["staleness_pct"].isNotNull()),
-    })
+        "no staleness within what was measured": F.exists("offers", lambda o: ~o["staleness_exceeds_measured"] & o["staleness_pct"].isNull()),
+        "a comparable offer on another basis": F.exists("offers", lambda o: o["comparable"] & ~o["basis"].eqNullSafe(F.col("basis"))),
+        "a chain is neither compared nor unavailable, or has no offer": apart,
+        "an unavailable chain without a reason": F.exists(c["unavailable"], lambda u: F.coalesce(u["reason"] == "", F.lit(True))),
+        "an unavailable chain without its last day": F.exists(c["unavailable"], lambda u: u["last_observed"].isNull()),
+        "no claim": F.coalesce(claim == "", F.lit(True)),
+        "the claim isn't the comparison's": F.coalesce(claim != "", F.lit(False)) & ~F.coalesce((said["n"] == c["n_compared"]) & (F.sort_array(said["labels"]) == F.sort_array(F.transform(fit, lambda o: o["chain_label"]))), F.lit(False)),
+        "the claim says and twice": F.coalesce(F.size(F.split(claim, " and ")) > 2, F.lit(False)),
+        "the claim prints a chain's code": F.coalesce(claim.rlike("|".join(codes)), F.lit(False)),
+        "a chain without a label": F.exists("offers", lambda o: bare(o["chain"], o["chain_label"])),
+        "the brand is a promotion": F.coalesce(F.lower("brand").rlike(PROMOTION), F.lit(False)),
+    }
+    if chains is not None:
+        problems["an offer of a chain outside the extract"] = F.exists("offers", lambda o: ~o["chain"].isin(chains))
+    found = _told(products, ["gtin14"], problems)
     again = products.groupBy("gtin14").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return found.unionAll(again.select("gtin14", F.lit("the product repeats").alias("problem")))
 
 
+def chain_curves(offers: DataFrame, stale: DataFrame) -> DataFrame:
+    """(chain, chain_label, last_observed, days_behind, products, staleness): what a publication says of each chain, its
+    measured staleness by age in order. offers: what ``flagged`` gives; stale: (vendor, k, pct_wrong)."""
+    each = offers.groupBy("vendor").agg(F.max("observed_date").alias("last_observed"), F.min("days_behind").alias("days_behind"), F.count(F.lit(1)).alias("products"))
+    point = F.struct(F.col("k").cast("long").alias("days"), F.col("pct_wrong").alias("pct_wrong"))
+    curves = stale.groupBy("vendor").agg(F.array_sort(F.collect_list(point)).alias("staleness"))  # total: one point an age
+    empty = F.array().cast("array<struct<days:bigint,pct_wrong:double>>")
+    return each.join(curves, "vendor", "left").select(F.col("vendor").alias("chain"), chain_label(F.col("vendor")).alias("chain_label"), "last_observed", "days_behind", "products", F.coalesce("staleness", empty).alias("staleness"))
+
+
+def chain_problems(curves: DataFrame, chains: list[str] | None = None) -> DataFrame:
+    """(chain, problem): what ``chain_curves`` says of a chain that can't be released: staleness can't fall with age."""
+    at = lambda f: F.transform("staleness", f)
+    follows = lambda s, i, field: (i > 0) & (F.get("staleness", i - 1)[field] > s[field])
+    problems = {
+        "no staleness curve": F.size("staleness") < 1,
+        "the curve isn't in order of age": F.exists(at(lambda s, i: follows(s, i, "days")), lambda x: x),
+        "the curve has a hole": F.exists("staleness", lambda s: s["pct_wrong"].isNull()),
+        "staleness falls with age": F.coalesce(F.exists(at(lambda s, i: follows(s, i, "pct_wrong")), lambda x: F.coalesce(x, F.lit(False))), F.lit(False)),
+        "a chain without a label": F.col("chain").isin(list(CHAIN_LABELS)) & F.coalesce(F.col("chain") == F.col("chain_label"), F.lit(True)),
+    }
+    if chains is not None:
+        problems["a chain outside the extract"] = ~F.col("chain").isin(chains)
+    return _told(curves, ["chain"], problems)
+
+
+def statement_problems(meta: DataFrame, attribution: str, scope: list[tuple[str, ...]]) -> DataFrame:
+    """(snapshot_id, problem): what a publication's meta (a row of snapshot_id, attribution, scope map<string,string> and
+    more) doesn't state. scope: of each tuple one text must be there, in any case. Staleness pooled over chains, that is a
+    column of its own, must not be there at all."""
+    stated = F.lower(F.concat_ws(" ", F.map_values("scope")))
+    lacks = lambda any_of: ~F.coalesce(stated.rlike("|".join(any_of)), F.lit(False))
+    problems = {"attribution doesn't name the source": ~F.coalesce(F.contains(F.col("attribution"), F.lit(attribution)), F.lit(False))}
+    problems |= {f"scope doesn't state {any_of[0]}": lacks([w.lower() for w in any_of]) for any_of in scope}
+    problems |= {f"staleness pooled over chains: {c}": F.lit(True) for c in meta.columns if "stale" in c.lower()}
+    return _told(meta, ["snapshot_id"], problems)
+
+
+def floors(products: DataFrame, shipped: int | None, extract: date, today: date, least: dict = config.EXTRACT_FLOORS) -> DataFrame:
+    """(floor, value, least, holds): documents, the share of them that compare two chains, whether the number shipped is
+    the number there, and the extract's age: one aggregate over the documents."""
+    n = products.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("comparison.n_compared") >= 2).cast("long")), F.lit(0)).alias("c"))
+    share = F.when(F.col("n") > 0, F.lit(100.0) * F.col("c") / F.col("n")).otherwise(0.0)
+    age = (today - extract).days
+    rows = [
+        ("products", F.col("n").cast("double"), F.lit(float(least["products"])), F.col("n") >= least["products"]),
+        ("comparable_pct", share, F.lit(float(least["comparable_pct"])), share >= least["comparable_pct"]),
+        ("products_shipped", F.lit(float(shipped) if shipped is not None else None).cast("double"), F.col("n").cast("double"), F.lit(shipped).cast("long").eqNullSafe(F.col("n"))),
+        ("vintage_days", F.lit(float(age)), F.lit(float(least["vintage_days"])), F.lit(age <= least["vintage_days"])),
+    ]
+    return n.select(F.explode(F.array(*[F.struct(F.lit(k).alias("floor"), v.alias("value"), m.alias("least"), h.alias("holds")) for k, v, m, h in rows])).alias("x")).select("x.*")
+
+
 def spell_problems(history: DataFrame) -> DataFrame:
     """(gtin14, chain, problem): histories of ``history_document`` without a spell, or whose spells overlap."""
     late = F.transform("spells", lambda s, i: (i > 0) & (F.get("spells", i - 1)["to_date"] >= s["from_date"]))

@@ -237,12 +237,32 @@ def string_agg(spark, sf_dir):
 
 @query("rl35_median", "SELECT o_orderpriority, median(o_totalprice) AS mid FROM orders GROUP BY 1")
 def median(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.median("o_totalprice").alias("mid"))
+    return stats.quantiles(_t(spark, sf_dir, "orders"), ["o_orderpriority"], {"mid": ("o_totalprice", 0.5)})
 
 
 @query("rl36_quantiles", "SELECT l_returnflag, round(quantile_cont(l_quantity, 0.1), 8) AS p10, round(quantile_cont(l_quantity, 0.9), 8) AS p90 FROM lineitem GROUP BY 1")
 def quantiles(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile("l_quantity", F.lit(0.1)), 8).alias("p10"), F.round(F.percentile("l_quantity", F.lit(0.9)), 8).alias("p90"))
+    found = stats.quantiles(_t(spark, sf_dir, "lineitem"), ["l_returnflag"], {"p10": ("l_quantity", 0.1), "p90": ("l_quantity", 0.9)})
+    return found.select("l_returnflag", F.round("p10", 8).alias("p10"), F.round("p90", 8).alias("p90"))
+
+
+_WHOLE = ", ".join(f"round(quantile_cont({c}, {p}), 8) AS {c[2:]}_{name}" for c in ("l_extendedprice", "l_quantity", "l_discount") for name, p in (("low", 0.001), ("mid", 0.5), ("high", 0.999)))
+
+
+@query("rl36_quantiles_of_one_group", f"SELECT {_WHOLE} FROM lineitem")
+def quantiles_of_one_group(spark, sf_dir):
+    """The whole table is one group, and tasks sort 500 values at most, so that ranks are selected even in small tables."""
+    wanted = {f"{c[2:]}_{name}": (c, p) for c in ("l_extendedprice", "l_quantity", "l_discount") for name, p in (("low", 0.001), ("mid", 0.5), ("high", 0.999))}
+    found = stats.quantiles(_t(spark, sf_dir, "lineitem"), [], wanted, limit=500)
+    return found.select(*[F.round(c, 8).alias(c) for c in wanted])
+
+
+@query("rl36_quantiles_by_hot_group", "SELECT l_returnflag, l_linestatus = 'O' AND l_linenumber > 6 AS rare, round(quantile_cont(l_extendedprice, 0.25), 6) AS q1, round(quantile_cont(l_extendedprice, 0.75), 6) AS q3 FROM lineitem GROUP BY 1, 2")
+def quantiles_by_hot_group(spark, sf_dir):
+    """Large groups, whose ranks are selected, beside small ones, which are sorted."""
+    rows = _t(spark, sf_dir, "lineitem").withColumn("rare", (F.col("l_linestatus") == "O") & (F.col("l_linenumber") > 6))
+    found = stats.quantiles(rows, ["l_returnflag", "rare"], {"q1": ("l_extendedprice", 0.25), "q3": ("l_extendedprice", 0.75)}, limit=2000)
+    return found.select("l_returnflag", "rare", F.round("q1", 6).alias("q1"), F.round("q3", 6).alias("q3"))
 
 
 @query("rl37_mode_lowest", "SELECT l_suppkey, q AS mode FROM (SELECT l_suppkey, l_quantity AS q, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_quantity) AS r FROM lineitem GROUP BY 1, 2) WHERE r = 1")
