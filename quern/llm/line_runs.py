@@ -5,6 +5,9 @@ is the number of documents of its batches that hold the line. A new batch adds o
 are merged into one of the next, so that n batches leave at most log2(n) + 1 runs. All runs have the same buckets: they
 are merged, and a batch is held against them, without moving a row of them; only the batch's own keys are shuffled.
 Nothing is gathered on the driver.
+
+A table is taken as several batches by ranges of doc_id: each is merge-anti-joined with the runs of those before it, which
+tells lines that are new from lines seen before, and then adds its own run.
 """
 
 from __future__ import annotations
@@ -16,11 +19,16 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import cut, drop_path, scratch, tidy
 
+#: Batches that a table without a store is taken as.
+BATCHES = 4
+#: Rows of a run that one bucket should hold; runs are dealt into more buckets once they hold more.
+BUCKET_ROWS = 2_000_000
+
 LINES = "doc_id long, t1 long, t2 long, pos int, k1 long, k2 long, first boolean"
 
 
@@ -64,11 +72,12 @@ def explode_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
 
 
 class LineRuns:
-    """The store: a level holds a bucketed, sorted run or none; two runs of a level become one of the next. ``buckets`` holds
-    for its whole life; by default it is the session's number of shuffle partitions."""
+    """The store: a level holds a bucketed, sorted run or none; two runs of a level become one of the next. ``buckets`` is by
+    default the session's number of shuffle partitions; once a run has over ``bucket_rows`` a bucket, all are dealt into
+    four times as many, which moves a row as often as the logarithm of the store's size."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark, self.path, self.levels = spark, scratch(spark, "line-runs"), []
+    def __init__(self, spark: SparkSession, buckets: int | None = None, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.path, self.levels, self.bucket_rows = spark, scratch(spark, "line-runs"), [], bucket_rows
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(self, counts: DataFrame) -> str:
@@ -94,12 +103,19 @@ class LineRuns:
         for level, old in enumerate(self.levels):
             if old is None:
                 self.levels[level] = name
-                return
+                break
             merged = self.write(_merged(self.spark.table(old), self.spark.table(name)))
             self._drop(old)
             self._drop(name)
             self.levels[level], name = None, merged
-        self.levels.append(name)
+        else:
+            self.levels.append(name)
+        if self.spark.table(name).count() > self.buckets * self.bucket_rows:  # told by the files' footers
+            self.buckets *= 4
+            for level, old in enumerate(self.levels):
+                if old is not None:
+                    self.levels[level] = self.write(self.spark.table(old))
+                    self._drop(old)
 
     def counts(self) -> DataFrame:
         """(k1, k2, n): every key with the number of documents that hold it."""
@@ -114,6 +130,14 @@ class LineRuns:
             found = found.join(more, ["k1", "k2"], "left").select("k1", "k2", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
         return found
 
+    def seen(self, name: str) -> DataFrame:
+        """(k1, k2): the keys of a run that isn't in the store yet that a run of the store holds. The run is merge-anti-joined
+        with the store's, which leaves its new keys, and those with itself: no row of any run moves."""
+        own = new = self.spark.table(name).select("k1", "k2")
+        for run in self.runs():
+            new = new.join(run.select("k1", "k2").hint("merge"), ["k1", "k2"], "left_anti")
+        return own.join(new.hint("merge"), ["k1", "k2"], "left_anti")
+
     def unseen(self, lines: DataFrame) -> DataFrame:
         """The lines whose key is in no run. The batch's distinct keys merge-anti-join the runs, so that a line of many
         documents goes there once; what is new is then looked up among the lines."""
@@ -146,28 +170,53 @@ def first_seen(store: LineRuns, docs: DataFrame) -> DataFrame:
     return kept
 
 
-def drop_frequent(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", doc_id: str = "doc_id", store: LineRuns | None = None) -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped): every document without the lines whose key at least ``min_docs`` documents hold,
-    among these and all batches that ``store`` took before; docs join it as a batch.
+def batch_of(docs: DataFrame, doc_id: str = "doc_id", batches: int = BATCHES) -> Column:
+    """The batch of a row: doc_ids from the least to the largest in so many ranges of one width; null goes with the first."""
+    least, most = docs.agg(F.min(F.col(doc_id).cast("long")), F.max(F.col(doc_id).cast("long"))).first()
+    if least is None or batches == 1:
+        return F.lit(0)
+    return F.coalesce(F.expr(f"cast((cast(cast(`{doc_id}` as long) as decimal(20, 0)) - {least}) div {(most - least) // batches + 1} as int)"), F.lit(0))
+
+
+def drop_frequent(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", doc_id: str = "doc_id", store: LineRuns | None = None, batches: int | None = None, tell_seen: bool = False) -> DataFrame:
+    """(doc_id, text, n_lines, n_dropped): every document without the lines whose key at least ``min_docs`` documents
+    hold, among these and all batches that ``store`` took before. tell_seen adds n_seen: its lines whose key a batch before
+    its own held.
 
-    Every row counts as a document, repeated rows too. Null and empty texts are one empty line, which stays. Lines
-    that stay are joined by \\n as they were; if none stays the text is empty. An empty table gives no rows.
+    docs join ``store`` as one batch; without a store they are taken in BATCHES of them. ``batches`` says otherwise: so many
+    ranges of doc_id (see ``batch_of``), each of which is held against the runs before it adds its own. Every row counts as a document, repeated rows too. Null and empty texts are one empty line, which stays;
+    very long texts are taken whole. Lines that stay are joined by \\n as they were; if none stays the text is empty. An
+    empty table gives no rows.
     """
-    own = store is None
-    store = LineRuns(docs.sparkSession) if own else store
-    lines = explode_lines(docs, text, doc_id, min_chars)
-    run = store.write(store.count(lines))
-    # written, so that its size is known: the join broadcasts it if small, and else splits the commonest lines
-    often = cut(store.totals(run).where(F.col("n") >= min_docs).select("k1", "k2"))
-    store.add(run)
+    spark, own = docs.sparkSession, store is None
+    batches = batches or (BATCHES if own else 1)
+    path = scratch(spark, "lines")
+    explode_lines(docs, text, doc_id, min_chars).withColumn("batch", batch_of(docs.select(F.col(doc_id).alias("doc_id")), "doc_id", batches)).write.partitionBy("batch").parquet(path)
+    lines = spark.read.schema(f"{LINES}, batch int").parquet(path)
     if own:
-        store.close()
-    gone = lines.join(often, ["k1", "k2"]).groupBy("doc_id", "t1", "t2").agg(F.collect_set("pos").alias("gone"))
+        store = LineRuns(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // BUCKET_ROWS))
+    seen = None
+    try:
+        for b in range(batches):
+            run = store.write(store.count(lines.where(F.col("batch") == b)))
+            if tell_seen and store.runs():
+                old = cut(store.seen(run).withColumn("batch", F.lit(b)))
+                seen = old if seen is None else seen.unionAll(old)
+            store.add(run)
+        # written, so that its size is known: the join broadcasts it if small, and else splits the commonest lines
+        often = cut(store.counts().where(F.col("n") >= min_docs).select("k1", "k2"))
+    finally:
+        if own:
+            store.close()
+    hits = lines.join(often, ["k1", "k2"]).select("doc_id", "t1", "t2", F.col("pos").alias("gone"), F.lit(None).cast("int").alias("seen"))
+    if seen is not None:
+        hits = hits.unionAll(lines.join(seen, ["k1", "k2", "batch"]).select("doc_id", "t1", "t2", F.lit(None).cast("int"), "pos"))
+    hits = hits.groupBy(F.col("doc_id").alias("d"), F.col("t1").alias("u1"), F.col("t2").alias("u2")).agg(F.collect_set("gone").alias("gone"), F.size(F.collect_set("seen")).alias("n_seen"))
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     keyed = keyed.mapInArrow(tidy(_keyed), "doc_id long, text string, t1 long, t2 long")
-    g = gone.select(F.col("doc_id").alias("d"), F.col("t1").alias("u1"), F.col("t2").alias("u2"), "gone")
-    both = keyed.join(g, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")), "left")
-    return both.select("doc_id", "text", "gone").mapInArrow(tidy(_without), "doc_id long, text string, n_lines long, n_dropped long")
+    both = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")), "left")
+    found = both.select("doc_id", "text", "gone", F.coalesce("n_seen", F.lit(0)).cast("long").alias("n_seen")).mapInArrow(tidy(_without), "doc_id long, text string, n_lines long, n_dropped long, n_seen long")
+    return found if tell_seen else found.drop("n_seen")
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +227,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(t.count("\n") + 1)
             dropped.append(len(gone))
             texts.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) if gone else t)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(dropped, pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(dropped, pa.int64()), b.column(3)], ["doc_id", "text", "n_lines", "n_dropped", "n_seen"])
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

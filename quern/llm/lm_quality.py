@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quern.llm import kneser_ney
 from quern.llm.common import cut, tidy
 from quern.llm.near_text import KeyFile
+from quern.operators import stats
 
 #: A document's mean is taken together with so many tokens of its language's mean, so that short texts aren't judged by
 #: a few rare words.
@@ -63,10 +64,17 @@ def thresholds_of(held: DataFrame, quantile: float = QUANTILE, rows: int = 50) -
         return thresholds([], np.zeros(0), np.zeros(0), quantile)
     named = held.where("lang <> ''")
     by = {r.lang: r.m for r in named.groupBy("lang").agg(mean.alias("m"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= rows).collect()}
-    least = lambda m: F.percentile(adjusted(F.col("score"), F.col("n_tokens"), m), F.lit(1 - quantile))
-    of = F.coalesce(*(F.when(F.col("lang") == x, F.lit(m)) for x, m in sorted(by.items())), F.lit(any_mean))
-    found = {r.lang: r.q for r in named.groupBy("lang").agg(least(of).alias("q")).collect()}
-    return Thresholds(by, {x: found[x] for x in by}, any_mean, held.agg(least(F.lit(any_mean))).first()[0])
+    if not by:
+        return Thresholds({}, {}, any_mean, _least(held, [], F.lit(any_mean), quantile)[0].q)
+    of = F.coalesce(*(F.when(F.col("lang") == x, F.lit(m)) for x, m in sorted(by.items())))
+    found = {r.lang: r.q for r in _least(named.where(F.col("lang").isin(sorted(by))), ["lang"], of, quantile)}
+    return Thresholds(by, found, any_mean, _least(held, [], F.lit(any_mean), quantile)[0].q)
+
+
+def _least(held: DataFrame, group: list[str], mean, quantile: float) -> list:
+    """The exact quantile of each group's adjusted means, whatever its size (see ``stats.quantiles``): a row a group."""
+    x = held.select(*group, adjusted(F.col("score"), F.col("n_tokens"), mean).alias("x"))
+    return stats.quantiles(x, group, {"q": ("x", 1 - quantile)}).collect()
 
 
 def trusted(labels: DataFrame) -> DataFrame:

@@ -208,7 +208,7 @@ def manifest(leaves: DataFrame) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified), one row for each of leaves (doc_id long, grp
     string, leaf binary, shown binary), digests as lowercase hexadecimal text.
 
-    A group's leaves ascend by doc_id (null first; rows of one doc_id by their digest); groups ascend bytewise, null
+    A group's leaves ascend by doc_id (null first; rows of one doc_id by leaf, then by shown); groups ascend bytewise, null
     first. proof_sha256 is of the siblings from the leaf to the root, as hexadecimal text; folded_root is what ``shown``
     (null: the leaf) and these siblings give, verified whether that is the root.
 
@@ -217,7 +217,7 @@ def manifest(leaves: DataFrame) -> DataFrame:
     """
     group = F.coalesce(F.concat(F.lit("="), F.col("grp")), F.lit("-"))  # null first, and no null
     rows = leaves.select(F.col("doc_id").cast("long").alias("doc_id"), group.alias("g"), F.col("leaf").alias("digest"), F.coalesce("shown", "leaf").alias("shown"))
-    rows = cut(numbered(rows, ["doc_id", "digest"]).withColumn("level", F.lit(0)))
+    rows = cut(numbered(rows, ["doc_id", "digest", "shown"]).withColumn("level", F.lit(0)))
     levels = rounds(rows)
     roots = levels[-1].select(F.lit("").alias("g"), F.col("g").alias("grp"), "digest")
     roots = cut(numbered(roots, ["grp"]).withColumn("level", F.lit(0)))
@@ -228,7 +228,7 @@ def manifest(leaves: DataFrame) -> DataFrame:
     tops = roots.join(paths(crown, 0).select("j", F.col("path").alias("crown")), "j")
     tops = tops.select(F.col("grp").alias("g"), F.col("digest").alias("subroot"), F.col("j").alias("k"), F.col("n").alias("groups"), "crown", root)
     if len(levels) == 1:  # no group has two leaves
-        above = rows.select("g", F.lit(0).cast("long").alias("j"), F.lit(b"").alias("path")).distinct()
+        above = rows.select(F.col("g").alias("g"), F.lit(0).cast("long").alias("j"), F.lit(b"").alias("path")).distinct()
     else:
         above = paths(levels, 1)
     above = above.join(tops, "g").withColumn("block", F.col("j"))

@@ -54,10 +54,12 @@ def op6_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without its frequent lines. Every row is a document, repeated rows too; null and empty texts are one
-    empty line, which stays; an empty table gives no rows."""
-    found = line_runs.drop_frequent(table(spark, sf_dir, "documents"), min_docs=10)
-    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+    """Every document without its frequent lines; n_seen: its lines that an earlier batch held (four batches, by ranges of
+    doc_id). Every row is a document, repeated rows too; null and empty texts are one empty line, which stays; very long
+    texts are taken whole; keys that tie at ten documents go; null doc_ids are of the first batch; an empty table gives no
+    rows."""
+    found = line_runs.drop_frequent(table(spark, sf_dir, "documents"), min_docs=10, tell_seen=True)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"), "n_seen")
 
 
 def op8_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +114,19 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs.select("doc_id", F.col("lang").alias("grp"), of(F.col("n_chars")).alias("leaf"), shown.alias("shown")))
 
 
+def corpus_line_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7's runs, batch after batch: each document's lines that no earlier batch held (documents without one have no row)."""
+    docs = table(spark, sf_dir, "documents")
+    batch, store, found = line_runs.batch_of(docs), line_runs.LineRuns(spark), None
+    try:
+        for b in range(line_runs.BATCHES):
+            new = line_runs.first_seen(store, docs.where(batch == b)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_new")).withColumn("batch", F.lit(b))
+            found = new if found is None else found.unionAll(new)
+    finally:
+        store.close()
+    return found
+
+
 def corpus_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op1: counts and base rules."""
     return op1_quality_gbt(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -186,16 +201,19 @@ def queries() -> dict:
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LINES = "string_split(coalesce(text, ''), chr(10))"
-_LINE_DEDUP = f"""
-WITH d AS (SELECT row_number() OVER () AS rid, * FROM documents),
-l AS (SELECT rid, doc_id, unnest({_LINES}) AS line, unnest(range(len({_LINES}))) AS pos FROM d),
+_BATCH = f"coalesce((doc_id - (SELECT min(doc_id) FROM documents)) // ((SELECT max(doc_id) - min(doc_id) FROM documents) // {line_runs.BATCHES} + 1), 0)"
+_KEYED_LINES = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, {_BATCH} AS batch, * FROM documents),
+l AS (SELECT rid, batch, doc_id, unnest({_LINES}) AS line, unnest(range(len({_LINES}))) AS pos FROM d),
 k AS (SELECT *, translate(trim(line, {_BLANKS}), '{_UPPER}', '{_LOWER}') AS key FROM l),
-f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT rid) >= 10),
-r AS (SELECT rid, doc_id, pos, line, key IN (SELECT key FROM f) AS gone FROM k)
+f AS (SELECT key, count(DISTINCT rid) AS n, min(batch) AS born FROM k WHERE key <> '' GROUP BY key)"""
+_LINE_DEDUP = f"""{_KEYED_LINES},
+r AS (SELECT rid, doc_id, pos, line, coalesce(n >= 10, false) AS gone, coalesce(batch > born, false) AS seen FROM k LEFT JOIN f USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256, count(*) FILTER (WHERE seen) AS n_seen
 FROM r GROUP BY rid, doc_id
 """
+_LINE_BATCHES = f"{_KEYED_LINES} SELECT doc_id, batch::INT AS batch, count(*) AS n_new FROM k JOIN f USING (key) WHERE batch = born GROUP BY doc_id, batch"
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 _COUNTS = f"""
@@ -365,7 +383,7 @@ FROM p JOIN s USING (g) JOIN folds USING (rid) LEFT JOIN proof USING (rid), r
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op7_line_dedup": _LINE_DEDUP, "corpus_quality_counts": _COUNTS, "corpus_url_rules": _URLS, "corpus_link_scores": _link_rounds(), "corpus_mixture_sources": _SOURCES,
+        "op7_line_dedup": _LINE_DEDUP, "corpus_line_batches": _LINE_BATCHES, "corpus_quality_counts": _COUNTS, "corpus_url_rules": _URLS, "corpus_link_scores": _link_rounds(), "corpus_mixture_sources": _SOURCES,
         "corpus_shard_sizes": _SHARDS, "corpus_row_sizes": _SIZES, "corpus_base_scores": _BASE, "corpus_trusted_words": _TRUSTED, "corpus_kept_copies": _COPIES,
         "op11_license_scan": _LICENSES, "op12_conversation_repair": _REPAIRS, "op13_merkle_manifest": _MERKLE,
     }

@@ -83,3 +83,44 @@ def test_batches_count_together_without_moving_old_runs(spark, make_docs):
     assert len(mine) == 2 and mine <= tables()
     store.close()
     assert not mine & tables()
+
+
+def test_a_table_in_batches_tells_what_was_seen_before(spark):
+    rng = random.Random(7)
+    ids = [rng.randrange(1000) for _ in range(150)] + [None, -(2**62), 2**62]
+    texts = ["\n".join(rng.choice(["", "Same", " same ", *(f"l{rng.randrange(300)}" for _ in range(4))]) for _ in range(rng.randrange(7))) for _ in ids]
+    least, most = min(x for x in ids if x is not None), max(x for x in ids if x is not None)
+    docs = spark.createDataFrame(list(zip(ids, texts, ["clash"] * len(ids))), "doc_id long, text string, batch string")
+    for some, low, high in ((docs.where("doc_id between 0 and 999 or doc_id is null"), 0, 999), (docs, least, most)):
+        rows = [tuple(r)[:2] for r in some.collect()]
+        low, high = min(i for i, _ in rows if i is not None), max(i for i, _ in rows if i is not None)
+        batch = lambda i: 0 if i is None else (i - low) // ((high - low) // 4 + 1)  # noqa: E731, B023
+        born = {}
+        for i, t in rows:
+            for k in map(key, t.split("\n")):
+                born[k] = min(born.get(k, 9), batch(i))
+        want = Counter((i, *x, sum(bool(key(k)) and born[key(k)] < batch(i) for k in t.split("\n"))) for (i, t), x in zip(rows, brute([t for _, t in rows], 5)))
+        got = Counter(tuple(r) for r in line_runs.drop_frequent(some, 5, tell_seen=True).collect())
+        assert got == want
+
+
+def test_what_a_run_has_seen_is_told_without_moving_a_row(spark, make_docs):
+    store = line_runs.LineRuns(spark, buckets=4)
+    for i in range(3):
+        store.add(store.write(store.count(line_runs.explode_lines(make_docs([(i, f"same\nl{i}", "s")])))))
+    run = store.write(store.count(line_runs.explode_lines(make_docs([(9, "same\nl1\nnew", "s")]))))
+    found = store.seen(run)
+    assert found.count() == 2
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("SortMergeJoin") == 3
+    store._drop(run)
+    store.close()
+
+
+def test_a_store_that_grows_gets_more_buckets(spark, make_docs):
+    store = line_runs.LineRuns(spark, buckets=2, bucket_rows=10)
+    for i in range(4):
+        store.add(store.write(store.count(line_runs.explode_lines(make_docs([(i, "same\n" + "\n".join(f"l{i}-{k}" for k in range(30)), "s")])))))
+    assert store.buckets == 32 and [x is not None for x in store.levels] == [False, False, True]
+    assert sorted(r.n for r in store.counts().collect()) == [1] * 120 + [4]
+    store.close()
