@@ -3,10 +3,10 @@ contracts of a build, held against rows that break them."""
 
 from __future__ import annotations
 
-import sqlite3
 import tempfile
 from pathlib import Path
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,11 +15,11 @@ from quern.functions import text as X
 from quern.functions.prices import parse_prices
 from quern.functions.sql import set_variable
 from quern.functions.units import folded_class, folded_quantity
-from quern.plans import contracts
+from quern.plans import contracts, lint
 from quern.plans.models import int_upc_match, stg_price, stg_product
 from quern.plans.registry import query
 from quern.plans.text import _KIND, _SIZED, catalogue, observations, priced, sized
-from quern.sources import readers, schema, sinks, sqlfile
+from quern.sources import readers, schema, sinks, sqlfile, sqlite
 from quern.sources.shared import cut, scratch
 
 
@@ -30,16 +30,11 @@ def _t(spark, sf_dir, name):
 # ---- readers and sinks
 
 
-_NATION = T.StructType([T.StructField("n_nationkey", T.LongType()), T.StructField("n_name", T.StringType()), T.StructField("n_regionkey", T.LongType())])
-
-
 def _archive(spark, sf_dir) -> str:
-    """The nations as a SQLite file of the driver's: twenty-five rows."""
-    rows = [tuple(r) for r in _t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()]  # a fixed table of 25 rows
-    path = f"{tempfile.mkdtemp()}/archive.db"
-    with sqlite3.connect(path) as db:
-        db.execute("CREATE TABLE nation (n_nationkey INTEGER, n_name TEXT, n_regionkey INTEGER)")
-        db.executemany("INSERT INTO nation VALUES (?, ?, ?)", rows)
+    """The customers as a folder of SQLite archives, each written by a task."""
+    sqlite.register(spark)
+    path = scratch(spark, "archive")
+    _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment").repartition(3).write.format("sqlite").mode("overwrite").option("table", "customer").save(path)  # total: the writer mode, not a statistic
     return path
 
 
@@ -54,17 +49,19 @@ def _folder(spark, name: str) -> str:
     return path
 
 
-@query("io01_sqlite_scan", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+@query("io01_sqlite_scan", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 1000 AND c_name IS NOT NULL AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
 def sqlite_scan(spark, sf_dir):
-    out = f"{_folder(spark, 'sqlite')}/nation.parquet"
-    readers.sqlite_to_parquet(_archive(spark, sf_dir), "nation", _plain(out), _NATION, rows=10)
-    return spark.read.schema(_NATION).parquet(out)
+    """Ranges of rowids of each archive, ten tasks each; SQLite is handed the comparisons."""
+    found = spark.read.format("sqlite").option("table", "customer").option("partitions", 10).option("push", True).load(_archive(spark, sf_dir))
+    return found.where("c_acctbal > 1000 and c_name is not null and c_mktsegment in ('BUILDING', 'MACHINERY')").select("c_custkey", "c_name", "c_acctbal")
 
 
-@query("io02_pass_through", "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, count(*) AS n FROM nation GROUP BY 1")
+@query("io02_pass_through", "SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, count(*) AS n, round(sum(c_acctbal), 4) AS balance FROM customer GROUP BY 1")
 def pass_through(spark, sf_dir):
-    rows = readers.sqlite_query(_archive(spark, sf_dir), "SELECT n_regionkey, count(*) FROM nation GROUP BY 1")
-    return readers.inline(spark, rows, "n_regionkey long, n long")
+    """Each archive groups its own rows; Spark sums up what they answer."""
+    asked = "SELECT c_nationkey, count(*) AS n, sum(c_acctbal) AS balance FROM customer GROUP BY c_nationkey"
+    parts = spark.read.format("sqlite").option("query", asked).schema("c_nationkey long, n long, balance double").load(_archive(spark, sf_dir))
+    return parts.groupBy("c_nationkey").agg(F.sum("n").alias("n"), F.round(F.sum("balance"), 4).alias("balance"))
 
 
 @query("io03_full_copy", "SELECT * FROM supplier")
@@ -114,16 +111,22 @@ def whole_file(spark, sf_dir):
     return readers.whole_file(spark, path).select("bytes", "md5")
 
 
-@query("io11_footer_bytes", "SELECT 'part' AS table_name, true AS measured UNION ALL SELECT 'supplier', true")
+_FOOTERS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n, count(*) - count({c}) AS nulls, CAST(min({c}) AS VARCHAR) AS low, CAST(max({c}) AS VARCHAR) AS high FROM {t}" for t, c in (("part", "p_partkey"), ("part", "p_name"), ("supplier", "s_suppkey"), ("lineitem", "l_linenumber"), ("lineitem", "l_returnflag")))
+
+
+@query("io11_footer_bytes", _FOOTERS)
 def footer_bytes(spark, sf_dir):
-    """Whether the footers' bytes are those that a rewrite of the same rows in four files has, but for a tenth."""
-    out = []
-    for name in ("part", "supplier"):
+    """Rows, nulls and bounds of some columns by the footers of a rewrite of their tables in four files, no row of which is
+    read."""
+    out, wanted = None, {"part": ["p_partkey", "p_name"], "supplier": ["s_suppkey"], "lineitem": ["l_linenumber", "l_returnflag"]}
+    for name, columns in wanted.items():
         path = scratch(spark, "footers")
-        sinks.write_parquet(_t(spark, sf_dir, name).repartition(4), path)
-        sizes = readers.parquet_bytes(spark, f"{sf_dir}/{name}.parquet"), readers.parquet_bytes(spark, path)
-        out.append((name, 0 < min(sizes) and max(sizes) < 10 * min(sizes)))
-    return readers.inline(spark, out, "table_name string, measured boolean")
+        sinks.write_parquet(_t(spark, sf_dir, name).select(*columns).repartition(4), path)
+        found = readers.footers(spark, path).select(F.lit(name).alias("table_name"), "*")
+        out = found if out is None else out.unionAll(found)
+    number = F.col("column_name").isin("p_partkey", "s_suppkey", "l_linenumber")
+    bound = lambda f, c: F.coalesce(f(F.when(number, F.col(c).cast("long"))).cast("string"), f(F.when(~number, F.col(c)))).alias(c)
+    return out.groupBy("table_name", "column_name").agg(F.sum("rows").alias("n"), F.sum("nulls").alias("nulls"), bound(F.min, "low"), bound(F.max, "high"))
 
 
 @query("io13_csv", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer")
@@ -137,7 +140,7 @@ def csv_sink(spark, sf_dir):
 def json_sink(spark, sf_dir):
     path = f"{_folder(spark, 'json')}/parts.json"
     rows = _t(spark, sf_dir, "part").select("p_partkey", "p_name", F.expr("if(p_size % 2 = 0, p_brand, null)").alias("brand"))
-    sinks.write_json_array(rows.orderBy("p_partkey"), _plain(path))
+    sinks.write_json_array_in_tasks(rows.orderBy("p_partkey"), _plain(path))
     return readers.json_array(spark, path, rows.schema)
 
 
@@ -372,10 +375,46 @@ def run_twice(spark, sf_dir):
     return readers.inline(spark, [(k, contracts.twice(f)) for k, f in cases.items()], "what string, verdict string")
 
 
-@query("dq08_loose_sql", "SELECT * FROM (VALUES (1, 'any_value or first'), (3, 'unordered list'), (4, 'rank without order')) t(line, what)")
+#: Statements over the given tables: hazards of order, what remarks say to them, and what only looks like either.
+_SCRIPT = """-- total: said of nothing below
+SELECT o_custkey, any_value(o_orderstatus) AS status
+FROM orders GROUP BY o_custkey;
+
+/* determinism-ok: a nation's key is unique; it has one name */
+SELECT n_nationkey, any_value(n_name) AS name, '-- total: this is a string, no remark; at all' AS text FROM nation GROUP BY n_nationkey;
+SELECT l_orderkey, x FROM (
+    SELECT l_orderkey,
+           max_by(l_quantity, l_extendedprice) AS x -- total: fine
+    FROM lineitem GROUP BY l_orderkey
+) WHERE x > (SELECT min(p_size) FROM (SELECT p_size FROM part
+    LIMIT 7));
+
+
+
+SELECT o_custkey, o_orderkey,
+       row_number() OVER w AS nr,
+       dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE));
+WITH s AS (SELECT n_regionkey, collect_list(n_name) AS names, array_sort(collect_list(n_name)) AS sorted FROM nation GROUP BY n_regionkey)
+SELECT n_regionkey, size(names) AS n, sorted FROM s ORDER BY n_regionkey LIMIT 3;
+"""
+_HAZARDS = """(1, 2, 'any_value of a group', 'said of nothing below'), (2, 6, 'any_value of a group', 'a nation''s key is unique; it has one name'), (3, 9, 'max_by of a group', 'a nation''s key is unique; it has one name'),
+    (3, 12, 'limit without an order', NULL), (4, 17, 'row_number over ties', NULL), (4, 18, 'dense_rank over ties', NULL), (5, 20, 'collect_list without an order', NULL)"""
+
+
+@query("dq08_loose_sql", f"""WITH h(statement, line, what, reason) AS (VALUES {_HAZARDS}),
+    c AS (SELECT 1 AS statement, 'any_value of a group' AS what, count(*) AS groups, count(*) FILTER (WHERE n > 1) AS broken FROM (SELECT count(DISTINCT o_orderstatus) AS n FROM orders GROUP BY o_custkey)
+    UNION ALL SELECT 2, 'any_value of a group', count(*), count(*) FILTER (WHERE n > 1) FROM (SELECT count(DISTINCT n_name) AS n FROM nation GROUP BY n_nationkey)
+    UNION ALL SELECT 3, 'max_by of a group', count(*), count(*) FILTER (WHERE n > 1) FROM (SELECT count(DISTINCT l_quantity) AS n FROM lineitem QUALIFY l_extendedprice = max(l_extendedprice) OVER (PARTITION BY l_orderkey) GROUP BY l_orderkey)
+    UNION ALL SELECT 4, 'row_number over ties', count(*), count(*) FILTER (WHERE n > 1) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey, CAST(o_orderdate AS DATE))
+    UNION ALL SELECT 5, 'collect_list without an order', count(*), count(*) FILTER (WHERE n > 1) FROM (SELECT count(DISTINCT n_name) AS n FROM nation GROUP BY n_regionkey))
+    SELECT h.*, groups, broken FROM h LEFT JOIN c USING (statement, what)""".replace("SELECT count(DISTINCT l_quantity) AS n FROM lineitem QUALIFY l_extendedprice = max(l_extendedprice) OVER (PARTITION BY l_orderkey) GROUP BY l_orderkey", "SELECT count(DISTINCT l_quantity) AS n FROM (SELECT * FROM lineitem QUALIFY l_extendedprice = max(l_extendedprice) OVER (PARTITION BY l_orderkey)) GROUP BY l_orderkey"))
 def loose_sql(spark, sf_dir):
-    text = "SELECT any_value(x), list(y ORDER BY y)\nFROM t ORDER BY x LIMIT 5;\nSELECT list(y) FROM t;\nSELECT rank() OVER (PARTITION BY a) FROM t;\nSELECT first(x) FROM t -- total: one row"
-    return readers.inline(spark, contracts.loose_sql(text), "line int, what string")
+    """Hazards of order in statements over the given tables, and in how many groups the data leave each of them open."""
+    for t in ("orders", "nation", "lineitem", "part"):
+        _t(spark, sf_dir, t).createOrReplaceTempView(t)
+    found = readers.inline(spark, [(h.statement, h.line, h.what, h.reason) for h in lint.hazards(spark, _SCRIPT)], "statement int, line int, what string, reason string")
+    return found.join(lint.claims(spark, _SCRIPT), ["statement", "what"], "left").select("statement", "line", "what", "reason", "groups", "broken")
 
 
 @query("dq09_layering", "SELECT 'offers.product_id' AS leak")
@@ -385,6 +424,24 @@ def layers(spark, sf_dir):
     return readers.inline(spark, [(x,) for x in contracts.layering(models, ["stg_price"])], "leak string")
 
 
+@query("dq09_lineage", """SELECT * FROM (VALUES ('renamed', 'pid'), ('hashed', 'h'), ('hashed', 'twice'), ('grouped', 'pid'), ('grouped', 'last'), ('united', 'k'), ('joined', NULL), ('windowed', 'before'), ('nested', 'x')) t(model, leak_column)""")
+def layering_by_lineage(spark, sf_dir):
+    """Models that keep a source's own id under another name, hashed, counted by, or in a condition; and three that don't."""
+    price = stg_price(observations(spark, sf_dir), catalogue(spark, sf_dir))
+    product = stg_product(catalogue(spark, sf_dir))
+    keyed = price.select("product_key", F.col("product_id").alias("pid"), "unit_price")
+    other = price.select(F.col("product_key").alias("other"), "offer_type", F.col("product_id").alias("oid"))
+    models = {
+        "stg_price": price, "int_upc_match": int_upc_match(product.drop("product_id")), "sums": price.groupBy("product_key").agg(F.sum("unit_price").alias("s")),
+        "renamed": keyed.select("pid", "unit_price"), "hashed": keyed.select("product_key", F.md5("pid").alias("h")).withColumn("twice", F.upper(F.concat("h", F.lit("-")))),
+        "grouped": keyed.groupBy("pid").agg(F.max("unit_price").alias("p"), F.max(F.length("pid")).alias("last")), "united": price.select(F.col("product_key").alias("k")).unionAll(keyed.select("pid")),
+        "joined": price.select("product_key", F.col("product_id").alias("a")).join(other, F.col("a") == F.col("oid")).select("product_key", "offer_type"),
+        "windowed": keyed.select("product_key", F.lag("pid").over(Window.partitionBy("product_key").orderBy("unit_price")).alias("before")),
+        "nested": keyed.select("product_key", F.explode(F.array(F.struct("pid"))).alias("x")), "staged_away": keyed.drop("pid"),
+    }
+    return readers.inline(spark, [(m, c) for m, c, _ in lint.layering(models, ["stg_price"])], "model string, leak_column string")
+
+
 @query(
     "sc_types",
     "SELECT p_partkey, TRY_CAST(p_name AS BIGINT) IS NULL AS no_number, CAST(p_size AS VARCHAR) AS size_text, CAST(CAST(p_size AS VARCHAR) AS BIGINT) AS size_number, CAST(p_size % 2 AS BOOLEAN) AS odd, CAST(p_size AS DOUBLE) / 4 AS quarter, CAST('2024-02-' || lpad(CAST(1 + p_size % 29 AS VARCHAR), 2, '0') AS DATE) AS d FROM part",

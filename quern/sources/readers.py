@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import sqlite3
+from collections.abc import Iterator
 from datetime import date
 
 import pyarrow as pa
+import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from quern.sources.shared import ship
 
 _ARROW = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.DoubleType(): pa.float64()}
 
@@ -85,6 +91,38 @@ def parquet_bytes(spark: SparkSession, path: str) -> int:
     return total
 
 
+FOOTERS = "file string, row_group int, column_name string, rows long, compressed long, uncompressed long, nulls long, low string, high string"
+
+
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row_group, column_name, rows, compressed, uncompressed, nulls, low, high): one row for each column chunk of the
+    Parquet files under a path, by their footers, which tasks read; nulls, low and high (as text) are null where a writer
+    kept no statistics. Spark lists the files; their footers are opened by Arrow, which knows local, HDFS, S3 and GCS paths.
+    """
+    ship(spark)
+    kinds = to_arrow_schema(T.StructType.fromDDL(FOOTERS))
+    named = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path")  # no content is read
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for file in b.column(0).to_pylist():
+                local = re.match("file:(?://)?(/.*)", file)
+                system, at = (pa.fs.LocalFileSystem(), local[1]) if local else pa.fs.FileSystem.from_uri(file)
+                with system.open_input_file(at) as f:
+                    meta = pq.read_metadata(f)
+                for g in range(meta.num_row_groups):
+                    for i in range(meta.num_columns):
+                        c = meta.row_group(g).column(i)
+                        s = c.statistics if c.is_stats_set else None
+                        bounds = (str(s.min), str(s.max)) if s is not None and s.has_min_max else (None, None)
+                        out.append((file, g, c.path_in_schema, c.num_values, c.total_compressed_size, c.total_uncompressed_size, s.null_count if s is not None and s.has_null_count else None, *bounds))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds.types)], schema=kinds)
+
+    return named.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, FOOTERS)
+
+
 def attach(spark: SparkSession, database: str, folder: str) -> list[str]:
     """Every Parquet table of a folder (a file or folder NAME.parquet) as the table NAME of a database, so that one query
     may read several snapshots: SELECT ... FROM today.part JOIN before.part. The names of the tables; those of an earlier

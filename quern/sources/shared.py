@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +38,22 @@ def cut(df: DataFrame) -> DataFrame:
     """Written once, so that neither a lost executor nor a second reader repeats, or repeats differently, what is above."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package once for each application: on their machines they may not find it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    top = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp()
+    path = f"{folder}/{top.name}-package.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f"{top.name}/{f.relative_to(top)}")
+    sc.addPyFile(path)
+    atexit.register(shutil.rmtree, folder, True)

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.shared import cut, ship
+
 
 def json_lines(df: DataFrame):
     """Each row as JSON, nulls written out, in the order of df; partitions come to the driver one at a time."""
@@ -28,6 +32,37 @@ def write_json_array(df: DataFrame, path: str) -> int:
     return n
 
 
+def write_json_array_in_tasks(df: DataFrame, path: str) -> int:
+    """``write_json_array``'s file, byte for byte, written by tasks: the table's lines are written once in its order, a
+    task's bytes are counted, and each task writes its own at its place in the one file, whose folder must be mounted on all
+    machines. Only a count for each task reaches the driver."""
+    ship(df.sparkSession)
+    lines = cut(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"), F.spark_partition_id().alias("p")))
+    sizes = lines.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("j") + 3).alias("bytes")).orderBy("p").collect()  # two numbers a task; each line has two or three bytes of its own
+    begin, at = {}, 1
+    for i, r in enumerate(sizes):
+        begin[r.p], at = (at, i == 0), at + r.bytes - (i == 0)
+    with open(path, "wb") as f:
+        f.write(b"[")
+        f.seek(at)
+        f.write(b"\n]\n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, n = None, 0
+        for b in batches:
+            for p, j in zip(b.column("p").to_pylist(), b.column("j").to_pylist()):
+                if f is None:
+                    f = open(path, "r+b")  # noqa: SIM115
+                    f.seek(begin[p][0])
+                f.write((("" if begin[p][1] and not n else ",") + "\n\t" + j).encode())
+                n += 1
+        if f is not None:
+            f.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return lines.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_json_object(df: DataFrame, path: str) -> None:
     rows = list(json_lines(df.limit(2)))  # total: any two rows will do: they are counted
     if len(rows) != 1:
