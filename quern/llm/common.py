@@ -167,6 +167,20 @@ def ranked(df: DataFrame, group: list[str], order: list[str], out: str, bucket_r
     return found.withColumn(chunk, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))).select(*names, (F.col(begin) + F.col(chunk)).alias(out))
 
 
+def chunked(rows: DataFrame, head: list[str], tie: str, most: int) -> DataFrame:
+    """Adds ``chunk``: rows of one ``head`` and chunk are a task's, and any two rows of one head meet in some chunk. A head
+    of up to ``most`` rows is one chunk, 0. A larger one is cut into parts of about ``most`` rows by the hash of ``tie``,
+    and each pair of parts is a chunk, so that its rows come as often as it has parts."""
+    hot = rows.groupBy(*head).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    hot = cut(hot.select(*head, F.ceil(F.col("n") / most).cast("long").alias("parts")))
+    if hot.isEmpty():
+        return rows.withColumn("chunk", F.lit(0).cast("long"))
+    names = rows.columns
+    rows = rows.join(hot, head, "left").withColumn("own", F.pmod(F.xxhash64(tie), F.coalesce("parts", F.lit(1))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
+    return rows.select(*names, F.when(F.col("parts").isNull(), 0).otherwise(F.xxhash64(F.least("own", "other"), F.greatest("own", "other"))).alias("chunk"))
+
+
 #: Links that one task joins, at most: 16 bytes each, and some arrays of their ends.
 TASK_LINKS = 1_000_000
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import ranked, scratch, text_key, tidy, unused
 from quern.llm.kneser_ney import Store
-from quern.llm.near_text import KeyFile
+from quern.llm.near_text import KeyFile, row_keys
 
 BLOCK_ROWS = 16
 #: Sources that one schedule mixes, at most: the driver holds some numbers of each.
@@ -157,16 +157,16 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
 def reorder(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All rows of docs, all columns as they are, sorted into the mixture's order: partition by partition, row by row. What
     holds of ``mix`` holds here. Rows move once: their places are looked up in files, not joined."""
-    key = lambda d, s, a, b: F.xxhash64(F.coalesce(d, F.lit(-1).cast("long")), d.isNull(), F.coalesce(s, F.lit("")), s.isNull(), a, b)
     # equal rows share (doc_id, source, k1, k2); any of their positions serves any of them
-    placed = mix(docs, weights, block_rows).select(key(F.col("doc_id"), F.col("source"), F.col("k1"), F.col("k2")).alias("key"), "position")
-    places = KeyFile(placed.groupBy("key").agg(F.min("position").alias("position")), "places")
-    (at,) = unused(docs.columns, "position")
-    keyed = docs.select("*", key(F.col("doc_id").cast("long"), F.col("source").cast("string"), *text_key(F.col("text").cast("string"))).alias(at))
+    placed = mix(docs, weights, block_rows).select(*row_keys(*map(F.col, ("doc_id", "source", "k1", "k2"))), "position")
+    places = KeyFile(placed.groupBy("key", "check").agg(F.min("position").alias("position")), "places", paired=True)
+    check, at = unused(docs.columns, "check", "position")
+    key, second = row_keys(F.col("doc_id").cast("long"), F.col("source").cast("string"), *text_key(F.col("text").cast("string")))
+    keyed = docs.select("*", second.alias(check), key.alias(at))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = places.values(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False))
+            found = places.values(*(b.column(b.num_columns - i).to_numpy(zero_copy_only=False) for i in (1, 2)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found)], schema=b.schema)
 
     return keyed.mapInArrow(tidy(run), keyed.schema).repartitionByRange(at).sortWithinPartitions(at).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -20,10 +20,10 @@ from math import acos, ceil, log, log2, pi, sqrt
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import components, cut, scratch, text_key, tidy, unused
+from quern.llm.common import chunked, components, cut, scratch, text_key, tidy, unused
 from quern.llm.kneser_ney import Store, _Hashes
 from quern.llm.simhash import Labels, trie_pairs
 
@@ -222,15 +222,7 @@ def _links(texts: DataFrame, n: int, sets: Sets, tables: Tables, similarity: flo
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (heads[:, t], fp[:, t % WORDS].view(np.int64), fp[:, (t + 1) % WORDS].view(np.int64))] + [b.column(0)], ["head", "s0", "s1", "ref"])
 
     dealt = texts.select("ref", "fp").mapInArrow(tidy(deal), "head long, s0 long, s1 long, ref long")
-    if n > task_texts:  # a head may hold any share of the texts
-        hot = dealt.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > task_texts)
-        hot = cut(hot.select("head", F.ceil(F.col("n") / task_texts).alias("chunks")))
-        dealt = dealt.join(hot, "head", "left").withColumn("own", F.pmod(F.xxhash64("ref"), F.coalesce("chunks", F.lit(1))))
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)) - 1))
-        dealt = dealt.select("head", "s0", "s1", "ref", "own", other.alias("other"))
-        dealt = dealt.select("head", "s0", "s1", "ref", F.xxhash64(F.least("own", "other"), F.greatest("own", "other")).alias("chunk"))
-    else:
-        dealt = dealt.withColumn("chunk", F.lit(0).cast("long"))
+    dealt = chunked(dealt, ["head"], "ref", task_texts) if n > task_texts else dealt.withColumn("chunk", F.lit(0).cast("long"))
     spark = texts.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * len(tables.columns) // 1_000_000))
     dealt = dealt.repartition(parts, "head", "chunk").sortWithinPartitions("head", "chunk", "s0", "ref")
@@ -310,7 +302,8 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, task_texts: in
     """(doc_id, k1, k2, component): every row's class of near-duplicate texts; component names the class.
 
     Texts are linked whose k-word shingle sets reach the Jaccard similarity: texts equal in all characters (null as
-    empty) always, others as the fingerprints find them; no pair is linked whose whole sets don't reach it. Texts without
+    empty) always, others as the fingerprints find them; no pair is linked whose whole sets don't reach it (sets of 64 or
+    more shingles by 32 bits of their hashes, up to collisions of these). Very long texts are taken whole. Texts without
     a word link to equal ones only. A null doc_id is answered like any other, repeated rows are answered one by one, and
     an empty table gives no rows.
     """
@@ -329,62 +322,84 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, task_texts: in
 
 class KeyFile:
     """A set of distinct longs, each with a long of its own where a second column is given, as sorted arrays in the shared
-    folder, one for each value of the top bits; workers map them."""
+    folder, one for each value of the top bits; workers map them. ``paired``: keys are of 128 bits, in two columns."""
 
-    def __init__(self, keys: DataFrame, name: str):
+    def __init__(self, keys: DataFrame, name: str, paired: bool = False):
         n = keys.count()
         self.bits = max(0, int(np.ceil(np.log2(max(1, n / 1_000_000)))))
         self.store = store = Store(scratch(keys.sparkSession, name))
-        bits, col = self.bits, keys.columns[0]
-        valued = len(keys.columns) > 1
+        bits, key = self.bits, keys.columns[0]
+        check = F.col(keys.columns[1]) if paired else F.lit(0).cast("long")
+        own = keys.columns[1 + paired :]
 
         def save(t: pa.Table) -> pa.Table:
             part = t["part"][0].as_py()
-            have, first = np.unique(t["key"].to_numpy(), return_index=True)
-            store.save(f"keys-{part}", have)
-            if valued:
-                store.save(f"values-{part}", t["value"].to_numpy()[first])
+            k, c = t["key"].to_numpy(), t["check"].to_numpy()
+            order = np.lexsort((c, k))
+            k, c = k[order], c[order]
+            first = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]
+            store.save(f"keys-{part}", k[first])
+            if paired:
+                store.save(f"checks-{part}", c[first])
+            if own:
+                store.save(f"values-{part}", t["value"].to_numpy()[order][first])
             return pa.table({"part": pa.array([part], pa.int32())})
 
-        part = (F.shiftrightunsigned(F.col(col), 64 - bits) if bits else F.lit(0)).cast("int")
-        value = F.col(keys.columns[1]) if valued else F.lit(0).cast("long")
-        self.parts = sorted(r.part for r in keys.select(part.alias("part"), F.col(col).alias("key"), value.alias("value")).groupBy("part").applyInArrow(save, "part int").collect())
+        part = (F.shiftrightunsigned(F.col(key), 64 - bits) if bits else F.lit(0)).cast("int")
+        value = F.col(own[0]) if own else F.lit(0).cast("long")
+        self.paired = paired
+        self.parts = sorted(r.part for r in keys.select(part.alias("part"), F.col(key).alias("key"), check.alias("check"), value.alias("value")).groupBy("part").applyInArrow(save, "part int").collect())
 
-    def _look(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def _look(self, keys: np.ndarray, checks: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         part = (keys.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
         for p in np.intersect1d(part, self.parts).tolist():
             at = np.flatnonzero(part == p)
             have = self.store.load(f"keys-{p}")
-            i = np.minimum(np.searchsorted(have, keys[at]), len(have) - 1)
-            yield p, at, i, have[i] == keys[at]
-
-    def contains(self, keys: np.ndarray) -> np.ndarray:
+            i = np.searchsorted(have, keys[at])
+            inside = lambda i, have=have: np.minimum(i, len(have) - 1)
+            hit = have[inside(i)] == keys[at]
+            if self.paired:  # of several keys with one first half the one with the second, if any
+                second, open_ = self.store.load(f"checks-{p}"), hit
+                hit = open_ & (second[inside(i)] == checks[at])
+                while (open_ := open_ & ~hit).any():
+                    i = i + open_
+                    open_ = open_ & (i < len(have)) & (have[inside(i)] == keys[at])
+                    hit = hit | open_ & (second[inside(i)] == checks[at])
+            yield p, at, inside(i), hit
+
+    def contains(self, keys: np.ndarray, checks: np.ndarray | None = None) -> np.ndarray:
         out = np.zeros(len(keys), bool)
-        for _, at, _, hit in self._look(keys):
+        for _, at, _, hit in self._look(keys, checks):
             out[at] = hit
         return out
 
-    def values(self, keys: np.ndarray) -> np.ndarray:
+    def values(self, keys: np.ndarray, checks: np.ndarray | None = None) -> np.ndarray:
         """The keys' values, -1 for unknown ones."""
         out = np.full(len(keys), -1, np.int64)
-        for p, at, i, hit in self._look(keys):
+        for p, at, i, hit in self._look(keys, checks):
             out[at] = np.where(hit, self.store.load(f"values-{p}")[i], -1)
         return out
 
 
-def _row_key(doc_id, k1, k2):
-    return F.xxhash64(F.coalesce(doc_id, F.lit(-1).cast("long")), doc_id.isNull(), k1, k2)
+def half(seed: int, *columns) -> Column:
+    """One of the two independent 64-bit hashes that name a row together, nulls told from all values."""
+    return F.xxhash64(F.lit(seed), *[x for c in columns for x in (c, c.isNull())])
+
+
+def row_keys(*columns) -> list[Column]:
+    """(key, check): 128 bits that name a row by its columns."""
+    return [half(1, *columns).alias("key"), half(2, *columns).alias("check")]
 
 
 def _holding(docs: DataFrame, keys: KeyFile) -> DataFrame:
     """The rows of docs, all columns as they are, whose row key is in the set."""
-    k1, k2 = text_key(F.col("text").cast("string"))
-    marked = docs.select("*", _row_key(F.col("doc_id").cast("long"), k1, k2).alias(*unused(docs.columns, "row_key")))
+    names = unused(docs.columns, "row_key", "row_check")
+    marked = docs.select("*", *[k.alias(n) for k, n in zip(row_keys(F.col("doc_id").cast("long"), *text_key(F.col("text").cast("string"))), names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = keys.contains(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays(b.columns[:-1], schema=pa.schema([b.schema.field(i) for i in range(b.num_columns - 1)])).filter(pa.array(ok))
+            ok = keys.contains(*(b.column(b.num_columns - i).to_numpy(zero_copy_only=False) for i in (2, 1)))
+            yield pa.RecordBatch.from_arrays(b.columns[:-2], schema=pa.schema([b.schema.field(i) for i in range(b.num_columns - 2)])).filter(pa.array(ok))
 
     return marked.mapInArrow(tidy(run), docs.schema)
 
@@ -394,17 +409,15 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     smallest doc_id, ties by the text's hash; a null doc_id comes last. Of rows that are equal in these the one stays whose
     columns have the smallest hash (maps, which have none, are left out of it), so that rows repeated whole stay once."""
     found = cut(classes(docs, k, similarity))
-    key = _row_key(F.col("doc_id"), F.col("k1"), F.col("k2"))
     # a struct's null field would come first, so that nulls are ordered by a flag of their own
-    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("m")).select(_row_key(F.col("m.doc_id"), F.col("m.k1"), F.col("m.k2")).alias("key"))
-    by = found.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    stays = cut(by.join(best, "key"))
-    kept = _holding(docs, KeyFile(stays.where("n = 1").select("key"), "stays"))
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("m")).select(*row_keys(F.col("m.doc_id"), F.col("m.k1"), F.col("m.k2")))
+    by = found.groupBy(*row_keys(F.col("doc_id"), F.col("k1"), F.col("k2"))).agg(F.count(F.lit(1)).alias("n"))
+    stays = cut(by.join(best, ["key", "check"]))
+    kept = _holding(docs, KeyFile(stays.where("n = 1").select("key", "check"), "stays", paired=True))
     if stays.where("n > 1").limit(1).count() == 0:
         return kept
-    again = _holding(docs, KeyFile(stays.where("n > 1").select("key"), "repeated"))
-    k1, k2 = text_key(F.col("text").cast("string"))
+    again = _holding(docs, KeyFile(stays.where("n > 1").select("key", "check"), "repeated", paired=True))
     hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    one = again.select(_row_key(F.col("doc_id").cast("long"), k1, k2).alias("key"), F.xxhash64(*hashed).alias("h"), F.struct("*").alias("row"))
-    one = one.groupBy("key").agg(F.min_by("row", "h").alias("row"))
+    one = again.select(*row_keys(F.col("doc_id").cast("long"), *text_key(F.col("text").cast("string"))), F.xxhash64(*hashed).alias("h"), F.struct("*").alias("row"))
+    one = one.groupBy("key", "check").agg(F.min_by("row", "h").alias("row"))
     return kept.unionAll(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))

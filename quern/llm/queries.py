@@ -187,11 +187,8 @@ def corpus_trusted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_kept_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What SQL can say of the pipeline's near duplicates: of equal texts at most the smallest doc_id stays."""
-    kept = near_text.keep_one(table(spark, sf_dir, "documents"))
-    docs = table(spark, sf_dir, "documents")
-    least = docs.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.min("doc_id").alias("doc_id"))
-    return least.select("doc_id").unionAll(kept.select("doc_id")).distinct()
+    """What the pipeline's near duplicates keep: the smallest doc_id of each class of texts that are equal or 0.8 alike."""
+    return near_text.keep_one(table(spark, sf_dir, "documents")).select("doc_id")
 
 
 def queries() -> dict:
@@ -291,7 +288,17 @@ k AS (SELECT DISTINCT token, 1 AS known FROM t WHERE doc_id IN (SELECT doc_id FR
 s AS (SELECT rid, count(*) AS n_tokens, count(known) AS n_known FROM t LEFT JOIN k USING (token) GROUP BY rid)
 SELECT doc_id, lang, n_tokens, n_known FROM d JOIN s USING (rid)
 """
-_COPIES = "SELECT min(doc_id) AS doc_id FROM documents GROUP BY coalesce(text, '')"
+#: By brute force: every two texts that share a shingle, and what is reached over those that are alike enough.
+_COPIES = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
+t AS (SELECT t, min(doc_id) AS id, any_value(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' '))) END) AS s FROM d GROUP BY t),
+x AS (SELECT id, len(s) AS n, unnest(s) AS shingle FROM t),
+p AS (SELECT a.id AS a, b.id AS b, any_value(a.n + b.n) AS sizes, count(*) AS shared FROM x a JOIN x b ON a.shingle = b.shingle AND a.id < b.id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE shared >= 0.8::DOUBLE * (sizes - shared) - 1e-9),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT id, id AS seen FROM t UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a)
+SELECT DISTINCT least AS doc_id FROM (SELECT id, min(seen) AS least FROM r GROUP BY id)
+"""
 
 _PHRASES = ", ".join(f"('{label}', {license_scan.tokens(p)})" for label, p in license_scan.PHRASES)
 _TEMPLATES = ", ".join(f"('{label}', {sorted(set(license_scan.tokens(t)))})" for label, t in license_scan.TEMPLATES)

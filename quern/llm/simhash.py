@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import components, cut, spanning, tidy
+from quern.llm.common import chunked, components, cut, spanning, tidy
 
 U1 = np.uint64(1)
 
@@ -165,26 +165,36 @@ def _blocks(budget: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def links(fps: DataFrame, budget: int = 3) -> DataFrame:
-    """(src, dst): enough links between the distinct ``fp`` at most ``budget`` bits apart to span every component."""
+#: Rotated fingerprints that one task joins, about, and those of one head that are joined in one.
+TASK_KEYS = 1_000_000
+
+
+def links(fps: DataFrame, budget: int = 3, task_keys: int = TASK_KEYS) -> DataFrame:
+    """(src, dst): enough links between the distinct ``fp`` at most ``budget`` bits apart to span every component. A head
+    that over ``task_keys`` fingerprints share is cut into chunks, each pair of which is a task's."""
     if not 0 <= budget < 16:
         raise ValueError("the budget is 0 to 15 bits of 64")
     blocks = _blocks(budget)
     rotated = [F.struct(F.lit(i).alias("r"), (F.shiftleft("fp", a).bitwiseOR(F.shiftrightunsigned("fp", 64 - a)) if a else F.col("fp")).alias("key")) for i, (a, _) in enumerate(blocks)]
     # the bits of the first block choose the task; sorted as signed longs, which groups equal first blocks all the same
     head = F.shiftright("key", 64 - min(w for _, w in blocks))
-    dealt = fps.select("fp").distinct().select(F.explode(F.array(*rotated)).alias("x")).select("x.r", "x.key").withColumn("head", head)
-    dealt = dealt.repartition("r", "head").sortWithinPartitions("r", "key").select("r", "key")
+    distinct = fps.select("fp").distinct()
+    n = distinct.count() * len(blocks)
+    dealt = distinct.select(F.explode(F.array(*rotated)).alias("x")).select("x.r", "x.key").withColumn("head", head)
+    dealt = chunked(dealt, ["r", "head"], "key", task_keys) if n > task_keys else dealt.withColumn("chunk", F.lit(0).cast("long"))
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // task_keys))
+    dealt = dealt.repartition(parts, "r", "head", "chunk").sortWithinPartitions("r", "chunk", "key").select("r", "key", "chunk")
     widths = dict(enumerate(blocks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        parts = [tuple(c.to_numpy(zero_copy_only=False) for c in b.columns) for b in batches if b.num_rows]
         if not parts:
             return
-        r, key = (np.concatenate(x) for x in zip(*parts))
-        for i in np.unique(r).tolist():
-            keys = np.sort(key[r == i].view(np.uint64))
-            a, w = widths[i]
+        r, key, chunk = (np.concatenate(x) for x in zip(*parts))
+        cuts = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (chunk[1:] != chunk[:-1]), True]).tolist()
+        for start, end in zip(cuts, cuts[1:]):
+            keys = np.sort(key[start:end].view(np.uint64))
+            a, w = widths[int(r[start])]
             lab = trie_links(keys, budget, w)
             at = np.flatnonzero(lab != np.arange(len(keys)))
             back = (keys << np.uint64(64 - a)) | (keys >> np.uint64(a)) if a else keys

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 
+from quern.llm import mixing
 from quern.llm import near_text as N
 
 
@@ -151,3 +152,16 @@ def test_stored_sets_come_back(tmp_path):
                 assert ok == (len(a & b) >= similarity * len(a | b)) or min(len(a), len(b)) == 1
     one = [np.array([5 << 50], np.uint64), np.array([(5 << 50) + 1], np.uint64)]
     assert N.reach(one, np.array([0, 0]), np.array([0, 1]), 0.8).tolist() == [True, False]
+
+
+def test_rows_of_one_64_bit_key_are_told_apart(spark, monkeypatch):
+    """With a first half that is the same for all rows, the second alone names them."""
+    rows = [(i, f"text {i} of many words that are not alike {i * 7} {i * 13} {i * 17}", str(i % 3)) for i in range(60)] + [(7, "text 7 again", "x"), (7, "text 7 again", "x"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    from pyspark.sql import functions as F
+
+    want = sorted(map(str, N.keep_one(docs).collect()))
+    places = [r.doc_id for r in mixing.reorder(docs).collect()]
+    monkeypatch.setattr(N, "half", lambda seed, *c, real=N.half: F.lit(5).cast("long") if seed == 1 else real(seed, *c))
+    assert sorted(map(str, N.keep_one(docs).collect())) == want and len(want) == 62
+    assert [r.doc_id for r in mixing.reorder(docs).collect()] == places

@@ -122,3 +122,24 @@ def test_components_by_rounds_equal_one_task(spark):
     one, many = ({r.node: r.component for r in components(df, task_links=n).collect()} for n in (10**6, 10))
     assert one == many and one[1040] == 1000
     assert components(df.limit(0)).collect() == []
+
+
+def test_a_hot_head_is_cut_without_losing_a_link(spark):
+    """Fingerprints of one head, in chunks: the components are those of one task."""
+    from quern.llm.common import components
+
+    rng = np.random.default_rng(4)
+    base = (np.uint64(0xABCD) << np.uint64(48)) | rng.integers(0, 1 << 48, 60_000, dtype=np.uint64)
+    near = base[:20_000] ^ (np.uint64(1) << rng.integers(0, 48, 20_000, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 48, 20_000, dtype=np.uint64))
+    keys = np.unique(np.r_[base, near, near[:5000] ^ np.uint64(7)])
+    fps = spark.createDataFrame([(int(x),) for x in keys.view(np.int64)], "fp long")
+
+    def classes(task_keys):
+        found = components(simhash.links(fps, 3, task_keys)).collect()
+        by = {}
+        for r in found:
+            by.setdefault(r.component, set()).add(r.node)
+        return sorted(map(sorted, by.values()))
+
+    whole = classes(10**9)
+    assert len(whole) > 10_000 and classes(10_000) == whole == classes(33_333)
