@@ -8,9 +8,11 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from quern.operators import audit, compare, stats, timeline
-from quern.plans import contracts, publication
+from quern.plans import contracts, publication, refresh
 from quern.plans.models import barcode_span, sized
 from quern.plans.registry import query
+from quern.sources.shared import scratch
+from quern.streaming import spells as stream
 
 K = ["gtin", "vendor"]
 OBS = "obs AS (SELECT user_id AS gtin, event_type AS vendor, CAST(ts AS DATE) AS d, min(floor(value / 20) + 1) AS px, max(CASE WHEN value < 10 THEN 1 ELSE 0 END) AS on_sale FROM events GROUP BY 1, 2, 3)"
@@ -319,6 +321,24 @@ def spells(spark, sf_dir):
     return timeline.spells(panel(spark, sf_dir), K)
 
 
+@query("an32_spells_streamed", f"{_SPELLS} SELECT *, to_date - from_date + 1 AS calendar_days FROM sp")
+def streamed_spells(spark, sf_dir):
+    """The same by a stream: the events as they are, in files whose rows are in no order, and one far later row, which
+    closes what is open. It is not among the result."""
+    folder, kinds = scratch(spark, "stream"), "gtin long, vendor string, d date, px double, on_sale int"
+    rows = _t(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("gtin"), F.col("event_type").alias("vendor"), F.col("ts").cast("date").alias("d"), (F.floor(F.col("value") / 20) + 1).cast("double").alias("px"), (F.col("value") < 10).cast("int").alias("on_sale"))
+    rows.repartition(3, F.xxhash64("gtin", "d", "px")).write.parquet(f"{folder}/in/0")
+    spark.sql("SELECT -1L AS gtin, 'end' AS vendor, DATE '2100-01-01' AS d, 1D AS px, 0 AS on_sale").write.parquet(f"{folder}/in/1")
+    old = spark.conf.get(stream.PROVIDER[0], None)
+    stream.with_state(spark)
+    try:
+        read = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        stream.write(stream.spells(read, K, "3650 days"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.unset(stream.PROVIDER[0]) if old is None else spark.conf.set(stream.PROVIDER[0], old)
+    return spark.read.parquet(f"{folder}/out").where("gtin >= 0").select(*K, "from_date", "to_date", "px", "observed_days", "on_sale", "calendar_days")
+
+
 @query("an32_spell_lengths", f"{_SPELLS} SELECT vendor, on_sale, count(*) AS spells, median(observed_days) AS median_observed, median(to_date - from_date + 1) AS median_calendar FROM sp GROUP BY 1, 2")
 def spell_lengths(spark, sf_dir):
     return spells(spark, sf_dir).groupBy("vendor", "on_sale").agg(N().alias("spells"), F.median("observed_days").alias("median_observed"), F.median("calendar_days").alias("median_calendar"))
@@ -387,6 +407,25 @@ def fingerprint_diff(spark, sf_dir):
     return audit.fingerprint_diff(audit.fingerprints(a, ["d"], ["k", "c"]), audit.fingerprints(b, ["d"], ["k", "c"]), ["d"])
 
 
+_MOVES = "e AS (SELECT user_id AS gtin, event_type AS vendor, CAST(ts AS DATE) AS d, floor(value / 20) + 1 + CASE WHEN day(CAST(ts AS DATE)) % 10 = 3 THEN 1 ELSE 0 END AS px FROM events WHERE day(CAST(ts AS DATE)) <> 7)"
+
+
+@query("io20_incremental_build", f"""WITH {_MOVES}, t AS (SELECT d, count(*) AS series, sum(px) AS px FROM (SELECT gtin, vendor, d, min(px) AS px FROM e GROUP BY 1, 2, 3) GROUP BY 1)
+    SELECT coalesce(t.d, a.d) AS d, series, px, CASE WHEN t.d IS NULL THEN 'only first' WHEN day(t.d) = 20 THEN 'only second' WHEN day(t.d) % 10 = 3 THEN 'content changed' ELSE 'identical' END AS verdict
+    FROM t FULL JOIN (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events) a ON a.d = t.d""")
+def incremental_build(spark, sf_dir):
+    """The panel built of the events without one day of the month, and brought up to the events as they then are: three days
+    of a month at other prices, one gone, one come. What it is by day, and which days moved."""
+    path, day = scratch(spark, "incremental"), F.dayofmonth("d")
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("gtin"), F.col("event_type").alias("vendor"), F.col("ts").cast("date").alias("d"), (F.floor(F.col("value") / 20) + 1).cast("double").alias("price"), (F.col("value") < 10).alias("sale"))
+    build = lambda rows: timeline.daily(rows, K, "d", "price", "sale")
+    refresh.rebuild(e.where(day != 20), path, "d", build, columns=["gtin", "vendor", "d", "price", "sale"])
+    later = e.where(day != 7).withColumn("price", F.col("price") + F.when(day % 10 == 3, 1).otherwise(0))
+    moved = refresh.rebuild(later, path, "d", build, columns=["gtin", "vendor", "d", "price", "sale"]).select("d", "verdict")
+    by = refresh.table(spark, path).groupBy("d").agg(N().alias("series"), F.sum("px").alias("px"))
+    return by.join(moved, "d", "full").select("d", "series", "px", F.coalesce("verdict", F.lit("identical")).alias("verdict"))
+
+
 @query("an39_multiset_diff", f"WITH {_SNAPS}, u AS (SELECT d, p, count(*) AS n, 1 AS s FROM s1 GROUP BY 1, 2 UNION ALL SELECT d, p, count(*), 2 FROM s2 GROUP BY 1, 2), x AS (SELECT d, p, CAST(coalesce(sum(n) FILTER (WHERE s = 2), 0) - coalesce(sum(n) FILTER (WHERE s = 1), 0) AS BIGINT) AS delta FROM u GROUP BY 1, 2) SELECT d, p, greatest(delta, 0) AS gained, greatest(-delta, 0) AS lost FROM x WHERE delta <> 0")
 def multiset_diff(spark, sf_dir):
     a, b = snapshots(spark, sf_dir)
