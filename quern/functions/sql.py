@@ -1,4 +1,5 @@
-"""The scalar functions as temporary SQL functions, so that saved SQL can call them by name.
+"""The functions for SQL, so that saved SQL can call them by name: temporary ones of a session, or permanent ones of a
+catalogue's database, which every session of the catalogue has; scalar functions, and some that return tables.
 
 Each is made of its Column expression: the analysed expression's own SQL becomes the body, which Spark inlines again. A
 function of staged parts calls the functions of those parts.
@@ -7,6 +8,7 @@ function of staged parts calls the functions of those parts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -64,50 +66,69 @@ def _direct() -> Iterator[tuple[str, str, Column]]:
     yield "name_size", "x string", X.size_in_name(x)
 
 
-def _made(spark: SparkSession, name: str, params: str, e: Column) -> list[str]:
+@dataclass(frozen=True)
+class Home:
+    """Where functions live: a database of the catalogue, or the session (none)."""
+
+    spark: SparkSession
+    database: str | None = None
+
+    def name(self, function: str) -> str:
+        return f"`{self.database}`.{function}" if self.database else function
+
+    def create(self, function: str, params: str, returns: str, body: str) -> None:
+        self.spark.sql(f"create or replace {'' if self.database else 'temporary '}function {self.name(function)}({params}) returns {returns} return {body}")
+
+
+def _made(home: Home, name: str, params: str, e: Column) -> list[str]:
     """Creates a function of those of the parameters that its expression refers to; returns their names, in order."""
     kinds = dict(p.split() for p in params.split(", "))
     holders = ", ".join(f"cast(null as {t}) as {p}" for p, t in kinds.items())
-    bound = spark.sql(f"select {holders}").select(e.alias("o"))._jdf.queryExecution().analyzed().expressions().head().child()
+    bound = home.spark.sql(f"select {holders}").select(e.alias("o"))._jdf.queryExecution().analyzed().expressions().head().child()
     refs = bound.references().toSeq()
     used = {refs.apply(i).name() for i in range(refs.size())}
     kept = [p for p in kinds if p in used]
-    spark.sql(f"create or replace temporary function {name}({', '.join(f'{p} {kinds[p]}' for p in kept)}) returns {bound.dataType().sql()} return {bound.sql()}")
+    home.create(name, ", ".join(f"{p} {kinds[p]}" for p in kept), bound.dataType().sql(), bound.sql())
     return kept
 
 
-def _staged(spark: SparkSession, prefix: str, kinds: dict[str, str], layers: list[dict[str, Column]]) -> dict[str, str]:
+def _staged(home: Home, prefix: str, kinds: dict[str, str], layers: list[dict[str, Column]]) -> dict[str, str]:
     """Functions prefix_part(x) of the parts; returns what each part's call is. A part calls only the parts it needs."""
     calls = {"x": "x"}
     for layer in layers:
         known = dict(calls)
         for part, e in layer.items():
-            need = _made(spark, f"{prefix}_{part}_of", ", ".join(f"{k} {kinds.get(k, 'string')}" for k in known), e)
-            spark.sql(f"create or replace temporary function {prefix}_{part}(x string) returns {kinds[part]} return {prefix}_{part}_of({', '.join(known[k] for k in need)})")
-            calls[part] = f"{prefix}_{part}(x)"
+            need = _made(home, f"{prefix}_{part}_of", ", ".join(f"{k} {kinds.get(k, 'string')}" for k in known), e)
+            home.create(f"{prefix}_{part}", "x string", kinds[part], f"{home.name(f'{prefix}_{part}_of')}({', '.join(known[k] for k in need)})")
+            calls[part] = f"{home.name(f'{prefix}_{part}')}(x)"
     return calls
 
 
-def register(spark: SparkSession) -> list[str]:
-    """Creates the functions in the session; returns their names. They live as long as the session does."""
-    names = []
+def register(spark: SparkSession, database: str | None = None) -> list[str]:
+    """Creates the functions and returns their names: in the session, as long as it lives, or in a database of the
+    catalogue, which is made where it is missing and outlives the session (and, with a lasting catalogue, the application).
+    Those of a database are called by database.name; those that return tables, which Spark doesn't let a database's name
+    precede, by their name in a session that USEs the database."""
+    home, names = Home(spark, database), []
+    if database:
+        spark.sql(f"create database if not exists `{database}`")
 
     def wrap(name: str, params: str, kind: str, body: str) -> None:
-        spark.sql(f"create or replace temporary function {name}({params}) returns {kind} return {body}")
+        home.create(name, params, kind, body)
         names.append(name)
 
     for name, params, e in _direct():
-        _made(spark, name, params, e)
+        _made(home, name, params, e)
         names.append(name)
     col = F.col
 
     def over(name: str, kind: str, e: Column, calls: dict[str, str], kinds: dict[str, str], vendor: bool = False) -> None:
         """name(x) or name(vendor, x): an expression of staged parts over their calls."""
         own = {"vendor": "vendor"} if vendor else {}
-        need = _made(spark, f"{name}_of", ", ".join(f"{k} {kinds.get(k, 'string')}" for k in [*own, *calls]), e)
-        wrap(name, "vendor string, x string" if vendor else "x string", kind, f"{name}_of({', '.join((own | calls)[k] for k in need)})")
+        need = _made(home, f"{name}_of", ", ".join(f"{k} {kinds.get(k, 'string')}" for k in [*own, *calls]), e)
+        wrap(name, "vendor string, x string" if vendor else "x string", kind, f"{home.name(f'{name}_of')}({', '.join((own | calls)[k] for k in need)})")
 
-    calls = _staged(spark, "p_part", _PRICE, P.stages(F.col("x"), col))
+    calls = _staged(home, "p_part", _PRICE, P.stages(F.col("x"), col))
     public = {"offer_type": "p_offer_type", "unit_price": "p_unit_price", "min_qty": "p_min_qty", "price_basis": "p_price_basis", "price_basis_stated": "p_basis_stated", "normalization": "p_normalization", "parse_confidence": "p_confidence"}
     doubles = {"unit_price": "double", "min_qty": "double"}
     for field, e in P.fields(col).items():
@@ -127,15 +148,26 @@ def register(spark: SparkSession) -> list[str]:
     wrap("p_den_grams", "x string", "double", f"case when {calls['basis']} = 'per_100g' then try_divide(100.0D, {calls['scale']}) end")
     wrap("p_den_ml", "x string", "double", f"case when {calls['basis']} = 'per_100ml' then try_divide(100.0D, {calls['scale']}) end")
 
-    calls = _staged(spark, "u_part", _UNIT, U.stages(F.col("x"), col))
+    calls = _staged(home, "u_part", _UNIT, U.stages(F.col("x"), col))
     public = {"unit_qty": ("u_qty", "double"), "unit_uom": ("u_uom", "string"), "pack_count": ("u_pack_count", "double"), "total_qty": ("u_total_qty", "double"), "unit_parse_confidence": ("u_confidence", "string")}
     for field, e in U.fields(col).items():
         over(*public[field], e, calls, _UNIT)
     for name, part in (("u_core", "core"), ("u_qty_lit", "amount"), ("u_tok_raw", "token"), ("u_perpack_n", "held"), ("u_pack_lead", "lead"), ("u_pack_trail", "trail"), ("u_uom_token", "kind"), ("u_count_n", "number"), ("u_factor", "factor")):
         wrap(name, "x string", _UNIT[part], calls[part])
+    for name, params, columns in _TABLES:
+        kinds = ", ".join(f"{c} {kind}" for c, kind, _ in columns)
+        wrap(name, params, f"table({kinds})", f"select {', '.join(home.name(e) if e.endswith('(x)') else e for *_, e in columns)}")
     return names
 
 
+#: Functions that return tables: (name, parameters, (column, kind, expression) ...).
+_TABLES = [
+    ("price_fields", "x string", [("offer_type", "string", "p_offer_type(x)"), ("unit_price", "double", "p_unit_price(x)"), ("min_qty", "double", "p_min_qty(x)"), ("price_basis", "string", "p_price_basis(x)"), ("normalization", "string", "p_normalization(x)"), ("parse_confidence", "string", "p_confidence(x)")]),
+    ("unit_fields", "x string", [("unit_qty", "double", "u_qty(x)"), ("unit_uom", "string", "u_uom(x)"), ("pack_count", "double", "u_pack_count(x)"), ("total_qty", "double", "u_total_qty(x)"), ("unit_parse_confidence", "string", "u_confidence(x)")]),
+    ("calendar_days", "first date, last date", [("d", "date", "explode(sequence(first, last))")]),
+]
+
+
 def set_variable(spark: SparkSession, name: str, value: str) -> None:
     """A session variable, which SQL reads by its name."""
     spark.sql(f"declare or replace variable {name} string")

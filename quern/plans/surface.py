@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from quern.functions import catalogue as C
 from quern.functions import text as X
 from quern.functions.prices import parse_prices
-from quern.functions.sql import set_variable
+from quern.functions.sql import register, set_variable
 from quern.functions.units import folded_class, folded_quantity
 from quern.plans import contracts, lint
 from quern.plans.models import int_upc_match, stg_price, stg_product
@@ -442,6 +442,25 @@ def layering_by_lineage(spark, sf_dir):
     return readers.inline(spark, [(m, c) for m, c, _ in lint.layering(models, ["stg_price"])], "model string, leak_column string")
 
 
+@query("sf_functions_of_a_database", """SELECT p_partkey, lower(trim(p_name)) AS name, CAST(p_size AS DOUBLE) AS stated, upper(p_brand) AS brand, lpad(CAST(p_partkey + 100000000000 AS VARCHAR), 14, '0') AS gtin FROM part WHERE p_size > 1""")
+def functions_of_a_database(spark, sf_dir):
+    """Functions kept in a database, called by a session that didn't make them."""
+    register(spark, "quern_functions")
+    other = spark.newSession()
+    other.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("listed")
+    return other.sql("""SELECT p_partkey, quern_functions.norm(p_name) AS name, quern_functions.ppu_amt(concat('$', p_size, '.00/100g')) AS stated, quern_functions.b_norm(p_brand) AS brand,
+        quern_functions.gtin14(cast(p_partkey + 100000000000 AS string)) AS gtin FROM listed WHERE p_size > 1""")
+
+
+@query("sf_calendar_function", "SELECT event_type, CAST(unnest(generate_series(f, t, INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT event_type, min(CAST(ts AS DATE)) AS f, max(CAST(ts AS DATE)) AS t FROM events GROUP BY 1)")
+def calendar_function(spark, sf_dir):
+    register(spark, "quern_functions")
+    other = spark.newSession()
+    other.sql("USE quern_functions")
+    other.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("happened")
+    return other.sql("SELECT event_type, c.d FROM (SELECT event_type, min(cast(ts AS date)) AS f, max(cast(ts AS date)) AS t FROM happened GROUP BY event_type), LATERAL calendar_days(f, t) c")
+
+
 @query(
     "sc_types",
     "SELECT p_partkey, TRY_CAST(p_name AS BIGINT) IS NULL AS no_number, CAST(p_size AS VARCHAR) AS size_text, CAST(CAST(p_size AS VARCHAR) AS BIGINT) AS size_number, CAST(p_size % 2 AS BOOLEAN) AS odd, CAST(p_size AS DOUBLE) / 4 AS quarter, CAST('2024-02-' || lpad(CAST(1 + p_size % 29 AS VARCHAR), 2, '0') AS DATE) AS d FROM part",

@@ -50,3 +50,20 @@ def test_single_functions(spark, names):
 def test_session_variable(spark):
     sql.set_variable(spark, "extract_path", "it's here")
     assert spark.sql("select extract_path").first()[0] == "it's here"
+
+
+def test_functions_of_a_database_are_every_sessions(spark):
+    made = sql.register(spark, "quern_test")
+    other = spark.newSession()
+    assert {"p_unit_price", "u_qty", "price_fields", "calendar_days"} <= set(made)
+    r = other.sql("select quern_test.p_unit_price('2/$7.00') as u, quern_test.u_total_qty('2 x 500 mL') as t, quern_test.b_class_coarse('Voila', 'x') as b").first()
+    assert tuple(r) == (3.5, 1000.0, "unclassifiable")
+    other.sql("use quern_test")
+    fields = "offer_type, unit_price, min_qty, price_basis, normalization, parse_confidence"
+    other.createDataFrame([(p[0],) for p in PRICES], "x string").createOrReplaceTempView("cases")
+    by_table = other.sql(f"select x, f.* from cases, lateral price_fields(x) f")
+    by_call = other.sql("select x, quern_test.p_offer_type(x), quern_test.p_unit_price(x), quern_test.p_min_qty(x), quern_test.p_price_basis(x), quern_test.p_normalization(x), quern_test.p_confidence(x) from cases")
+    assert by_table.columns[1:] == fields.split(", ") and by_table.exceptAll(by_call).count() == 0 and by_table.count() == len(PRICES)
+    assert [str(r.d) for r in other.sql("select * from calendar_days(date '2024-02-28', date '2024-03-01')").collect()] == ["2024-02-28", "2024-02-29", "2024-03-01"]
+    other.sql("use default")
+    other.sql("drop database quern_test cascade")
