@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import shape
-from quern.operators.stats import share_pct
+from quern.operators.stats import PAIR_ROWS, pairs, quantiles, same, share_pct
+from quern.sources.shared import cut
 
 
 def _n(c: Column) -> Column:
@@ -47,9 +48,10 @@ def movement(days: DataFrame, keys: Sequence[str], group: Sequence[str], price:
 def agreement(rows: DataFrame, stated: Column, derived: Column, group: Sequence[str]) -> DataFrame:
     """(group, n, off_1_pct, off_10_pct, median_off_pct): a stated unit price against the derived one."""
     off = F.lit(100.0) * F.abs(stated - derived) / F.nullif(F.abs(derived), F.lit(0.0))
-    r = rows.withColumn("__off", off).where("__off is not null")
+    r = cut(rows.select(*group, off.alias("__off")).where("__off is not null"))
     share = lambda least: F.lit(100.0) * _n(F.col("__off") > least) / F.count(F.lit(1))
-    return r.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), share(1.0).alias("off_1_pct"), share(10.0).alias("off_10_pct"), F.median("__off").alias("median_off_pct"))
+    found = r.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), share(1.0).alias("off_1_pct"), share(10.0).alias("off_10_pct"))
+    return same(found, quantiles(r, group, {"median_off_pct": ("__off", 0.5)}), group)
 
 
 def implied_packs(rows: DataFrame, implied: Column, parsed: Column) -> DataFrame:
@@ -176,14 +178,13 @@ def frozen_coverage(days: DataFrame, keys: Sequence[str], windows: Sequence[tupl
     return each.groupBy("window").agg(F.count(F.lit(1)).alias("series"), _n(covered).alias("covered"), _n(F.col("__n") == F.col("__len")).alias("gapless"), _n(covered & (F.col("__s") <= 0.005)).alias("flat"))
 
 
-def relisted_sizes(products: DataFrame, group: Sequence[str], size: str, first: str, last: str) -> DataFrame:
+def relisted_sizes(products: DataFrame, group: Sequence[str], size: str, first: str, last: str, block_rows: int = PAIR_ROWS) -> DataFrame:
     """(group, size_a, size_b, concurrent): one name listed in two sizes, a's window beginning first, and whether the
-    windows overlap; a shrinking pack is sequential. Pairs are per name, whose sizes are few."""
-    each = products.where(F.col(size).isNotNull()).groupBy(*group, size).agg(F.min(first).alias("f"), F.max(last).alias("l"))
-    a = each.select(*group, F.col(size).alias("size_a"), F.col("f").alias("fa"), F.col("l").alias("la"))
-    b = each.select(*group, F.col(size).alias("size_b"), F.col("f").alias("fb"), F.col("l").alias("lb"))
-    ordered = (F.col("fa") < F.col("fb")) | ((F.col("fa") == F.col("fb")) & (F.col("size_a") < F.col("size_b")))
-    return a.join(b, list(group)).where(ordered).withColumn("concurrent", F.col("la") >= F.col("fb")).select(*group, "size_a", "size_b", "concurrent")
+    windows overlap; a shrinking pack is sequential. Pairs are per name, whose sizes are few; a name of many sizes is
+    paired by blocks (see ``stats.pairs``)."""
+    each = products.where(F.col(size).isNotNull()).groupBy(*group, F.col(size).alias("size")).agg(F.min(first).alias("f"), F.max(last).alias("l"))
+    ordered = (F.col("f_a") < F.col("f_b")) | ((F.col("f_a") == F.col("f_b")) & (F.col("size_a") < F.col("size_b")))
+    return pairs(each, group, ["size", "f", "l"], block_rows).where(ordered).withColumn("concurrent", F.col("l_a") >= F.col("f_b")).select(*group, "size_a", "size_b", "concurrent")
 
 
 def gap_moves(steps: DataFrame, group: Sequence[str], long_gap: int = 30, moves: Sequence[int] = (50, 200)) -> DataFrame:

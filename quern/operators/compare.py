@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.config import CO_OBSERVED_DAYS, LEAST_CATEGORY, LEAST_GTIN, LEAST_PAIR_DAY, TIE_BAND
-from quern.operators.stats import geometric_mean, share_pct, tertiles
+from quern.operators.stats import geometric_mean, quantiles, same, share_pct, tertiles
+from quern.sources.shared import cut
 
 
 def co_observed(days: DataFrame, key: str = "gtin", vendor: str = "vendor", vendors: int = 2) -> DataFrame:
@@ -35,11 +36,16 @@ def pairs(days: DataFrame, key: str = "gtin", vendor: str = "vendor", basis: str
 def pair_summary(p: DataFrame, group: Sequence[str] = ("a", "b"), band: tuple[float, float] = TIE_BAND) -> DataFrame:
     """(group, n, median_ratio, geo_ratio, cheaper_pct, tie_pct, dearer_pct) over product-days."""
     pct = lambda c: F.lit(100.0) * F.sum(c.cast("long")) / F.count(F.lit(1))
-    r = F.col("ratio")
-    return p.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), F.median("ratio").alias("median_ratio"), geometric_mean(r).alias("geo_ratio"),
-        pct(r < band[0]).alias("cheaper_pct"), pct(r.between(*band)).alias("tie_pct"), pct(r > band[1]).alias("dearer_pct"),
+    r, p = F.col("ratio"), cut(p.select(*group, "ratio"))
+    found = p.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"), geometric_mean(r).alias("geo_ratio"), pct(r < band[0]).alias("cheaper_pct"), pct(r.between(*band)).alias("tie_pct"), pct(r > band[1]).alias("dearer_pct"),
     )
+    return _with_median(found, p, group).select(*group, "n", "median_ratio", "geo_ratio", "cheaper_pct", "tie_pct", "dearer_pct")
+
+
+def _with_median(found: DataFrame, p: DataFrame, group: Sequence[str], out: str = "median_ratio") -> DataFrame:
+    """Adds the exact median ratio of each group, of which a few may hold all rows."""
+    return same(found, quantiles(p, group, {out: ("ratio", 0.5)}), group)
 
 
 def daily_medians(p: DataFrame, least: int = LEAST_PAIR_DAY) -> DataFrame:
@@ -50,8 +56,10 @@ def daily_medians(p: DataFrame, least: int = LEAST_PAIR_DAY) -> DataFrame:
 
 def category_flips(p: DataFrame, category: str, least: int = LEAST_CATEGORY) -> DataFrame:
     """(a, b, category, n, median_ratio, flips): categories in which the dearer vendor isn't the pair's dearer one."""
-    whole = p.groupBy("a", "b").agg(F.median("ratio").alias("__all"))
-    each = p.groupBy("a", "b", category).agg(F.count(F.lit(1)).alias("n"), F.median("ratio").alias("median_ratio")).where(F.col("n") >= least)
+    p = cut(p.select("a", "b", category, "ratio"))
+    whole = quantiles(p, ["a", "b"], {"__all": ("ratio", 0.5)})
+    each = p.groupBy("a", "b", category).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    each = _with_median(each, p, ["a", "b", category])
     return each.join(whole, ["a", "b"]).withColumn("flips", (F.col("median_ratio") - 1) * (F.col("__all") - 1) < 0).drop("__all")
 
 
@@ -66,7 +74,8 @@ def consistency(p: DataFrame, key: str = "gtin", least: int = LEAST_GTIN) -> Dat
 def tertile_ratios(p: DataFrame, key: str = "gtin") -> DataFrame:
     """(tertile, a, b, n, median_ratio): products parted by their number of comparisons (fewest first, ties by key)."""
     size = tertiles(p.groupBy(key).agg(F.count(F.lit(1)).alias("__n")), ["__n", key])
-    return p.join(size, key).groupBy(F.col("tertile").cast("long").alias("tertile"), "a", "b").agg(F.count(F.lit(1)).alias("n"), F.median("ratio").alias("median_ratio"))
+    rows = cut(p.join(size, key).select(F.col("tertile").cast("long").alias("tertile"), "a", "b", "ratio"))
+    return _with_median(rows.groupBy("tertile", "a", "b").agg(F.count(F.lit(1)).alias("n")), rows, ["tertile", "a", "b"])
 
 
 def transitivity(days: DataFrame, vendors: Sequence[str], key: str = "gtin", vendor: str = "vendor") -> DataFrame:

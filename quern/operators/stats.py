@@ -195,6 +195,30 @@ def tertiles(df: DataFrame, order: Sequence[str], out: str = "tertile") -> DataF
     return ranked.withColumn(out, third.cast("int")).drop("__rank")
 
 
+#: Rows of one group that a task pairs with each other, and each side of a pair of blocks, about.
+PAIR_ROWS = 2_000
+
+
+def pairs(df: DataFrame, group: Sequence[str], columns: Sequence[str], block_rows: int = PAIR_ROWS) -> DataFrame:
+    """(group, <column>_a ..., <column>_b ...): every two rows of a group, both ways round, and each with itself; whoever
+    takes them keeps one way round. There are as many as the group's square, which is the operator's result; but no task
+    makes more than those of two blocks: a group of over ``block_rows`` rows is cut into blocks by a hash of the columns, and
+    each pair of blocks is joined by itself. Rows of a null group pair with none; equal rows are of one block."""
+    rows = cut(df.select(*group, *columns))
+    hot = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block_rows)
+    hot = cut(hot.select(*group, F.ceil(F.col("__n") / block_rows).cast("long").alias("__blocks")))
+    side = lambda x, s, more=(): x.select(*group, *more, *[F.col(c).alias(f"{c}_{s}") for c in columns])
+    if hot.isEmpty():
+        return side(rows, "a").join(side(rows, "b"), list(group))
+    blocks = F.coalesce("__blocks", F.lit(1).cast("long"))
+    dealt = rows.join(sized(hot), list(group), "left").withColumn("__own", F.pmod(F.xxhash64(*columns), blocks))
+    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.withColumns({"__lo": F.least("__own", "__other"), "__hi": F.greatest("__own", "__other")}).drop("__other")
+    a, b = side(dealt, "a", ("__lo", "__hi", F.col("__own").alias("__i"))), side(dealt, "b", ("__lo", "__hi", F.col("__own").alias("__j")))
+    # a block's own pairs are those of the block with itself
+    return a.join(b, [*group, "__lo", "__hi"]).where("__i <> __j or __lo = __hi").drop("__lo", "__hi", "__i", "__j")
+
+
 def sample_share(df: DataFrame, key: str, one_in: int) -> DataFrame:
     """A repeatable sample: the rows whose key's hash falls into one of so many classes."""
     return df.where(F.pmod(F.xxhash64(key), F.lit(one_in)) == 0)

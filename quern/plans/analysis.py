@@ -627,6 +627,23 @@ def search(spark, sf_dir):
     return publication.search(p, "IN").select("gtin14", "name")
 
 
+_TEXTS = ("i", "in", "ing", "ring", "l rin", "ll ring", "small r", "all ring", "mall ring", "small ring", "ALL RING", "absent text", "dget")
+
+
+@query("an48_search_by_index", " UNION ALL ".join(f"SELECT '{t}' AS wanted, * FROM (SELECT row_number() OVER (ORDER BY instr(lower(p_name), '{t.lower()}'), p_size DESC, p_name, p_partkey) AS nr, p_partkey AS gtin14, p_name AS name FROM part WHERE contains(lower(p_name), '{t.lower()}')) WHERE nr <= 25" for t in _TEXTS))
+def search_by_index(spark, sf_dir):
+    """Texts of 1 to 11 characters, looked up in an index of all names."""
+    path = scratch(spark, "index")
+    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("gtin14"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("brand"), F.lit(None).cast("string").alias("size"), F.struct(F.col("p_size").alias("n_compared")).alias("comparison"))
+    publication.index(p, path)
+    out = None
+    for t in _TEXTS:
+        rows = [(t, i, r.gtin14, r.name) for i, r in enumerate(publication.search_index(spark, path, t).select("gtin14", "name").collect(), 1)]  # 25 at most
+        found = spark.createDataFrame(rows, "wanted string, nr long, gtin14 long, name string")
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
 @query("an49_ageing", f"{_OFFERS} SELECT gtin, vendor, DATE '2024-02-04' - observed_date AS days_behind, comparable AND DATE '2024-02-04' - observed_date <= 7 AS comparable FROM ff")
 def ageing(spark, sf_dir):
     return publication.aged(offers(spark, sf_dir), date(2024, 2, 4)).select("gtin", "vendor", "days_behind", "comparable")

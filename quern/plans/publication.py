@@ -7,14 +7,14 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern import config
 from quern.functions.catalogue import CHAIN_LABELS, PROMOTION, chain_label, shown_brand
 from quern.functions.units import display_size
 from quern.operators import timeline
-from quern.operators.stats import ordered_list
+from quern.operators.stats import global_rank, ordered_list
 from quern.plans.contracts import breaks
 from quern.plans.models import sized
 from quern.sources.sinks import canonical
@@ -148,6 +148,48 @@ def search(products: DataFrame, text: str, most: int = 25) -> DataFrame:
     return products.withColumn("__at", at).where("__at > 0").orderBy("__at", F.col("comparison.n_compared").desc(), "name", "gtin14").limit(most).drop("__at")  # total: ordered to the barcode
 
 
+def index(products: DataFrame, path: str) -> None:
+    """Writes what ``search_index`` reads: for each place of a product's text its three characters there (fewer at the end),
+    sorted by these, with what ranks the product; and the products, sorted by barcode."""
+    hay = F.lower(F.concat_ws(" ", "name", "brand", "size"))
+    ranked = global_rank(products.withColumn("__hay", hay), ["name", "gtin14"], "name_rank")
+    places = F.transform(F.sequence(F.lit(1), F.length("__hay")), lambda p: F.struct(F.substr("__hay", p, F.lit(GRAM)).alias("gram"), p.alias("place")))
+    postings = ranked.where(F.length("__hay") > 0).select("gtin14", F.col("comparison.n_compared").alias("n_compared"), "name_rank", F.explode(places).alias("x"))
+    postings.select("x.gram", "x.place", "gtin14", "n_compared", "name_rank").repartitionByRange("gram", "gtin14").sortWithinPartitions("gram", "gtin14").write.mode("overwrite").parquet(f"{path}/postings")  # total: the writer mode, not a statistic
+    products.repartitionByRange("gtin14").sortWithinPartitions("gtin14").write.mode("overwrite").parquet(f"{path}/products")  # total: the writer mode, not a statistic
+
+
+#: Characters of an index entry.
+GRAM = 3
+
+
+def search_index(spark: SparkSession, path: str, text: str, most: int = 25) -> DataFrame:
+    """What ``search`` finds, by the index: only postings of the text's own trigrams are read (of a text of one or two
+    characters, of those that begin with it), which the files' statistics tell, and are intersected by place; only the
+    products found are looked up, by the barcodes of at most ``most`` of them. An empty text finds what it finds there."""
+    text = text.lower()
+    postings = spark.read.parquet(f"{path}/postings")
+    if len(text) < GRAM:
+        hits = postings.where(F.col("gram").startswith(text)).select("gtin14", "n_compared", "name_rank", F.col("place").alias("at"))
+    else:
+        grams: dict[str, list[int]] = {}
+        for i in range(len(text) - GRAM + 1):
+            grams.setdefault(text[i : i + GRAM], []).append(i)
+        n = len(text) - GRAM + 1
+        offsets = F.create_map(*[x for g, places in grams.items() for x in (F.lit(g), F.array(*map(F.lit, places)))])
+        some = postings.where(F.col("gram").isin(list(grams))).select("gtin14", "n_compared", "name_rank", "place", F.explode(offsets[F.col("gram")]).alias("offset"))
+        starts = some.groupBy("gtin14", (F.col("place") - F.col("offset")).alias("at")).agg(F.count(F.lit(1)).alias("n"), F.max("n_compared").alias("n_compared"), F.max("name_rank").alias("name_rank"))
+        hits = starts.where(F.col("n") == n)
+    first = hits.groupBy("gtin14").agg(F.min("at").alias("at"), F.max("n_compared").alias("n_compared"), F.max("name_rank").alias("name_rank"))
+    order = [F.col("at"), F.col("n_compared").desc(), F.col("name_rank")]
+    top = [(r.gtin14, i) for i, r in enumerate(first.orderBy(*order).limit(most).collect())]  # total: name_rank is one product's
+    found = spark.read.parquet(f"{path}/products")
+    if not top:
+        return found.limit(0)  # total: no row is taken
+    place = F.create_map(*[F.lit(x) for pair in top for x in pair])
+    return found.where(F.col("gtin14").isin([g for g, _ in top])).withColumn("__at", place[F.col("gtin14")]).orderBy("__at").drop("__at")
+
+
 def aged(offers: DataFrame, today: date, recent: int = config.RECENT_DAYS) -> DataFrame:
     """Offers as seen on a later day: those that have become too old are no longer comparable; none becomes so."""
     age = F.datediff(F.lit(today), "observed_date")

@@ -68,3 +68,17 @@ def test_no_task_sorts_more_values_than_allowed(spark, kind):
         assert lo <= values[r.k] <= hi and r.below == sum(v < lo for v in values) and r.at_lo == sum(v == lo for v in values) and r.inside == sum(lo < v < hi for v in values)
         assert r.inside <= 300 or not 0 <= r.k - r.below - r.at_lo < r.inside
     assert {(r.k, r.v) for r in stats.selected(rows, ["g"], targets, 300).collect()} == {(r.k, values[r.k]) for r in state}
+
+
+@pytest.mark.parametrize("block", [7, 100, 10_000])
+def test_pairs_of_a_hot_group_come_once_each_way(spark, block):
+    rng = random.Random(block)
+    rows = [("hot", i, rng.random()) for i in range(300)] + [("cold", i, 0.0) for i in range(5)] + [(None, 1, 0.0)] * 2 + [("one", 9, 1.0)]
+    df = spark.createDataFrame(rows, "g string, k long, x double")
+    got = [tuple(r) for r in stats.pairs(df, ["g"], ["k", "x"], block).select("g", "k_a", "x_a", "k_b", "x_b").collect()]
+    want = [(g, a, x, b, y) for g in ("hot", "cold", "one") for h, a, x in rows if h == g for i, b, y in rows if i == g]
+    assert sorted(got) == sorted(want)
+    # no key of the join holds more than two blocks' rows: a block may stray from its mean
+    if block == 100:
+        plan = stats.pairs(df, ["g"], ["k", "x"], block)._jdf.queryExecution().optimizedPlan().toString()
+        assert "__lo" in plan and "__hi" in plan
