@@ -526,12 +526,18 @@ def asked(rows: DataFrame, column: int, model: Model, tokens: int) -> Answers |
     return answers
 
 
-def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", join: bool = False) -> DataFrame:
+#: Shards (of some 12 MB of text each) that every worker maps without harm.
+MAPPED_SHARDS = 8
+
+
+def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", join: bool | None = False) -> DataFrame:
     """The columns ``keep`` of docs with n_tokens, n_known, base_score and score of every whole text (null: empty).
 
     Each batch of documents looks its bigrams up in the shards, which workers map. With ``join`` documents are read twice:
     first all batches ask the shards for counts (see ``asked``), then these are put together; a batch that finds no answer
-    looks its bigrams up itself, to the same result."""
+    looks its bigrams up itself, to the same result. None: with it where the model has more than MAPPED_SHARDS, so that
+    a small one, all of which a worker holds, spares the second reading."""
+    join = model.shards > MAPPED_SHARDS if join is None else join
     kind = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", n_tokens long, n_known long, base_score double, score double"
     rows = docs.select(*keep, F.col(text).cast("string").alias(*unused(keep, "text")))
     answers, tokens = None, BATCH_TOKENS
@@ -559,5 +565,5 @@ def held_out_scores(docs: DataFrame) -> DataFrame:
     """
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0).alias("held_out"))
     model = train(marked.where(~F.col("held_out")))
-    found = score(marked, model, ["doc_id", "held_out"], join=True)
+    found = score(marked, model, ["doc_id", "held_out"], join=None)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -10,14 +10,16 @@ from quern.llm.common import table
 
 
 def op1_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's counts, base rules and verdict. Null and empty texts have no words and fail; repeated rows are
-    answered one by one; a null doc_id is answered; an empty table gives no rows."""
+    """Every document's counts, base rules and verdict. Null and empty texts have no words and fail; very long texts are
+    counted whole; a score that ties with the threshold is kept; repeated rows are answered one by one; a null doc_id is
+    answered; an empty table gives no rows."""
     return quality.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_decontaminate_qgram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the benchmark items that it holds. Null and empty texts hold none; repeated rows and null
-    doc_ids are answered one by one; an empty table gives no rows, an empty benchmark no matches (least_edits null)."""
+    """Every document with the benchmark items that it holds. Null and empty texts hold none; very long texts are
+    searched whole; of tying alignments any has the same edits; repeated rows and null doc_ids are answered one by one; an
+    empty table gives no rows, an empty benchmark no matches (least_edits null)."""
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_sort(F.transform("matches", lambda m: m["item_id"]))
     return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.size("matches").cast("long").alias("n_items"), ids.alias("item_ids"), F.array_min(F.transform("matches", lambda m: m["edits"])).alias("least_edits"))
@@ -29,26 +31,29 @@ URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net
 
 def op3_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict. Null urls and those without :// have neither host nor path and are
-    allowed; of rules of one length the alphabetically first counts; repeated rows are answered one by one."""
+    allowed; of rules of one length the alphabetically first counts; very long urls and pages are read whole; repeated rows are
+    answered one by one; an empty table gives no rows."""
     return link_graph.filter_urls(table(spark, sf_dir, "pages"), [link_graph.Rule.of(*r) for r in URL_RULES])
 
 
 def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the mixture. Null texts count as empty, a null source is a source; equal rows take one
-    place each; rows of one hash are ordered by doc_id and text; an empty table gives no rows."""
+    place each; rows of one hash are ordered by doc_id and text's hash, blocks of one deadline by source; a very long text is
+    a row like any other; an empty table gives no rows."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("k1", "k2")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's fingerprint and class. Null and empty texts have fingerprint zero and link like any other; a null
-    doc_id links but names no class; repeated rows are answered one by one; an empty table gives no rows."""
+    """Every document's fingerprint and class. Null and empty texts have fingerprint zero and link like any other; very
+    long texts are taken whole; a bit that half of the shingles set is 0; a null doc_id links but names no class; repeated rows are answered one by one; an empty table gives no rows."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op6_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot, by the law ``rows``. Null texts have no bytes; null doc_ids and repeated rows get
-    slots of their own; an empty table gives no rows."""
+    slots of their own; a very long text is one row, so that counts, not bytes, are even; keys of one hash are ordered by
+    doc_id and text's hash; an empty table gives no rows."""
     found = sharding.shard(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -63,20 +68,22 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's scores. Null and empty texts are their end alone; a null doc_id counts as the text ''; repeated
-    rows are learned from and answered one by one; an empty table gives no rows."""
+    """Every document's scores. Null and empty texts are their end alone; very long texts are scored whole; a word's
+    number where counts tie changes no score; a null doc_id counts as the text ''; repeated rows are learned from and answered one by one; an empty table gives no rows."""
     return kneser_ney.held_out_scores(table(spark, sf_dir, "documents"))
 
 
 def op9_lm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's perplexity under trusted text, and its verdict. Null and empty texts are their end alone; a score
-    right at the threshold is kept; null languages go by all; repeated rows are answered one by one."""
+    right at the threshold is kept; very long texts are scored whole; null languages go by all; repeated rows are answered
+    one by one; an empty table gives no rows."""
     return lm_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity. Null and empty texts score alike; null languages go by all languages' threshold, and a
-    score right at it is toxic; repeated rows are answered one by one; an empty table gives no rows."""
+    score right at it is toxic; very long texts are read whole; repeated rows are answered one by one; an empty table gives
+    no rows."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
