@@ -14,22 +14,27 @@ from quern.llm.common import scratch, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose score reaches their language's threshold."""
+    """Without the documents whose score reaches their language's threshold (a tie goes). Null and empty texts score alike and
+    stay; null languages go by all; very long texts are read whole; repeated rows are judged one by one."""
     return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: five-word shingles, similarity 0.8."""
+    """One document of each class: five-word shingles, similarity 0.8. The smallest doc_id stays, null last, ties by the
+    text's hash; rows repeated whole stay once; texts without a word (null and empty alike) are of the class of equal
+    ones; very long texts are taken whole."""
     return near_text.keep_one(docs, k=5, similarity=0.8)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a benchmark item within its edit budget."""
+    """Without the documents that hold a benchmark item within its edit budget (at it, too). Null and empty texts stay; very
+    long ones are searched whole; repeated rows are judged one by one; an empty benchmark takes none."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, sorted into the mixture's order."""
+    """All rows, sorted into the mixture's order: a null source is a source, equal rows take a place each, and rows of one
+    hash go by doc_id and text's hash; null, empty and very long texts are rows like others."""
     return mixing.reorder(docs)
 
 

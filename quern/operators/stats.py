@@ -170,11 +170,16 @@ def histogram(df: DataFrame, column: str, edges: Sequence[float], labels: Sequen
     return n.withColumn("share_pct", share_pct("n", group))
 
 
+#: Rows of one range that a task sorts, about.
+RANGE_ROWS = 1_000_000
+
+
 def global_rank(df: DataFrame, order: Sequence[str | Column], out: str = "rank", partitions: int | None = None) -> DataFrame:
     """Ranks from 0 over the whole table by a total order (names: ascending, nulls last), without a task that sorts it all:
     rows are dealt out by ranges and written, the ranges counted, and each sorted on its own."""
     by = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a range of about RANGE_ROWS, however many rows there are
+    n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
     dealt = cut(df.repartitionByRange(n, *by).withColumn("__p", F.spark_partition_id()))
     counts = sorted(dealt.groupBy("__p").count().collect())  # a number a range
     begin, at = {}, 0

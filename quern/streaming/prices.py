@@ -12,7 +12,8 @@ from quern.sources.schema import PRICES
 
 
 def read(spark: SparkSession, folder: str, version: int = 2, files_per_batch: int = 100) -> DataFrame:
-    """A stream of the Parquet files that arrive in a folder, with a row number that names file and place."""
+    """A stream of the Parquet files that arrive in a folder, with a row number made of file and place: 64 bits of a hash,
+    so that two rows of a billion share one with a chance of some 3 %; a table that must be unique is keyed by both."""
     rows = spark.readStream.schema(PRICES[version]).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     return rows.withColumn("src_rowid", F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
 
