@@ -60,7 +60,7 @@ def write_json_array_in_tasks(df: DataFrame, path: str) -> int:
             f.close()
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-    return lines.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return lines.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # total: an aggregate is one row
 
 
 def write_json_object(df: DataFrame, path: str) -> None:
