@@ -25,7 +25,7 @@ def mode_lowest(df: DataFrame, group: Sequence[str], column: str, out: str = "mo
 
 
 #: A group of up to so many rows is sorted by one task.
-QUANTILE_ROWS = 200_000
+QUANTILE_ROWS = 1_000_000
 #: Points of the sketch that narrows the rows around a rank: each round leaves some three of a thousand parts of them.
 SKETCH_POINTS, SKETCH_ACCURACY = 1000, 10_000
 
