@@ -85,3 +85,12 @@ def test_filter_urls_and_odd_inputs(spark):
     edges = {(r.src, r.dst): r.n for r in L.host_edges(pages).collect()}
     assert edges == {("a.com", "b.org"): 1, ("a.com", "cdn.org"): 1, ("fan.org", "bad.net"): 9, ("fan.org", "cdn.org"): 9}
     assert L.filter_urls(pages.limit(0), RULES, tolerance=0.05).collect() == []
+
+
+def test_the_query_judges_by_its_contracts_rules(spark, tmp_path):
+    from quern.llm import queries
+
+    urls = ["http://a.com/en/1", "http://b.example.com/en/71", "http://x.net/de/2", "http://example.net/de/81", "http://example.net/de/9", "http://y.org/es/", "http://z.io/de/"]
+    spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r.rule, r.verdict) for r in queries.op3_link_graph(spark, str(tmp_path)).orderBy("page_id").collect()]
+    assert got == [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("org/es/", "block"), (None, "allow")]
