@@ -102,3 +102,40 @@ def test_repeated_labelled_rows_do_not_outgrow_the_bounds(spark):
     net = toxicity.train(docs, labels, max_rows=300, max_calibration=100)
     assert net.thresholds or net.threshold
     assert toxicity.train(docs, labels, max_bytes=10_000).threshold > 0  # whole texts only, as many as fit
+
+
+def test_all_labelled_rows_are_learned_from_in_shards(spark):
+    rows = made(1600, 8)
+    docs = spark.createDataFrame([(i, t, "en" if i % 2 else "fr") for i, t, _ in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.classify(docs, labels, max_rows=200, max_calibration=80).collect()}
+    assert np.mean([got[i].predicted == y for i, _, y in rows if held(i)]) > 0.95
+    # every row that isn't held out has its say, however few a shard takes
+    seen = []
+    start = toxicity._start
+    toxicity._start = lambda counts, seed: seen.append(counts[:, -1].tolist()) or start(counts, seed)
+    try:
+        net = toxicity.train(docs.unionAll(docs), labels, max_rows=100, epochs=1)
+    finally:
+        toxicity._start = start
+    fitted = [y for i, _, y in rows if not held(i) and zlib.crc32(str(i).encode()) >> 2 & 3]
+    assert seen == [[fitted.count(0), fitted.count(1)]] and set(net.thresholds) == {"en", "fr"}
+
+
+def test_thresholds_by_ranges_are_the_best(spark):
+    rng = np.random.default_rng(9)
+    rows = [(lang, float(p), int(y)) for lang, n in (("a", 300), ("b", 90), ("", 60), ("few", 15)) for p, y in zip(np.round(rng.random(n), 2), rng.integers(0, 2, n))]
+    got = toxicity.thresholds(spark.createDataFrame(rows, "lang string, p double, y int"), limit=20)
+    assert set(got) == {None, "a", "b", ""}
+    for lang, t in got.items():
+        own = [(p, y) for x, p, y in rows if lang in (None, x)]
+        assert abs(t - toxicity._best(np.array([p for p, _ in own]), np.array([float(y) for _, y in own]))) < 1e-12
+
+
+def test_long_texts_peak_in_blocks_as_they_do_whole(monkeypatch):
+    net, ids = toxicity.Net.new(3), toxicity._Ids()
+    doc = toxicity.tokens(" ".join(f"w{i * i % 997}" for i in range(900)), ids)
+    whole = toxicity._peaks(net, [doc])
+    monkeypatch.setattr(toxicity, "STEP_WORDS", 64)
+    cut = toxicity._peaks(net, [doc])
+    assert np.allclose(whole[0], cut[0], atol=1e-5)
