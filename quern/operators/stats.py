@@ -224,6 +224,24 @@ def pairs(df: DataFrame, group: Sequence[str], columns: Sequence[str], block_row
     return a.join(b, [*group, "__lo", "__hi"]).where("__i <> __j or __lo = __hi").drop("__lo", "__hi", "__i", "__j")
 
 
+def above(df: DataFrame, group: Sequence[str], column: str, partitions: int | None = None) -> DataFrame:
+    """(group, column, n, more, total): each whole number's rows n, and of its group's larger numbers the rows and their sum:
+    what an aggregation over ``pairs`` with b > a needs of them, without the pairs. Rows of a null group or number don't count.
+
+    Numbers are dealt out by ranges, the ranges summed, and each summed up on its own, so that no task holds a group."""
+    some = reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in (*group, column)))
+    each = cut(df.where(some).groupBy(*group, column).agg(F.count(F.lit(1)).alias("n")))
+    ranges = partitions or max(1, -(-each.count() * 10 // RANGE_ROWS))
+    dealt = cut(each.repartitionByRange(ranges, *group, F.col(column).desc()).withColumn("__p", F.spark_partition_id()))
+    own = F.col("n") * F.col(column)
+    before = Window.partitionBy(*group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = dealt.groupBy(*group, "__p").agg(F.sum("n").alias("__m"), F.sum(own).alias("__s"))
+    starts = cut(starts.select(*group, "__p", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__m"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__s")))
+    larger = Window.partitionBy("__p", *group).orderBy(F.col(column).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    found = dealt.withColumns({"more": F.coalesce(F.sum("n").over(larger), F.lit(0)), "total": F.coalesce(F.sum(own).over(larger), F.lit(0))}).join(sized(starts), [*group, "__p"])
+    return found.select(*group, column, "n", (F.col("more") + F.col("__m")).alias("more"), (F.col("total") + F.col("__s")).alias("total"))
+
+
 def sample_share(df: DataFrame, key: str, one_in: int) -> DataFrame:
     """A repeatable sample: the rows whose key's hash falls into one of so many classes."""
     return df.where(F.pmod(F.xxhash64(key), F.lit(one_in)) == 0)
