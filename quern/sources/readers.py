@@ -154,4 +154,5 @@ def calendar(spark: SparkSession, first: date, last: date) -> DataFrame:
 
 
 def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+    """A call's own few rows, which a join takes to the other side: dealt out by their few keys, that would be a few tasks'."""
+    return F.broadcast(spark.createDataFrame(rows, schema))
