@@ -106,6 +106,31 @@ def folded_class(x: Column) -> Column:
     return F.coalesce(known, F.when(clean.rlike(CONTAINER), "count"))
 
 
+def parse_folded(df: DataFrame, column: str) -> DataFrame:
+    """Adds ``quantity`` and ``class``, as ``folded_quantity`` and ``folded_class`` give them; staged, so that each pattern is
+    looked for once."""
+    at = lambda name: F.col(f"__{name}")
+    compiled_small(df)
+    factor = {u: GRAMS[u] for u in ("kg", "lb", "oz")} | {u: MILLILITRES[u] for u in ("l", "fl oz")}
+    classes = {u: "mass_g" for u in ("kg", "g", "lb", "oz")} | {u: "volume_ml" for u in ("l", "ml", "fl oz")} | {"count": "count"}
+    layers = [
+        {"clean": F.lower(cleaned(F.col(column)))},
+        {
+            "amount": captured(at("clean"), SIZE, 1).try_cast("double"), "token": captured(at("clean"), TOKEN), "held": captured(at("clean"), CONTAINER).try_cast("double"),
+            "lead": captured(at("clean"), LEAD).try_cast("double"), "trail": captured(at("clean"), TRAIL).try_cast("double"),
+        },
+        {"name": _of(at("token"), {u: u for u in SPELLINGS})},
+    ]
+    for layer in layers:
+        df = df.withColumns({f"__{k}": v for k, v in layer.items()})
+    times = F.coalesce(at("lead"), at("trail"), F.lit(1.0))
+    df = df.withColumns({
+        "quantity": F.coalesce(at("amount") * F.coalesce(_lookup(at("name"), factor), F.lit(1.0)) * times, at("held")),
+        "class": F.coalesce(_lookup(at("name"), classes), F.when(at("held").isNotNull(), "count")),
+    })
+    return df.drop(*(f"__{k}" for layer in layers for k in layer))
+
+
 def stated_unit_price(x: Column) -> dict[str, Column]:
     """'$2.00/100g' -> amount 2.00, quantity 100, token g."""
     clean = F.lower(cleaned(x))

@@ -14,7 +14,7 @@ from quern.functions import catalogue as C
 from quern.functions import text as X
 from quern.functions.prices import parse_prices
 from quern.functions.sql import register, set_variable
-from quern.functions.units import folded_class, folded_quantity
+from quern.functions.units import parse_folded
 from quern.plans import contracts, lint
 from quern.plans.models import int_upc_match, stg_price, stg_product
 from quern.plans.registry import query
@@ -200,7 +200,7 @@ def basis_stated(spark, sf_dir):
     CASE WHEN kind IN (0, 1, 9) THEN 'mass_g' WHEN kind IN (2, 6) THEN 'volume_ml' WHEN kind IN (4, 5) THEN 'count' END AS class FROM s""",
 )
 def folded(spark, sf_dir):
-    return sized(spark, sf_dir).select("l_orderkey", "l_linenumber", folded_quantity(F.col("units")).alias("quantity"), folded_class(F.col("units")).alias("class"))
+    return parse_folded(sized(spark, sf_dir).select("l_orderkey", "l_linenumber", "units"), "units").drop("units")
 
 
 @query("up_name_size", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size || ' g' WHEN 1 THEN p_size || '.5kg' WHEN 2 THEN p_size || 'ml' WHEN 3 THEN NULL END AS size FROM part WHERE p_partkey % 5 < 5")
