@@ -86,13 +86,27 @@ _PLACE = "(k - below - at_lo)"
 _OPEN = f"({_PLACE} >= 0 and {_PLACE} < inside)"
 
 
+def within(rows: DataFrame, keys: list[str], brackets: DataFrame) -> DataFrame:
+    """The rows (keys, v) that lie inside any of the brackets (keys, lo, hi), each once."""
+    names = [f"__same{i}" for i in range(len(keys))]
+    other = sized(brackets.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "lo", "hi").distinct())
+    on = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)))
+    return rows.select(*keys, "v").join(other, on & F.expr(_INSIDE), "left_semi")
+
+
 def narrowed(rows: DataFrame, keys: list[str], targets: DataFrame, limit: int, rounds: int = 16) -> DataFrame:
     """(keys, k, lo, hi, below, at_lo, inside, stuck): for each of targets (keys, k, n), n the group's rows, two values that
     the one of rank k lies between (null: no bound) and the exact number of rows below the first, at it, and between them.
 
     While over ``limit`` rows are inside, a mergeable sketch of these (a few kilobytes a task) gives two closer ends and one
-    more pass counts them; equal values count at an end or fall together, however many there are.
+    more pass counts them; equal values count at an end or fall together, however many there are. Targets of one bracket
+    share it, and a round reads only what the round before left inside.
     """
+    return _narrowed(rows, keys, targets, limit, rounds)[0]
+
+
+def _narrowed(rows: DataFrame, keys: list[str], targets: DataFrame, limit: int, rounds: int = 16) -> tuple[DataFrame, DataFrame]:
+    """The same, and the rows that are still inside a bracket."""
     none = F.lit(None).cast("double")
     state = cut(targets.select(*keys, "k", none.alias("lo"), none.alias("hi"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("at_lo"), F.col("n").alias("inside"), F.lit(False).alias("stuck")))
     v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
@@ -101,19 +115,20 @@ def narrowed(rows: DataFrame, keys: list[str], targets: DataFrame, limit: int, r
         wide = state.where(wide_)
         if wide.isEmpty():
             break
-        near = same(rows, sized(wide), keys).where(_INSIDE)
-        grid = near.groupBy(*keys, "k").agg(F.percentile_approx("v", [i / SKETCH_POINTS for i in range(SKETCH_POINTS + 1)], SKETCH_ACCURACY).alias("grid"))
+        near = same(rows, sized(wide.select(*keys, "lo", "hi").distinct()), keys).where(_INSIDE)
+        grid = near.groupBy(*keys, "lo", "hi").agg(F.percentile_approx("v", [i / SKETCH_POINTS for i in range(SKETCH_POINTS + 1)], SKETCH_ACCURACY).alias("grid"))
         t = F.expr(_PLACE) / F.col("inside") * SKETCH_POINTS
-        closer = same(wide, grid, [*keys, "k"])
+        closer = same(wide, grid, [*keys, "lo", "hi"])
         # get() is null beyond either end: the bracket's own end then stays
         closer = closer.withColumn("lo2", F.coalesce(F.get("grid", (F.floor(t) - 1).cast("int")), "lo")).withColumn("hi2", F.coalesce(F.get("grid", (F.ceil(t) + 1).cast("int")), "hi")).drop("grid")
         closer = cut(closer)
-        near = same(rows, sized(closer), keys).where(_INSIDE)
+        ends = ["lo", "hi", "lo2", "hi2"]
+        near = same(rows, sized(closer.select(*keys, *ends).distinct()), keys).where(_INSIDE)
         lo2, hi2, n = F.col("lo2"), F.col("hi2"), lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
-        moved = near.groupBy(*keys, "k").agg(
+        moved = near.groupBy(*keys, *ends).agg(
             n(v < lo2).alias("more"), n((v == lo2) & (lo.isNull() | (lo2 > lo))).alias("now_lo"), n((lo2.isNull() | (v > lo2)) & (hi2.isNull() | (v < hi2))).alias("now"), n(v == hi2).alias("now_hi")
         )
-        both = same(closer, moved, [*keys, "k"])
+        both = same(closer, moved, [*keys, *ends])
         kept = lo2.eqNullSafe(lo)
         below = F.when(kept, F.col("below")).otherwise(F.col("below") + F.col("at_lo") + F.col("more"))
         at_lo = F.when(kept, F.col("at_lo")).otherwise(F.col("now_lo"))
@@ -124,13 +139,14 @@ def narrowed(rows: DataFrame, keys: list[str], targets: DataFrame, limit: int, r
             F.when(good, at_lo).otherwise(F.col("at_lo")).alias("at_lo"), F.when(good, F.col("now")).otherwise(F.col("inside")).alias("inside"), (~good).alias("stuck"),
         )
         state = cut(state.where(f"not {wide_}").unionAll(new))
-    return state
+        rows = cut(within(rows, keys, state.where(_OPEN)))
+    return state, rows
 
 
 def selected(rows: DataFrame, keys: list[str], targets: DataFrame, limit: int) -> DataFrame:
     """(keys, k, v): of rows (keys, v), none null, the value of rank k (from 0) in its group. The rows inside a target's
     bracket (see ``narrowed``) are counted by value and summed up in order, by a window over at most ``limit`` values."""
-    state = narrowed(rows, keys, targets, limit)
+    state, rows = _narrowed(rows, keys, targets, limit)
     last = same(rows, sized(state.where(_OPEN)), keys).where(_INSIDE).groupBy(*keys, "k", "below", "at_lo", "v").agg(F.count(F.lit(1)).alias("c"))
     upto = F.sum("c").over(Window.partitionBy(*keys, "k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     hit = last.withColumn("upto", upto).where(f"{_PLACE} >= upto - c and {_PLACE} < upto").select(*keys, "k", "v")
