@@ -240,6 +240,39 @@ def pairs(df: DataFrame, group: Sequence[str], columns: Sequence[str], block_row
     return a.join(b, [*group, "__lo", "__hi"]).where("__i <> __j or __lo = __hi").drop("__lo", "__hi", "__i", "__j")
 
 
+#: Pairs that one task counts, about.
+TASK_PAIRS = 4_000_000
+
+
+def pair_counts(df: DataFrame, group: Sequence[str], column: str, block_rows: int = PAIR_ROWS, task_pairs: int = TASK_PAIRS) -> DataFrame:
+    """(a, b, n): for every two values b > a of a column, the groups that hold both; rows of a null group or value don't
+    count, repeated ones count once.
+
+    What moves is lists, not pairs: a group's values are one sorted list, and each value goes with the larger ones to the
+    task that counts its pairs. A value of over ``task_pairs`` pairs is counted by several tasks, a share of its partners
+    each; groups of over ``block_rows`` values are paired by blocks (see ``pairs``)."""
+    some = reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in (*group, column)))
+    rows = cut(df.where(some).select(*group, F.col(column).alias("v")).distinct())
+    hot = cut(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows).select(*group))
+    none = hot.isEmpty()
+    cold = rows if none else rows.join(sized(hot), list(group), "left_anti")
+    lists = cut(cold.groupBy(*group).agg(F.sort_array(F.collect_list("v")).alias("l")).select("l").where("size(l) > 1"))  # total: sorted
+    led = lists.select(F.posexplode("l").alias("i", "a"), "l").where("i < size(l) - 1").select("a", F.expr("slice(l, i + 2, size(l) - i - 1)").alias("more"))
+    if not none:
+        led = led.unionAll(pairs(rows.join(sized(hot), list(group), "left_semi"), group, ["v"], block_rows).where("v_b > v_a").select(F.col("v_a").alias("a"), F.array("v_b").alias("more")))
+    loads = cut(led.groupBy("a").agg(F.sum(F.size("more")).alias("m")))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(loads.agg(F.sum("m")).first()[0] or 0) // task_pairs))  # total: an aggregate is one row
+    by = ["a"]
+    large = loads.where(F.col("m") > task_pairs).select("a", F.ceil(F.col("m") / task_pairs).cast("long").alias("shares"))
+    if not large.isEmpty():
+        by = ["a", "share"]
+        dealt = led.join(sized(large), "a", "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(1).cast("long")) - 1)))
+        led = dealt.select("a", F.when(F.col("shares") > 1, F.expr("filter(more, x -> pmod(xxhash64(x), shares) = share)")).otherwise(F.col("more")).alias("more"), "share").where("size(more) > 0")
+    # dealt out by some of the grouping's columns, so that the pairs are counted where they are made
+    each = led.repartition(parts, *by).select(*by, F.explode("more").alias("b"))
+    return each.groupBy(*by, "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b", "n")
+
+
 def above(df: DataFrame, group: Sequence[str], column: str, partitions: int | None = None) -> DataFrame:
     """(group, column, n, more, total): each whole number's rows n, and of its group's larger numbers the rows and their sum:
     what an aggregation over ``pairs`` with b > a needs of them, without the pairs. Rows of a null group or number don't count.
