@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.config import GRAMS, MILLILITRES
-from quern.functions.text import NUMBER, captured, cleaned, compiled_small, is_blank, to_number
+from quern.functions.text import NUMBER, captured, cleaned, compiled_small, is_blank, settled, to_number
 
 
 @dataclass(frozen=True)
@@ -144,5 +144,5 @@ def parse_prices(df: DataFrame, sources: dict[str, str], vendor: str | None = No
         for layer in stages(F.col(column), at):
             df = df.withColumns({f"__{prefix}{k}": v for k, v in layer.items()})
             names += [f"__{prefix}{k}" for k in layer]
-        df = df.withColumns({prefix + k: v for k, v in fields(at, F.col(vendor) if vendor else None).items()}).drop(*names)
+        df = settled(df, names).withColumns({prefix + k: v for k, v in fields(at, F.col(vendor) if vendor else None).items()}).drop(*names)
     return df
