@@ -20,7 +20,7 @@ from quern.plans.models import int_upc_match, stg_price, stg_product
 from quern.plans.registry import query
 from quern.plans.text import _KIND, _SIZED, catalogue, observations, priced, sized
 from quern.sources import readers, schema, sinks, sqlfile, sqlite
-from quern.sources.shared import cut, scratch
+from quern.sources.shared import scratch, stored
 
 
 def _t(spark, sf_dir, name):
@@ -329,8 +329,8 @@ _NAMES = ", ".join(f"('{table}.{x}')" for table, names in _CLEAN.items() for x i
 )
 def every_contract(spark, sf_dir):
     source, raw = catalogue(spark, sf_dir), observations(spark, sf_dir)
-    product = cut(stg_product(source))
-    price, match = cut(stg_price(raw, source)), cut(int_upc_match(product))
+    product = stored(stg_product(source), "products")
+    price, match = stored(stg_price(raw, source), "prices"), stored(int_upc_match(product), "matches")
     tests = contracts.price_contracts(price, raw, product, "20260803T120000Z", {2202: 3}) | contracts.product_contracts(product, source) | contracts.match_contracts(match, product)
     return readers.inline(spark, [(name, found.count()) for name, found in tests.items()], "test string, n long")
 
