@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable, Iterator, Sequence
+from types import MappingProxyType
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,11 @@ _DAY_MS = 86_400_000
 _SPELL = "from_date date, to_date date, px double, observed_days long, on_sale int, calendar_days long"
 
 
+def _fold(days: dict, d: dt.date, px: float, sale: int) -> None:
+    old = days.get(d)
+    days[d] = (px, sale) if old is None else (min(px, old[0]), max(sale, old[1]))
+
+
 def _ms(d: dt.date) -> int:
     return (d - dt.date(1970, 1, 1)).days * _DAY_MS
 
@@ -37,44 +43,56 @@ class Spells(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.days = handle.getMapState("days", _ddl([("d", T.DateType())]), _ddl([("px", T.DoubleType()), ("on_sale", T.IntegerType())]))
+        self.days = handle.getListState("days", _ddl([("d", T.DateType()), ("px", T.DoubleType()), ("on_sale", T.IntegerType())]))
         self.open = handle.getValueState("open", _ddl([("from_date", T.DateType()), ("px", T.DoubleType()), ("observed_days", T.LongType()), ("on_sale", T.IntegerType()), ("last_d", T.DateType()), ("last_px", T.DoubleType())]))
 
     def handleInputRows(self, key, rows: Iterable[Row], timerValues) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs()
+        now, new = timerValues.getCurrentWatermarkInMs(), {}
         for r in rows:
             if r.d is None or r.px is None or _ms(r.d) <= now:  # too late: its day is settled
                 continue
-            px, sale = r.px, r.on_sale
-            if self.days.containsKey((r.d,)):
-                old = self.days.getValue((r.d,))
-                px, sale = min(px, old[0]), max(sale, old[1])
-            self.days.updateValue((r.d,), (px, sale))
-        yield from self._settle(key, now)
+            _fold(new, r.d, r.px, r.on_sale)
+        yield from self._settle(key, now, new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         yield from self._settle(key, timerValues.getCurrentWatermarkInMs())
 
-    def _settle(self, key, now: int) -> Iterator[Row]:
-        """Takes the days that can't change any more into the open spell, in order, and gives those that it closes."""
-        days = sorted(k[0] for k in self.days.keys())
-        open_ = tuple(self.open.get()) if self.open.exists() else None
-        while days and _ms(days[0]) <= now:
-            d = days.pop(0)
-            px, sale = self.days.getValue((d,))
-            self.days.removeKey((d,))
+    def _settle(self, key, now: int, new: dict = MappingProxyType({})) -> Iterator[Row]:
+        """Takes the days that can't change any more into the open spell, in order, and gives those that it closes. The
+        state is asked for once and written once a call, not for each row: every call to it leaves the worker."""
+        held = {}
+        for d, px, sale in self.days.get():
+            held[d] = (px, sale)
+        first = min(held, default=None)
+        for d, (px, sale) in new.items():
+            _fold(held, d, px, sale)
+        days, settled = sorted(held), 0
+        if days and _ms(days[0]) > now:  # nothing settles, and the open spell waits for these days
+            if new:
+                self.days.put([(d, *held[d]) for d in days])
+            if days[0] != first:
+                self.handle.registerTimer(_ms(days[0]) + 1)
+            return
+        was = open_ = tuple(found) if (found := self.open.get()) is not None else None
+        while settled < len(days) and _ms(days[settled]) <= now:
+            d = days[settled]
+            px, sale = held[d]
+            settled += 1
             if open_ is not None and abs(px - open_[5]) <= self.epsilon and (d - open_[4]).days <= self.gap and sale == open_[3]:
                 open_ = (open_[0], open_[1], open_[2] + 1, sale, d, px)
             else:
                 if open_ is not None:
                     yield self._row(key, open_)
                 open_ = (d, px, 1, sale, d, px)
+        days = days[settled:]
+        if new or settled:
+            self.days.put([(d, *held[d]) for d in days]) if days else self.days.clear()
         if open_ is not None and not days and _ms(open_[4]) + self.gap * _DAY_MS <= now:  # what may come is beyond the gap
             yield self._row(key, open_)
             open_ = None
-        if open_ is None:
+        if open_ is None and was is not None:
             self.open.clear()
-        else:
+        elif open_ != was:
             self.open.update(open_)
         if days:
             self.handle.registerTimer(_ms(days[0]) + 1)

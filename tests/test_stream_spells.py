@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quern.operators import timeline
@@ -81,3 +82,41 @@ def test_too_late_rows_are_left_out(spark, tmp_path):
     far = [(2, "a", DAY + dt.timedelta(50), 1.0, 0)]
     got, _ = run(spark, tmp_path, [rows, far, late, [END]], "10 days")
     assert got == batch(spark, rows + far)
+
+
+def test_the_state_is_asked_by_series_not_by_row():
+    class State:
+        def __init__(self):
+            self.calls, self.held = 0, None
+
+        def _called(self, held):
+            self.calls += 1
+            self.held = held
+
+        def get(self):
+            self.calls += 1
+            return iter(self.held or ()) if self.many else self.held
+
+        put = update = _called
+
+        def clear(self):
+            self._called(None)
+
+        registerTimer = _called  # noqa: N815
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.held
+
+    handle, now = State(), State()
+    days, open_ = State(), State()
+    days.many, open_.many = True, False
+    handle.getListState, handle.getValueState = (lambda *_: days), (lambda *_: open_)
+    s = S.Spells(KEYS, 3, 0.005)
+    s.init(handle)
+    now.held = -1
+    rows = [Row(d=DAY + dt.timedelta(n % 40), px=1.0 + (n % 40 >= 20), on_sale=0) for n in range(4_000)]
+    assert list(s.handleInputRows((1, "a"), iter(rows), now)) == []
+    now.held = S._ms(DAY) + 2000 * S._DAY_MS
+    got = list(s.handleExpiredTimer((1, "a"), now, None))
+    assert [(r.px, r.observed_days, r.calendar_days) for r in got] == [(1.0, 20, 20), (2.0, 20, 20)]
+    assert days.held is None and open_.held is None and days.calls + open_.calls + handle.calls < 12
