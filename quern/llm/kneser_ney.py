@@ -40,6 +40,8 @@ ASK_TOKENS = 1_200_000
 VOCAB_BYTES, PAIR_BYTES = 48_000_000, 12_000_000
 #: Arrays that a worker maps at once, and bytes of them that it holds where they can't be mapped.
 HELD, HELD_BYTES = 1024, 256 << 20
+#: Files that a worker keeps open to read parts of them.
+OPEN = 128
 
 
 class Store:
@@ -51,9 +53,10 @@ class Store:
         parts = urlparse(uri)
         self.local = parts.path if parts.scheme in ("", "file") else None
         self.held: OrderedDict[str, np.ndarray] = OrderedDict()
+        self.open: OrderedDict[str, tuple] = OrderedDict()
 
     def __getstate__(self):
-        return {"uri": self.uri, "local": self.local, "held": OrderedDict()}
+        return {"uri": self.uri, "local": self.local, "held": OrderedDict(), "open": OrderedDict()}
 
     def save(self, name: str, x: np.ndarray) -> None:
         """Whole or not at all: a task that runs twice writes the same file twice."""
@@ -90,6 +93,25 @@ class Store:
             self.held.popitem(last=False)
         return found
 
+    def part(self, name: str, begin: int, end: int) -> np.ndarray:
+        """An array's elements from begin to end, read and not mapped: pages that a map once touched stay the worker's, so
+        that one that reads here and there soon has all files."""
+        if self.local is None:
+            return self.load(name)[begin:end].copy()
+        if name not in self.open:
+            f = open(f"{self.local}/{name}.npy", "rb", buffering=0)  # noqa: SIM115
+            np.lib.format.read_magic(f)
+            kind = np.lib.format.read_array_header_1_0(f)[2]
+            self.open[name] = f, f.tell(), kind
+            if len(self.open) > OPEN:
+                self.open.popitem(last=False)[1][0].close()
+        self.open.move_to_end(name)
+        f, at, kind = self.open[name]
+        size = (end - begin) * kind.itemsize
+        if len(data := os.pread(f.fileno(), size, at + begin * kind.itemsize)) != size:
+            raise OSError(f"{name} ends before element {end}")
+        return np.frombuffer(data, kind)
+
 
 class _Hashes(dict):
     """Word -> XXH64; emptied when large."""

@@ -8,7 +8,8 @@ pair whose sets reach the similarity links, and at once: what is linked is not w
 costs some n comparisons of sets, and gives n - 1 links.
 
 How many bits a head takes, and so how many tables a pair needs to meet in one, follows from the number of texts
-(``Tables.of``). Sets and fingerprints lie in files in the shared folder that workers map.
+(``Tables.of``). Sets and fingerprints lie in files in the shared folder, of which workers read what they compare, some
+sets at a time.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ GROUP_TEXTS, MISSED = 256, 0.0001
 TASK_TEXTS = 1_000_000
 #: Words of 64 bits that a file of sets holds before the next one is begun.
 FILE_WORDS = 1 << 23
+#: Words of sets that a task reads at once to compare them, about.
+READ_WORDS = 1 << 21
 #: Sets of fewer shingles are kept in all 64 bits of their hashes, others in 32.
 SMALL_SET = 64
 _MATRIX: list[np.ndarray] = []
@@ -141,7 +144,7 @@ class Tables:
 
     def heads(self, fp: np.ndarray) -> np.ndarray:
         """(texts, tables): each text's head, which names its table too."""
-        bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+        bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), BITS // 8), axis=1, bitorder="little")
         out = np.empty((len(fp), len(self.columns)), np.int64)
         power = 1 << np.arange(self.columns.shape[1], dtype=np.int64)
         for t, c in enumerate(self.columns):
@@ -162,21 +165,40 @@ class Sets:
     def __init__(self, store: Store):
         self.store = store
 
-    def _at(self, ref: int) -> tuple[np.ndarray, int]:
-        return self.store.load(f"sets-{ref >> 24}"), ref & 0xFFFFFF
+    def _read(self, ref: int, begin: int, end: int) -> np.ndarray:
+        at = ref & 0xFFFFFF
+        return self.store.part(f"sets-{ref >> 24}", at + begin, at + end)
 
     def fingerprints(self, refs: np.ndarray) -> np.ndarray:
         out = np.empty((len(refs), WORDS), np.uint64)
-        for i, r in enumerate(refs.tolist()):
-            x, at = self._at(r)
-            out[i] = x[at : at + WORDS]
+        for i in np.argsort(refs).tolist():  # file by file
+            out[i] = self._read(int(refs[i]), 0, WORDS)
         return out
 
-    def set(self, ref: int) -> np.ndarray:
-        x, at = self._at(ref)
-        n = int(x[at + WORDS])
-        at += WORDS + 1
-        return x[at : at + (n >> 1)] if not n & 1 else x[at : at + (n + 3 >> 2)].view(np.uint32)[: n >> 1]
+    def set(self, ref: int, size: int | None = None) -> np.ndarray:
+        """size: the word that begins a set as ``stored``."""
+        n = int(self._read(ref, WORDS, WORDS + 1)[0]) if size is None else size
+        x = self._read(ref, WORDS + 1, WORDS + 1 + ((n >> 1) + 1 >> 1 if n & 1 else n >> 1))
+        return x.view(np.uint32)[: n >> 1] if n & 1 else x
+
+    def alike(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+        """Whether the sets by these references reach the similarity, pair by pair; those of about READ_WORDS words are read
+        at a time, and none of a pair whose sizes are too far apart."""
+        refs, back = np.unique(np.r_[a, b], return_inverse=True)
+        x, y = back[: len(a)], back[len(a) :]
+        size = np.array([self._read(r, WORDS, WORDS + 1)[0] for r in refs.tolist()], np.int64)
+        n, words = size >> 1, np.where(size & 1, (size >> 1) + 1 >> 1, size >> 1)
+        out = np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9
+        todo = np.flatnonzero(out)
+        total = np.cumsum(words[x[todo]] + words[y[todo]])
+        at = 0
+        while at < len(todo):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + READ_WORDS, "right")))
+            some = todo[at:end]
+            need, back = np.unique(np.r_[x[some], y[some]], return_inverse=True)
+            out[some] = reach([self.set(int(refs[v]), int(size[v])) for v in need.tolist()], back[: len(some)], back[len(some) :], similarity)
+            at = end
+        return out
 
 
 def _fingerprinted(docs: DataFrame, k: int, store: Store) -> DataFrame:
@@ -249,13 +271,13 @@ def _links(texts: DataFrame, n: int, sets: Sets, tables: Tables, similarity: flo
                 some, back = np.unique(np.r_[a, b], return_inverse=True)
                 fp = sets.fingerprints(ref[some])
                 x, y = back[: len(a)], back[len(a) :]
-                h = tables.heads(fp)
                 ok = (np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int32) <= tables.most) & (ref[a] != ref[b])
-                ok[ok] = tables.first(h[x[ok]], h[y[ok]], fp[x[ok]], fp[y[ok]]) == head[a[ok]] >> 48
+                a, b, x, y = a[ok], b[ok], x[ok], y[ok]
+                need, back = np.unique(np.r_[x, y], return_inverse=True)
+                h = tables.heads(fp[need])
+                ok = tables.first(h[back[: len(x)]], h[back[len(x) :]], fp[x], fp[y]) == head[a] >> 48
                 a, b = a[ok], b[ok]
-                x, y = x[ok], y[ok]
-                need = np.unique(np.r_[x, y])
-                ok = reach([sets.set(int(ref[some[v]])) for v in need.tolist()], np.searchsorted(need, x), np.searchsorted(need, y), similarity)
+                ok = sets.alike(ref[a], ref[b], similarity)
                 a, b = a[ok], b[ok]
                 linked, lab, up = np.zeros(len(a), bool), known.label, {}
 

@@ -165,3 +165,32 @@ def test_rows_of_one_64_bit_key_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(N, "half", lambda seed, *c, real=N.half: F.lit(5).cast("long") if seed == 1 else real(seed, *c))
     assert sorted(map(str, N.keep_one(docs).collect())) == want and len(want) == 62
     assert [r.doc_id for r in mixing.reorder(docs).collect()] == places
+
+
+def test_sets_are_read_a_part_at_a_time_and_never_mapped(tmp_path, monkeypatch):
+    """A worker that compares sets all over the files holds some of them, however large the files are."""
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 2**64, 3000, dtype=np.uint64))
+    held = [np.sort(rng.choice(base, n, replace=False)) for n in [2900, 2800, 1400, 60, 50] * 8]
+    sets, refs = N.Sets(N.Store(str(tmp_path))), []
+    for f in range(8):  # files of five sets each
+        parts, at = [], 0
+        for s in held[5 * f : 5 * f + 5]:
+            refs.append(f << 24 | at)
+            parts += [np.full(N.WORDS, len(s), np.uint64), N.stored(s)]
+            at += N.WORDS + len(parts[-1])
+        sets.store.save(f"sets-{f}", np.concatenate(parts))
+    refs = np.array(refs)
+    assert sets.fingerprints(refs)[:, 0].tolist() == [len(s) for s in held]
+    every = [sets.set(r) for r in refs.tolist()]
+    with open("/proc/self/maps") as maps:
+        assert str(tmp_path) not in maps.read()
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(40), np.arange(40)))
+    read = []
+    monkeypatch.setattr(N, "READ_WORDS", 8000)
+    monkeypatch.setattr(N, "reach", lambda s, *a, real=N.reach: read.append(sum(v.nbytes for v in s) // 8) or real(s, *a))
+    got = sets.alike(refs[x], refs[y], 0.8)
+    assert 0 < max(read) <= 8000 < sum(v.nbytes for v in every) // 8
+    monkeypatch.undo()
+    assert (got == N.reach(every, x, y, 0.8)).all() and 0 < got.sum() < len(got)
+    assert sets.alike(refs[:0], refs[:0], 0.8).tolist() == []
